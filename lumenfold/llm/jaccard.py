@@ -2,8 +2,10 @@
 
 1. One pass counts shingles in a fixed-size sketch over all texts and signs every set.
 2. Tokens are ordered rare first by those counts (ties by hash). A set of n tokens shows
-   only its prefix of n - ceil(t n) + 1 tokens; prefix tokens meet in hash buckets, where
-   sets of compatible size are chained into candidate classes. Equal sets are one vertex.
+   only its prefix of n - ceil(t n) + l tokens, of which linked sets share l; l grows with
+   n. Prefix tokens meet in hash buckets. Sets with fewer than l tokens that any other set
+   shows are out; the rest are hung on one set for each token and size band, which gives
+   candidate classes in place of pairs. Equal sets are one vertex.
 3. Candidate classes, not pairs, get their full sets together. There each set meets the
    earlier ones through the prefix lists under the length, positional and suffix filters,
    skips those already in its class, and checks what remains once.
@@ -45,6 +47,10 @@ class Rule:
     def prefix(self, n):
         return n - -(-self.percent * n // 100) + 1
 
+    def common(self, n):
+        """Tokens that linked sets share in prefixes longer by so many less one."""
+        return np.maximum(1, self.prefix(n) // 4)
+
     def compatible(self, small, large):
         return 100 * small >= self.percent * large
 
@@ -125,10 +131,28 @@ def _tokens(values: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> np.nd
     return tokens[tv.order_by_row(tokens, row)]
 
 
-_RECORD = np.dtype([("token", "<u8"), ("s1", "<i8"), ("s2", "<i8"), ("n", "<i4")])
+_RECORD = np.dtype([("token", "<u8"), ("s1", "<i8"), ("s2", "<i8"), ("n", "<i4"), ("shared", "?")])
+
+
+def _distinct_records(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One record for each (token, set), by token; where tokens begin; sets of each token."""
+    records = records[np.argsort(records["token"])]
+    records = records[np.lexsort((records["s2"], records["s1"], records["token"]))]
+    same = np.zeros(len(records), dtype=bool)
+    same[1:] = (records["token"][1:] == records["token"][:-1]) & (records["s1"][1:] == records["s1"][:-1]) & (records["s2"][1:] == records["s2"][:-1])
+    # the flag of dropped repeats stays with the kept one
+    keep = np.flatnonzero(~same)
+    flag = np.logical_or.reduceat(records["shared"], keep) if len(keep) else np.zeros(0, bool)
+    records = records[keep]
+    records["shared"] = flag
+    begin = np.flatnonzero(np.append(True, records["token"][1:] != records["token"][:-1])) if len(records) else np.zeros(0, np.int64)
+    return records, begin, np.diff(np.append(begin, len(records)))
 
 
 def _prefix_pass(n: int, rule: Rule, buckets: int, shared):
+    """Prefix records by token bucket. Where several sets of one flush share a token, they
+    are members already: those go to buckets by flush, and one record stands for them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.frombuffer(shared.value, dtype=np.uint8)
         known: set[tuple[int, int]] = set()
@@ -137,16 +161,24 @@ def _prefix_pass(n: int, rule: Rule, buckets: int, shared):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
-            records = np.concatenate(held)
+            records, begin, count = _distinct_records(np.concatenate(held))
             held, size = [], 0
+            several = np.repeat(count > 1, count)
+            members = records[several]
+            if len(members):
+                home = int(members["token"][0] % U64(buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.nulls(1, pa.binary()), pa.array([members.tobytes()], pa.binary())], names=["bucket", "records", "members"])
+            records["shared"][begin] |= count > 1
+            keep = ~several
+            keep[begin] = True
+            records = records[keep]
             bucket = (tv.mix(records["token"]) % U64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             records, bucket = records[order], bucket[order]
             at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             stop = np.append(at[1:], len(bucket))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[at]), pa.array([records[a:b].tobytes() for a, b in zip(at, stop, strict=True)], pa.binary())], names=["bucket", "records"]
-            )
+            blobs = pa.array([records[a:b].tobytes() for a, b in zip(at, stop, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), blobs, pa.nulls(len(at), pa.binary())], names=["bucket", "records", "members"])
 
         for batch in batches:
             for piece in tv.slices(batch.column(1)):
@@ -161,8 +193,8 @@ def _prefix_pass(n: int, rule: Rule, buckets: int, shared):
                         if len(known) < 1 << 20:
                             known.add(key)
                 tokens = _tokens(values, offsets, ranks)
-                shown = np.where(fresh, rule.prefix(sizes), 0)
-                records = np.empty(int(shown.sum()), dtype=_RECORD)
+                shown = np.where(fresh, np.minimum(sizes, rule.prefix(sizes) + rule.common(sizes) - 1), 0)
+                records = np.zeros(int(shown.sum()), dtype=_RECORD)
                 records["token"] = tokens[tv.ragged(offsets[:-1], shown)]
                 for name, column in (("s1", s1), ("s2", s2), ("n", sizes)):
                     records[name] = np.repeat(column, shown)
@@ -176,20 +208,14 @@ def _prefix_pass(n: int, rule: Rule, buckets: int, shared):
     return run
 
 
-def _chains(rule: Rule):
-    def run(table: pa.Table) -> pa.Table:
-        records = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_RECORD) for x in table.column("records")])
-        _, count = np.unique(records["token"], return_counts=True)
-        records = records[np.argsort(records["token"], kind="stable")]
-        records = records[np.repeat(count > 1, count)]
-        records = records[np.lexsort((records["s2"], records["s1"], records["n"], records["token"]))]
-        a, b = records[:-1], records[1:]
-        other = (a["s1"] != b["s1"]) | (a["s2"] != b["s2"])
-        linked = (a["token"] == b["token"]) & other & rule.compatible(a["n"].astype(np.int64), b["n"].astype(np.int64))
-        pairs = np.unique(np.stack([a["s1"][linked], a["s2"][linked], b["s1"][linked], b["s2"][linked]], axis=1), axis=0)
-        return pa.table({k: pairs[:, j] for j, k in enumerate(("a1", "a2", "b1", "b2"))})
-
-    return run
+def _members(table: pa.Table) -> pa.Table:
+    """(token, set) of each token that several sets show."""
+    direct = [np.frombuffer(x.as_buffer(), dtype=_RECORD) for x in table.column("members") if x.is_valid]
+    found = [np.frombuffer(x.as_buffer(), dtype=_RECORD) for x in table.column("records") if x.is_valid]
+    records, _, count = _distinct_records(np.concatenate([*found, np.zeros(0, _RECORD)]))
+    records = records[np.repeat(count > 1, count)]
+    records = np.concatenate([*direct, records[~records["shared"]]])
+    return pa.table({"token": records["token"].view(np.int64) if records["token"].flags.c_contiguous else np.ascontiguousarray(records["token"]).view(np.int64), "s1": np.ascontiguousarray(records["s1"]), "s2": np.ascontiguousarray(records["s2"]), "n": records["n"].astype(np.int64)})
 
 
 def _unit_sets(n: int, shared):
@@ -356,12 +382,21 @@ def jaccard_components(
     shared = spark.sparkContext.broadcast(_ranks(first).tobytes())
     sets = first.where("part is null").select("id", "n", "s1", "s2")
     heads = sets.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    records = own.where("id is not null").mapInArrow(_prefix_pass(ngram, rule, buckets, shared), "bucket int, records binary")
-    chained = materialize(records.groupBy("bucket").applyInArrow(_chains(rule), "a1 long, a2 long, b1 long, b2 long").distinct())
+    records = own.where("id is not null").mapInArrow(_prefix_pass(ngram, rule, buckets, shared), "bucket int, records binary, members binary")
     ends = heads.select("s1", "s2", "rep")
-    edges = chained.join(ends.toDF("a1", "a2", "u"), ["a1", "a2"]).join(ends.toDF("b1", "b2", "v"), ["b1", "b2"]).select("u", "v")
+    shown = materialize(records.groupBy("bucket").applyInArrow(_members, "token long, s1 long, s2 long, n long").join(ends, ["s1", "s2"]).select("token", "rep", "n"))
+    # a set of n tokens that links has a partner of at least percent * n / 100 tokens
+    least = F.ceil(F.col("n") * percent / 100)
+    need = F.greatest(F.lit(1), F.floor((least - F.ceil(least * percent / 100) + 1) / 4))
+    able = shown.groupBy("rep").agg(F.countDistinct("token").alias("seen"), F.max("n").alias("n")).where(F.col("seen") >= need).select("rep", "n")
+    band = F.floor(F.log(F.col("n")) / math.log(100 / percent))
+    left = shown.select("token", "rep").join(able, "rep").select("token", "rep", band.alias("band"))
+    lead = left.groupBy("token", "band").agg(F.min("rep").alias("lead"))
+    edges = left.join(lead, ["token", "band"]).select(F.col("rep").alias("u"), F.col("lead").alias("v")).union(
+        lead.select("token", "band", F.col("lead").alias("u")).join(lead.select("token", (F.col("band") - 1).alias("band"), F.col("lead").alias("v")), ["token", "band"]).select("u", "v")
+    )
     classes = connected_components(edges)
-    members = heads.groupBy("rep").agg(F.max("n").alias("n")).join(classes, F.col("rep") == F.col("id")).select("id", "n", "component")
+    members = able.join(classes, F.col("rep") == F.col("id")).select("id", "n", "component")
     units = _units(members, rule, buckets, unit_tokens)
     full = own.join(units, "id").select("id", "text", "component", "part", "unit")
     tokens = _with_unit(full, ngram, shared)
