@@ -136,17 +136,14 @@ _RECORD = np.dtype([("token", "<u8"), ("s1", "<i8"), ("s2", "<i8"), ("n", "<i4")
 
 def _distinct_records(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One record for each (token, set), by token; where tokens begin; sets of each token."""
-    records = records[np.argsort(records["token"])]
     records = records[np.lexsort((records["s2"], records["s1"], records["token"]))]
-    same = np.zeros(len(records), dtype=bool)
-    same[1:] = (records["token"][1:] == records["token"][:-1]) & (records["s1"][1:] == records["s1"][:-1]) & (records["s2"][1:] == records["s2"][:-1])
     # the flag of dropped repeats stays with the kept one
-    keep = np.flatnonzero(~same)
+    keep, _ = tv.blocks(records["token"], records["s1"], records["s2"])
     flag = np.logical_or.reduceat(records["shared"], keep) if len(keep) else np.zeros(0, bool)
     records = records[keep]
     records["shared"] = flag
-    begin = np.flatnonzero(np.append(True, records["token"][1:] != records["token"][:-1])) if len(records) else np.zeros(0, np.int64)
-    return records, begin, np.diff(np.append(begin, len(records)))
+    begin, end = tv.blocks(records["token"])
+    return records, begin, end - begin
 
 
 def _prefix_pass(n: int, rule: Rule, buckets: int, shared):
@@ -175,8 +172,7 @@ def _prefix_pass(n: int, rule: Rule, buckets: int, shared):
             bucket = (tv.mix(records["token"]) % U64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             records, bucket = records[order], bucket[order]
-            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            stop = np.append(at[1:], len(bucket))
+            at, stop = tv.blocks(bucket)
             blobs = pa.array([records[a:b].tobytes() for a, b in zip(at, stop, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), blobs, pa.nulls(len(at), pa.binary())], names=["bucket", "records", "members"])
 
@@ -215,7 +211,7 @@ def _members(table: pa.Table) -> pa.Table:
     records, _, count = _distinct_records(np.concatenate([*found, np.zeros(0, _RECORD)]))
     records = records[np.repeat(count > 1, count)]
     records = np.concatenate([*direct, records[~records["shared"]]])
-    return pa.table({"token": records["token"].view(np.int64) if records["token"].flags.c_contiguous else np.ascontiguousarray(records["token"]).view(np.int64), "s1": np.ascontiguousarray(records["s1"]), "s2": np.ascontiguousarray(records["s2"]), "n": records["n"].astype(np.int64)})
+    return pa.table({k: np.ascontiguousarray(records[k]).astype(np.int64) for k in ("token", "s1", "s2", "n")})
 
 
 def _unit_sets(n: int, shared):
@@ -264,8 +260,8 @@ def link_forest(sets: list[np.ndarray], rule: Rule, group: np.ndarray | None = N
     lists, of, at = token[by], owner[by], place[by]
     where = np.empty(len(by), dtype=np.int64)
     where[by] = np.arange(len(by))
-    begin = np.flatnonzero(np.append(True, lists[1:] != lists[:-1])) if len(lists) else np.zeros(0, np.int64)
-    start = np.repeat(begin, np.diff(np.append(begin, len(lists))))
+    begin, end = tv.blocks(lists)
+    start = np.repeat(begin, end - begin)
     own = np.concatenate([[0], np.cumsum(shown)])
     root = np.arange(len(order))
     side = None if group is None else group[np.array(order)]
@@ -314,9 +310,8 @@ def _verify(rule: Rule):
         part = table.column("part").to_numpy()
         tokens = [np.frombuffer(x.as_buffer(), dtype=U64) for x in table.column("tokens")]
         order = np.lexsort((ids, component))
-        cuts = np.flatnonzero(np.append(True, component[order][1:] != component[order][:-1])) if len(order) else []
         u, v = [], []
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        for a, b in zip(*tv.blocks(component[order]), strict=True):
             some = order[a:b]
             split = len(np.unique(part[some])) > 1
             for x, y in link_forest([tokens[k] for k in some], rule, part[some] if split else None):
@@ -376,7 +371,7 @@ def jaccard_components(
     """
     spark: SparkSession = docs.sparkSession
     rule = Rule(percent)
-    buckets = bucket_count(docs, bucket_bytes)
+    buckets = bucket_count(docs, bucket_bytes, text_col)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     first = materialize(own.mapInArrow(_first_pass(ngram), "id long, n long, s1 long, s2 long, part int, salt int, counts binary"))
     shared = spark.sparkContext.broadcast(_ranks(first).tobytes())

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import textvec as tv
-from lumenfold.llm.shared import bucket_count, materialize
+from lumenfold.llm.shared import materialize
 
 VOCABULARY = "word_bpe_49k.json"
 U64 = np.uint64
@@ -216,7 +216,7 @@ def _pack(capacity: int, full: int):
         bins, room = best_fit(lengths, capacity)
         order = np.argsort(bins, kind="stable")
         total = np.cumsum(lengths[order])
-        first = np.append(True, bins[order][1:] != bins[order][:-1])
+        first = tv.firsts(bins[order])
         at = np.empty(len(lengths), dtype=np.int64)
         at[order] = total - lengths[order] - np.repeat((total - lengths[order])[first], np.diff(np.append(np.flatnonzero(first), len(order))))
         # the first item's id names the bin: unique, and the same in a task that runs again

@@ -28,15 +28,19 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the scanned input: scales partition counts with the data."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+def input_bytes(df: DataFrame, text_col: str | None = None) -> int:
+    """Catalyst's size estimate of the scanned input, which scales partition counts with the
+    data; where a source has none, the bytes of its texts are summed, or rows counted."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < 1 << 58:
+        return estimate
+    size = F.sum(F.octet_length(text_col)) if text_col else F.count(F.lit(1)) * 1000
+    return int(df.agg(size.alias("n")).first()["n"] or 0)
 
 
-def bucket_count(df: DataFrame, bytes_each: int, least: int = 8) -> int:
+def bucket_count(df: DataFrame, bytes_each: int, text_col: str | None = None, least: int = 8) -> int:
     """How many hash buckets keep each at about ``bytes_each`` of the input."""
-    return int(min(1_000_000, max(least, -(-input_bytes(df) // bytes_each))))
+    return int(min(1_000_000, max(least, -(-input_bytes(df, text_col) // bytes_each))))
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:

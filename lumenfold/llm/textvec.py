@@ -194,3 +194,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Which rows of sorted columns differ from the row before."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new) > 1:
+        np.logical_or.reduce([c[1:] != c[:-1] for c in columns], out=new[1:])
+    return new
+
+
+def blocks(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of equal rows of sorted columns."""
+    begin = np.flatnonzero(firsts(*columns))
+    return begin, np.append(begin[1:], len(columns[0])) if len(begin) else begin
