@@ -3,8 +3,8 @@
 1. One pass counts shingles in a fixed-size sketch over all texts and signs every set.
 2. Tokens are ordered rare first by those counts (ties by hash). A set of n tokens shows
    only its prefix of n - ceil(t n) + l tokens, of which linked sets share l; l grows with
-   n. Prefix tokens meet in hash buckets. Sets with fewer than l tokens that any other set
-   shows are out; the rest are hung on one set for each token and size band, which gives
+   n. Prefix tokens meet in hash buckets. Common tokens are counted by pair where few sets
+   show them; where many do, sets hang on one for each token and size band, which gives
    candidate classes in place of pairs. Equal sets are one vertex.
 3. Candidate classes, not pairs, get their full sets together. There each set meets the
    earlier ones through the prefix lists under the length, positional and suffix filters,
@@ -31,6 +31,8 @@ U64 = np.uint64
 #: Cells of the frequency sketch: its size, and so the broadcast, never grows with the data.
 SKETCH_BITS = 20
 _PARTS = 64
+#: Tokens that so many sets show, at most, are counted by pair of sets.
+FEW = 32
 _TOKEN_BITS = 56
 
 
@@ -49,7 +51,7 @@ class Rule:
 
     def common(self, n):
         """Tokens that linked sets share in prefixes longer by so many less one."""
-        return np.maximum(1, self.prefix(n) // 4)
+        return np.maximum(1, self.prefix(n) // 3)
 
     def compatible(self, small, large):
         return 100 * small >= self.percent * large
@@ -196,7 +198,7 @@ def _prefix_pass(n: int, rule: Rule, buckets: int, shared):
                     records[name] = np.repeat(column, shown)
                 held.append(records)
                 size += len(records)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield from flush()
         if size:
             yield from flush()
@@ -350,6 +352,32 @@ def _units(members: DataFrame, rule: Rule, buckets: int, unit_tokens: int) -> Da
     return small.union(large)
 
 
+def _candidate_edges(shown: DataFrame, rule: Rule) -> DataFrame:
+    """(token, rep, n) -> edges (u, v) that connect whatever may link.
+
+    Linked sets share at least l shown tokens, so half of l either in tokens that at most
+    FEW sets show, where pairs are counted, or in the others, where each set with that many
+    such tokens hangs on one set for each token and size band."""
+    least = F.ceil(F.col("n") * rule.percent / 100)
+    common = F.greatest(F.lit(1), F.floor((least - F.ceil(least * rule.percent / 100) + 1) / 3))
+    shown = shown.select("token", "rep", "n", F.ceil(common / 2).alias("half")).distinct()
+    size = shown.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    sized = materialize(shown.join(size, "token"))
+    few, many = sized.where(F.col("size") <= FEW), sized.where(F.col("size") > FEW)
+    a = few.select("token", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("half").alias("hu"))
+    b = few.select("token", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("half").alias("hv"))
+    fits = (F.col("u") < F.col("v")) & (100 * F.least("nu", "nv") >= rule.percent * F.greatest("nu", "nv"))
+    pairs = a.join(b, (a["token"] == b["token"]) & fits).groupBy("u", "v").agg(F.count(F.lit(1)).alias("seen"), F.min(F.least("hu", "hv")).alias("half"))
+    able = many.groupBy("rep").agg(F.count(F.lit(1)).alias("seen"), F.max("half").alias("half")).where("seen >= half").select("rep")
+    band = F.floor(F.log(F.col("n")) / math.log(100 / rule.percent))
+    left = many.join(able, "rep").select("token", "rep", band.alias("band"))
+    lead = left.groupBy("token", "band").agg(F.min("rep").alias("lead"))
+    hung = left.join(lead, ["token", "band"]).select(F.col("rep").alias("u"), F.col("lead").alias("v"))
+    upper = lead.select("token", (F.col("band") - 1).alias("band"), F.col("lead").alias("v"))
+    stairs = lead.select("token", "band", F.col("lead").alias("u")).join(upper, ["token", "band"]).select("u", "v")
+    return pairs.where("seen >= half").select("u", "v").union(hung).union(stairs)
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -380,18 +408,8 @@ def jaccard_components(
     records = own.where("id is not null").mapInArrow(_prefix_pass(ngram, rule, buckets, shared), "bucket int, records binary, members binary")
     ends = heads.select("s1", "s2", "rep")
     shown = materialize(records.groupBy("bucket").applyInArrow(_members, "token long, s1 long, s2 long, n long").join(ends, ["s1", "s2"]).select("token", "rep", "n"))
-    # a set of n tokens that links has a partner of at least percent * n / 100 tokens
-    least = F.ceil(F.col("n") * percent / 100)
-    need = F.greatest(F.lit(1), F.floor((least - F.ceil(least * percent / 100) + 1) / 4))
-    able = shown.groupBy("rep").agg(F.countDistinct("token").alias("seen"), F.max("n").alias("n")).where(F.col("seen") >= need).select("rep", "n")
-    band = F.floor(F.log(F.col("n")) / math.log(100 / percent))
-    left = shown.select("token", "rep").join(able, "rep").select("token", "rep", band.alias("band"))
-    lead = left.groupBy("token", "band").agg(F.min("rep").alias("lead"))
-    edges = left.join(lead, ["token", "band"]).select(F.col("rep").alias("u"), F.col("lead").alias("v")).union(
-        lead.select("token", "band", F.col("lead").alias("u")).join(lead.select("token", (F.col("band") - 1).alias("band"), F.col("lead").alias("v")), ["token", "band"]).select("u", "v")
-    )
-    classes = connected_components(edges)
-    members = able.join(classes, F.col("rep") == F.col("id")).select("id", "n", "component")
+    classes = connected_components(_candidate_edges(shown, rule))
+    members = shown.groupBy("rep").agg(F.max("n").alias("n")).join(classes, F.col("rep") == F.col("id")).select("id", "n", "component")
     units = _units(members, rule, buckets, unit_tokens)
     full = own.join(units, "id").select("id", "text", "component", "part", "unit")
     tokens = _with_unit(full, ngram, shared)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Any odd multiplier works; this is the golden-ratio constant of Fibonacci hashing.
 _BASE = 0x9E3779B97F4A7C15
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
