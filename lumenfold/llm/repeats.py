@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import textvec as tv
-from lumenfold.llm.shared import bucket_count, materialize
+from lumenfold.llm.shared import bucket_count
 
 U64 = np.uint64
 _POSITION_BITS = 20
@@ -389,7 +389,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = named.groupBy("g").applyInArrow(_send_anchors(shape, groups), "bucket long, g long, one binary, many binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer_anchors, "g long, anchors binary")
     runs = named.groupBy("g").cogroup(answered.groupBy("g")).applyInArrow(_send_runs(shape, groups), "bucket long, g long, runs binary, data binary")
-    replies = materialize(runs.groupBy("bucket").applyInArrow(_answer_runs(window), "g long, replies binary"))
+    # one query throughout, so that all three uses of the grouped texts share one exchange
+    replies = runs.groupBy("bucket").applyInArrow(_answer_runs(window), "g long, replies binary")
     found = named.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_apply(shape, with_text), _OUT)
     body = F.coalesce("text", F.lit(""))
     spared = own.where("id is null").select("id", F.octet_length(body).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"), body.alias("kept"))
