@@ -34,6 +34,24 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+#: Key of the registered query's pseudonyms; a deployment passes its own.
+PSEUDONYM_KEY = b"lumenfold example key"
+
+
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.llm.pseudonyms import pseudonymized
+
+    found = pseudonymized(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    kinds = F.array_join(F.transform(F.map_entries("kinds"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
+    return found.select("doc_id", "text", "n_pii", kinds.alias("kinds"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.llm.secretscan import secret_scan
+
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenfold.llm.qualityrules import quality_rules
 
@@ -76,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
+    "op5_secret_scans": op5_secret_scans,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
