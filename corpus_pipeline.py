@@ -1,14 +1,84 @@
-"""Corpus pipeline: five of the training-data operators, one after another."""
+"""Corpus pipeline: five of the training-data operators, one after another.
+
+Rejected documents, all but one of each near-duplicate group and contaminated documents go;
+secrets are masked; what is left is packed. All stages but the last return the columns of
+``documents``, with n_chars kept true to a masked text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumenfold.llm.decontaminate import benchmark_hits, contaminated
+from lumenfold.llm.jaccard import jaccard_components
+from lumenfold.llm.packing import best_fit_packing
+from lumenfold.llm.qualityrules import quality_rules
+from lumenfold.llm.secretscan import secret_scan
 from lumenfold.llm.shared import materialize
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source.
+
+    Rows that share an id stay or go together."""
+    judged = quality_rules(docs).groupBy("doc_id").agg(F.min("kept").alias("kept"))
+    return _only(docs, judged.where("kept").select("doc_id"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of five-word shingles at 0.8 or more.
+
+    Of rows that share an id one stays; rows with a null id link with nothing and stay."""
+    classes = materialize(jaccard_components(docs, ngram=5, percent=80))
+    kept = _only(docs, classes.where("component_id <=> doc_id").select("doc_id").distinct())
+    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    return kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated with benchmark items."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = benchmark_hits(_packed(docs), benchmark, keep=["row"])
+    return found.where(~contaminated(F.col("n_words"), F.col("n_hit"))).select("row.*")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    found = secret_scan(_packed(docs, "text"), keep=["row"], with_text=True)
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("masked_text")}
+    if "n_chars" in columns:
+        length = F.length("masked_text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("spans") == "", columns["n_chars"]).otherwise(length)
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences."""
+    return best_fit_packing(docs)
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    wanted = ids.withColumnRenamed("doc_id", "wanted_id")
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
+
+
+def _packed(docs: DataFrame, *without: str) -> DataFrame:
+    """All columns as one, so that none clashes with an operator's own."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c not in without]).alias("row"), "text")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret scan", secrets),
+    ("packing", packing),
+]
 
 #: Trained stages and packing can't be put in SQL; tests/llm compare with plain Python.
 ORACLE_SQL: str | None = None
