@@ -1,0 +1,159 @@
+"""Sentence-safe packing, block packing, table splits and section stacks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lumenfold.functions.text import let, rows_to_markdown, section_title, semantic_units
+
+_STRINGS = "array<string>"
+
+
+def _size(units: Column) -> Column:
+    return F.length(F.array_join(units, "\n\n"))
+
+
+def _shrunk(units: Column, most: Column) -> Column:
+    """The longest tail of ``units`` whose joined length is at most ``most``; may be empty."""
+    n = F.size(units)
+    fits = F.filter(F.sequence(F.lit(1), n + 1), lambda k: (k > n) | (_size(F.slice(units, k, F.greatest(n - k + 1, F.lit(0)))) <= most))
+    first = F.element_at(fits, 1)
+    return F.slice(units, first, F.greatest(n - first + 1, F.lit(0)))
+
+
+def pack_children(text: Column, size: int = 450, overlap: int = 75) -> Column:
+    """Greedy packing of semantic units up to ``size`` joined characters. A new child begins
+    with the longest tail of the last one within ``overlap`` characters, one unit at least
+    where that and the next unit fit together."""
+    none = F.array().cast(_STRINGS)
+
+    def tail(units: Column) -> Column:
+        if overlap <= 0:
+            return none
+        short = _shrunk(units, F.lit(overlap))
+        return F.when(F.size(short) > 0, short).otherwise(F.slice(units, -1, 1))
+
+    def step(acc: Column, unit: Column) -> Column:
+        joined = F.array_append(acc["now"], unit)
+        grown = F.struct(acc["out"].alias("out"), joined.alias("now"))
+        room = F.lit(size - 2) - F.length(unit)
+        nxt = let(tail(acc["now"]), lambda t: F.array_append(_shrunk(t, room), unit))
+        cut = F.struct(F.array_append(acc["out"], F.array_join(acc["now"], "\n\n")).alias("out"), nxt.alias("now"))
+        return F.when((F.size(acc["now"]) == 0) | (_size(joined) <= size), grown).otherwise(cut)
+
+    return F.aggregate(
+        semantic_units(text, size),
+        F.struct(none.alias("out"), none.alias("now")),
+        step,
+        lambda acc: F.when(F.size(acc["now"]) > 0, F.array_append(acc["out"], F.array_join(acc["now"], "\n\n"))).otherwise(acc["out"]),
+    )
+
+
+def pack_blocks(blocks: Column, size: int = 1000) -> Column:
+    """Greedy packing of blocks that counts each as its length plus two."""
+    none = F.array().cast(_STRINGS)
+    start = F.struct(none.alias("out"), none.alias("now"), F.lit(0).alias("used"))
+
+    def step(acc: Column, block: Column) -> Column:
+        cost = F.length(block) + 2
+        fits = (F.size(acc["now"]) == 0) | (acc["used"] + cost <= size)
+        grown = F.struct(acc["out"].alias("out"), F.array_append(acc["now"], block).alias("now"), (acc["used"] + cost).alias("used"))
+        cut = F.struct(F.array_append(acc["out"], F.array_join(acc["now"], "\n\n")).alias("out"), F.array(block).alias("now"), cost.alias("used"))
+        return F.when(fits, grown).otherwise(cut)
+
+    return F.aggregate(blocks, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.array_append(acc["out"], F.array_join(acc["now"], "\n\n"))).otherwise(acc["out"]))
+
+
+def child_chunks(docs: DataFrame, size: int = 450, overlap: int = 75) -> DataFrame:
+    """(document_id, child_index, child_count, chunk_id, chunk_text), ids from content."""
+    packed = docs.select("document_id", pack_children(F.col("text"), size, overlap).alias("parts"))
+    rows = packed.select("document_id", F.size("parts").alias("child_count"), F.posexplode("parts").alias("child_index", "chunk_text"))
+    return rows.withColumn("chunk_id", F.sha2(F.concat_ws(":", F.col("document_id").cast("string"), F.col("child_index").cast("string"), "chunk_text"), 256))
+
+
+def split_tables(tables: DataFrame, most_chars: int = 2000, group: int = 15) -> DataFrame:
+    """(table_id, row_group_start, of_total_rows, chunk_text): a table over ``most_chars`` is
+    cut from row 1 into groups under its header; one with a header alone gives none."""
+    whole = rows_to_markdown(F.col("rows"))
+    n = F.size("rows")
+    starts = F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)), F.lit(group))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(starts, lambda s: F.struct(s.alias("row_group_start"), rows_to_markdown(F.concat(F.slice("rows", 1, 1), F.slice(F.col("rows"), s + 1, F.lit(group)))).alias("chunk_text")))
+    one = F.array(F.struct(F.lit(0).alias("row_group_start"), whole.alias("chunk_text")))
+    return tables.select("table_id", n.alias("of_total_rows"), F.inline(F.when(F.length(whole) <= most_chars, one).otherwise(parts)))
+
+
+def section_paths(regions: DataFrame) -> DataFrame:
+    """Adds section_title to each region that isn't a heading.
+
+    Consecutive headings are a run; a run of r headings replaces the last r of the stack. A
+    new page that starts with a heading empties the stack first, other pages inherit it.
+    Documents are folded one by one in reading order; each must fit a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["page_number", "reading_order", "region_id"])
+        stack: list[str] = []
+        heads: list[str] = []
+        paths, page = [], None
+        for kind, number, text in zip(pdf["region_type"], pdf["page_number"], pdf["text_content"], strict=True):
+            fresh = page is not None and number != page
+            if kind == "heading":
+                if fresh:
+                    heads, stack = [], []
+                heads.append(text)
+                paths.append(None)
+            else:
+                if heads:
+                    stack = stack[: max(0, len(stack) - len(heads))] + heads
+                    heads = []
+                paths.append(list(stack))
+            page = number
+        return pdf.assign(path=paths)
+
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in regions.schema.fields)}, path array<string>"
+    folded = regions.groupBy("document_id").applyInPandas(run, schema)
+    return folded.where("region_type <> 'heading'").withColumn("section_title", section_title(F.col("path"))).drop("path")
+
+
+def flush_buffers(regions: DataFrame) -> DataFrame:
+    """Parents: runs of paragraph regions between tables, figures, headings and page ends."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("document_id").orderBy("page_number", "reading_order", "region_id")
+    breaks = F.col("region_type").isin("table", "figure", "heading") | (F.lag("page_number").over(order) != F.col("page_number"))
+    island = F.sum(F.coalesce(breaks.cast("int"), F.lit(0))).over(order)
+    runs = regions.withColumn("island", island).where(~F.col("region_type").isin("table", "figure", "heading"))
+    parts = F.array_sort(F.collect_list(F.struct("page_number", "reading_order", "region_id", "text_content")))
+    return runs.groupBy("document_id", "island").agg(F.array_join(F.transform(parts, lambda x: x["text_content"]), "\n\n").alias("parent_text"), F.count(F.lit(1)).alias("n_regions"))
+
+
+def chunk_roll_up(regions: DataFrame) -> DataFrame:
+    """Worst status, mean confidence, one type or ``mixed``, and sorted methods of a chunk."""
+    level = F.when(F.col("validation_status") == "failed", 2).when(F.col("validation_status") == "low_confidence", 1).otherwise(0)
+    types = F.collect_set("region_type")
+    return regions.groupBy("chunk_id").agg(
+        F.element_at(F.array(F.lit("ok"), F.lit("low_confidence"), F.lit("failed")), F.max(level) + 1).alias("status"),
+        F.avg("confidence").alias("confidence"), F.when(F.size(types) == 1, F.min("region_type")).otherwise(F.lit("mixed")).alias("layout_type"),
+        F.array_join(F.array_sort(F.collect_set("method")), "|").alias("methods"), F.array_sort(F.collect_set("page_number")).alias("page_numbers"),
+    )
+
+
+def attach_windows(text: Column, size: int = 120, step: int = 90, most_chars: int = 4000) -> Column:
+    """Overlapping word windows over the first ``most_chars`` characters of an attachment."""
+    words = F.filter(F.split(F.substring(text, 1, most_chars), r"\s+"), lambda x: x != "")
+    return let(words, lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))).otherwise(F.array().cast(_STRINGS)))
+
+
+def difflib_closest(queries: DataFrame, text: str, known: list[str], n: int = 5, cutoff: float = 0.35) -> DataFrame:
+    """The closest of a bounded list of known questions, by sequence ratio."""
+    import difflib
+
+    @F.pandas_udf("array<string>")
+    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda q: difflib.get_close_matches(q or "", known, n=n, cutoff=cutoff))
+
+    return queries.withColumn("closest", closest(F.col(text)))
