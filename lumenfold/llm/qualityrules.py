@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import materialize
+from lumenfold.llm.shared import materialize, small_enough
 
 FEATURES = ("word_size", "symbols", "dup_lines", "repeats")
 #: Least spread of a feature, in its transformed units: groups of clean texts hardly vary.
@@ -147,8 +147,8 @@ def _nearest(rows: DataFrame, by: list[str], share: float) -> DataFrame:
     return sums.select(*by, reach["cell"].alias("reach"))
 
 
-def robust_distances(rows: DataFrame, by: list[str], share: float = 0.75, steps: int = 3) -> DataFrame:
-    """(rows of distinct feature vectors) + d2 from each group's robust centre and scatter.
+def robust_estimates(rows: DataFrame, by: list[str], few: bool, share: float = 0.75, steps: int = 3) -> DataFrame:
+    """Each group's robust centre and the Cholesky factor of its scatter.
 
     Deterministic start: the coordinate-wise histogram medians with the floored spread. Each
     concentration step keeps the ``share`` nearest rows and re-estimates from them; a last
@@ -161,18 +161,28 @@ def robust_distances(rows: DataFrame, by: list[str], share: float = 0.75, steps:
     )
     estimate = materialize(start)
     for _ in range(steps):
-        near = _distance(_attach(rows, estimate, by))
+        near = _distance(_attach(rows, estimate, by, few))
         reach = _nearest(near, by, share)
-        kept = _attach(near.select(*by, *[f"x{i}" for i in range(d)], "d2"), reach, by)
+        kept = _attach(near.select(*by, *[f"x{i}" for i in range(d)], "d2"), reach, by, few)
         estimate = materialize(_estimate(_moments(kept, by, _bin(F.col("d2")) <= F.col("reach")), by, 1.5))
-    near = _distance(_attach(rows, estimate, by))
+    near = _distance(_attach(rows, estimate, by, few))
     # 11.14 is the 97.5 % point of chi-square with four degrees
     return materialize(_estimate(_moments(near, by, F.col("d2") <= 11.14), by, 1.0))
 
 
-def _attach(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-    """Join a small row for each group; sizes decide the strategy, and skewed groups split."""
-    return rows.join(groups, by)
+#: Groups up to so many are broadcast, at some 200 bytes each; more are joined with salt.
+BROADCAST_GROUPS = 20_000
+_SALTS = 16
+
+
+def _attach(rows: DataFrame, groups: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """Join a small row for each group. A group may hold a third of all rows: where groups
+    are too many to broadcast, both sides are dealt by group and salt."""
+    if few:
+        return rows.join(F.broadcast(groups), by)
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in by]), F.lit(_SALTS)).cast("int"))
+    return spread.join(salted, [*by, "salt"]).drop("salt")
 
 
 def quality_rules(
@@ -208,13 +218,17 @@ def quality_rules(
     counted = materialize(counted.withColumn("base_failed", failed).select("*", *[F.round(x * _SCALE).cast("long").alias(f"x{i}") for i, x in enumerate(_features())]))
     passed = counted.where("not base_failed")
     sizes = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"))
-    named = counted.join(sizes, ["lang", "source"], "left").withColumn("own", F.when(F.col("rows") >= least_rows, F.concat(F.lit("s"), "source")).otherwise(F.lit("*")))
+    few = small_enough(counted.select("lang", "source").distinct(), BROADCAST_GROUPS)
+    # every row meets its group, so the rows of none are added for an inner join
+    every = counted.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left")
+    named = _attach(counted, every, ["lang", "source"], few).withColumn("own", F.when(F.col("rows") >= least_rows, F.concat(F.lit("s"), "source")).otherwise(F.lit("*")))
     by = ["lang", "own"]
     vectors = [f"x{i}" for i in range(len(FEATURES))]
     pooled = named.where("not base_failed").select(*by, *vectors)
-    estimate = robust_distances(pooled, by)
+    estimate = robust_estimates(pooled, by, few)
     enough = pooled.groupBy(*by).agg(F.count(F.lit(1)).alias("judged"))
-    near = named.join(estimate, by, "left").join(enough, by, "left")
+    state = named.select(*by).distinct().join(estimate, by, "left").join(enough, by, "left")
+    near = _attach(named, state, by, few)
     if one_sided:
         for i in range(1, len(FEATURES)):
             near = near.withColumn(f"x{i}", F.greatest(F.col(f"x{i}").cast("double"), F.coalesce(F.col(f"m{i}"), F.col(f"x{i}").cast("double"))))
