@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that carry no topic.
 STOPWORDS = (
@@ -50,13 +51,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGE, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normalisation; null stays null."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full Unicode case folding; null stays null."""
     return text.map(lambda x: None if x is None else x.casefold())
