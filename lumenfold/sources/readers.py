@@ -28,7 +28,7 @@ def supported(path: Column, formats: tuple[str, ...] = FORMATS) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Binary files with their hash; content is read only where a column needs it."""
+    """Binary files with their hash; Spark itself leaves out those without a byte."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).withColumn("file_sha256", F.sha2("content", 256))
 
 

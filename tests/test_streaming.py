@@ -48,8 +48,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.PDF").write_bytes(b"%PDF-1.4 x")
     (tmp_path / "b.pdf").write_bytes(b"nothing")
     (tmp_path / "c.txt").write_bytes(b"text")
-    (tmp_path / "d.docx").write_bytes(b"")
-    got = {r["path"].rsplit("/", 1)[1]: r["rejected"] for r in readers.upload_gate(readers.read_files(spark, str(tmp_path))).collect()}
+    files = readers.read_files(spark, str(tmp_path)).select("path", "length", "content")
+    empty = spark.createDataFrame([("x/d.docx", 0, bytearray())], files.schema)
+    got = {r["path"].rsplit("/", 1)[1]: r["rejected"] for r in readers.upload_gate(files.union(empty)).collect()}
     assert got == {"a.PDF": None, "b.pdf": "magic", "c.txt": "format", "d.docx": "empty"}
 
 
