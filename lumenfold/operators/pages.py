@@ -209,3 +209,39 @@ def synthetic_summaries(regions: DataFrame, pages: list[int]) -> DataFrame:
 
 def sort_regions(regions: DataFrame) -> DataFrame:
     return regions.orderBy("document_id", "page_number", "reading_order", "region_id")
+
+
+def table_grid(cells: DataFrame) -> DataFrame:
+    """(table_id, rows): spanned cells repeated into a dense grid; gaps are empty. Cells have
+    row, col, row_span, col_span and text; the first cell that covers a place wins."""
+    rows = F.sequence(F.col("row"), F.col("row") + F.greatest(F.col("row_span"), F.lit(1)) - 1)
+    each = cells.select("table_id", F.explode(rows).alias("r"), "col", "col_span", "row", "text")
+    each = each.select("table_id", "r", F.explode(F.sequence(F.col("col"), F.col("col") + F.greatest(F.col("col_span"), F.lit(1)) - 1)).alias("c"), "row", "col", "text")
+    placed = each.groupBy("table_id", "r", "c").agg(F.min_by("text", F.struct("row", "col")).alias("text"))
+    grid = placed.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("r", "c").alias("k"), F.col("text").alias("v")))).alias("at"), F.max("r").alias("n_r"), F.max("c").alias("n_c"))
+    cell = lambda r, c: F.coalesce(F.try_element_at("at", F.struct(r.alias("r"), c.alias("c"))), F.lit(""))
+    wide = F.transform(F.sequence(F.lit(0), F.col("n_r")), lambda r: F.transform(F.sequence(F.lit(0), F.col("n_c")), lambda c: cell(r, c)))
+    return grid.select("table_id", wide.alias("rows"))
+
+
+def crop_box(left: Column, top: Column, right: Column, bottom: Column, height: Column, bottom_left: Column) -> Column:
+    """struct(x0, y0, x1, y1) from the top left, or null for a box without area."""
+    y0, y1 = F.when(bottom_left, height - top).otherwise(top), F.when(bottom_left, height - bottom).otherwise(bottom)
+    low, high = F.least(y0, y1), F.greatest(y0, y1)
+    return F.when((right > left) & (high > low), F.struct(left.alias("x0"), low.alias("y0"), right.alias("x1"), high.alias("y1")))
+
+
+def validate_tables(tables: DataFrame, least: float = 0.4) -> DataFrame:
+    """ok for a structured table of clean cells, low_confidence for OCR or vision text, else
+    failed."""
+    from lumenfold.functions.text import table_garbage
+
+    clean = F.coalesce((F.size("rows") > 0) & ~table_garbage(F.col("rows"), least), F.lit(False))
+    read = F.coalesce(text_acceptable(F.col("ocr_text"), least) | text_acceptable(F.col("vision_text"), least), F.lit(False))
+    return tables.withColumn("validation_status", F.when(clean, "ok").when(read, "low_confidence").otherwise("failed"))
+
+
+def figure_images(figures: DataFrame, crops: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each figure's high-resolution crop, else its stored one, else failed."""
+    joined = figures.join(crops.select("region_id", F.col("path").alias("crop")), "region_id", "left").join(stored.select("region_id", F.col("path").alias("old")), "region_id", "left")
+    return joined.withColumn("image_path", F.coalesce("crop", "old")).withColumn("image_status", F.when(F.col("crop").isNotNull(), "crop").when(F.col("old").isNotNull(), "stored").otherwise("failed")).drop("crop", "old")
