@@ -353,3 +353,105 @@ def st_job_machine(t: Tables) -> DataFrame:
     path = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
     ingest_stream(t.spark, f"{t.dir}/documents.parquet*", t.documents.schema, f"{path}/out", f"{path}/state").awaitTermination()
     return t.spark.read.parquet(f"{path}/out").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scratch(t: Tables) -> str:
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenfold-")
+    return f"{base.rstrip('/')}/sink-{uuid.uuid4().hex}"
+
+
+@query("SELECT lang, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY 1")
+def src_chunks_json(t: Tables) -> DataFrame:
+    """Files that each hold one JSON list of chunks, written and read back."""
+    path = _scratch(t)
+    item = F.struct(F.col("text").alias("chunk_text"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    lists = t.documents.groupBy(F.pmod(F.col("doc_id"), F.lit(64))).agg(F.to_json(F.collect_list(item)).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    rows = readers.read_chunks_json(t.spark, path)
+    return rows.groupBy(F.col("metadata")["lang"].alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("chunk_text")).alias("chars"))
+
+
+@query("SELECT lang AS user_id, count(*) AS n FROM documents GROUP BY 1")
+def sink_chunks(t: Tables) -> DataFrame:
+    path = _scratch(t)
+    sinks.write_chunks(t.documents.select(F.col("lang").alias("user_id"), F.lit("p").alias("project_id"), F.col("text").alias("chunk_text")), path)
+    return t.spark.read.parquet(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n_chunks FROM documents")
+def sink_index(t: Tables) -> DataFrame:
+    return sinks.write_index(t.chunks, _scratch(t))
+
+
+@query("SELECT count(*) AS n, sum(len(embedding)) AS floats FROM embeddings")
+def sink_embeddings(t: Tables) -> DataFrame:
+    path = _scratch(t)
+    t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")).write.parquet(path)
+    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vector")).alias("floats"))
+
+
+@query("SELECT item_id AS id, text AS question FROM benchmark")
+def src_ground_truth(t: Tables) -> DataFrame:
+    path = _scratch(t)
+    item = F.struct(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("a").alias("ground_truth"), F.lit("f.pdf").alias("expected_source_file"))
+    lists = t.benchmark.groupBy(F.pmod(F.col("item_id"), F.lit(8))).agg(F.to_json(F.collect_list(item)).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_ground_truth(t.spark, path).select("id", "question")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'heading' WHEN 'view' THEN 'table' ELSE 'unknown' END AS region_type FROM events")
+def src_layout(t: Tables) -> DataFrame:
+    """Labels of an injected layout model, mapped to region types."""
+    known = F.create_map(F.lit("click"), F.lit("heading"), F.lit("view"), F.lit("table"))
+    return t.events.select("event_id", F.coalesce(F.try_element_at(known, F.col("event_type")), F.lit("unknown")).alias("region_type"))
+
+
+@query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 96 AS batch FROM events")
+def st_batch_window(t: Tables) -> DataFrame:
+    """Batches of at most 96 inputs for each caller, in order."""
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return t.events.select("event_id", F.floor((number - 1) / 96).alias("batch"))
+
+
+@query("SELECT event_id, least(60, 2 * power(2, event_id % 6)) AS delay FROM events")
+def st_backoff(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.least(F.lit(60.0), 2 * F.pow(F.lit(2.0), F.col("event_id") % 6)).alias("delay"))
+
+
+@query(f"WITH {BM25}, {RUN} SELECT query_id, '[S1]' AS marker FROM run GROUP BY 1")
+def udf_generate(t: Tables) -> DataFrame:
+    """With a stand-in generator."""
+    from lumenfold.operators.evidence import build_prompts
+
+    made = providers.apply_service(build_prompts(_found(t)), providers.echo_generator, "query_id long, answer string, prompt_tokens long")
+    return made.select("query_id", F.regexp_extract("answer", r"\[S1\]", 0).alias("marker"))
+
+
+@query("SELECT 3 AS query_id, CAST(chunk_id AS VARCHAR) AS cited FROM (WITH " + BM25 + ", " + RUN + " SELECT chunk_id FROM run WHERE rank = 1 AND query_id = 3)")
+def trace_one_question(t: Tables) -> DataFrame:
+    one = t.queries.where("query_id = 3")
+    answered = providers.answer_questions(one, _found(t).where("query_id = 3"), providers.echo_generator)
+    return answered.select(F.col("query_id").cast("int").alias("query_id"), F.array_join(F.col("citations").cast("array<string>"), ",").alias("cited"))
+
+
+@query(f"WITH {REGIONS} SELECT region_id, contains(text_content, 'the') AS hit FROM regions WHERE document_id = 1 AND page_number = 1")
+def trace_one_page(t: Tables) -> DataFrame:
+    return t.regions.where("document_id = 1 and page_number = 1").select("region_id", F.contains("text_content", F.lit("the")).alias("hit"))
+
+
+@query("SELECT user_id, string_agg(k, ',' ORDER BY k) AS keys FROM (SELECT DISTINCT user_id, event_type AS k FROM events WHERE event_type <> 'error') GROUP BY 1")
+def agent_meeting(t: Tables) -> DataFrame:
+    """Sources of two earlier results merged, each once."""
+    rows = t.events.where("event_type <> 'error'").select("user_id", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("chunk_id"), F.col("event_id").alias("position"), "event_type")
+    merged = A.merge_sources(rows.where("position % 2 = 0"), rows)
+    return merged.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("keys"))
+
+
+@query("SELECT s_suppkey, count(*) AS n FROM (SELECT s_suppkey % 40 AS s_suppkey FROM supplier) GROUP BY 1 HAVING count(*) > 1")
+def ddl_tables(t: Tables) -> DataFrame:
+    """Unique keys as an assertion: what breaks them."""
+    from lumenfold.schemas import violations
+
+    return violations(t.supplier.select((F.col("s_suppkey") % 40).alias("s_suppkey")), ("s_suppkey",))

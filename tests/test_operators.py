@@ -175,3 +175,14 @@ def test_exchanges(spark):
     pairs = chats.pair_exchanges(messages).where("question is not null")
     asked = spark.createDataFrame([(7, "  Q1 ")], "query_id long, query_text string")
     assert chats.exact_repeats(pairs, asked).first()["answer"] == "a1"
+
+
+def test_config_and_keys(spark):
+    from lumenfold.schemas import TABLES, EngineConfig, violations
+
+    config = EngineConfig.of({"chunk_size": 300, "nonsense": 1})
+    assert config.chunk_size == 300 and config.chunk_overlap == 75
+    for columns, keys in TABLES.values():
+        assert violations(spark.createDataFrame([], columns), keys).count() == 0
+    rows = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "user_id string")
+    assert violations(rows, ("user_id",)).count() == 2
