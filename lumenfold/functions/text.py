@@ -124,25 +124,34 @@ def collapse_whitespace(text: Column) -> Column:
     return strip(F.regexp_replace(bare, r"\n{3,}", "\n\n"))
 
 
+def _cleaned(text: Column, steps: list, fixes: list[Column]) -> Column:
+    """struct(text, applied_fixes) after the steps; every step's result is bound once."""
+    if not steps:
+        return F.struct(text.alias("text"), F.array_compact(F.array(*fixes)).alias("applied_fixes"))
+    (name, step), rest = steps[0], steps[1:]
+    mark = F.lit(name)
+    if name == "collapsed_whitespace":
+        return let(step(text), lambda new: _cleaned(new, rest, [*fixes, mark]))
+    return let(step(text), lambda new: _cleaned(new, rest, [*fixes, F.when(~new.eqNullSafe(text), mark)]))
+
+
 def clean_text(text: Column, normalize: bool = False) -> Column:
     """struct(text, applied_fixes): the seven steps in their fixed order. ``normalize`` adds
     the NFKC step, a pandas UDF, between glyphs and hyphens."""
-    steps = [("fixed_mojibake", fix_mojibake), ("stripped_glyph_tokens", strip_glyph_tokens)]
-    if normalize:
-        steps.append(("normalized_unicode", nfkc))
-    steps += [
+    first = [("fixed_mojibake", fix_mojibake), ("stripped_glyph_tokens", strip_glyph_tokens)]
+    last = [
         ("dehyphenated", dehyphenate),
         ("removed_duplicate_lines", drop_duplicate_lines),
         ("removed_page_numbers", drop_page_numbers),
         ("collapsed_whitespace", collapse_whitespace),
     ]
-    names, now, fixes = [], text, []
-    for name, step in steps:
-        new = step(now)
-        fixes.append(F.lit(name) if name == "collapsed_whitespace" else F.when(~new.eqNullSafe(now), F.lit(name)))
-        names.append(name)
-        now = new
-    return F.struct(now.alias("text"), F.array_compact(F.array(*fixes)).alias("applied_fixes"))
+    if not normalize:
+        return _cleaned(text, first + last, [])
+    before = _cleaned(text, first, [])
+    folded = nfkc(before["text"])
+    mark = F.when(~folded.eqNullSafe(before["text"]), F.lit("normalized_unicode"))
+    after = _cleaned(folded, last, [])
+    return F.struct(after["text"].alias("text"), F.array_compact(F.concat(before["applied_fixes"], F.array(mark), after["applied_fixes"])).alias("applied_fixes"))
 
 
 def meaningful_ratio(text: Column) -> Column:
