@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.text import lexical_overlap, lexical_tokens
 
 POOL, RRF_K, OVERLAP_WEIGHT = 40, 60, 0.15
-#: Queries in one batch: larger sets are split by the caller, so their broadcast is bounded.
+#: Queries that are broadcast at most, so that the broadcast is bounded.
 QUERY_BATCH = 10_000
 
 
@@ -59,12 +59,12 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, dense_score): exact cosines of unit vectors, for a query batch of
-    at most QUERY_BATCH rows, which is checked and broadcast."""
-    if queries.limit(QUERY_BATCH + 1).count() > QUERY_BATCH:
-        raise ValueError(f"more than {QUERY_BATCH} queries; split them into batches")
+    """(query_id, chunk_id, dense_score): exact cosines of unit vectors. Up to QUERY_BATCH
+    queries are broadcast; more are crossed in the partitions of both sides."""
     own = queries.select("query_id", F.col("query_vector"))
-    return vectors.join(F.broadcast(own)).select("query_id", "chunk_id", dot(F.col("vector"), F.col("query_vector")).alias("dense_score"))
+    if queries.limit(QUERY_BATCH + 1).count() <= QUERY_BATCH:
+        own = F.broadcast(own)
+    return vectors.crossJoin(own).select("query_id", "chunk_id", dot(F.col("vector"), F.col("query_vector")).alias("dense_score"))
 
 
 def dense_pool(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

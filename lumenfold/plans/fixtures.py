@@ -49,7 +49,7 @@ class Tables:
     @property
     def queries(self) -> DataFrame:
         """Benchmark items with the vector of the same number as the query vector."""
-        own = self.benchmark.where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+        own = self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
         return own.join(self.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
 
     @property
