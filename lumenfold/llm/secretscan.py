@@ -29,6 +29,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9]{16,}")
 LEFT, BODY, RIGHT = 24, 40, 8
 WIDTH = LEFT + BODY + RIGHT
 _PAD = 129
@@ -62,6 +63,37 @@ def encode(text: str, start: int, end: int) -> np.ndarray:
     return row
 
 
+#: Windows of a longer candidate begin so far apart: a run of up to BODY - STEP + 1 characters
+#: lies whole in one of them.
+STEP = 8
+
+
+def windows(text: str, start: int, end: int) -> np.ndarray:
+    """Encoded windows over the whole candidate, each with the context before the candidate;
+    the last ends where it ends."""
+    head = encode(text, start, end)
+    if end - start <= BODY:
+        return head[None]
+    codes = np.minimum(np.frombuffer(text[start:end].encode("utf-32-le"), dtype=np.uint32), 128).astype(np.int16)
+    begins = np.append(np.arange(0, end - start - BODY, STEP), end - start - BODY)
+    rows = np.repeat(head[None], len(begins), axis=0)
+    rows[:, LEFT : LEFT + BODY] = np.lib.stride_tricks.sliding_window_view(codes, BODY)[begins]
+    return rows
+
+
+def is_secret(text: str, start: int, end: int, model: SecretModel) -> bool:
+    """True if the best window of a candidate, or of a part of it, reaches the threshold."""
+    pieces = [windows(text, start, end)]
+    # between signs a key may stand beside a path: each part counts as on its own, too
+    for m in PART.finditer(text, start, end):
+        if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+            part = windows(text, *m.span())
+            part[:, :LEFT] = pieces[0][0, :LEFT]
+            pieces.append(part)
+    rows = np.concatenate(pieces)
+    return any((model.scores(rows[k : k + 512]) >= model.threshold).any() for k in range(0, len(rows), 512))
+
+
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -245,13 +277,16 @@ def worth_reading(piece: tv.Slice) -> np.ndarray:
 
 
 def scan_text(text: str, model: SecretModel) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
-    """(pattern spans, all spans); the network's have kind ``model``."""
+    """(pattern spans, all spans); the network's have kind ``model``. It judges every candidate
+    that no pattern span covers wholly."""
     base = base_spans(text)
-    free = [(a, b) for a, b in candidates(text) if not any(a < y and x < b for x, _, y in base)]
-    added: list[tuple[int, str, int]] = []
-    if free:
-        scores = model.scores(np.array([encode(text, a, b) for a, b in free]))
-        added = [(a, "model", b) for (a, b), s in zip(free, scores, strict=True) if s >= model.threshold]
+    free = [(a, b) for a, b in candidates(text) if not any(x <= a and b <= y for x, _, y in base)]
+    short = [(a, b) for a, b in free if b - a <= BODY]
+    found = [(a, b) for a, b in free if b - a > BODY and is_secret(text, a, b, model)]
+    if short:
+        scores = model.scores(np.array([encode(text, a, b) for a, b in short]))
+        found += [s for s, score in zip(short, scores, strict=True) if score >= model.threshold]
+    added = [(a, "model", b) for a, b in found]
     rank = {k: j for j, k in enumerate((*KINDS, "model"))}
     return base, sorted([*base, *added], key=lambda s: (s[0], rank[s[1]], s[2]))
 
