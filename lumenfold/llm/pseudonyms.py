@@ -98,11 +98,14 @@ _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 3
 def _date(m: str, key: bytes) -> str | None:
     parts = re.split(r"([-./])", m)
     numbers = parts[0::2]
+    month_first = False
     try:
         if len(numbers[0]) == 4:
             day = datetime.date(int(numbers[0]), int(numbers[1]), int(numbers[2]))
         else:
-            day = datetime.date(int(numbers[2]), int(numbers[1]), int(numbers[0]))
+            month_first = int(numbers[1]) > 12
+            first, second = int(numbers[0]), int(numbers[1])
+            day = datetime.date(int(numbers[2]), first if month_first else second, second if month_first else first)
     except ValueError:
         return None
     if not _FIRST <= day.toordinal() <= _LAST:
@@ -110,7 +113,8 @@ def _date(m: str, key: bytes) -> str | None:
     new = datetime.date.fromordinal(_FIRST + permute(day.toordinal() - _FIRST, _LAST - _FIRST + 1, key, b"date"))
     if len(numbers[0]) == 4:
         return f"{new.year:04d}{parts[1]}{new.month:02d}{parts[3]}{new.day:02d}"
-    return f"{new.day:02d}{parts[1]}{new.month:02d}{parts[3]}{new.year:04d}"
+    first, second = (new.month, new.day) if month_first else (new.day, new.month)
+    return f"{first:02d}{parts[1]}{second:02d}{parts[3]}{new.year:04d}"
 
 
 def _iban(m: str, key: bytes) -> str | None:
@@ -173,6 +177,33 @@ def compile_kinds() -> list[tuple[str, re.Pattern, Callable[[str, bytes], str |
     return [(name, re.compile(pattern), new) for name, pattern, new in KINDS]
 
 
+#: Kinds whose patterns can take in what follows a value, and what may not follow one.
+_ENDS = {"iban": re.compile(r"(?![A-Za-z0-9])"), "card": re.compile(r"(?![0-9A-Za-z])")}
+
+
+def _findings(text: str, name: str, pattern: re.Pattern, valid: Callable[[str], str | None]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the longest valid value at each place. Where the longest
+    match fails, its shorter ends at group borders are tried; the search resumes right after
+    an accepted value, and one character on from where none is."""
+    m = pattern.search(text)
+    while m:
+        end, new = m.end(), valid(m.group())
+        if new is None and name in _ENDS:
+            border = _ENDS[name]
+            for end in range(m.end() - 1, m.start(), -1):
+                if not border.match(text, end):
+                    continue
+                shorter = pattern.match(text, m.start(), end)
+                if shorter is None or shorter.end() != end:
+                    continue
+                new = valid(shorter.group())
+                if new is not None:
+                    break
+        if new is not None:
+            yield m.start(), end, new
+        m = pattern.search(text, m.start() + 1 if new is None else end)
+
+
 _SEED = re.compile(r"[0-9@]")
 
 
@@ -183,14 +214,15 @@ def pseudonymize(text: str, key: bytes, kinds: list, cache: dict) -> tuple[str,
         return text, found
     spans: list[tuple[int, int, int, str]] = []
     for rank, (name, pattern, new) in enumerate(kinds):
-        for m in pattern.finditer(text):
-            value = (name, m.group())
-            if value not in cache:
+
+        def valid(value: str, name: str = name, new: Callable[[str, bytes], str | None] = new) -> str | None:
+            if (name, value) not in cache:
                 if len(cache) > 100_000:
                     cache.clear()
-                cache[value] = new(m.group(), key)
-            if cache[value] is not None:
-                spans.append((rank, m.start(), m.end(), cache[value]))
+                cache[name, value] = new(value, key)
+            return cache[name, value]
+
+        spans += [(rank, a, b, made) for a, b, made in _findings(text, name, pattern, valid)]
     taken: list[tuple[int, int, str]] = []
     used = bytearray(len(text)) if spans else b""
     for rank, a, b, new in sorted(spans):
@@ -212,7 +244,8 @@ def pseudonymized(docs: DataFrame, key: bytes, keep: list[str] | None = None, id
 
     Cards pass the Luhn check, IBANs the mod-97 check, dates exist between 1900 and 2099,
     address bytes are below 256 and social numbers are assignable; what fails stays as it
-    is. Pseudonyms pass the same checks. E-mail addresses keep their domain. Kinds take
+    is; of a card or IBAN that something follows, the longest part that passes is taken. A date
+    whose second number can't be a month is read month first. Pseudonyms pass the same checks. E-mail addresses keep their domain. Kinds take
     precedence as in KINDS. One key gives one value one pseudonym in all documents.
 
     A null text stays null with no findings. Repeated rows change alike; null ids stay null.
