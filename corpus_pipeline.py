@@ -23,21 +23,31 @@ from lumenfold.llm.shared import materialize
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source.
 
-    Rows that share an id stay or go together."""
-    judged = quality_rules(docs).groupBy("doc_id").agg(F.min("kept").alias("kept"))
-    return _only(docs, judged.where("kept").select("doc_id"))
+    Rows are judged one by one, whatever their ids."""
+    parts = {c: docs[f"`{c}`"] for c in docs.columns}
+    judged = docs.select(F.struct(*parts.values()).alias("row"), *[parts[c] for c in ("lang", "source", "text")])
+    return quality_rules(judged, keep=["row"]).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of five-word shingles at 0.8 or more.
-
-    Of rows that share an id one stays; rows with a null id link with nothing and stay."""
-    classes = materialize(jaccard_components(docs, ngram=5, percent=80))
-    kept = _only(docs, classes.where("component_id <=> doc_id").select("doc_id").distinct())
-    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
-    return kept
+    """The row of the least id of each group of five-word shingles at 0.8 or more.
+
+    Rows are judged by text: those that share an id, or have none, are rows of their own. Of
+    a group's rows with equal ids any one stays; rows with an id come before those without."""
+    # ids that aren't keys of rows are replaced by one that is, written so that it holds
+    unkeyed = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    if not unkeyed:
+        classes = materialize(jaccard_components(docs, ngram=5, percent=80))
+        return _only(docs, "doc_id", classes.where("component_id = doc_id").select("doc_id"))
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()))
+    classes = jaccard_components(keyed, ngram=5, percent=80, id_col=key)
+    order = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
+    named = classes.select(key, "component_id").join(keyed.select(key, "doc_id"), key)
+    first = materialize(named.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias(key)))
+    return _only(keyed, key, first).drop(key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +72,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing(docs)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    wanted = ids.withColumnRenamed("doc_id", "wanted_id")
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
+def _only(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    wanted = wanted.select(F.col(key).alias("wanted_key"))
+    return docs.join(wanted, docs[key] == wanted["wanted_key"], "left_semi")
 
 
 def _packed(docs: DataFrame, *without: str) -> DataFrame:
