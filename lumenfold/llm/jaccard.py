@@ -9,8 +9,9 @@
 3. Candidate classes, not pairs, get their full sets together. There each set meets the
    earlier ones through the prefix lists under the length, positional and suffix filters,
    skips those already in its class, and checks what remains once.
-Classes larger than a unit are cut into blocks and every pair of blocks of compatible sizes
-becomes a unit, so no task holds an unbounded group.
+Classes larger than a unit are cut into blocks, so no task holds an unbounded group. Blocks
+are solved with a few pivots of their class; only what then stays outside the class's main
+part meets the other blocks.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm import textvec as tv
 from lumenfold.llm.components import connected_components
-from lumenfold.llm.shared import bucket_count, materialize
+from lumenfold.llm.shared import bucket_count, discard, materialize
 
 U64 = np.uint64
 #: Cells of the frequency sketch: its size, and so the broadcast, never grows with the data.
@@ -216,18 +217,19 @@ def _members(table: pa.Table) -> pa.Table:
     return pa.table({k: np.ascontiguousarray(records[k]).astype(np.int64) for k in ("token", "s1", "s2", "n")})
 
 
-def _unit_sets(n: int, shared):
+def _unit_tokens(n: int, shared):
+    """(id, text, ...) -> (id, ..., tokens), the tokens in rare-first order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
-            ids, texts, blocks, parts = (batch.column(k) for k in range(4))
-            for piece in tv.slices(texts):
+            names = [x for x in batch.schema.names if x != "text"]
+            for piece in tv.slices(batch.column("text")):
                 values, offsets = _sets(piece, n)
                 tokens = _tokens(values, offsets, ranks)
-                of = slice(piece.first, piece.first + piece.rows)
+                own = [batch.column(x).slice(piece.first, piece.rows) for x in names]
                 yield pa.RecordBatch.from_arrays(
-                    [ids[of], blocks[of], parts[of], pa.array([tokens[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())],
-                    names=["id", "component", "part", "tokens"],
+                    [*own, pa.array([tokens[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=[*names, "tokens"]
                 )
 
     return run
@@ -245,12 +247,16 @@ def _suffix_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
     return hit + _suffix_bound(x[:at], y[:probe], depth - 1) + _suffix_bound(x[at + hit :], y[probe + 1 :], depth - 1)
 
 
-def link_forest(sets: list[np.ndarray], rule: Rule, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+#: Which side of a unit a set stands on; only sets of different sides, or of BOTH, meet.
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
+def link_forest(sets: list[np.ndarray], rule: Rule, known: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among rare-first sorted token arrays.
 
     Sets are taken by size. Each meets earlier ones in the prefix lists; those of its own
     class so far are skipped, the one with most common prefix tokens is checked first, and a
-    pair is checked once. Distinct numbers in ``group`` restrict it to pairs across groups.
+    pair is checked once. ``known`` are classes found before, ``side`` the sides.
     """
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     sizes = np.array([len(sets[k]) for k in order], dtype=np.int64)
@@ -265,8 +271,8 @@ def link_forest(sets: list[np.ndarray], rule: Rule, group: np.ndarray | None = N
     begin, end = tv.blocks(lists)
     start = np.repeat(begin, end - begin)
     own = np.concatenate([[0], np.cumsum(shown)])
-    root = np.arange(len(order))
-    side = None if group is None else group[np.array(order)]
+    root = np.arange(len(order)) if known is None else np.unique(known[np.array(order)], return_inverse=True)[1]
+    side = None if side is None else side[np.array(order)]
     links = []
     for x in range(len(order)):
         n = int(sizes[x])
@@ -279,7 +285,7 @@ def link_forest(sets: list[np.ndarray], rule: Rule, group: np.ndarray | None = N
         need = rule.overlap(n, sizes[y])
         ok = rule.compatible(sizes[y], n) & (root[y] != root[x])
         if side is not None:
-            ok &= side[y] != side[x]
+            ok &= (side[y] | side[x]) == BOTH
         y, i, j, need = y[ok], i[ok], at[entry][ok], need[ok]
         if not len(y):
             continue
@@ -309,14 +315,13 @@ def _verify(rule: Rule):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         component = table.column("component").to_numpy()
-        part = table.column("part").to_numpy()
+        known, side = table.column("known").to_numpy(), table.column("side").to_numpy()
         tokens = [np.frombuffer(x.as_buffer(), dtype=U64) for x in table.column("tokens")]
         order = np.lexsort((ids, component))
         u, v = [], []
         for a, b in zip(*tv.blocks(component[order]), strict=True):
             some = order[a:b]
-            split = len(np.unique(part[some])) > 1
-            for x, y in link_forest([tokens[k] for k in some], rule, part[some] if split else None):
+            for x, y in link_forest([tokens[k] for k in some], rule, known[some], side[some]):
                 u.append(ids[some[x]])
                 v.append(ids[some[y]])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -324,36 +329,83 @@ def _verify(rule: Rule):
     return run
 
 
-def _units(members: DataFrame, rule: Rule, buckets: int, unit_tokens: int) -> DataFrame:
-    """(id, n, component) -> (id, component, part, unit): small candidate classes share
-    hashed units; a large one is cut by size into blocks, and each block, and each pair of
-    blocks of compatible sizes, is a unit."""
-    total = members.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
-    members = members.join(total, "component")
-    small = members.where(F.col("total") <= unit_tokens).select(
-        "id", "component", F.lit(0).cast("long").alias("part"), F.concat(F.lit("h"), F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("string")).alias("unit")
-    )
-    large = members.where(F.col("total") > unit_tokens)
-    # hashed sub-blocks of each power-of-1/t size band: counts and maxima only, no global sort
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / math.log(100 / rule.percent))
-    large = large.withColumn("band", band)
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("band_total") / (unit_tokens // 2)))
-    bands = large.groupBy("component", "band").agg(F.sum("n").alias("band_total"))
-    large = large.join(bands, ["component", "band"]).withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks"))
-    ).withColumn("part", F.col("band") * 1_000_000 + F.col("block"))
-    shape = bands.withColumn("blocks", blocks).select("component", "band", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))).alias("block"))
-    shape = shape.select("component", "band", (F.col("band") * 1_000_000 + F.col("block")).alias("part"))
-    near = shape.select("component", F.col("part").alias("other"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    pairs = shape.join(near, ["component", "band"]).select("component", "part", "other")
-    large = large.join(pairs, ["component", "part"]).select(
-        "id", "component", "part", F.concat_ws(":", F.lit("b"), "component", F.least("part", "other"), F.greatest("part", "other")).alias("unit")
-    )
-    return small.union(large)
+#: Sets of a large class, of each size band, that every block of it meets first.
+PIVOTS = 8
+
+
+def _verified(own: DataFrame, units: DataFrame, ngram: int, shared, rule: Rule) -> DataFrame:
+    """(id, component, known, side, unit) -> the links (u, v) that units find."""
+    full = own.join(units, "id").select("id", "text", "component", "known", "side", "unit")
+    tokens = full.mapInArrow(_unit_tokens(ngram, shared), "id long, component long, known long, side int, unit string, tokens binary")
+    return tokens.groupBy("unit").applyInArrow(_verify(rule), "u long, v long")
+
+
+def _links(own: DataFrame, members: DataFrame, ngram: int, shared, rule: Rule, buckets: int, unit_tokens: int) -> list[DataFrame]:
+    """Tables of links (u, v) that connect what links among the members (id, n, component) of
+    candidate classes.
+
+    Small classes share hashed units. A large one is cut into blocks by size band and hash;
+    first each block is a unit of its own, together with a few pivots of the class, which
+    ties the parts of one real class to each other. What then isn't in the greatest class
+    found meets every block of compatible sizes, skipping pairs already connected. So work
+    is linear in a class that is one real class for the most part, however large it is."""
+    total = members.groupBy("component").agg(F.sum("n").alias("total"))
+    sized = materialize(members.join(total, "component").select("id", "n", "component", "total"))
+    hashed = F.concat(F.lit("h"), F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("string"))
+    alone = [F.col("id").alias("known"), F.lit(BOTH).alias("side")]
+    units = sized.where(F.col("total") <= unit_tokens).select("id", "component", *alone, hashed.alias("unit"))
+    large = sized.where(F.col("total") > unit_tokens)
+    if not large.limit(1).count():
+        links = [materialize(_verified(own, units, ngram, shared, rule))]
+        discard(sized)
+        return links
+
+    # power-of-1/t size bands, so that links are within a band or between neighbours
+    large = materialize(large.withColumn("band", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / math.log(100 / rule.percent))))
+
+    def blocked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The rows with the hashed block of their band, and the blocks that there are."""
+        count = F.greatest(F.lit(1), F.ceil(F.col("band_total") / max(1, unit_tokens // 2))).cast("long")
+        bands = rows.groupBy("component", "band").agg(F.sum("n").alias("band_total")).withColumn("blocks", count).drop("band_total")
+        own_block = rows.join(bands, ["component", "band"]).withColumn(name, F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
+        return own_block, bands.select("component", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(name))
+
+    def around(rows: DataFrame) -> DataFrame:
+        """Rows once for each band that theirs is compatible with."""
+        return rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+
+    def unit(*parts: str) -> Column:
+        return F.concat_ws(":", F.lit("b"), "component", "band", *parts).alias("unit")
+
+    cut, shape = blocked(large, "block")
+    best = Window.partitionBy("component", "band").orderBy(F.xxhash64("id"), "id")
+    pivots = large.withColumn("place", F.row_number().over(best)).where(F.col("place") <= PIVOTS).select("id", "component", "band")
+    pivots = around(pivots).join(shape, ["component", "band"])
+    first = units.union(cut.select("id", "component", *alone, unit("block"))).union(pivots.select("id", "component", *alone, unit("block")))
+    links = [materialize(_verified(own, first, ngram, shared, rule))]
+
+    found = connected_components(links[0])
+    classed = materialize(large.join(found.withColumnRenamed("component", "known"), "id", "left").withColumn("known", F.coalesce("known", "id")))
+    weights = classed.groupBy("component", "known").agg(F.sum("n").alias("weight"))
+    greatest = weights.groupBy("component").agg(F.max_by("known", F.struct("weight", "known")).alias("greatest"))
+    others = materialize(classed.join(greatest, "component").where("known <> greatest").drop("greatest"))
+    if others.limit(1).count():
+        cut, shape = blocked(classed, "block")
+        other, pieces = blocked(others, "piece")
+        # a block meets the pieces of its own band and of both neighbours
+        pieces = pieces.withColumnRenamed("band", "piece_band")
+        met = around(pieces.withColumn("band", F.col("piece_band"))).join(shape, ["component", "band"])
+        name = unit("block", "piece_band", "piece")
+        rows = ["id", "component", "known"]
+        left = cut.join(met, ["component", "band", "block"]).select(*rows, F.lit(LEFT).alias("side"), name)
+        right = other.withColumnRenamed("band", "piece_band").join(met, ["component", "piece_band", "piece"]).select(*rows, F.lit(RIGHT).alias("side"), name)
+        links.append(materialize(_verified(own, left.union(right), ngram, shared, rule)))
+    discard(sized, large, found, classed, others)
+    return links
 
 
-def _candidate_edges(shown: DataFrame, rule: Rule) -> DataFrame:
-    """(token, rep, n) -> edges (u, v) that connect whatever may link.
+def _candidate_classes(shown: DataFrame, rule: Rule) -> DataFrame:
+    """(token, rep, n) -> (id, component), classes that whatever may link is in together.
 
     Linked sets share at least l shown tokens, so half of l either in tokens that at most
     FEW sets show, where pairs are counted, or in the others, where each set with that many
@@ -375,7 +427,9 @@ def _candidate_edges(shown: DataFrame, rule: Rule) -> DataFrame:
     hung = left.join(lead, ["token", "band"]).select(F.col("rep").alias("u"), F.col("lead").alias("v"))
     upper = lead.select("token", (F.col("band") - 1).alias("band"), F.col("lead").alias("v"))
     stairs = lead.select("token", "band", F.col("lead").alias("u")).join(upper, ["token", "band"]).select("u", "v")
-    return pairs.where("seen >= half").select("u", "v").union(hung).union(stairs)
+    classes = connected_components(pairs.where("seen >= half").select("u", "v").union(hung).union(stairs))
+    discard(sized)
+    return classes
 
 
 def jaccard_components(
@@ -394,8 +448,10 @@ def jaccard_components(
 
     Null, empty and blank texts have an empty set, link with nothing and are their own
     component. Texts of fewer words than ``ngram`` have their whole sequence as one
-    shingle. Rows that share an id are one vertex but keep a row each; a null id gives a
-    null component. Other columns are ignored, so their names can't clash.
+    shingle. Very long texts are taken whole. Rows that share an id are one vertex but keep a
+    row each; a null id gives a null component. Ids are integers; of equal sizes or counts,
+    hashes and then ids decide the order of work, never the result. An empty table gives no
+    rows. Other columns are ignored, so their names can't clash.
     """
     spark: SparkSession = docs.sparkSession
     rule = Rule(percent)
@@ -404,32 +460,20 @@ def jaccard_components(
     first = materialize(own.mapInArrow(_first_pass(ngram), "id long, n long, s1 long, s2 long, part int, salt int, counts binary"))
     shared = spark.sparkContext.broadcast(_ranks(first).tobytes())
     sets = first.where("part is null").select("id", "n", "s1", "s2")
-    heads = sets.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    ends = materialize(sets.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")))
     records = own.where("id is not null").mapInArrow(_prefix_pass(ngram, rule, buckets, shared), "bucket int, records binary, members binary")
-    ends = heads.select("s1", "s2", "rep")
     shown = materialize(records.groupBy("bucket").applyInArrow(_members, "token long, s1 long, s2 long, n long").join(ends, ["s1", "s2"]).select("token", "rep", "n"))
-    classes = connected_components(_candidate_edges(shown, rule))
-    members = shown.groupBy("rep").agg(F.max("n").alias("n")).join(classes, F.col("rep") == F.col("id")).select("id", "n", "component")
-    units = _units(members, rule, buckets, unit_tokens)
-    full = own.join(units, "id").select("id", "text", "component", "part", "unit")
-    tokens = _with_unit(full, ngram, shared)
-    links = tokens.groupBy("unit").applyInArrow(_verify(rule), "u long, v long")
-    equal = sets.where("n > 0").join(ends, ["s1", "s2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    found = connected_components(links.union(equal))
-    return sets.join(found, "id", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
+    classes = _candidate_classes(shown, rule)
+    members = materialize(shown.groupBy("rep").agg(F.max("n").alias("n")).join(classes, F.col("rep") == F.col("id")).select("id", "n", "component"))
+    discard(shown, classes)
+    links = _links(own.where("id is not null"), members, ngram, shared, rule, buckets, unit_tokens)
+    edges = sets.where("n > 0").join(ends, ["s1", "s2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    for table in links:
+        edges = edges.union(table)
+    found = connected_components(edges)
+    result = materialize(
+        sets.join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     )
-
-
-def _with_unit(full: DataFrame, ngram: int, shared) -> DataFrame:
-    inner = _unit_sets(ngram, shared)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for out in inner(iter([batch.select([0, 1, 2, 3])])):
-                unit = batch.column(4).slice(at, out.num_rows)
-                at += out.num_rows
-                yield pa.RecordBatch.from_arrays([*out.columns, unit], names=["id", "component", "part", "tokens", "unit"])
-
-    return full.mapInArrow(run, "id long, component long, part long, tokens binary, unit string")
+    discard(first, ends, members, found, *links)
+    shared.unpersist()
+    return result
