@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import textvec as tv
-from lumenfold.llm.labelled import held_out, labelled_sample, train_in_one_task
+from lumenfold.llm.labelled import MOST_BYTES, held_out, labelled_sample, train_in_one_task
 
 U64 = np.uint64
 BITS = 18
@@ -94,17 +94,20 @@ def _train(ids: np.ndarray, texts: pa.ChunkedArray, y: np.ndarray) -> bytes:
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.3, most: int = 6000
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.3, most: int = 6000, most_bytes: int = MOST_BYTES
 ) -> DataFrame:
     """(id_col, held_out, score, predicted) for each row of ``docs``.
 
-    Trained on at most ``most`` labelled rows outside the held-out fold, in one task; without
-    any, every score is 0.5. Texts alone are inputs.
+    Trained on at most ``most`` labelled rows outside the held-out fold, with at most
+    ``most_bytes`` bytes of text, in one task; without any, every score is 0.5. Texts alone
+    are inputs. Ids are integers.
 
-    Null and empty texts score by the bias. Repeated rows score alike; a null id is not held
-    out. Labels that are null or not 0 or 1 are ignored.
+    Null and empty texts score by the bias; very long ones are read whole. Examples are taken
+    in seeded orders, those of equal ids by text, so ties don't matter. Repeated rows score
+    alike; a null id is not held out. Labels that are null or not 0 or 1 are ignored. An
+    empty table gives no rows. Columns other than id and text are ignored.
     """
-    weights = train_in_one_task(labelled_sample(docs, labels, label, most, id_col, text_col), _train)
+    weights = train_in_one_task(labelled_sample(docs, labels, label, most, id_col, text_col, most_bytes), _train)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

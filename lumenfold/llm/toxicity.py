@@ -1,10 +1,12 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine (operator 1).
 
-Terms are the lower-cased words that chi-square ties to the label. Labelled examples stand in
-a block-max inverted index: postings by term, and for each term the greatest weight in each
-block of examples. A query bounds every block by its terms' maxima, scores blocks from the
-greatest bound down, and stops when no block can reach the k-th best cosine. Votes weighted
-by inverse distance are calibrated on the examples' own leave-one-out votes.
+Terms are all lower-cased words of the labelled examples. A term's TF-IDF weight is scaled by
+how surely it goes with a label, never to nought, so that rare words that say nothing about
+the label don't decide who is near. Examples stand in a block-max inverted index: postings by
+term and block, each with the greatest weight in it. A query bounds every block by its terms'
+maxima, scores blocks from the greatest bound down, a few at a time, and stops when no block
+left can reach the k-th best cosine. Votes weighted by inverse distance are calibrated on the
+examples' own leave-one-out votes.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import textvec as tv
-from lumenfold.llm.labelled import held_out, labelled_sample, train_in_one_task
+from lumenfold.llm.labelled import MOST_BYTES, held_out, labelled_sample, train_in_one_task
 
 U64 = np.uint64
 
@@ -41,21 +43,23 @@ def term_counts(piece: tv.Slice, vocabulary: np.ndarray | None) -> tuple[np.ndar
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples; rows, terms and counts come ordered by row."""
+    """Unit vectors of examples; rows, terms and counts come ordered by row, then term."""
 
-    def __init__(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, size: int, vocabulary: int, block: int = 64) -> None:
-        self.size, self.block = size, block
-        df = np.bincount(terms, minlength=vocabulary)
-        self.idf = np.log((1 + size) / (1 + df)) + 1
+    def __init__(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, size: int, factor: np.ndarray, block: int = 64) -> None:
+        self.size, self.block, self.number = size, block, max(1, -(-size // block))
+        df = np.bincount(terms, minlength=len(factor))
+        self.idf = (np.log((1 + size) / (1 + df)) + 1) * factor
         weight = self.weigh(terms, counts)
         norm = np.sqrt(np.bincount(rows, weights=weight * weight, minlength=size))
         weight = weight / norm[rows]
         order = np.lexsort((rows, terms))
-        self.rows, self.weights = rows[order], weight[order]
-        self.start = np.concatenate([[0], np.cumsum(df)])
-        number = -(-size // block)
-        self.most = np.zeros((vocabulary, max(1, number)))
-        np.maximum.at(self.most, (terms, rows // block), weight)
+        self.rows, self.weights = rows[order].astype(np.int32), weight[order]
+        # an entry is the run of a term's postings in one block
+        self.first, end = tv.blocks(terms[order], self.rows // block)
+        self.length = (end - self.first).astype(np.int32)
+        self.at = (self.rows[self.first] // block).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, self.first) if len(self.first) else np.zeros(0)
+        self.entry = np.searchsorted(terms[order][self.first], np.arange(len(factor) + 1))
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (1 + np.log(counts)) * self.idf[terms]
@@ -64,23 +68,36 @@ class BlockMaxIndex:
         """Ids and cosines of the k nearest examples with a common term, ties by id."""
         q = self.weigh(terms, counts)
         q = q / np.sqrt(q @ q)
-        bound = q @ self.most[terms]
+        many = self.entry[terms + 1] - self.entry[terms]
+        entry = tv.ragged(self.entry[terms], many)
+        q = np.repeat(q, many)
+        at = self.at[entry]
+        bound = np.bincount(at, weights=q * self.most[entry], minlength=self.number)
         order = np.argsort(-bound, kind="stable")
-        # postings of each term are by row, so a block is a slice of each
+        order = order[: np.count_nonzero(bound)]
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or len(ids) == k and bound[b] < scores[-1] - 1e-12:
+        done, step = 0, 8
+        while done < len(order):
+            if len(ids) == k:
+                # rounding is allowed for, so that a tie at the k-th place is seen
+                order = order[: done + np.count_nonzero(bound[order[done:]] >= scores[-1] - 1e-9)]
+            some = order[done : done + step]
+            done, step = done + len(some), step * 2
+            if not len(some):
                 break
-            low = b * self.block
-            sums = np.zeros(self.block)
-            for t, w in zip(terms, q, strict=True):
-                part = self.rows[self.start[t] : self.start[t + 1]]
-                x, y = np.searchsorted(part, [low, low + self.block])
-                if x < y:
-                    sums[part[x:y] - low] += w * self.weights[self.start[t] + x : self.start[t] + y]
-            hit = np.flatnonzero(sums > 0)
-            hit = hit[hit + low != skip]
-            ids, scores = np.append(ids, hit + low), np.append(scores, np.round(sums[hit], 12))
+            wanted = np.zeros(self.number, dtype=bool)
+            wanted[some] = True
+            chosen = wanted[at]
+            own, length = entry[chosen], self.length[entry[chosen]]
+            posting = tv.ragged(self.first[own], length)
+            sums = np.bincount(self.rows[posting], weights=self.weights[posting] * np.repeat(q[chosen], length), minlength=self.size)
+            hit = np.flatnonzero(sums)
+            hit = hit[hit != skip]
+            ids, scores = np.append(ids, hit), np.append(scores, np.round(sums[hit], 12))
+            if len(ids) > k:
+                last = np.partition(-scores, k - 1)[k - 1]
+                near = -scores <= last
+                ids, scores = ids[near], scores[near]
             top = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[top], scores[top]
         return ids, scores
@@ -113,10 +130,20 @@ def _platt(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.05), b
 
 
+def label_factor(df: np.ndarray, hits: np.ndarray, prior: float, least: float = 0.05, spread: float = 4.0, half: float = 20.0) -> np.ndarray:
+    """From ``least`` to 1: z squared over z squared plus ``half``, where z is by how many
+    deviations a term's toxic examples miss the prior's share of its examples; ``spread`` is
+    added to the variance, so that a rare term stays near ``least``."""
+    z = (hits - df * prior) ** 2 / (df * prior * (1 - prior) + spread)
+    return least + (1 - least) * z / (z + half)
+
+
 class Model:
-    def __init__(self, ids: np.ndarray, texts: pa.ChunkedArray, y: np.ndarray, k: int, least_chi: float) -> None:
+    """The index over the labelled examples, and the votes' calibration."""
+
+    def __init__(self, ids: np.ndarray, texts: pa.ChunkedArray, y: np.ndarray, k: int) -> None:
         self.ids, self.y, self.k = ids, y, k
-        rows, terms, counts, base = [], [], [], 0
+        rows, terms, counts = [], [], []
         for piece in tv.slices(texts):
             r, t, c = term_counts(piece, None)
             rows.append(r + piece.first)
@@ -125,27 +152,18 @@ class Model:
         rows, terms, counts = (np.concatenate([*x, np.zeros(0, d)]) for x, d in ((rows, np.int64), (terms, U64), (counts, np.int64)))
         size, toxic = len(y), float(y.sum())
         self.prior = (toxic + 1) / (size + 2)
-        distinct, inverse = np.unique(terms, return_inverse=True)
-        df = np.bincount(inverse, minlength=len(distinct)).astype(float)
-        hit = np.bincount(inverse, weights=y[rows], minlength=len(distinct)) if len(rows) else df
-        clean = size - toxic
-        a, b, c, d = hit, df - hit, toxic - hit, clean - (df - hit)
-        chi = size * (a * d - b * c) ** 2 / np.maximum(1.0, (a + b) * (c + d) * (a + c) * (b + d))
-        kept = (chi >= least_chi) & (a * d > b * c) & (df >= 3)
-        self.vocabulary = distinct[kept]
-        number = np.cumsum(kept) - 1
-        chosen = kept[inverse] if len(rows) else np.zeros(0, bool)
-        r, t, c = rows[chosen], number[inverse[chosen]], counts[chosen]
-        self.index = BlockMaxIndex(r, t, c, size, len(self.vocabulary))
-        begin, end = tv.blocks(r)
+        self.vocabulary, number = np.unique(terms, return_inverse=True)
+        df = np.bincount(number, minlength=len(self.vocabulary)).astype(float)
+        hits = np.bincount(number, weights=y[rows], minlength=len(self.vocabulary)) if len(rows) else df
+        self.index = BlockMaxIndex(rows, number, counts, size, label_factor(df, hits, self.prior))
         v = np.full(size, self.empty())
-        for x, z in zip(begin, end, strict=True):
-            near = self.index.nearest(t[x:z], c[x:z], k, skip=int(r[x]))
-            v[r[x]] = vote(y, *near, self.prior) if len(near[0]) else self.empty()
+        for a, b in zip(*tv.blocks(rows), strict=True):
+            near = self.index.nearest(number[a:b], counts[a:b], k, skip=int(rows[a]))
+            v[rows[a]] = vote(y, *near, self.prior) if len(near[0]) else self.empty()
         self.slope, self.offset = _platt(v, y) if 0 < toxic < size else (1.0, 0.0)
 
     def empty(self) -> float:
-        """The vote of a text without any term: below every text with one neighbour."""
+        """The vote of a text without any known word: below every text with one neighbour."""
         return self.prior / 4
 
     def calibrated(self, v):
@@ -161,22 +179,25 @@ def toxicity_scores(
     threshold: float = 0.5,
     most: int = 8000,
     k: int = 15,
-    least_chi: float = 24.0,
+    most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """(id_col, held_out, score, predicted, evidence) for each row of ``docs``.
 
     ``evidence`` lists the (doc_id, cosine, label) of up to five nearest labelled examples.
-    Examples are at most ``most`` labelled rows outside the held-out fold, indexed in one
-    task; without any, every score is the prior's. Texts alone are inputs.
-
-    Null and empty texts, and texts without any indexed term, score as nothing found, with
-    no evidence. Repeated rows score alike; a null id is not held out.
+    Examples are at most ``most`` labelled rows outside the held-out fold, with at most
+    ``most_bytes`` bytes of text, indexed in one task; without any, every score is the
+    prior's. Texts alone are inputs. Ids are integers.
+
+    Null and empty texts, and texts without any word of the examples, score as nothing found,
+    with no evidence. Very long texts are read whole. Of equally near examples the earlier in
+    the order of ids counts. Repeated rows score alike; a null id is not held out. An empty
+    table gives no rows. Columns other than id and text are ignored.
     """
 
     def train(ids, texts, y):
-        return pickle.dumps(Model(ids, texts, y, k, least_chi))
+        return pickle.dumps(Model(ids, texts, y, k))
 
-    model = train_in_one_task(labelled_sample(docs, labels, label, most, id_col, text_col), train)
+    model = train_in_one_task(labelled_sample(docs, labels, label, most, id_col, text_col, most_bytes), train)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
