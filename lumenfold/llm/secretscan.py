@@ -1,18 +1,22 @@
 """Secret scan: stated patterns, and a character convolutional network (operator 5).
 
 The network reads every candidate, a long run of token characters with letters and digits,
-with the text around it. It is trained here, in numpy, on labelled findings that a seeded
-generator writes from public credential formats and from what resembles them; its scores are
-calibrated on a held-out part, and the threshold is the highest that keeps the stated recall
-there. Pattern findings stay whatever the network says.
+and every pattern finding's value, with the text around it, and scores it. It is trained here,
+in numpy, on labelled findings that a seeded generator writes from public credential formats
+and from what resembles them, as no table has labels for secrets; its scores are calibrated
+on a held-out part, and the threshold is the highest that keeps the stated recall there.
+Pattern findings stay whatever the network says; candidates that reach the threshold are
+added.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +39,22 @@ WIDTH = LEFT + BODY + RIGHT
 _PAD = 129
 
 
+def _base(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, kind, end, where the value starts) of the pattern findings, in order."""
+    found = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
+    found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
+    found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST_HEX]
+    return sorted(found)
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the pattern findings, by start and kind as listed."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
-    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST_HEX]
-    return [(a, KINDS[k], b) for a, k, b in sorted(found)]
+    return [(a, KINDS[k], b) for a, k, b, _ in _base(text)]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Bounds of the runs that the network judges."""
-    return [m.span() for m in CANDIDATE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return [m.span() for m in CANDIDATE.finditer(text) if _mixed(m[0])]
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
@@ -81,17 +90,45 @@ def windows(text: str, start: int, end: int) -> np.ndarray:
     return rows
 
 
-def is_secret(text: str, start: int, end: int, model: SecretModel) -> bool:
-    """True if the best window of a candidate, or of a part of it, reaches the threshold."""
+def _mixed(run: str) -> bool:
+    return bool(re.search("[0-9]", run) and re.search("[A-Za-z]", run))
+
+
+def readings(text: str, start: int, end: int) -> np.ndarray:
+    """What the network reads of a candidate: its windows, and those of its parts between
+    signs, as a key may stand beside a path."""
     pieces = [windows(text, start, end)]
-    # between signs a key may stand beside a path: each part counts as on its own, too
-    for m in PART.finditer(text, start, end):
-        if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+    for m in PART.finditer(text, start, end) if end - start > BODY else ():
+        if _mixed(m[0]):
             part = windows(text, *m.span())
             part[:, :LEFT] = pieces[0][0, :LEFT]
             pieces.append(part)
-    rows = np.concatenate(pieces)
-    return any((model.scores(rows[k : k + 512]) >= model.threshold).any() for k in range(0, len(rows), 512))
+    return np.concatenate(pieces) if len(pieces) > 1 else pieces[0]
+
+
+def best_scores(text: str, spans: list[tuple[int, int]], model: SecretModel, batch: int = 512) -> list[float]:
+    """The greatest calibrated score of each span's readings, a bounded batch at a time."""
+    best = [0.0] * len(spans)
+    held: list[np.ndarray] = []
+    of: list[int] = []
+
+    def flush() -> None:
+        for k, x in zip(of, model.scores(np.concatenate(held)), strict=True):
+            best[k] = max(best[k], float(x))
+        held.clear()
+        of.clear()
+
+    for k, (a, b) in enumerate(spans):
+        rows = readings(text, a, b)
+        for at in range(0, len(rows), batch):
+            some = rows[at : at + batch]
+            held.append(some)
+            of.extend([k] * len(some))
+            if len(of) >= batch:
+                flush()
+    if held:
+        flush()
+    return best
 
 
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -119,8 +156,11 @@ def labelled_findings(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: "xoxb-" + some("0123456789", 12) + "-" + some(_ALNUM, 24),
         lambda: "eyJ" + some(_ALNUM + "_-", int(rng.integers(30, 60))),
         lambda: some("0123456789ABCDEF", int(rng.choice([32, 40, 64]))),
+        lambda: word(1)[:5] + ("-", "_", ".")[int(rng.integers(3))] + some(_ALNUM + "_-", int(rng.integers(20, 40))),
+        lambda: word(1)[:3] + "_v1_" + some("0123456789abcdef", int(rng.integers(32, 64))),
     )
-    lead = ("key ", "secret key ", "auth: ", "bearer ", "credential ", "access key ", "Authorization: ", "token is ", "use ", "", "client_secret -> ", "private key ")
+    neutral = ("", "", "", "see ", "id ", "file ", "http://")
+    lead = ("key ", "secret key ", "auth: ", "bearer ", "credential ", "access key ", "Authorization: ", "token is ", "use ", "client_secret -> ", "private key ", *neutral)
     plain = (
         lambda: f"{word(3)}{int(rng.integers(0, 100)):02d}mail{int(rng.integers(0, 10))}{word(2)}",
         lambda: "/".join([word(), word(), str(int(rng.integers(1, 9999))), word(2)]),
@@ -136,11 +176,12 @@ def labelled_findings(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rows, labels = [], []
     for k in range(count):
         y = k % 2
-        before = prose(int(rng.integers(0, 4)))
+        words = int(rng.integers(0, 4))
+        before = prose(words) + " " if words else ""
         if y:
-            item, before = secret[int(rng.integers(len(secret)))](), before + " " + lead[int(rng.integers(len(lead)))]
+            item, before = secret[int(rng.integers(len(secret)))](), before + lead[int(rng.integers(len(lead)))]
         else:
-            item, before = plain[int(rng.integers(len(plain)))](), before + " " + ("", "", "", "see ", "id ", "file ", "http://")[int(rng.integers(7))]
+            item, before = plain[int(rng.integers(len(plain)))](), before + neutral[int(rng.integers(len(neutral)))]
         after = ("", ".", ",", " ", "\n", '"')[int(rng.integers(6))] + " " + prose(2)
         rows.append(encode(before + item + after, len(before), len(before) + len(item)))
         labels.append(y)
@@ -246,7 +287,7 @@ class SecretModel:
 
 
 @lru_cache(maxsize=4)
-def trained_model(findings: int = 6000, recall: float = 0.95, seed: int = 7) -> SecretModel:
+def trained_model(findings: int = 8000, recall: float = 0.99, seed: int = 7) -> SecretModel:
     return SecretModel(findings, recall, seed)
 
 
@@ -276,19 +317,37 @@ def worth_reading(piece: tv.Slice) -> np.ndarray:
     return hit
 
 
-def scan_text(text: str, model: SecretModel) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
-    """(pattern spans, all spans); the network's have kind ``model``. It judges every candidate
-    that no pattern span covers wholly."""
-    base = base_spans(text)
-    free = [(a, b) for a, b in candidates(text) if not any(x <= a and b <= y for x, _, y in base)]
-    short = [(a, b) for a, b in free if b - a <= BODY]
-    found = [(a, b) for a, b in free if b - a > BODY and is_secret(text, a, b, model)]
-    if short:
-        scores = model.scores(np.array([encode(text, a, b) for a, b in short]))
-        found += [s for s, score in zip(short, scores, strict=True) if score >= model.threshold]
-    added = [(a, "model", b) for a, b in found]
+def scored_spans(text: str, model: SecretModel) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], list[float]]:
+    """(pattern spans, all spans, their scores); the network's spans have kind ``model``. Every
+    candidate and every pattern finding's value is scored; a candidate is added unless a
+    pattern span covers it wholly. A pattern finding scores as the best of its value and of
+    the candidates that it covers."""
+    found = _base(text)
+    starts, reach = [x[0] for x in found], list(accumulate((x[2] for x in found), max))
+    free, covered = [], []
+    for a, b in candidates(text):
+        k = bisect_right(starts, a)
+        (covered if k and reach[k - 1] >= b else free).append((a, b))
+    scores = best_scores(text, [*free, *covered, *((v, b) for _, _, b, v in found)], model)
     rank = {k: j for j, k in enumerate((*KINDS, "model"))}
-    return base, sorted([*base, *added], key=lambda s: (s[0], rank[s[1]], s[2]))
+    spans = [(a, "model", b, x) for (a, b), x in zip(free, scores, strict=False) if x >= model.threshold]
+    # the candidates that a span covers begin in it one after another
+    at = [a for a, _ in covered]
+    inside = scores[len(free) : len(free) + len(covered)]
+    for (a, k, b, _), x in zip(found, scores[len(free) + len(covered) :], strict=True):
+        j = bisect_right(at, a - 1)
+        while j < len(covered) and covered[j][0] < b:
+            if covered[j][1] <= b:
+                x = max(x, inside[j])
+            j += 1
+        spans.append((a, KINDS[k], b, x))
+    spans.sort(key=lambda s: (s[0], rank[s[1]], s[2]))
+    return [(a, KINDS[k], b) for a, k, b, _ in found], [(a, k, b) for a, k, b, _ in spans], [x for *_, x in spans]
+
+
+def scan_text(text: str, model: SecretModel) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
+    """(pattern spans, all spans)."""
+    return scored_spans(text, model)[:2]
 
 
 def join_spans(spans: list[tuple[int, str, int]]) -> str:
@@ -308,11 +367,14 @@ def masked(text: str, spans: list[tuple[int, str, int]], mask: str = "[SECRET]")
 
 
 def secret_scan(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """The columns ``keep`` (default id_col), n_assign, n_access, n_hex, base_sha256, spans
-    and, with ``with_text``, the text with all spans masked.
-
-    Spans are in code points, their ends exclusive. A null text counts as empty and stays
-    null when masked. Repeated rows are scanned alike; null ids stay null.
+    """The columns ``keep`` (default id_col), n_assign, n_access, n_hex, base_sha256, spans,
+    scores and, with ``with_text``, the text with all spans masked.
+
+    Spans are in code points, their ends exclusive, by start, then kind; ``scores`` are the
+    network's calibrated scores of them, in their order. A null or empty text has no spans; a
+    null one stays null when masked. Very long texts and runs are read whole, in bounded
+    batches. Repeated rows are scanned alike; null ids stay null. An empty table gives no
+    rows. Other columns are ignored, so their names can't clash.
     """
     keep = [id_col] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(trained_model())
@@ -326,10 +388,11 @@ def secret_scan(docs: DataFrame, keep: list[str] | None = None, id_col: str = "d
                 texts = batch.column(at).slice(piece.first, piece.rows)
                 counts = np.zeros((3, piece.rows), dtype=np.int64)
                 digest, joined = [nothing] * piece.rows, [""] * piece.rows
+                scores: list[list[float]] = [[] for _ in range(piece.rows)]
                 changed: dict[int, str] = {}
                 for k in np.flatnonzero(worth_reading(piece)).tolist():
                     text = texts[k].as_py()
-                    base, spans = scan_text(text, model)
+                    base, spans, scores[k] = scored_spans(text, model)
                     if not spans:
                         continue
                     for _, kind, _ in base:
@@ -342,15 +405,15 @@ def secret_scan(docs: DataFrame, keep: list[str] | None = None, id_col: str = "d
                     for k, text in changed.items():
                         new[k] = text
                     texts = pa.array(new, pa.string())
-                columns = [*(c.slice(piece.first, piece.rows) for c in batch.columns[:at]), *(pa.array(c) for c in counts), pa.array(digest), pa.array(joined)]
-                names = [*(f"k{j}" for j in range(at)), "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+                columns = [*(c.slice(piece.first, piece.rows) for c in batch.columns[:at]), *(pa.array(c) for c in counts), pa.array(digest), pa.array(joined), pa.array(scores, pa.list_(pa.float64()))]
+                names = [*(f"k{j}" for j in range(at)), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores"]
                 if with_text:
                     columns, names = [*columns, texts.cast(pa.string())], [*names, "body"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     own = docs.select(*[F.col(c).alias(f"k{j}") for j, c in enumerate(keep)], F.col(text_col).cast("string").alias("body"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:at])
-    schema = f"{fields}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", body string" * with_text
+    schema = f"{fields}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, scores array<double>" + ", body string" * with_text
     out = own.mapInArrow(run, schema)
     extra = [F.col("body").alias("masked_text")] if with_text else []
-    return out.select(*[F.col(f"k{j}").alias(c) for j, c in enumerate(keep)], "n_assign", "n_access", "n_hex", "base_sha256", "spans", *extra)
+    return out.select(*[F.col(f"k{j}").alias(c) for j, c in enumerate(keep)], "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores", *extra)
