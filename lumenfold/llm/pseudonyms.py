@@ -155,15 +155,18 @@ def _permute_classes(text: str, key: bytes, tweak: bytes) -> str:
 
 
 def _email(m: str, key: bytes) -> str | None:
+    """Case doesn't tell addresses apart: the lower-cased local part is permuted, and capitals
+    stand where they stood."""
     local, domain = m.rsplit("@", 1)
     if not re.search(r"[A-Za-z0-9]", local):
         return None
-    return _permute_classes(local, key, b"email@" + domain.lower().encode()) + "@" + domain
+    new = _permute_classes(local.lower(), key, b"email@" + domain.lower().encode())
+    return "".join(n.upper() if c.isupper() else n for c, n in zip(local, new, strict=True)) + "@" + domain
 
 
 #: Kinds in order of precedence at one place, with their pattern and pseudonym.
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
+    ("email", r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}([-./])[0-9]{2}\1[0-9]{2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])", _date),
@@ -204,6 +207,29 @@ def _findings(text: str, name: str, pattern: re.Pattern, valid: Callable[[str],
         m = pattern.search(text, m.start() + 1 if new is None else end)
 
 
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_SIGNS = "._%+-"
+
+
+def _addresses(text: str, pattern: re.Pattern, valid: Callable[[str], str | None]) -> Iterator[tuple[int, int, str]]:
+    """The same for e-mail addresses, from each ``@`` outwards: local parts hold none, so no
+    character is looked at for more than one."""
+    stop = 0
+    at = text.find("@")
+    while at >= 0:
+        m = pattern.match(text, at)
+        start = at
+        while start > stop and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < at and text[start] in _SIGNS:
+            start += 1
+        new = valid(text[start : m.end()]) if m and start < at else None
+        if new is not None:
+            yield start, m.end(), new
+        stop = m.end() if new is not None else at + 1
+        at = text.find("@", stop)
+
+
 _SEED = re.compile(r"[0-9@]")
 
 
@@ -222,7 +248,8 @@ def pseudonymize(text: str, key: bytes, kinds: list, cache: dict) -> tuple[str,
                 cache[name, value] = new(value, key)
             return cache[name, value]
 
-        spans += [(rank, a, b, made) for a, b, made in _findings(text, name, pattern, valid)]
+        seen = _addresses(text, pattern, valid) if name == "email" else _findings(text, name, pattern, valid)
+        spans += [(rank, a, b, made) for a, b, made in seen]
     taken: list[tuple[int, int, str]] = []
     used = bytearray(len(text)) if spans else b""
     for rank, a, b, new in sorted(spans):
@@ -245,10 +272,14 @@ def pseudonymized(docs: DataFrame, key: bytes, keep: list[str] | None = None, id
     Cards pass the Luhn check, IBANs the mod-97 check, dates exist between 1900 and 2099,
     address bytes are below 256 and social numbers are assignable; what fails stays as it
     is; of a card or IBAN that something follows, the longest part that passes is taken. A date
-    whose second number can't be a month is read month first. Pseudonyms pass the same checks. E-mail addresses keep their domain. Kinds take
-    precedence as in KINDS. One key gives one value one pseudonym in all documents.
-
-    A null text stays null with no findings. Repeated rows change alike; null ids stay null.
+    whose second number can't be a month is read month first. Pseudonyms pass the same checks.
+    E-mail addresses keep their domain and the places of their capitals, and link whatever
+    their case. Kinds take precedence as in KINDS, then the earlier value. One key gives one
+    value one pseudonym in all documents.
+
+    A null text stays null with no findings, an empty one empty. Very long texts are read
+    whole, in time linear in their length. Repeated rows change alike; null ids stay null. An
+    empty table gives no rows. Other columns are ignored, so their names can't clash.
     """
     keep = [id_col] if keep is None else keep
     names = [name for name, _, _ in KINDS]
