@@ -1,7 +1,8 @@
 """URL rules by hashed host-suffix and path-prefix expressions (operator 2).
 
-Every URL expands into host suffixes at label borders times path prefixes of the lengths that
-rules have. Expressions meet rules in an equi-join on four digest bytes; the full digest then
+Every URL expands into the host suffixes of as many labels, times the path prefixes of as many
+characters, as rules have: never more than the rules call for, however long it is. Expressions
+meet rules in an equi-join on four digest bytes; the full digest then
 confirms, and the longest rule wins. DataFrame functions only.
 """
 
@@ -50,8 +51,10 @@ def match_url_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id",
     rule is null and verdict ``default``.
 
     A null URL, or one without ``://``, has an empty host and path and fits no rule that has
-    a host. Repeated rows are kept; null ids stay null. Null rules are ignored. Up to
-    BROADCAST_ROWS rules are broadcast, more are joined with salted expressions.
+    a host. A very long URL expands into no more expressions than the rules call for.
+    Repeated rows are kept; null ids stay null. Null rules are ignored; without rules, or
+    pages, there is nothing to fit, or no row. Up to BROADCAST_ROWS rules are broadcast, more
+    are joined with salted expressions. Other columns are ignored.
     """
     slash = F.when(F.instr("rule", "/") > 0, F.instr("rule", "/")).otherwise(F.length("rule") + 1)
     host = F.translate(F.substr(F.col("rule"), F.lit(1), slash - 1), _UPPER, _UPPER.lower())
@@ -61,17 +64,17 @@ def match_url_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id",
         F.min_by("rule", F.struct(F.length("rule"), "rule")).alias("rule"), F.when(F.max(F.col("verdict") == "block"), "block").otherwise(F.min("verdict")).alias("verdict")
     )
     known = known.select(
-        "rule", "verdict", F.length("h").alias("h_len"), F.length("p").alias("p_len"), _expression(F.col("h"), F.col("p")).alias("digest")
+        "rule", "verdict", F.size(F.split("h", r"\.", -1)).alias("h_labels"), F.length("h").alias("h_len"), F.length("p").alias("p_len"), _expression(F.col("h"), F.col("p")).alias("digest")
     ).withColumn("short", _prefix(F.col("digest")))
-    # two numbers and the distinct path lengths, at most as many as the longest rule has characters
-    shape = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set("p_len").alias("lengths")).first()
-    lengths = F.array(*[F.lit(x) for x in sorted(shape["lengths"])]).cast("array<int>")
+    # a number, and the distinct sizes of paths and hosts, at most as many as the longest rule has characters
+    shape = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set("p_len").alias("lengths"), F.collect_set("h_labels").alias("labels")).first()
+    lengths, suffixes = (F.array(*[F.lit(x) for x in sorted(shape[c])]).cast("array<int>") for c in ("lengths", "labels"))
 
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     own = own.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     labels = F.split("host", r"\.", -1)
     count = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice(labels, k, count - k + 1), "."))
+    hosts = F.transform(F.filter(suffixes, lambda n: n <= count), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     paths = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
     digests = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: _expression(h, p))))
     # null stands for the row itself, and counts how often it occurs
