@@ -4,12 +4,18 @@ Ordering every suffix of the corpus through 50 bytes would move each byte fifty
 suffix can only repeat where the least-hashed k-gram inside its window repeats, so:
 
 A. groups of documents send the hashes of these anchors to buckets, which answer those that
-   occur in several documents;
+   occur in several documents, and which of them in very many groups;
 B. groups send the runs of windows around the answered anchors (one for each distinct run in
    a group, under the least document) to buckets by anchor. There all windows are sorted by
    most-significant-digit passes of eight bytes, through the threshold and no further; equal
    groups are exactly the repeated windows, and the least document of each group keeps it;
 C. groups apply the answers to their documents.
+
+Runs around a very frequent anchor are cut in two where the anchor leaves the middle of the
+window, and go by the bytes beside it, which all windows of a half have: equal windows still
+meet, and no bucket gets all contexts of one anchor. Messages travel in bundles over a net of
+``fan`` ways a hop, so rows grow with groups times hops, not with groups times buckets; on the
+way, bytes of equal runs are carried once.
 """
 
 from __future__ import annotations
@@ -36,6 +42,9 @@ class Shape:
         self.window = window
         self.gram = max(1, (2 * window) // 5)
         self.spread = window - self.gram + 1
+        #: Bytes beside an anchor that windows of a half have: before it, or after its gram.
+        self.before = self.spread // 2
+        self.after = window - self.gram - self.before + 1
 
 
 def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -58,22 +67,22 @@ def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
         return tv.mix(h)
 
 
-def window_runs(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor hash) of the runs of windows with one anchor.
+def window_runs(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, anchor, its hash) of the runs of windows with one anchor.
 
     Windows lie within a row. Which windows share an anchor depends on their bytes alone."""
     w = shape.window
     total = len(data)
     if total < w:
         nothing = np.zeros(0, np.int64)
-        return nothing, nothing, np.zeros(0, U64)
+        return nothing, nothing, nothing, np.zeros(0, U64)
     # windows that reach into the next row: the last w - 1 starts of each row
     late = np.zeros(total + 1, dtype=np.int32)
     ends = offsets[1:]
     np.add.at(late, np.maximum(offsets[:-1], ends - w + 1), 1)
     np.add.at(late, ends, -1)
     valid = np.cumsum(late[:-1])[: total - w + 1] == 0
-    first, last, anchor = [], [], []
+    first, last, place, anchor = [], [], [], []
     step = (1 << _POSITION_BITS) - w
     for begin in range(0, total - w + 1, step):
         part = data[begin : begin + step + w - 1]
@@ -94,8 +103,21 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np
         a = np.flatnonzero(new)
         first.append(a + begin)
         last.append(np.flatnonzero(end) + begin)
-        anchor.append(h[(least[a] & low).astype(np.int64)])
-    return np.concatenate(first), np.concatenate(last), np.concatenate(anchor)
+        spot = (least[a] & low).astype(np.int64)
+        place.append(spot + begin)
+        anchor.append(h[spot])
+    return np.concatenate(first), np.concatenate(last), np.concatenate(place), np.concatenate(anchor)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Hash of the bytes of each span; starts ascend."""
+    out = np.empty(len(starts), dtype=U64)
+    for begin in range(0, len(data), step):
+        a, b = np.searchsorted(starts, [begin, begin + step])
+        if a < b:
+            stop = int(ends[a:b].max())
+            out[a:b] = tv.hash_spans(data[begin:stop], starts[a:b] - begin, ends[a:b] - begin)
+    return out
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,23 +161,92 @@ class _Group:
         data, offsets = tv.text_buffers(text)
         self.data, self.offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         self.shape = shape
-        self.first, self.last, self.anchor = window_runs(self.data, self.offsets, shape)
-        self.row = np.searchsorted(self.offsets, self.first, side="right") - 1
-
-    def contents(self) -> np.ndarray:
-        """Hash of each run's bytes."""
-        out = np.empty(len(self.first), dtype=U64)
-        ends = self.last + self.shape.window
-        step = 1 << 20
-        for begin in range(0, len(self.data), step):
-            a, b = np.searchsorted(self.first, [begin, begin + step])
-            if a < b:
-                stop = int(ends[a:b].max())
-                out[a:b] = tv.hash_spans(self.data[begin:stop], self.first[a:b] - begin, ends[a:b] - begin)
-        return out
-
-
-def _route(g: int, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        self.first, self.last, self.place, self.anchor = window_runs(self.data, self.offsets, shape)
+
+    def pieces(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first window, last window, anchor hash, routing hash) of the runs in order, those
+        around the ``hot`` anchors, short and sorted, cut in two."""
+        cut = _among(_short(self.anchor), hot)
+        if not cut.any():
+            return self.first, self.last, self.anchor, self.anchor
+        first, last, place, anchor = self.first[cut], self.last[cut], self.place[cut], self.anchor[cut]
+        middle = place - self.shape.before
+        gram_end = place + self.shape.gram
+        parts = [(self.first[~cut], self.last[~cut], self.anchor[~cut], self.anchor[~cut])]
+        for a, b, start, stop in ((first, np.minimum(last, middle), middle, place), (np.maximum(first, middle + 1), last, gram_end, gram_end + self.shape.after)):
+            there = a <= b
+            beside = span_hashes(self.data, start[there], stop[there])
+            with np.errstate(over="ignore"):
+                parts.append((a[there], b[there], anchor[there], tv.mix(anchor[there] + beside * U64(0xD6E8FEB86659FD93))))
+        first, last, anchor, route = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(first, kind="stable")
+        return first[order], last[order], anchor[order], route[order]
+
+    def owners(self, first: np.ndarray) -> np.ndarray:
+        """Ids of the documents that windows are in."""
+        return self.ids[np.searchsorted(self.offsets, first, side="right") - 1]
+
+
+class Net:
+    """Addresses 0 .. size - 1 that messages reach in hops of ``fan`` ways each.
+
+    A row is a bundle of messages from senders that share src to a range of addresses, dest;
+    hop by hop ranges get narrower and senders more, so that a row never is a lone message
+    for want of others on its way."""
+
+    SCHEMA = "dest long, src long, body binary"
+
+    def __init__(self, size: int, fan: int) -> None:
+        self.fan, self.hops = fan, 1
+        while fan**self.hops < size:
+            self.hops += 1
+
+    def post(self, hop: int, src: int, to: np.ndarray, sender: np.ndarray, parts: list[tuple[bytes, ...]]) -> pa.Table:
+        """Rows of messages, in order of ``to``, that have ``hop`` hops behind them after this."""
+        dest = to // self.fan ** (self.hops - hop)
+        at, stop = tv.blocks(dest)
+        bodies = [_bundle(to[a:b], sender[a:b], parts[a:b]) for a, b in zip(at, stop, strict=True)]
+        return pa.table({"dest": pa.array(dest[at], pa.int64()), "src": pa.array(np.full(len(at), src, np.int64)), "body": pa.array(bodies, pa.binary())})
+
+    def carry(self, rows: DataFrame, combine=None) -> DataFrame:
+        """Rows of the first hop until dest is each message's address."""
+        for hop in range(2, self.hops + 1):
+            nearer = rows.withColumn("src", F.floor(F.col("src") / self.fan))
+            rows = nearer.groupBy("dest", "src").applyInArrow(self._relay(hop, combine), self.SCHEMA)
+        return rows
+
+    def _relay(self, hop: int, combine):
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            to, sender, parts = read_bundles(table)
+            order = np.lexsort((sender, to))
+            parts = [parts[k] for k in order]
+            return self.post(hop, key[1].as_py(), to[order], sender[order], combine(parts) if combine else parts)
+
+        return run
+
+
+def _bundle(to: np.ndarray, sender: np.ndarray, parts: list[tuple[bytes, ...]]) -> bytes:
+    sizes = np.array([[len(x) for x in p] for p in parts], dtype=np.int64)
+    head = np.concatenate([[sizes.shape[0], sizes.shape[1]], to, sender, sizes.ravel()]).astype("<i8")
+    return b"".join([head.tobytes(), *(x for p in parts for x in p)])
+
+
+def read_bundles(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[memoryview, ...]]]:
+    """(address, sender, parts) of all messages of some rows."""
+    to, sender, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for body in table.column("body"):
+        view = memoryview(body.as_buffer())
+        n, width = (int(x) for x in np.frombuffer(view[:16], dtype="<i8"))
+        head = np.frombuffer(view[16 : 16 + 8 * n * (2 + width)], dtype="<i8")
+        to.append(head[:n])
+        sender.append(head[n : 2 * n])
+        ends = np.append(0, np.cumsum(head[2 * n :])) + 16 + 8 * n * (2 + width)
+        pieces = [view[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        parts += [tuple(pieces[k : k + width]) for k in range(0, n * width, width)]
+    return np.concatenate(to), np.concatenate(sender), parts
+
+
+def _route(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order by bucket, and each present bucket with its bounds."""
     bucket = (tv.mix(hashes >> U64(16)) % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -164,6 +255,13 @@ def _route(g: int, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.nda
     return order, bucket[at], at, stop
 
 
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are among sorted ones."""
+    if not len(some):
+        return np.zeros(len(values), dtype=bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
 def _short(hashes: np.ndarray) -> np.ndarray:
     """The high 48 bits; a filter only, so that a chance equality costs work, not truth."""
     return hashes >> U64(16)
@@ -180,106 +278,149 @@ def _from_bytes(blob: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(U64)
 
 
-def _send_anchors(shape: Shape, buckets: int):
+def _send_anchors(shape: Shape, net: Net, buckets: int):
+    """Messages (anchors of one document, anchors of several) to buckets."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         own = _Group(table, shape)
         short = _short(own.anchor)
         order = np.argsort(short, kind="stable")
-        short, ids = short[order], own.ids[own.row[order]]
+        short, ids = short[order], own.owners(own.first)[order]
         begin, _ = tv.blocks(short)
         several = np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin) if len(begin) else np.zeros(0, bool)
         short = short[begin]
-        order, bucket, at, stop = _route(0, short << U64(16), buckets)
+        order, bucket, at, stop = _route(short << U64(16), buckets)
         short, several = short[order], several[order]
-        one = [_to_bytes(short[a:b][~several[a:b]]) for a, b in zip(at, stop, strict=True)]
-        many = [_to_bytes(short[a:b][several[a:b]]) for a, b in zip(at, stop, strict=True)]
-        g = np.full(len(at), key[0].as_py(), dtype=np.int64)
-        return pa.table({"bucket": pa.array(bucket), "g": pa.array(g), "one": pa.array(one, pa.binary()), "many": pa.array(many, pa.binary())})
+        parts = [(_to_bytes(short[a:b][~several[a:b]]), _to_bytes(short[a:b][several[a:b]])) for a, b in zip(at, stop, strict=True)]
+        g = key[0].as_py()
+        return net.post(1, g, bucket, np.full(len(bucket), g), parts)
 
     return run
 
 
-def _answer_anchors(table: pa.Table) -> pa.Table:
-    groups = table.column("g").to_numpy()
-    parts, sure, of = [], [], []
-    for j, (one, many) in enumerate(zip(table.column("one"), table.column("many"), strict=True)):
-        for blob, flag in ((one, False), (many, True)):
-            values = _from_bytes(blob.as_py())
-            parts.append(values)
-            sure.append(np.full(len(values), flag))
-            of.append(np.full(len(values), j, dtype=np.int64))
-    values, sure, of = np.concatenate(parts), np.concatenate(sure), np.concatenate(of)
-    order = np.argsort(values, kind="stable")
-    values, sure, of = values[order], sure[order], of[order]
-    begin, end = tv.blocks(values)
-    size = end - begin
-    hit = (size > 1) | (np.logical_or.reduceat(sure, begin) if len(begin) else np.zeros(0, bool))
-    hit = np.repeat(hit, size)
-    values, of = values[hit], of[hit]
-    order = np.argsort(of, kind="stable")
-    values, of = values[order], of[order]
-    at, stop = tv.blocks(of)
-    blobs = [_to_bytes(values[a:b]) for a, b in zip(at, stop, strict=True)]
-    return pa.table({"g": pa.array(groups[of[at]]), "anchors": pa.array(blobs, pa.binary())})
+def _answer_anchors(net: Net, hot_groups: int):
+    """Messages (anchors that recur, those of them in many groups) back to groups."""
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, groups, messages = read_bundles(table)
+        parts, sure, of = [], [], []
+        for j, pair in enumerate(messages):
+            for blob, flag in zip(pair, (False, True), strict=True):
+                values = _from_bytes(blob)
+                parts.append(values)
+                sure.append(np.full(len(values), flag))
+                of.append(np.full(len(values), j, dtype=np.int64))
+        values, sure, of = np.concatenate(parts), np.concatenate(sure), np.concatenate(of)
+        order = np.argsort(values, kind="stable")
+        values, sure, of = values[order], sure[order], of[order]
+        begin, end = tv.blocks(values)
+        size = end - begin
+        hit = (size > 1) | (np.logical_or.reduceat(sure, begin) if len(begin) else np.zeros(0, bool))
+        hit, hot = np.repeat(hit, size), np.repeat(size > hot_groups, size)
+        values, of, hot = values[hit], of[hit], hot[hit]
+        order = np.argsort(groups[of], kind="stable")
+        values, to, hot = values[order], groups[of[order]], hot[order]
+        at, stop = tv.blocks(to)
+        answers = [(_to_bytes(values[a:b]), _to_bytes(values[a:b][hot[a:b]])) for a, b in zip(at, stop, strict=True)]
+        bucket = key[0].as_py()
+        return net.post(1, bucket, to[at], np.full(len(at), bucket), answers)
+
+    return run
 
+
+#: A run's bytes, hashed; the least document of it; its size, negative where the bytes are
+#: left out as an equal run on the same way has them.
 _RUN = np.dtype([("content", "<u8"), ("id", "<i8"), ("size", "<i4")])
 
 
-def _send_runs(shape: Shape, buckets: int):
+def _compressed(data: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(data), codec="zstd", asbytes=True)
+
+
+def _bytes_of(runs: np.ndarray, blob) -> np.ndarray:
+    size = int(np.maximum(runs["size"], 0).sum())
+    return np.frombuffer(pa.decompress(pa.py_buffer(blob), decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+
+
+def _send_runs(shape: Shape, net: Net, buckets: int):
+    """Messages (runs, their bytes, hot anchors among them) to buckets."""
+
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        empty = pa.table({"bucket": pa.array([], pa.int64()), "g": pa.array([], pa.int64()), "runs": pa.array([], pa.binary()), "data": pa.array([], pa.binary())})
+        g = key[0].as_py()
         if not docs.num_rows or not answers.num_rows:
-            return empty
+            return net.post(1, g, np.zeros(0, np.int64), np.zeros(0, np.int64), [])
         own = _Group(docs, shape)
-        asked = np.sort(np.concatenate([_from_bytes(x.as_py()) for x in answers.column("anchors")]))
-        short = _short(own.anchor)
-        at = np.minimum(np.searchsorted(asked, short), len(asked) - 1)
-        chosen = np.flatnonzero(asked[at] == short)
-        content = own.contents()[chosen]
-        ids = own.ids[own.row[chosen]]
+        _, _, messages = read_bundles(answers)
+        asked, hot = (np.sort(np.concatenate([_from_bytes(x) for x in column])) for column in zip(*messages, strict=True))
+        first, last, anchor, route = own.pieces(hot)
+        chosen = _among(_short(anchor), asked)
+        first, last, anchor, route = first[chosen], last[chosen], anchor[chosen], route[chosen]
+        content = span_hashes(own.data, first, last + shape.window)
+        ids = own.owners(first)
         order = np.lexsort((ids, content))
-        content, chosen, ids = content[order], chosen[order], ids[order]
-        lead = tv.firsts(content)
-        content, chosen, ids = content[lead], chosen[lead], ids[lead]
-        order, bucket, begin, stop = _route(0, own.anchor[chosen], buckets)
-        content, chosen, ids = content[order], chosen[order], ids[order]
-        size = own.last[chosen] - own.first[chosen] + shape.window
-        runs = np.empty(len(chosen), dtype=_RUN)
-        runs["content"], runs["id"], runs["size"] = content, ids, size
-        data = [own.data[tv.ragged(own.first[chosen[a:b]], size[a:b])].tobytes() for a, b in zip(begin, stop, strict=True)]
-        return pa.table({
-            "bucket": pa.array(bucket),
-            "g": pa.array(np.full(len(begin), key[0].as_py(), dtype=np.int64)),
-            "runs": pa.array([runs[a:b].tobytes() for a, b in zip(begin, stop, strict=True)], pa.binary()),
-            "data": pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in data], pa.binary()),
-        })
+        order = order[tv.firsts(content[order])]
+        by, bucket, begin, stop = _route(route[order], buckets)
+        order = order[by]
+        size = last[order] - first[order] + shape.window
+        runs = np.empty(len(order), dtype=_RUN)
+        runs["content"], runs["id"], runs["size"] = content[order], ids[order], size
+        short = _short(anchor[order])
+        split = _among(short, hot)
+        parts = [
+            (runs[a:b].tobytes(), _compressed(own.data[tv.ragged(first[order[a:b]], size[a:b])]), _to_bytes(np.unique(short[a:b][split[a:b]])))
+            for a, b in zip(begin, stop, strict=True)
+        ]
+        return net.post(1, g, bucket, np.full(len(bucket), g), parts)
 
     return run
 
 
+def _bytes_once(parts: list[tuple]) -> list[tuple]:
+    """Messages on one way, with the bytes of equal runs in the first of them alone."""
+    runs = [np.frombuffer(x[0], dtype=_RUN).copy() for x in parts]
+    whole = np.concatenate([_bytes_of(r, x[1]) for r, x in zip(runs, parts, strict=True)])
+    of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+    every = np.concatenate(runs)
+    size = np.maximum(every["size"], 0).astype(np.int64)
+    begin = np.cumsum(size) - size
+    # of equal runs the first with bytes keeps them
+    order = np.lexsort((size == 0, every["content"]))
+    keep = np.zeros(len(every), dtype=bool)
+    keep[order[tv.firsts(every["content"][order])]] = True
+    keep &= size > 0
+    every["size"] = np.where(keep, every["size"], -np.abs(every["size"]))
+    out = []
+    for j, part in enumerate(parts):
+        mine = np.flatnonzero(of == j)
+        kept = mine[keep[mine]]
+        out.append((every[mine].tobytes(), _compressed(whole[tv.ragged(begin[kept], size[kept])]), part[2]))
+    return out
+
+
 _REPLY = np.dtype([("content", "<u8"), ("first", "<u2"), ("last", "<u2")])
 
 
-def _answer_runs(window: int):
-    def run(table: pa.Table) -> pa.Table:
-        groups = table.column("g").to_numpy()
-        runs = [np.frombuffer(x.as_buffer(), dtype=_RUN) for x in table.column("runs")]
-        data = np.concatenate([np.frombuffer(pa.decompress(x.as_py(), decompressed_size=int(r["size"].sum()), codec="zstd", asbytes=True), dtype=np.uint8) for x, r in zip(table.column("data"), runs, strict=True)])
+def _answer_runs(window: int, net: Net):
+    """Messages (replies, hot anchors as they came) back to groups."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, groups, messages = read_bundles(table)
+        runs = [np.frombuffer(x[0], dtype=_RUN) for x in messages]
+        data = np.concatenate([_bytes_of(r, x[1]) for r, x in zip(runs, messages, strict=True)])
         of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
         runs = np.concatenate(runs)
-        size = runs["size"].astype(np.int64)
-        begin = np.cumsum(size) - size
-        # equal runs are sorted once, for their least document
+        held = np.maximum(runs["size"], 0).astype(np.int64)
+        begin = np.cumsum(held) - held
+        # equal runs are sorted once, for their least document, by the bytes of any of them
         order = np.lexsort((runs["id"], runs["content"]))
-        content = runs["content"][order]
-        lead = tv.firsts(content)
+        lead = tv.firsts(runs["content"][order])
         kind = np.cumsum(lead) - 1
-        chief = order[lead]
-        least = runs["id"][chief]
-        windows = size[chief] - window + 1
-        starts = tv.ragged(begin[chief], windows)
-        owner = np.repeat(np.arange(len(chief)), windows)
+        least = runs["id"][order[lead]]
+        full = np.lexsort((held == 0, runs["content"]))
+        full = full[tv.firsts(runs["content"][full])]
+        windows = held[full] - window + 1
+        starts = tv.ragged(begin[full], windows)
+        owner = np.repeat(np.arange(len(full)), windows)
         alive, group = repeated_windows(data, starts, window)
         removed = np.zeros(len(starts), dtype=bool)
         if len(alive):
@@ -295,34 +436,32 @@ def _answer_runs(window: int):
         # copies under a larger document go whole; those under the least share its spans
         copy = runs["id"][order] > least[kind]
         whole = np.empty(int(copy.sum()), dtype=_REPLY)
-        whole["content"], whole["first"], whole["last"] = content[copy], 0, windows[kind[copy]] - 1
-        home = [of[order[copy]]]
-        replies = [whole]
-        if len(span_kind):
-            own = np.flatnonzero(~copy)
-            low, high = np.searchsorted(span_kind, kind[own]), np.searchsorted(span_kind, kind[own], side="right")
-            spot = tv.ragged(low, high - low)
-            some = np.empty(len(spot), dtype=_REPLY)
-            some["content"] = np.repeat(content[own], high - low)
-            some["first"], some["last"] = a[spot], b[spot]
-            replies.append(some)
-            home.append(np.repeat(of[order[own]], high - low))
-        replies, home = np.concatenate(replies), np.concatenate(home)
+        whole["content"], whole["first"], whole["last"] = runs["content"][order][copy], 0, windows[kind[copy]] - 1
+        own = np.flatnonzero(~copy)
+        low, high = np.searchsorted(span_kind, kind[own]), np.searchsorted(span_kind, kind[own], side="right")
+        spot = tv.ragged(low, high - low)
+        some = np.empty(len(spot), dtype=_REPLY)
+        some["content"] = np.repeat(runs["content"][order][own], high - low)
+        some["first"], some["last"] = a[spot], b[spot]
+        replies = np.concatenate([whole, some])
+        home = np.concatenate([of[order[copy]], np.repeat(of[order[own]], high - low)])
         by = np.argsort(home, kind="stable")
         replies, home = replies[by], home[by]
-        at, stop = tv.blocks(home)
-        blobs = [replies[x:y].tobytes() for x, y in zip(at, stop, strict=True)]
-        return pa.table({"g": pa.array(groups[home[at]]), "replies": pa.array(blobs, pa.binary())})
+        low, high = np.searchsorted(home, np.arange(len(messages))), np.searchsorted(home, np.arange(len(messages)), side="right")
+        told = [j for j in np.argsort(groups, kind="stable").tolist() if low[j] < high[j] or len(messages[j][2])]
+        bucket = key[0].as_py()
+        return net.post(1, bucket, groups[told], np.full(len(told), bucket), [(replies[low[j] : high[j]].tobytes(), bytes(messages[j][2])) for j in told])
 
     return run
 
 
-def removed_bytes(own: _Group, replies: np.ndarray) -> np.ndarray:
+def removed_bytes(own: _Group, replies: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Which bytes of a group's documents go."""
     w = own.shape.window
     change = np.zeros(len(own.data) + 1, dtype=np.int32)
-    content = own.contents()
-    ids = own.ids[own.row]
+    first, last, _, _ = own.pieces(hot)
+    content = span_hashes(own.data, first, last + w)
+    ids = own.owners(first)
     order = np.lexsort((ids, content))
     sorted_content = content[order]
     lead = tv.firsts(sorted_content)
@@ -330,14 +469,14 @@ def removed_bytes(own: _Group, replies: np.ndarray) -> np.ndarray:
     least = ids[order][lead]
     later = ids[order] > least[kind] if len(order) else np.zeros(0, bool)
     gone = order[later]
-    np.add.at(change, own.first[gone], 1)
-    np.add.at(change, own.last[gone] + w, -1)
+    np.add.at(change, first[gone], 1)
+    np.add.at(change, last[gone] + w, -1)
     replies = replies[np.argsort(replies["content"], kind="stable")]
     stay = order[~later]
     low = np.searchsorted(replies["content"], content[stay])
     count = np.searchsorted(replies["content"], content[stay], side="right") - low
     spot = tv.ragged(low, count)
-    base = np.repeat(own.first[stay], count)
+    base = np.repeat(first[stay], count)
     np.add.at(change, base + replies["first"][spot], 1)
     np.add.at(change, base + replies["last"][spot] + w, -1)
     return np.cumsum(change[:-1]) > 0
@@ -349,8 +488,10 @@ _OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string,
 def _apply(shape: Shape, with_text: bool):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         own = _Group(docs, shape)
-        blobs = [np.frombuffer(x.as_buffer(), dtype=_REPLY) for x in answers.column("replies")] if answers.num_rows else []
-        gone = removed_bytes(own, np.concatenate([*blobs, np.zeros(0, _REPLY)]))
+        _, _, messages = read_bundles(answers)
+        replies = np.concatenate([*(np.frombuffer(x, dtype=_REPLY) for x, _ in messages), np.zeros(0, _REPLY)])
+        hot = np.unique(np.concatenate([*(_from_bytes(x) for _, x in messages), np.zeros(0, U64)]))
+        gone = removed_bytes(own, replies, hot)
         total = np.concatenate([[0], np.cumsum(gone)])
         begin = gone & ~np.append(False, gone[:-1]) if len(gone) else gone
         at = own.offsets[:-1]
@@ -372,26 +513,39 @@ def _apply(shape: Shape, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, group_bytes: int = 4 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = 50,
+    group_bytes: int = 4 << 20,
+    with_text: bool = False,
+    fan: int = 1024,
+    hot_groups: int = 256,
+) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each row.
 
     A byte goes if a ``window``-byte string that covers it also starts in a document of a
     smaller id. ``kept`` is the remaining text, without characters that were cut in half.
 
-    Null and empty texts have no bytes. Rows with one id are one document in this: they
-    don't remove each other's bytes. Rows with a null id remove nothing and lose nothing.
-    ``window`` is 2 to 60,000 bytes.
+    Null and empty texts have no bytes; very long ones are one document, whole, in a group.
+    Rows with one id are one document in this: they don't remove each other's bytes. Rows
+    with a null id remove nothing and lose nothing. Ids are integers. An empty table gives no
+    rows; other columns are ignored. ``window`` is 2 to 60,000 bytes. Messages go ``fan``
+    ways a hop; anchors in more than ``hot_groups`` groups are split. Neither changes the
+    result.
     """
     shape = Shape(window)
     groups = bucket_count(docs, group_bytes, text_col)
+    net = Net(groups, fan)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    named = own.where("id is not null").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long")).repartition(groups, "g")
-    asked = named.groupBy("g").applyInArrow(_send_anchors(shape, groups), "bucket long, g long, one binary, many binary")
-    answered = asked.groupBy("bucket").applyInArrow(_answer_anchors, "g long, anchors binary")
-    runs = named.groupBy("g").cogroup(answered.groupBy("g")).applyInArrow(_send_runs(shape, groups), "bucket long, g long, runs binary, data binary")
+    named = own.where("id is not null").withColumn("dest", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long")).repartition(groups, "dest")
+    asked = net.carry(named.groupBy("dest").applyInArrow(_send_anchors(shape, net, groups), net.SCHEMA))
+    answered = net.carry(asked.groupBy("dest").applyInArrow(_answer_anchors(net, hot_groups), net.SCHEMA))
+    runs = net.carry(named.groupBy("dest").cogroup(answered.groupBy("dest")).applyInArrow(_send_runs(shape, net, groups), net.SCHEMA), _bytes_once)
     # one query throughout, so that all three uses of the grouped texts share one exchange
-    replies = runs.groupBy("bucket").applyInArrow(_answer_runs(window), "g long, replies binary")
-    found = named.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_apply(shape, with_text), _OUT)
+    replies = net.carry(runs.groupBy("dest").applyInArrow(_answer_runs(window, net), net.SCHEMA))
+    found = named.groupBy("dest").cogroup(replies.groupBy("dest")).applyInArrow(_apply(shape, with_text), _OUT)
     body = F.coalesce("text", F.lit(""))
     spared = own.where("id is null").select("id", F.octet_length(body).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"), body.alias("kept"))
     columns = [F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
