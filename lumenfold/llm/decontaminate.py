@@ -13,7 +13,6 @@ terminators, ordered by place, so that sorting stops at them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import textvec as tv
+from lumenfold.llm.shared import materialize
 
 U64 = np.uint64
 
@@ -172,11 +172,19 @@ class Windows:
             for k in range(max(1, n - size + 1) if n else 0):
                 patterns.setdefault(tuple(own[k : k + size]), set()).add(item)
         self.lengths = np.array([len(p) for p in patterns], dtype=np.int64)
-        self.table = np.zeros((len(patterns), size), dtype=np.int64)
+        self.table = np.zeros((len(patterns), size), dtype=np.int32)
         for row, p in zip(self.table, patterns, strict=True):
             row[size - len(p) :] = p
         self.of = [sorted(x) for x in patterns.values()]
 
+    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        """Words of documents as symbols; 0 for those that no item of the block has."""
+        if not len(self.vocabulary):
+            return np.zeros(len(hashes), dtype=np.int32)
+        at = np.searchsorted(self.vocabulary, hashes)
+        at[at == len(self.vocabulary)] = 0
+        return np.where(self.vocabulary[at] == hashes, at + 1, 0).astype(np.int32)
+
 
 def find_hits(symbols: np.ndarray, counts: np.ndarray, windows: Windows, most: int = 1 << 20) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Which words of a run of documents are hit, and the (document, item) pairs.
@@ -220,18 +228,33 @@ _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("word", pa.int6
 _SPANS = "array<struct<start:bigint,stop:bigint,word:bigint,words:bigint>>"
 
 
-def _search_pass(shared, at: int, shard_words: int):
-    """Joins what one block of items finds to (n_words, hits, items), the last three columns."""
+def _search_pass(blocks: list, at: int, shard_words: int):
+    """Joins what some blocks of items find to (n_words, hits, items), the last three columns.
+
+    A shard is indexed for one block after another, so that a worker holds one shard and one
+    block at a time, however many there are."""
 
-    def shard(held: list, windows: Windows) -> Iterator[pa.RecordBatch]:
+    def loaded(block) -> Windows:
+        windows = block.value
+        if len(blocks) > 1:
+            # the worker's copy would stay until the task ends
+            block.__dict__.pop("_value", None)
+        return windows
+
+    def shard(held: list) -> Iterator[pa.RecordBatch]:
         counts = np.concatenate([x[2] for x in held])
-        hit, pairs = find_hits(np.concatenate([x[1] for x in held]), counts, windows)
+        hashes = np.concatenate([x[1] for x in held])
+        hit = np.zeros(len(hashes), dtype=bool)
         items: dict[int, list[str]] = {}
-        for d, item in pairs:
-            items.setdefault(d, []).append(windows.names[item])
+        for block in blocks:
+            windows = loaded(block)
+            own, pairs = find_hits(windows.symbols(hashes), counts, windows)
+            hit |= own
+            for d, item in pairs:
+                items.setdefault(d, []).append(windows.names[item])
         row = word = 0
-        for rows, symbols, own, starts, ends in held:
-            mine = hit[word : word + len(symbols)]
+        for rows, words, own, starts, ends in held:
+            mine = hit[word : word + len(words)]
             doc = np.repeat(np.arange(len(own)), own)
             begin = np.cumsum(own) - own
             earlier = rows.column(at + 1).to_pylist()
@@ -251,30 +274,23 @@ def _search_pass(shared, at: int, shard_words: int):
             columns = rows.columns[:at] + [pa.array(own), pa.array(hits, pa.list_(_SPAN)), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
             row += len(own)
-            word += len(symbols)
+            word += len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows: Windows = shared.value
         held, size = [], 0
         for batch in batches:
             for piece in tv.slices(batch.column(at - 1)):
                 data = tv.LOWER[piece.data]
                 words = tv.find_words(data, piece.offsets, tv.ALNUM)
                 hashes = tv.hash_spans(data, words.starts, words.ends)
-                symbols = np.searchsorted(windows.vocabulary, hashes)
-                if len(windows.vocabulary):
-                    symbols[symbols == len(windows.vocabulary)] = 0
-                    symbols = np.where(windows.vocabulary[symbols] == hashes, symbols + 1, 0)
-                else:
-                    symbols = np.zeros(len(hashes), dtype=np.int64)
                 base = np.repeat(piece.offsets[:-1], words.counts)
-                held.append((batch.slice(piece.first, piece.rows), symbols.astype(np.int32), words.counts, (words.starts - base), (words.ends - base)))
-                size += len(symbols)
+                held.append((batch.slice(piece.first, piece.rows), hashes, words.counts, (words.starts - base).astype(np.int32), (words.ends - base).astype(np.int32)))
+                size += len(hashes)
                 if size >= shard_words:
-                    yield from shard(held, windows)
+                    yield from shard(held)
                     held, size = [], 0
         if held:
-            yield from shard(held, windows)
+            yield from shard(held)
 
     return run
 
@@ -302,7 +318,8 @@ def benchmark_hits(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 13,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 2 << 20,
+    blocks_at_once: int = 8,
     shard_words: int = 1 << 20,
 ) -> DataFrame:
     """The columns ``keep`` (default id_col) and n_words, n_hit, items, spans per document.
@@ -310,11 +327,14 @@ def benchmark_hits(
     A window is ``window`` consecutive words of an item, or all words of a shorter item. A
     document's word inside any occurrence of a window is hit; ``items`` are the sorted
     distinct ids of items with occurring windows and ``spans`` the merged (start, stop) byte
-    ranges of the hits. Test items are broadcast in blocks of ``block_bytes``, one pass over
-    the documents for each, so no broadcast grows with them.
-
-    Null and empty texts have no words. Rows that repeat, or have null ids, are judged one
-    by one. An empty benchmark hits nothing; an item with a null id is ignored.
+    ranges of the hits. Test items are broadcast in blocks of about ``block_bytes`` of text,
+    ``blocks_at_once`` of them to a pass over the documents; passes are written between, so
+    neither what is broadcast at once nor what a worker holds grows with the items.
+
+    Null and empty texts have no words; very long ones are indexed in overlapping pieces.
+    Rows that repeat, or have null ids, are judged one by one; items of equal text all count.
+    An empty benchmark hits nothing, an empty table gives no rows; an item with a null id is
+    ignored. Other columns are ignored unless in ``keep``, whatever their names.
     """
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
@@ -326,9 +346,18 @@ def benchmark_hits(
         F.array().cast("array<string>").alias("items"),
     )
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    for block in chain([next(blocks, [])], blocks):
-        shared = spark.sparkContext.broadcast(Windows(block, window))
-        now = now.mapInArrow(_search_pass(shared, len(keep) + 1, shard_words), now.schema)
+    waiting, more = [spark.sparkContext.broadcast(Windows(next(blocks, []), window))], next(blocks, None)
+    while True:
+        while more is not None and len(waiting) < blocks_at_once:
+            waiting.append(spark.sparkContext.broadcast(Windows(more, window)))
+            more = next(blocks, None)
+        now = now.mapInArrow(_search_pass(waiting, len(keep) + 1, shard_words), now.schema)
+        if more is None:
+            break
+        now = materialize(now)
+        for old in waiting:
+            old.unpersist()
+        waiting = []
     return now.select(
         *[F.col(f"k{j}").alias(c) for j, c in enumerate(keep)],
         "n_words",
