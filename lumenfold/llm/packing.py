@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import textvec as tv
-from lumenfold.llm.shared import materialize
+from lumenfold.llm.shared import discard, materialize
 
 VOCABULARY = "word_bpe_49k.json"
 U64 = np.uint64
@@ -240,13 +240,15 @@ def best_fit_packing(
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     A document is its ids and ``end_id``; only longer ones than ``capacity`` are cut. Level
-    0 packs hashed groups of about ``group_pieces`` pieces; each further level joins
-    ``fan_in`` groups' sequences with more than ``full`` tokens of room as items, until one
-    group is left or the underfull ones stop getting fewer.
-
-    Null and empty texts are the end id alone. Repeated rows are packed one by one; a null
-    id stays null. An empty table gives no rows. ``path`` is the vocabulary file; None looks
-    it up on each machine.
+    0 packs hashed groups of about ``group_pieces`` pieces. Each further level deals the
+    sequences with more than ``full`` tokens of room anew, as items, to a ``fan_in``th of the
+    groups, but at most twice ``group_pieces`` to a group; levels end when one group has held
+    all that is underfull, or when groups can't get fewer and joined nothing more.
+
+    Null and empty texts are the end id alone; very long ones are cut into many pieces.
+    Repeated rows are packed one by one; a null id stays null. Ids are integers. Pieces of
+    one length go by their place in the table. An empty table gives no rows. Other columns
+    are ignored. ``path`` is the vocabulary file; None looks it up on each machine.
     """
     pieces = materialize(
         tokenized_pieces(docs, capacity, id_col, text_col, path, end_id).withColumn("item", F.monotonically_increasing_id())
@@ -258,17 +260,18 @@ def best_fit_packing(
     schema = "item long, bin long, at long, fill long, done boolean"
     under = None
     while True:
-        grouped = items.withColumn("group", F.pmod(F.xxhash64("item"), F.lit(groups)))
+        # the level is part of the hash, so that what met in vain is dealt anew
+        grouped = items.withColumn("group", F.pmod(F.xxhash64("item", F.lit(len(levels))), F.lit(groups)))
         level = materialize(grouped.groupBy("group").applyInArrow(_pack(capacity, full), schema))
         levels.append(level)
         if groups == 1:
             break
         items = level.where("not done").groupBy("bin").agg(F.max("fill").alias("length")).withColumnRenamed("bin", "item")
         now = items.count()
-        if now == 0 or (under is not None and now > 0.98 * under and now > group_pieces):
+        fewer = max(-(-groups // fan_in), -(-now // (2 * group_pieces)))
+        if now == 0 or (fewer == groups and now == under):
             break
-        # fewer groups, yet no group larger than a bounded number of items
-        groups, under = max(-(-groups // fan_in), -(-now // (2 * group_pieces))), now
+        groups, under = fewer, now
     # walk down: the last level's bins name sequences, earlier ones add their place in them
     place = None
     for level in reversed(levels):
@@ -278,6 +281,8 @@ def best_fit_packing(
         else:
             up = place.select(F.col("item").alias("bin"), F.col("bin").alias("higher"), F.col("at").alias("further"))
             place = own.join(up, "bin", "left").select("item", F.coalesce("higher", "bin").alias("bin"), (F.col("at") + F.coalesce("further", F.lit(0))).alias("at"))
-    return pieces.join(place, "item").select(
-        "doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset")
+    result = materialize(
+        pieces.join(place, "item").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     )
+    discard(pieces, *levels)
+    return result
