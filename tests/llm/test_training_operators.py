@@ -109,7 +109,9 @@ def test_connected_components(spark):
     assert found == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
 
 
-def test_repeated_windows(docs, empty):
+@pytest.mark.parametrize("how", [{}, {"fan": 2, "hot_groups": 0}, {"fan": 3, "hot_groups": 1, "group_bytes": 2000}])
+def test_repeated_windows(docs, empty, how):
+    """Also over a net of several hops, with frequent anchors split."""
     from lumenfold.llm.repeats import remove_repeats
 
     seen, expected = {}, {}
@@ -125,10 +127,11 @@ def test_repeated_windows(docs, empty):
         kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
         spans = len([x for x in bytes(gone).split(b"\0") if x])
         expected[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    found = by_id(remove_repeats(docs))
+    found = by_id(remove_repeats(docs, **how))
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in found.items()} == expected
-    assert remove_repeats(docs).where("doc_id is null and n_removed = 0").count() == 2
-    assert remove_repeats(empty).count() == 0
+    if not how:
+        assert remove_repeats(docs).where("doc_id is null and n_removed = 0").count() == 2
+        assert remove_repeats(empty).count() == 0
 
 
 def test_fm_index():
@@ -158,8 +161,8 @@ def test_fm_index():
             assert found.get(k, []) == [i for i in range(len(text) - len(p) + 1) if text[i : i + len(p)].tolist() == p]
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 60])
-def test_decontamination(spark, docs, empty, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "at_once"), [(8 << 20, 8), (60, 8), (60, 2)])
+def test_decontamination(spark, docs, empty, block_bytes, at_once):
     from lumenfold.llm.decontaminate import benchmark_hits
 
     texts = dict(corpus())
@@ -180,7 +183,7 @@ def test_decontamination(spark, docs, empty, block_bytes):
                     hit.update(range(k, k + size))
                     names |= windows[tuple(w[k : k + size])]
         expected[i] = (len(w), len(hit), sorted(names))
-    found = by_id(benchmark_hits(docs, benchmark, block_bytes=block_bytes))
+    found = by_id(benchmark_hits(docs, benchmark, block_bytes=block_bytes, blocks_at_once=at_once))
     assert {i: (r["n_words"], r["n_hit"], list(r["items"])) for i, r in found.items()} == expected
     one = found[40]
     assert all(a < b for a, b in one["spans"]) and one["n_hit"] > 0
