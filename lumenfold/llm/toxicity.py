@@ -2,15 +2,17 @@
 
 Terms are all lower-cased words of the labelled examples. A term's TF-IDF weight is scaled by
 how surely it goes with a label, never to nought, so that rare words that say nothing about
-the label don't decide who is near. Examples stand in a block-max inverted index: postings by
-term and block, each with the greatest weight in it. A query bounds every block by its terms'
-maxima, scores blocks from the greatest bound down, a few at a time, and stops when no block
-left can reach the k-th best cosine. Votes weighted by inverse distance are calibrated on the
-examples' own leave-one-out votes.
+the label don't decide who is near. Examples stand in a block-max inverted index. Most terms
+are in few examples, and their postings are summed whole; those of frequent terms stand by
+block, each block with its terms' greatest weights. A query bounds every block by those, scores
+the few blocks of the greatest bounds, and then those alone that can still reach the k-th best
+cosine. Votes weighted by inverse distance are calibrated on the examples' own leave-one-out
+votes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -43,64 +45,83 @@ def term_counts(piece: tv.Slice, vocabulary: np.ndarray | None) -> tuple[np.ndar
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples; rows, terms and counts come ordered by row, then term."""
+    """Unit vectors of examples; rows, terms and counts come ordered by row, then term.
 
-    def __init__(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, size: int, factor: np.ndarray, block: int = 64) -> None:
-        self.size, self.block, self.number = size, block, max(1, -(-size // block))
-        df = np.bincount(terms, minlength=len(factor))
-        self.idf = (np.log((1 + size) / (1 + df)) + 1) * factor
+    Postings of the rest of the terms stand by term. Those of frequent terms, at most
+    ``wide`` of them, stand by block, as a dense piece of few columns with the greatest weight
+    of each."""
+
+    def __init__(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, size: int, factor: np.ndarray, block: int = 64, wide: int = 512) -> None:
+        self.size, self.block = size, block
+        self.df = np.bincount(terms, minlength=len(factor))
+        self.idf = (np.log((1 + size) / (1 + self.df)) + 1) * factor
         weight = self.weigh(terms, counts)
         norm = np.sqrt(np.bincount(rows, weights=weight * weight, minlength=size))
         weight = weight / norm[rows]
-        order = np.lexsort((rows, terms))
-        self.rows, self.weights = rows[order].astype(np.int32), weight[order]
-        # an entry is the run of a term's postings in one block
-        self.first, end = tv.blocks(terms[order], self.rows // block)
-        self.length = (end - self.first).astype(np.int32)
-        self.at = (self.rows[self.first] // block).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weights, self.first) if len(self.first) else np.zeros(0)
-        self.entry = np.searchsorted(terms[order][self.first], np.arange(len(factor) + 1))
+        often = np.flatnonzero(self.df * 16 >= size)
+        often = often[np.argsort(-self.df[often], kind="stable")[:wide]]
+        self.column = np.full(len(factor), -1)
+        self.column[often] = np.arange(len(often))
+        dense = self.column[terms] >= 0
+        self.dense = np.zeros((size, len(often)))
+        self.dense[rows[dense], self.column[terms[dense]]] = weight[dense]
+        self.begins = np.arange(0, size, block)
+        self.most = np.maximum.reduceat(self.dense, self.begins, axis=0) if size else np.zeros((0, len(often)))
+        order = np.lexsort((rows[~dense], terms[~dense]))
+        self.rows, self.weights = rows[~dense][order], weight[~dense][order]
+        self.start = np.searchsorted(terms[~dense][order], np.arange(len(factor)))
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (1 + np.log(counts)) * self.idf[terms]
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the k nearest examples with a common term, ties by id."""
+    def nearest(self, row: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, k: int, skip: np.ndarray | None = None, first: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and cosines of each of n queries' k nearest examples with a common term, ties
+        by id; ``row`` is the query of each term, ``skip`` an example that each leaves out."""
+        if not self.size or not len(terms):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
         q = self.weigh(terms, counts)
-        q = q / np.sqrt(q @ q)
-        many = self.entry[terms + 1] - self.entry[terms]
-        entry = tv.ragged(self.entry[terms], many)
-        q = np.repeat(q, many)
-        at = self.at[entry]
-        bound = np.bincount(at, weights=q * self.most[entry], minlength=self.number)
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound)]
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 8
-        while done < len(order):
-            if len(ids) == k:
-                # rounding is allowed for, so that a tie at the k-th place is seen
-                order = order[: done + np.count_nonzero(bound[order[done:]] >= scores[-1] - 1e-9)]
-            some = order[done : done + step]
-            done, step = done + len(some), step * 2
-            if not len(some):
-                break
-            wanted = np.zeros(self.number, dtype=bool)
-            wanted[some] = True
-            chosen = wanted[at]
-            own, length = entry[chosen], self.length[entry[chosen]]
-            posting = tv.ragged(self.first[own], length)
-            sums = np.bincount(self.rows[posting], weights=self.weights[posting] * np.repeat(q[chosen], length), minlength=self.size)
-            hit = np.flatnonzero(sums)
-            hit = hit[hit != skip]
-            ids, scores = np.append(ids, hit), np.append(scores, np.round(sums[hit], 12))
-            if len(ids) > k:
-                last = np.partition(-scores, k - 1)[k - 1]
-                near = -scores <= last
-                ids, scores = ids[near], scores[near]
+        q = q / np.sqrt(np.bincount(row, weights=q * q, minlength=n))[row]
+        column = self.column[terms]
+        often = column >= 0
+        query = np.zeros((n, self.dense.shape[1]))
+        query[row[often], column[often]] = q[often]
+        # the sums over the rest of the terms are whole; they bound the cosines from below
+        row, terms, q = row[~often], terms[~often], q[~often]
+        length = self.df[terms]
+        posting = tv.ragged(self.start[terms], length)
+        at = np.repeat(row * self.size, length) + self.rows[posting]
+        sums = np.bincount(at, weights=self.weights[posting] * np.repeat(q, length), minlength=n * self.size).astype(np.float64, copy=False).reshape(n, self.size)
+        bound = np.maximum.reduceat(sums, self.begins, axis=1) + query @ self.most.T
+        skipped = (np.arange(n), skip) if skip is not None else None
+
+        def score(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                some = np.flatnonzero(wanted[:, b])
+                low = self.begins[b]
+                sums[some, low : low + self.block] += query[some] @ self.dense[low : low + self.block].T
+            if skipped:
+                sums[skipped] = 0.0
+
+        best = np.zeros(bound.shape, dtype=bool)
+        some = min(first, bound.shape[1])
+        np.put_along_axis(best, np.argpartition(-bound, some - 1, axis=1)[:, :some], True, axis=1)
+        score(best)
+        k = min(k, self.size)
+        # rounding is allowed for, so that a tie at the k-th place is seen
+        last = -np.partition(-sums, k - 1, axis=1)[:, k - 1]
+        score(~best & (bound > 0) & (bound >= last[:, None] - 1e-9))
+        out = []
+        last = -np.partition(-sums, k - 1, axis=1)[:, k - 1]
+        for own, least in zip(sums, last, strict=True):
+            ids = np.flatnonzero((own >= least - 1e-9) & (own > 0))
+            scores = np.round(own[ids], 12)
             top = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[top], scores[top]
-        return ids, scores
+            out.append((ids[top], scores[top]))
+        return out
+
+
+#: Queries that are scored at once: their sums are a dense piece of that many rows.
+QUERIES = 128
 
 
 def vote(y: np.ndarray, ids: np.ndarray, scores: np.ndarray, prior: float, strength: float = 0.5) -> float:
@@ -150,26 +171,67 @@ class Model:
             terms.append(t)
             counts.append(c)
         rows, terms, counts = (np.concatenate([*x, np.zeros(0, d)]) for x, d in ((rows, np.int64), (terms, U64), (counts, np.int64)))
-        size, toxic = len(y), float(y.sum())
-        self.prior = (toxic + 1) / (size + 2)
         self.vocabulary, number = np.unique(terms, return_inverse=True)
-        df = np.bincount(number, minlength=len(self.vocabulary)).astype(float)
-        hits = np.bincount(number, weights=y[rows], minlength=len(self.vocabulary)) if len(rows) else df
-        self.index = BlockMaxIndex(rows, number, counts, size, label_factor(df, hits, self.prior))
-        v = np.full(size, self.empty())
-        for a, b in zip(*tv.blocks(rows), strict=True):
-            near = self.index.nearest(number[a:b], counts[a:b], k, skip=int(rows[a]))
-            v[rows[a]] = vote(y, *near, self.prior) if len(near[0]) else self.empty()
+        self.postings = rows.astype(np.int32), number.astype(np.int32), np.minimum(counts, 0xFFFF).astype(np.uint16)
+        self._index()
+        size, toxic = len(y), float(y.sum())
+        v = self.votes(rows, number, self.postings[2], size, own=True)[0]
         self.slope, self.offset = _platt(v, y) if 0 < toxic < size else (1.0, 0.0)
 
+    def _index(self) -> None:
+        rows, terms, counts = (x.astype(np.int64) for x in self.postings)
+        size = len(self.y)
+        self.prior = (float(self.y.sum()) + 1) / (size + 2)
+        df = np.bincount(terms, minlength=len(self.vocabulary)).astype(float)
+        hits = np.bincount(terms, weights=self.y[rows], minlength=len(self.vocabulary)) if len(rows) else df
+        self.index = BlockMaxIndex(rows, terms, counts, size, label_factor(df, hits, self.prior))
+
+    def to_bytes(self) -> bytes:
+        """Postings and calibration, packed; the index is built anew where they are read."""
+        state = {k: v for k, v in self.__dict__.items() if k != "index"}
+        return pa.compress(pickle.dumps(state), codec="zstd", asbytes=True) + len(pickle.dumps(state)).to_bytes(8, "little")
+
+    @classmethod
+    def of(cls, packed: bytes) -> Model:
+        made = cls.__new__(cls)
+        size = int.from_bytes(packed[-8:], "little")
+        made.__dict__ = pickle.loads(pa.decompress(pa.py_buffer(packed)[:-8], decompressed_size=size, codec="zstd", asbytes=True))
+        made._index()
+        return made
+
     def empty(self) -> float:
         """The vote of a text without any known word: below every text with one neighbour."""
         return self.prior / 4
 
+    def votes(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, own: bool = False) -> tuple[np.ndarray, list]:
+        """Votes and neighbours of n texts; of the examples themselves without their ``own``."""
+        v, found = np.full(n, self.empty()), []
+        for begin in range(0, n, QUERIES):
+            end = min(n, begin + QUERIES)
+            a, b = np.searchsorted(rows, [begin, end])
+            near = self.index.nearest(rows[a:b] - begin, terms[a:b], counts[a:b], end - begin, self.k, np.arange(begin, end) if own else None)
+            for j, (ids, scores) in enumerate(near):
+                if len(ids):
+                    v[begin + j] = vote(self.y, ids, scores, self.prior)
+            found += near
+        return v, found
+
     def calibrated(self, v):
         return 1 / (1 + np.exp(-(self.slope * _logit(v) + self.offset)))
 
 
+#: The model that this process read last, by its bytes.
+_READ: dict[str, Model] = {}
+
+
+def _model(packed: bytes) -> Model:
+    name = hashlib.sha256(packed).hexdigest()
+    if name not in _READ:
+        _READ.clear()
+        _READ[name] = Model.of(packed)
+    return _READ[name]
+
+
 def toxicity_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -195,25 +257,19 @@ def toxicity_scores(
     """
 
     def train(ids, texts, y):
-        return pickle.dumps(Model(ids, texts, y, k))
+        return Model(ids, texts, y, k).to_bytes()
 
     model = train_in_one_task(labelled_sample(docs, labels, label, most, id_col, text_col, most_bytes), train)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = pickle.loads(shared.value)
+        m = _model(shared.value)
         for batch in batches:
             for piece in tv.slices(batch.column(1)):
                 row, term, count = term_counts(piece, m.vocabulary)
-                term = term.astype(np.int64)
-                votes = np.full(piece.rows, m.empty())
-                evidence: list[list[dict]] = [[] for _ in range(piece.rows)]
-                for x, z in zip(*tv.blocks(row), strict=True):
-                    ids, cosines = m.index.nearest(term[x:z], count[x:z], m.k)
-                    if len(ids):
-                        votes[row[x]] = vote(m.y, ids, cosines, m.prior)
-                        evidence[row[x]] = [{"doc_id": int(m.ids[i]), "cosine": float(s), "label": int(m.y[i])} for i, s in zip(ids[:5], cosines[:5], strict=True)]
+                votes, near = m.votes(row.astype(np.int64), term.astype(np.int64), count, piece.rows)
+                evidence = [[{"doc_id": int(m.ids[i]), "cosine": float(s), "label": int(m.y[i])} for i, s in zip(ids[:5], cosines[:5], strict=True)] for ids, cosines in near]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(piece.first, piece.rows), pa.array(m.calibrated(votes)), pa.array(evidence, kind)], names=["id", "score", "evidence"]
                 )

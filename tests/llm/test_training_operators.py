@@ -315,21 +315,28 @@ def test_block_max_index():
     counts = rng.integers(0, 3, (size, vocabulary)) * rng.integers(0, 2, (size, vocabulary))
     counts[40] = counts[90] = counts[7]
     rows, terms = np.nonzero(counts)
-    for block in (1, 16, 64):
-        index = BlockMaxIndex(rows, terms, counts[rows, terms], size, rng.random(vocabulary) + 0.01, block=block)
+    for block, wide in ((1, 512), (16, 4), (64, 0), (16, 512)):
+        index = BlockMaxIndex(rows, terms, counts[rows, terms], size, rng.random(vocabulary) + 0.01, block=block, wide=wide)
         dense = np.zeros((size, vocabulary))
         dense[rows, terms] = index.weigh(terms, counts[rows, terms])
         dense /= np.maximum(1e-12, np.linalg.norm(dense, axis=1))[:, None]
-        for _ in range(30):
-            q = np.unique(rng.integers(0, vocabulary, 5))
-            c = rng.integers(1, 4, len(q))
-            v = np.zeros(vocabulary)
-            v[q] = index.weigh(q, c)
-            scores = np.round(dense @ (v / np.linalg.norm(v)), 12)
-            order = [i for i in np.lexsort((np.arange(size), -scores)) if scores[i] > 0][:7]
-            ids, found = index.nearest(q, c, 7)
-            assert np.allclose(found, scores[order], atol=2e-12)
-            assert set(ids[found > found[-1] + 1e-9]) == set(np.array(order)[scores[order] > found[-1] + 1e-9])
+        asked = [np.unique(rng.integers(0, vocabulary, 5)) if k % 7 else np.zeros(0, np.int64) for k in range(30)]
+        row, term = np.repeat(np.arange(30), [len(q) for q in asked]), np.concatenate(asked)
+        count = rng.integers(1, 4, len(term))
+        skip = rng.integers(0, size, 30)
+        for k, left in itertools.product((3, 7, 500), (None, skip)):
+            found = index.nearest(row, term, count, 30, k, left, first=1)
+            for j, (ids, scores) in enumerate(found):
+                v = np.zeros(vocabulary)
+                v[asked[j]] = index.weigh(asked[j], count[row == j])
+                cosines = dense @ (v / max(1e-12, np.linalg.norm(v)))
+                if left is not None:
+                    cosines[left[j]] = 0
+                cosines = np.round(cosines, 10)
+                order = [i for i in np.lexsort((np.arange(size), -cosines)) if cosines[i] > 0][:k]
+                assert np.allclose(scores, cosines[order], atol=2e-10) and len(ids) == len(order)
+                if len(order):
+                    assert set(ids[scores > scores[-1] + 1e-9]) == set(np.array(order)[cosines[order] > scores[-1] + 1e-9])
 
 
 def test_toxicity_by_plain_python(spark):
