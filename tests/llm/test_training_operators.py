@@ -101,6 +101,65 @@ def test_jaccard_blocks(docs):
     assert {i: r["component_id"] for i, r in whole.items()} == {i: r["component_id"] for i, r in cut.items()}
 
 
+def test_jaccard_large_classes(spark):
+    """A chain of near copies, a class around one text, and loose ones that share its words:
+    however they are cut, the classes are those of all pairs."""
+    from lumenfold.llm.jaccard import jaccard_components
+
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 300)}" for _ in range(60)]
+    texts, now = [], list(base)
+    for k in range(60):
+        now = list(now)
+        now[rng.randrange(len(now))] = f"chain{k}"
+        texts.append(now)
+    for k in range(60):
+        one = list(base)
+        for _ in range(rng.randint(0, 4)):
+            one[rng.randrange(len(one))] = f"x{rng.randint(0, 30)}"
+        texts.append(one[: rng.randint(48, 60)])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(500 + k, " ".join(texts[k])) for k in range(0, 120, 7)]
+    rng.shuffle(rows)
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for unit_tokens in (60, 700, 1 << 20):
+        found = {r["doc_id"]: r["component_id"] for r in jaccard_components(frame, percent=80, unit_tokens=unit_tokens).collect()}
+        assert found == {i: find(i) for i in sets}
+
+
+def test_connected_components_of_random_edges(spark, monkeypatch):
+    """Many partitions that contract little, against union by hand."""
+    from lumenfold.llm import components as C
+
+    rng = random.Random(4)
+    for n, m in ((40, 30), (300, 280), (200, 1000)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        root = list(range(n))
+        for _ in range(n):
+            changed = False
+            for u, v in edges:
+                low = min(root[u], root[v])
+                changed |= root[u] != low or root[v] != low
+                root[u] = root[v] = low
+            if not changed:
+                break
+        frame = spark.createDataFrame(edges, "u long, v long").repartition(12)
+        found = {r["id"]: r["component"] for r in C.connected_components(frame).collect()}
+        assert found == {x: root[x] for u, v in edges if u != v for x in (u, v)}
+
+
 def test_connected_components(spark):
     from lumenfold.llm.components import connected_components
 
@@ -226,6 +285,15 @@ def test_packing(docs, empty):
         assert at <= 256
     total = sum(r["length"] for r in found)
     assert len(sequences) <= 1.15 * -(-total // 256) + 1
+    # levels of small groups give hardly more than one list of all pieces, best-fit decreasing
+    one, _ = best_fit(np.array([r["length"] for r in found]), 256)
+    assert len(sequences) <= 1.05 * (one.max() + 1) + 1
+    # nulls, repeats and columns of the operator's own names
+    odd = [(None, "a b", "p", 1), (None, "a b", "q", 2), (7, None, None, 3), (7, "", "r", 4), (7, "a b", "s", 5)]
+    packed = best_fit_packing(docs.sparkSession.createDataFrame(odd, "doc_id long, text string, item string, length int")).collect()
+    two = len(tokenizer.encode("a b", add_special_tokens=False).ids) + 1
+    assert sorted((str(r["doc_id"]), r["length"]) for r in packed) == sorted([("None", two), ("None", two), ("7", 1), ("7", 1), ("7", two)])
+    assert len({r["sequence_id"] for r in packed}) == 1 and sorted(r["offset"] for r in packed)[0] == 0
     assert best_fit_packing(empty).count() == 0
     bins, room = best_fit(np.array([4, 4, 2, 2, 4]), 8)
     assert len(room) == 2 and sum(room) == 0 and len(bins) == 5
@@ -471,6 +539,7 @@ def test_url_rules(spark, monkeypatch):
 
     urls = [
         (1, None), (2, "nothing"), (3, "http://A.COM/x?y"), (3, "http://A.COM/x?y"), (None, "http://a.com"), (5, "x\ny://www.example.com/en/z#q"), (6, "http://net/es/"),
+        (20, "http://" + "a." * 3000 + "example.com/en/" + "b/" * 3000), (21, "http://" + "x" * 50_000 + "?" + "y" * 50_000), (21, None),
         (7, "http://a.net//es/"), (8, "://com/"), (9, "http://./"), (10, "http://example.com/en/a/b/c"), (11, "https://m.example.com/en/25#top"), (12, "http://u@com/"), (13, "http://xcom/"),
     ]
     expected = []
@@ -695,3 +764,33 @@ def test_pipeline(spark, tmp_path):
     assert "abc123XYZ" not in masked[105]["text"] and masked[105]["n_chars"] == len(masked[105]["text"])
     assert all(masked[i]["text"] == t and masked[i]["n_chars"] == len(t) for i, t in clean.items())
     assert P.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(left[4])
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """No rows; null, repeated and shared ids; nulls everywhere; very long texts; other columns."""
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    one, two, three = (" ".join(word() for _ in range(60)) for _ in range(3))
+    long = " ".join(word() for _ in range(30_000)) + " password=abc123XYZ " + word()
+    rows = [(1, one), (1, two), (1, two), (None, three), (None, three + " more"), (None, None), (2, ""), (3, None), (4, long), (4, long + " end"), (None, long + " end2")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, id int, part string, unit string, row_key long"
+    made = [(i, t, None, None, None if t is None else len(t), "r", None, None, "u", 5) for i, t in rows]
+    for name, data in (("full", made), ("none", [])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(None, one), (5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    kept = P.quality(spark, docs, f"{tmp_path}/full")
+    assert kept.columns == docs.columns and kept.count() == 8
+    unique = P.near_duplicates(spark, kept, f"{tmp_path}/full").collect()
+    assert sorted((str(r["doc_id"]), r["text"][:20]) for r in unique) == sorted([("1", one[:20]), ("1", two[:20]), ("None", three[:20]), ("4", long[:20])])
+    every = P.near_duplicates(spark, docs, f"{tmp_path}/full")
+    assert every.where("text is null or text = ''").count() == 3 and every.columns == docs.columns
+    clean = P.decontamination(spark, docs, f"{tmp_path}/full")
+    assert clean.count() == len(rows) and clean.columns == docs.columns
+    masked = P.secrets(spark, docs, f"{tmp_path}/full").collect()
+    assert len(masked) == len(rows) and not any("abc123XYZ" in (r["text"] or "") for r in masked)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in masked)
+    assert P.run(spark, f"{tmp_path}/full").select("doc_id").distinct().count() == 3
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
