@@ -1,0 +1,44 @@
+"""Password hashes and session tokens."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import hmac
+import secrets
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+# The cost of a hash and its mark.
+COST = {"n": 2**14, "r": 8, "p": 1}
+MARK = "scrypt"
+
+
+def hash_password(password: str, salt: bytes | None = None) -> str:
+    """mark$salt$digest, the salt random unless it is given."""
+    salt = secrets.token_bytes(16) if salt is None else salt
+    digest = hashlib.scrypt(password.encode(), salt=salt, **COST)
+    return "$".join([MARK, *(base64.b64encode(x).decode() for x in (salt, digest))])
+
+
+def verify_password(password: str, encoded: str) -> bool:
+    """False for another password and for what isn't such a hash."""
+    try:
+        mark, salt, digest = encoded.split("$")
+        found = hashlib.scrypt(password.encode(), salt=base64.b64decode(salt, validate=True), **COST)
+        return mark == MARK and hmac.compare_digest(found, base64.b64decode(digest, validate=True))
+    except (AttributeError, ValueError):
+        return False
+
+
+@F.pandas_udf(BooleanType())
+def password_matches(password: pd.Series, encoded: pd.Series) -> pd.Series:
+    return pd.Series([p is not None and verify_password(p, e) for p, e in zip(password, encoded, strict=True)])
+
+
+def token_hash(token: Column) -> Column:
+    """What is stored of a session token."""
+    return F.sha2(token, 256)

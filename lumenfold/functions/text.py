@@ -1,7 +1,7 @@
 """Text cleaning, validation and normalisation as column expressions.
 
 All stay in the JVM but for the two Unicode foldings Spark has no built-in for, which are
-Arrow-batched pandas UDFs.
+Arrow-batched pandas UDFs; of texts in ASCII alone nothing is sent to them.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -63,12 +63,27 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else x.casefold())
 
 
+def normalized(text: Column) -> Column:
+    """Compatibility normalisation of the texts that aren't ASCII, and so may need it."""
+    return F.coalesce(nfkc(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
+
+
+# What Windows-1252 has in place of the control characters of Latin-1.
+WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+CONTROLS = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+
+
 def fix_mojibake(text: Column) -> Column:
-    """UTF-8 once misread as Latin-1 is read anew, where that gives valid text."""
-    suspect = text.rlike("[Â-ô][\u0080-¿]") & ~text.rlike("[^\u0000-ÿ]")
-    again = F.try_validate_utf8(F.decode(F.encode(F.when(suspect, text), "ISO-8859-1"), "UTF-8"))
-    good = suspect & ~F.contains(again, F.lit("�"))
-    return F.when(good, again).otherwise(text)
+    """UTF-8 once misread as Latin-1 or Windows-1252 is read anew, where that gives valid text."""
+
+    def read_again(wide: Column, where: Column) -> Column:
+        suspect = where & wide.rlike("[Â-ô][\u0080-¿]") & ~wide.rlike("[^\u0000-ÿ]")
+        again = F.try_validate_utf8(F.decode(F.encode(F.when(suspect, wide), "ISO-8859-1"), "UTF-8"))
+        return F.when(suspect & ~F.contains(again, F.lit("\ufffd")), again)
+
+    # a text with both kinds of signs is neither
+    windows = text.rlike(f"[{WINDOWS}]") & ~text.rlike("[\u0080-\u009f]")
+    return F.coalesce(read_again(text, F.lit(True)), read_again(F.translate(text, WINDOWS, CONTROLS), windows), text)
 
 
 def strip_glyph_tokens(text: Column) -> Column:
@@ -100,17 +115,16 @@ def lines(text: Column) -> Column:
 
 def drop_duplicate_lines(text: Column) -> Column:
     """Drop a line that equals, stripped, the last line before it that isn't blank."""
-    kept = F.aggregate(
-        lines(text),
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last")),
-        lambda acc, x: let(
-            strip(x),
-            lambda s: F.when((s != "") & s.eqNullSafe(acc["last"]), acc).otherwise(
-                F.struct(F.array_append(acc["out"], x).alias("out"), F.when(s != "", s).otherwise(acc["last"]).alias("last"))
-            ),
-        ),
-    )
-    return F.array_join(kept["out"], "\n")
+    placed = F.transform(lines(text), lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"), x.alias("line")))
+
+    def kept(every: Column) -> Column:
+        def fresh(full: Column) -> Column:
+            first = F.filter(full, lambda x, k: (k == 0) | (F.get(full, k - 1)["s"] != x["s"]))
+            return F.sort_array(F.concat(first, F.filter(every, lambda x: x["s"] == "")))
+
+        return let(F.filter(every, lambda x: x["s"] != ""), fresh)
+
+    return F.array_join(F.transform(let(placed, kept), lambda x: x["line"]), "\n")
 
 
 def drop_page_numbers(text: Column) -> Column:
@@ -135,9 +149,9 @@ def _cleaned(text: Column, steps: list, fixes: list[Column]) -> Column:
     return let(step(text), lambda new: _cleaned(new, rest, [*fixes, F.when(~new.eqNullSafe(text), mark)]))
 
 
-def clean_text(text: Column, normalize: bool = False) -> Column:
-    """struct(text, applied_fixes): the seven steps in their fixed order. ``normalize`` adds
-    the NFKC step, a pandas UDF, between glyphs and hyphens."""
+def clean_text(rows: DataFrame, text: Column, out: str = "cleaned", normalize: bool = True) -> DataFrame:
+    """Adds struct(text, applied_fixes): the seven steps in their fixed order. ``normalize`` is
+    the NFKC step between glyphs and hyphens, for the texts that aren't ASCII alone."""
     first = [("fixed_mojibake", fix_mojibake), ("stripped_glyph_tokens", strip_glyph_tokens)]
     last = [
         ("dehyphenated", dehyphenate),
@@ -146,12 +160,15 @@ def clean_text(text: Column, normalize: bool = False) -> Column:
         ("collapsed_whitespace", collapse_whitespace),
     ]
     if not normalize:
-        return _cleaned(text, first + last, [])
-    before = _cleaned(text, first, [])
-    folded = nfkc(before["text"])
-    mark = F.when(~folded.eqNullSafe(before["text"]), F.lit("normalized_unicode"))
-    after = _cleaned(folded, last, [])
-    return F.struct(after["text"].alias("text"), F.array_compact(F.concat(before["applied_fixes"], F.array(mark), after["applied_fixes"])).alias("applied_fixes"))
+        return rows.withColumn(out, _cleaned(text, first + last, []))
+    own = rows.withColumn("_before", _cleaned(text, first, []))
+    before = F.col("_before.text")
+    # a function of Python's is a column of its own, as it can't stand inside the steps
+    own = own.withColumn("_folded", normalized(before))
+    mark = F.when(~F.col("_folded").eqNullSafe(before), F.lit("normalized_unicode"))
+    own = own.withColumn("_after", _cleaned(F.col("_folded"), last, []))
+    fixes = F.array_compact(F.concat("_before.applied_fixes", F.array(mark), "_after.applied_fixes"))
+    return own.withColumn(out, F.struct(F.col("_after.text").alias("text"), fixes.alias("applied_fixes"))).drop("_before", "_folded", "_after")
 
 
 def meaningful_ratio(text: Column) -> Column:
@@ -177,7 +194,8 @@ def cid_suspect(text: Column, share: float = 0.05) -> Column:
 
 
 def lexical_text(text: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")
+    """Compatibility forms folded, lower case, all but ASCII letters and digits as blanks."""
+    return F.regexp_replace(F.lower(normalized(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", " ")
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -296,8 +314,12 @@ def retry_delay(error: Column) -> Column:
     return F.nullif(F.regexp_extract(error, r"(?i)retry in ([0-9]+(?:\.[0-9]+)?)\s*s", 1), F.lit("")).try_cast("double")
 
 
+# What an error of an exhausted quota says.
+RATE_LIMITED = r"(?i)(?:429|resource[_ ]exhausted|rate limit|quota(?: exceeded| exhausted)?|daily limit)"
+
+
 def rate_limited(error: Column) -> Column:
-    return F.coalesce(error.rlike(r"(?i)\b429\b|quota|rate.?limit|too many requests|daily limit|resource.?exhausted"), F.lit(False))
+    return F.coalesce(error.rlike(RATE_LIMITED), F.lit(False))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -13,59 +13,85 @@ from lumenfold.functions.text import let, rows_to_markdown, section_title, seman
 _STRINGS = "array<string>"
 
 
-def _size(units: Column) -> Column:
-    return F.length(F.array_join(units, "\n\n"))
+def _joined(units: list[str]) -> int:
+    return sum(map(len, units)) + 2 * max(0, len(units) - 1)
 
 
-def _shrunk(units: Column, most: Column) -> Column:
+def _tail(units: list[str], most: int) -> list[str]:
     """The longest tail of ``units`` whose joined length is at most ``most``; may be empty."""
-    n = F.size(units)
-    fits = F.filter(F.sequence(F.lit(1), n + 1), lambda k: (k > n) | (_size(F.slice(units, k, F.greatest(n - k + 1, F.lit(0)))) <= most))
-    first = F.element_at(fits, 1)
-    return F.slice(units, first, F.greatest(n - first + 1, F.lit(0)))
+    size, k = -2, len(units)
+    while k and size + 2 + len(units[k - 1]) <= most:
+        k -= 1
+        size += 2 + len(units[k])
+    return units[k:]
+
+
+def packed(units: list[str], size: int, overlap: int) -> list[str]:
+    """Greedy children of up to ``size`` joined characters, in one walk over the units."""
+    out: list[str] = []
+    now: list[str] = []
+    used = 0
+    for unit in units:
+        if now and used + 2 + len(unit) > size:
+            out.append("\n\n".join(now))
+            last = (_tail(now, overlap) or now[-1:]) if overlap > 0 else []
+            now = _tail(last, size - 2 - len(unit))
+            used = _joined(now)
+        used += len(unit) + (2 if now else 0)
+        now.append(unit)
+    return [*out, "\n\n".join(now)] if now else out
 
 
 def pack_children(text: Column, size: int = 450, overlap: int = 75) -> Column:
     """Greedy packing of semantic units up to ``size`` joined characters. A new child begins
     with the longest tail of the last one within ``overlap`` characters, one unit at least
-    where that and the next unit fit together."""
-    none = F.array().cast(_STRINGS)
-
-    def tail(units: Column) -> Column:
-        if overlap <= 0:
-            return none
-        short = _shrunk(units, F.lit(overlap))
-        return F.when(F.size(short) > 0, short).otherwise(F.slice(units, -1, 1))
-
-    def step(acc: Column, unit: Column) -> Column:
-        joined = F.array_append(acc["now"], unit)
-        grown = F.struct(acc["out"].alias("out"), joined.alias("now"))
-        room = F.lit(size - 2) - F.length(unit)
-        nxt = let(tail(acc["now"]), lambda t: F.array_append(_shrunk(t, room), unit))
-        cut = F.struct(F.array_append(acc["out"], F.array_join(acc["now"], "\n\n")).alias("out"), nxt.alias("now"))
-        return F.when((F.size(acc["now"]) == 0) | (_size(joined) <= size), grown).otherwise(cut)
-
-    return F.aggregate(
-        semantic_units(text, size),
-        F.struct(none.alias("out"), none.alias("now")),
-        step,
-        lambda acc: F.when(F.size(acc["now"]) > 0, F.array_append(acc["out"], F.array_join(acc["now"], "\n\n"))).otherwise(acc["out"]),
-    )
+    where that and the next unit fit together. A fold, so an Arrow-batched function: each unit
+    is looked at a bounded number of times."""
+
+    @F.pandas_udf("array<string>")
+    def pack(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda units: None if units is None else packed(list(units), size, overlap))
+
+    return pack(semantic_units(text, size))
 
 
 def pack_blocks(blocks: Column, size: int = 1000) -> Column:
-    """Greedy packing of blocks that counts each as its length plus two."""
-    none = F.array().cast(_STRINGS)
-    start = F.struct(none.alias("out"), none.alias("now"), F.lit(0).alias("used"))
-
-    def step(acc: Column, block: Column) -> Column:
-        cost = F.length(block) + 2
-        fits = (F.size(acc["now"]) == 0) | (acc["used"] + cost <= size)
-        grown = F.struct(acc["out"].alias("out"), F.array_append(acc["now"], block).alias("now"), (acc["used"] + cost).alias("used"))
-        cut = F.struct(F.array_append(acc["out"], F.array_join(acc["now"], "\n\n")).alias("out"), F.array(block).alias("now"), cost.alias("used"))
-        return F.when(fits, grown).otherwise(cut)
-
-    return F.aggregate(blocks, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.array_append(acc["out"], F.array_join(acc["now"], "\n\n"))).otherwise(acc["out"]))
+    """Greedy packing of blocks that counts each as its length plus two, in one walk."""
+
+    @F.pandas_udf("array<string>")
+    def pack(rows: pd.Series) -> pd.Series:
+        def one(units):
+            out, now, used = [], [], 0
+            for unit in units:
+                if now and used + len(unit) + 2 > size:
+                    out.append("\n\n".join(now))
+                    now, used = [], 0
+                now.append(unit)
+                used += len(unit) + 2
+            return [*out, "\n\n".join(now)] if now else out
+
+        return rows.map(lambda units: None if units is None else one(units))
+
+    return pack(blocks)
+
+
+def chunk_id(document: Column, section: Column, index: Column) -> Column:
+    """The same chunk has the same id in every run."""
+    return F.sha2(F.concat_ws(":", document.cast("string"), section.cast("string"), index.cast("string")), 256)
+
+
+def build_chunk(document: Column, section: Column, index: Column, pages: Column, text: Column) -> Column:
+    """struct(chunk_id, page_numbers, chunk_text, n_chars): pages sorted, each once."""
+    return F.struct(
+        chunk_id(document, section, index).alias("chunk_id"), F.array_sort(F.array_distinct(F.array_compact(pages))).alias("page_numbers"),
+        text.alias("chunk_text"), F.length(text).alias("n_chars"),
+    )
+
+
+def join_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Children with the text of their parent, of the same document; without one, null."""
+    up = parents.select("document_id", F.col("chunk_id").alias("parent_chunk_id"), F.col("chunk_text").alias("parent_text"))
+    return children.join(up, ["document_id", "parent_chunk_id"], "left")
 
 
 def child_chunks(docs: DataFrame, size: int = 450, overlap: int = 75) -> DataFrame:

@@ -30,7 +30,7 @@ def clean_document(lines: DataFrame) -> DataFrame:
     """(document_id, page_number, text): cleaned pages without running headers and footers."""
     page = lines.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"))
     text = F.array_join(F.transform("all", lambda x: x["line"]), "\n")
-    cleaned = page.select("document_id", "page_number", clean_text(text)["text"].alias("text"))
+    cleaned = clean_text(page.select("document_id", "page_number", text.alias("joined")), F.col("joined")).select("document_id", "page_number", F.col("cleaned.text").alias("text"))
     again = cleaned.select("document_id", "page_number", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     left = strip_known_lines(again, header_footer_lines(again))
     joined = left.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"))
@@ -124,7 +124,8 @@ def validate_regions(regions: DataFrame, native: float = 0.6, fallback: float =
     status = F.when(has("text_content") | ocr_ok, "ok").when(ocr_low | has("vision_text"), "low_confidence").otherwise("failed")
     text = F.when(method == "native", F.col("text_content")).when(method == "ocr", F.col("ocr_text")).when(method == "vision", F.col("vision_text"))
     tried = F.array_compact(F.array(F.lit("native"), F.when(~has("text_content"), F.lit("ocr")), F.when(~(has("text_content") | ocr_ok | ocr_low), F.lit("vision"))))
-    return regions.withColumn("method", method).withColumn("validation_status", status).withColumn("final_text", clean_text(text)["text"]).withColumn("attempted", tried)
+    judged = regions.withColumn("method", method).withColumn("validation_status", status).withColumn("attempted", tried).withColumn("_chosen", text)
+    return clean_text(judged, F.col("_chosen"), "_cleaned").withColumn("final_text", F.col("_cleaned.text")).drop("_chosen", "_cleaned")
 
 
 def validate_figures(figures: DataFrame) -> DataFrame:
@@ -159,6 +160,12 @@ def _clustered(regions: DataFrame, edge: str, tolerance: float) -> DataFrame:
     return numbered.withColumn(f"{edge}_size", size)
 
 
+def infographic_score(fragmentation: Column, alignment: Column, fragment_weight: float = 0.5, align_weight: float = 0.5) -> Column:
+    """Weighted mean of both scores; nought without weights."""
+    total = fragment_weight + align_weight
+    return (fragmentation * fragment_weight + alignment * align_weight) / total if total > 0 else F.lit(0.0)
+
+
 def layout_scores(regions: DataFrame, tolerance: float = 3.0, fragment_weight: float = 0.5, align_weight: float = 0.5) -> DataFrame:
     """Fragmentation, grid alignment and their weighted mean for each page. Regions have
     ``left_edge`` and ``top_edge``."""
@@ -170,9 +177,7 @@ def layout_scores(regions: DataFrame, tolerance: float = 3.0, fragment_weight: f
     )
     score = F.when((F.col("n_columns") >= 2) & (F.col("n_rows") >= 2), F.col("share")).otherwise(F.lit(0.0))
     joined = grid.select(*keys, score.alias("alignment")).join(region_stats(regions).select(*keys, "fragmentation"), keys)
-    total = fragment_weight + align_weight
-    mean = (F.col("fragmentation") * fragment_weight + F.col("alignment") * align_weight) / total if total > 0 else F.lit(0.0)
-    return joined.withColumn("infographic_score", mean)
+    return joined.withColumn("infographic_score", infographic_score(F.col("fragmentation"), F.col("alignment"), fragment_weight, align_weight))
 
 
 def _near_hashes(images: DataFrame, distance: int) -> DataFrame:

@@ -16,7 +16,8 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("chunk_text", T.StringType()),
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
 ])
-TRUTH_FIELDS = ("id", "question", "ground_truth", "expected_source_file")
+# What a question of a labelled set must have.
+TRUTH_FIELDS = ("id", "question", "ground_truth")
 
 
 def suffix(path: Column) -> Column:
@@ -45,6 +46,66 @@ def extract_with(files: DataFrame, extractor: Callable[[Iterator[pd.DataFrame]],
     return files.mapInPandas(extractor, schema)
 
 
+_PAGES = "array<struct<text:string,error:string>>"
+
+
+def extract_pages(files: DataFrame, extract: Callable[[bytes], dict], most_bytes: int = 200 << 20, most_pages: int = 50) -> DataFrame:
+    """Adds pages and extraction_error: an injected extractor of one file's bytes answers with
+    ``encrypted`` and ``pages``, each with a text or an error. Empty, too large, foreign,
+    encrypted and unreadable files, and those without a page or with too many, are rejected
+    with a reason; what the extractor needn't see isn't sent to it."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    magic = F.substring("content", 1, 5) == F.encode(F.lit("%PDF-"), "UTF-8")
+    early = F.when((F.col("length") == 0) | F.col("content").isNull(), "empty").when(F.col("length") > most_bytes, "size").when(~magic, "magic")
+    gated = files.withColumn("extraction_error", early)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pages, errors = [], []
+            for content, error in zip(pdf["content"], pdf["extraction_error"], strict=True):
+                found = []
+                if error is None:
+                    try:
+                        made = extract(content)
+                        found = [(p.get("text"), p.get("error")) for p in made["pages"]]
+                        error = "encrypted" if made.get("encrypted") else None if 1 <= len(found) <= most_pages else "pages"
+                    except Exception:  # an unreadable file is a row
+                        error = "corrupt"
+                pages.append([{"text": a, "error": b} for a, b in found] if error is None else [])
+                errors.append(error)
+            yield pdf.assign(extraction_error=errors, pages=pages)
+
+    return gated.mapInPandas(run, f"{schema}, extraction_error string, pages {_PAGES}")
+
+
+#: Pages that a layout model is given at once.
+PAGE_BATCH = 10
+# Region types of a layout model's labels, and labels that are noise.
+REGION_TYPES = {
+    "title": "heading", "section_header": "heading", "text": "text", "paragraph": "text", "list_item": "list_item", "caption": "caption",
+    "footnote": "footnote", "page_header": "header", "page_footer": "footer", "table": "table", "picture": "figure", "chart": "figure",
+    "formula": "formula", "code": "code", "handwritten_text": "text",
+}
+NOISE = ("marker", "document_index")
+
+
+def labelled_regions(regions: DataFrame) -> DataFrame:
+    """Adds region_type and is_handwritten from raw_label; noise drops out, what is unknown is
+    called so."""
+    known = F.create_map(*[F.lit(x) for kv in REGION_TYPES.items() for x in kv])
+    kind = F.coalesce(F.try_element_at(known, F.col("raw_label")), F.lit("unknown"))
+    own = regions.where(~F.coalesce(F.col("raw_label").isin(*NOISE), F.lit(False)))
+    return own.withColumn("region_type", kind).withColumn("is_handwritten", F.coalesce(F.col("raw_label") == "handwritten_text", F.lit(False)))
+
+
+def docx_text(paragraphs: Column, tables: Column) -> Column:
+    """A document's blocks: paragraphs that aren't blank, then each row of its tables with the
+    cells joined."""
+    rows = F.transform(F.flatten(F.coalesce(tables, F.array().cast("array<array<array<string>>>"))), lambda r: F.array_join(F.transform(r, lambda c: F.trim(c)), " | "))
+    full = F.coalesce(paragraphs, F.array().cast("array<string>"))
+    return F.filter(F.concat(full, rows), lambda x: F.trim(x) != "")
+
+
 def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(CHUNK_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
     return rows.withColumn("source_path", F.input_file_name())

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions.text import redact
+
+# Columns of a report of judged answers.
 REPORT_COLUMNS = (
     "id", "question", "generated_answer", "faithfulness", "answer_relevancy", "context_precision", "context_recall", "answer_correctness",
-    "retrieval_latency", "generation_latency", "total_latency", "prompt_tokens", "completion_tokens", "total_tokens", "estimated_cost",
+    "retrieval_latency_ms", "generation_latency_ms", "total_latency_ms", "prompt_tokens", "completion_tokens", "total_tokens", "estimated_cost",
 )
 
 
@@ -22,6 +25,39 @@ def status_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("validation_status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_validation_report(regions: DataFrame, path: str) -> DataFrame:
+    """Writes a record for each region; returns how many there are of each type and status."""
+    columns = [c for c in ("document_id", "page_number", "region_id", "region_type", "validation_status", "method", "failure_reason") if c in regions.columns]
+    regions.select(*columns).write.mode("overwrite").parquet(path)
+    return regions.sparkSession.read.parquet(path).groupBy("region_type", "validation_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_tables(regions: DataFrame, path: str, cells: str = "rows") -> None:
+    """Structured tables that passed, one JSON object each."""
+    own = regions.where((F.col("region_type") == "table") & (F.col("validation_status") == "ok"))
+    own.select("region_id", cells).write.mode("overwrite").json(path)
+
+
+def category_counts(elements: DataFrame) -> DataFrame:
+    """Elements by tool and category: what extractors differ in."""
+    return elements.groupBy("tool", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def spans(events: DataFrame) -> DataFrame:
+    """(trace_id, span_id, name, metadata, duration_ms) from starts and ends (what, at_ms);
+    a span without an end has no duration. Secrets in the metadata are masked."""
+    at = lambda what: F.max(F.when(F.col("what") == what, F.col("at_ms")))
+    paired = events.groupBy("trace_id", "span_id", "name").agg((at("end") - at("start")).alias("duration_ms"), F.first("metadata").alias("metadata"))
+    return paired.select("trace_id", "span_id", "name", redact(F.col("metadata")).alias("metadata"), "duration_ms")
+
+
+def latency_report(rows: DataFrame, total: str = "total_ms", stages: str = "stages") -> DataFrame:
+    """Adds measured_ms, the sum of a map of stages, and unaccounted_ms, what is left of the
+    total, nought at least."""
+    measured = F.aggregate(F.map_values(stages), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return rows.withColumn("measured_ms", measured).withColumn("unaccounted_ms", F.greatest(F.lit(0.0), F.col(total) - F.col("measured_ms")))
+
+
 def raw_snapshot(regions: DataFrame) -> DataFrame:
     """Regions of a page as one sorted array, before any cleaning."""
     item = F.struct("reading_order", "region_id", "region_type", "text_content")

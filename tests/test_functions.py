@@ -70,8 +70,29 @@ def test_tokens(spark):
     assert value(spark, T.lexical_overlap(T.lexical_tokens(F.col("x")), T.lexical_tokens(F.col("y"))), x="long term short term", y="long-term") == pytest.approx(2 / 3)
 
 
+def test_compatibility_forms(spark):
+    """Ligatures, full-width and raised characters, and letters with marks of their own."""
+    assert set(value(spark, T.lexical_tokens(F.col("x")), x="ﬁne ＡＢＣ１２ x² cafe\u0301 ㎞")) == {"fine", "abc12", "x2", "caf", "km"}
+    assert value(spark, T.normalized(F.col("x")), x="ﬁ ½ ①") == "fi 1⁄2 1" and value(spark, T.normalized(F.col("x")), x="plain") == "plain"
+    frame = spark.createDataFrame([("ﬁne ＡＢＣ\n12\ninfor-\nmation", 1), ("plain", 2), (None, 3), ("", 4)], "x string, k int")
+    got = {r["k"]: r["cleaned"] for r in T.clean_text(frame, F.col("x")).collect()}
+    assert got[1]["text"] == "fine ABC\ninformation" and list(got[1]["applied_fixes"]) == ["normalized_unicode", "dehyphenated", "removed_page_numbers", "collapsed_whitespace"]
+    assert got[2]["text"] == "plain" and list(got[2]["applied_fixes"]) == ["collapsed_whitespace"] and got[3]["text"] is None and got[4]["text"] == ""
+    assert T.clean_text(frame.where("k = 1"), F.col("x"), normalize=False).first()["cleaned"]["text"] == "ﬁne ＡＢＣ\ninformation"
+
+
+@pytest.mark.parametrize(("broken", "fixed"), [("grÃ¶Ã\x9fe", "größe"), ("grÃ¶ÃŸe", "größe"), ("itâ€™s", "it’s"), ("größe – it’s", "größe – it’s"), ("Ã", "Ã"), ("plain", "plain")])
+def test_mojibake(spark, broken, fixed):
+    assert value(spark, T.fix_mojibake(F.col("x")), x=broken) == fixed
+
+
+@pytest.mark.parametrize(("error", "limited"), [("HTTP 429", True), ("RESOURCE EXHAUSTED", True), ("quota exceeded", True), ("Daily Limit", True), ("too many requests", False), ("rate-limit", False), ("reset", False)])
+def test_rate_limits(spark, error, limited):
+    assert value(spark, T.rate_limited(F.col("x")), x=error) is limited
+
+
 def test_clean(spark):
-    got = value(spark, T.clean_text(F.col("x")), x="a (cid:3)b\nA\nA\nPage 3\n")
+    got = T.clean_text(spark.createDataFrame([("a (cid:3)b\nA\nA\nPage 3\n",)], "x string"), F.col("x")).first()["cleaned"]
     assert got["text"] == "a b\nA" and list(got["applied_fixes"]) == ["stripped_glyph_tokens", "removed_duplicate_lines", "removed_page_numbers", "collapsed_whitespace"]
 
 
