@@ -1,19 +1,29 @@
 """Keyword, dense and hybrid retrieval for many queries at once.
 
-Postings are exploded only after the tokens of a text were cut down to those that some query
-has, so cost follows matches. Candidate pools are per query; ties are broken by id.
+A text is tokenised once: of its tokens only those that some query has are written, with one
+row for the chunk itself. Statistics, scores and overlaps all come from that table, whose rows
+are dealt by chunk, so a query's score of a chunk is summed where its rows are and only the
+best of each part move. Vectors meet queries as blocks of a matrix product. Candidate pools
+are per query; ties are broken by id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import lexical_overlap, lexical_tokens
+from lumenfold.scratch import materialize, small_enough
 
 POOL, RRF_K, OVERLAP_WEIGHT = 40, 60, 0.15
-#: Queries that are broadcast at most, so that the broadcast is bounded.
-QUERY_BATCH = 10_000
+#: Rows that are broadcast at most: tokens of queries, candidates. More are shuffled.
+BROADCAST_ROWS = 200_000
+#: Query vectors that a pass over the vectors holds at most; more take more passes.
+QUERY_BATCH = 4_096
 
 
 def with_tokens(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
@@ -29,22 +39,40 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", lexical_tokens(F.col("query_text")).alias("query_tokens"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, bm25_score) of every matching pair; terms count once a chunk."""
+def _spread(small: DataFrame) -> DataFrame:
+    """A table of queries or candidates, broadcast as long as its rows are few."""
+    return F.broadcast(small) if small_enough(small, BROADCAST_ROWS) else small
+
+
+def token_index(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(chunk_id, length, token), written: a row for each token of a chunk that some query has,
+    and one without a token for each chunk; length is the chunk's number of tokens."""
+    wanted = query_tokens(queries).select(F.explode("query_tokens").alias("token")).distinct().withColumn("wanted", F.lit(True))
+    none = F.array(F.lit(None).cast("string"))
+    rows = with_tokens(chunks).select("chunk_id", F.size("tokens").alias("length"), F.explode(F.concat(none, "tokens")).alias("token"))
+    return materialize(rows.join(_spread(wanted), "token", "left").where("token is null or wanted").select("chunk_id", "length", "token"))
+
+
+def bm25_matches(index: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, bm25_score, n_common) of every matching pair; terms count once a
+    chunk. A sum of whole trillionths is the same in any order."""
     wanted = query_tokens(queries).select("query_id", F.explode("query_tokens").alias("token"))
-    lengths = with_tokens(chunks).select("chunk_id", "tokens", F.size("tokens").alias("length"))
-    used = wanted.select("token").distinct()
-    postings = lengths.select("chunk_id", "length", F.explode("tokens").alias("token")).join(used, "token", "left_semi")
+    postings = index.where("token is not null")
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = bm25_stats(chunks)
-    hit = postings.join(df, "token").join(wanted, "token").join(F.broadcast(stats))
+    stats = index.where("token is null").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("avg_length"))
+    weights = wanted.join(df, "token").join(F.broadcast(stats))
     idf = F.log(1.0 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = 1.0 + k1 * (1.0 - b + b * F.col("length") / F.greatest(F.col("avg_length"), F.lit(1.0)))
-    part = idf * (k1 + 1.0) / norm
-    # adding sorted terms makes a sum independent of the order of tasks
-    terms = hit.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(part)).alias("terms"))
-    score = F.aggregate("terms", F.lit(0.0), lambda a, x: a + x)
-    return terms.select("query_id", "chunk_id", F.round(score, 9).alias("bm25_score")).where("bm25_score > 0")
+    weights = _spread(weights.select("query_id", "token", idf.alias("idf"), F.greatest("avg_length", F.lit(1.0)).alias("usual")))
+    # dealt by chunk, pairs of a chunk are together without another exchange
+    hit = postings.repartition("chunk_id").join(weights, "token")
+    part = F.col("idf") * (k1 + 1.0) / (1.0 + k1 * (1.0 - b + b * F.col("length") / F.col("usual")))
+    found = hit.groupBy("chunk_id", "query_id").agg(F.sum(F.round(part * 1e12).cast("long")).alias("sum"), F.count(F.lit(1)).alias("n_common"))
+    return found.select("query_id", "chunk_id", F.round(F.col("sum") / 1e12, 9).alias("bm25_score"), "n_common").where("bm25_score > 0")
+
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, bm25_score) of every matching pair."""
+    return bm25_matches(token_index(chunks, queries), queries, k1, b).drop("n_common")
 
 
 def top_k(scored: DataFrame, score: str, k: int, rank: str = "rank", ids_descending: bool = False) -> DataFrame:
@@ -54,21 +82,87 @@ def top_k(scored: DataFrame, score: str, k: int, rank: str = "rank", ids_descend
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores, ties by the smaller id."""
+    if len(scores) > k:
+        last = np.partition(scores, len(scores) - k)[len(scores) - k]
+        some = np.flatnonzero(scores >= last)
+    else:
+        some = np.arange(len(scores))
+    return some[np.lexsort((ids[some], -scores[some]))][:k]
+
+
+def _product_pass(shared, k: int | None, names: tuple[str, str, str]):
+    """Scores of all vectors of a partition, or of each query's k best in it."""
+
+    def rows(query_ids: list, found: list[tuple[np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
+        ids = np.concatenate([x for x, _ in found])
+        scores = np.concatenate([y for _, y in found])
+        who = pa.array([q for q, (x, _) in zip(query_ids, found, strict=True) for _ in range(len(x))])
+        return pa.RecordBatch.from_arrays([who, pa.array(ids, kind), pa.array(scores, pa.float64())], names=list(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, matrix = shared.value
+        best = None
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field(0).type
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            vectors = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+            # equal vectors have equal scores wherever they stand in a block
+            scores = np.round(matrix @ vectors.T, 12)
+            if k is None:
+                yield rows(query_ids, [(ids, own) for own in scores], kind)
+                continue
+            held = best or [(ids[:0], scores[0, :0])] * len(query_ids)
+            best = []
+            for (old_ids, old), own in zip(held, scores, strict=True):
+                every, values = np.concatenate([old_ids, ids]), np.concatenate([old, own])
+                some = _best(values, every, k)
+                best.append((every[some], values[some]))
+        if best:
+            yield rows(query_ids, best, kind)
+
+    return run
+
+
+def _products(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    """Exact cosines of unit vectors. Queries are broadcast in batches of QUERY_BATCH, each of
+    which is one pass over the vectors."""
+    spark = vectors.sparkSession
+    names = ("query_id", "chunk_id", "dense_score")
+    kinds = [queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString(), "double"]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True))
+    own = vectors.where("vector is not null").select("chunk_id", "vector")
+    parts, held = [], []
+
+    def add() -> None:
+        ids, matrix = [r[0] for r in held], np.array([r[1] for r in held], dtype=np.float64)
+        parts.append(own.mapInArrow(_product_pass(spark.sparkContext.broadcast((ids, matrix)), k, names), schema))
+        held.clear()
+
+    for r in queries.where("query_vector is not null").select("query_id", "query_vector").toLocalIterator():
+        held.append(r)
+        if len(held) == QUERY_BATCH:
+            add()
+    if held:
+        add()
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, dense_score): exact cosines of unit vectors. Up to QUERY_BATCH
-    queries are broadcast; more are crossed in the partitions of both sides."""
-    own = queries.select("query_id", F.col("query_vector"))
-    if queries.limit(QUERY_BATCH + 1).count() <= QUERY_BATCH:
-        own = F.broadcast(own)
-    return vectors.crossJoin(own).select("query_id", "chunk_id", dot(F.col("vector"), F.col("query_vector")).alias("dense_score"))
+    """(query_id, chunk_id, dense_score) of every vector for a stated set of queries."""
+    return _products(vectors, queries, None)
 
 
 def dense_pool(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return top_k(dense_scores(vectors, queries), "dense_score", k, "dense_rank")
+    """The k nearest of each query with dense_rank; only k of each partition and query move."""
+    return top_k(_products(vectors, queries, k), "dense_score", k, "dense_rank")
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -78,11 +172,27 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def add_overlap(candidates: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    texts = chunks.select("chunk_id", lexical_tokens(F.col("chunk_text")).alias("tokens"))
-    joined = candidates.join(texts, "chunk_id").join(query_tokens(queries), "query_id")
+    """Adds the share of the query's tokens that a candidate has; candidates' texts alone are
+    tokenised."""
+    found = materialize(candidates)
+    own = chunks.select("chunk_id", "chunk_text").join(_spread(found.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    texts = own.select("chunk_id", lexical_tokens(F.col("chunk_text")).alias("tokens"))
+    joined = found.join(texts, "chunk_id").join(query_tokens(queries), "query_id")
     return joined.withColumn("overlap", lexical_overlap(F.col("query_tokens"), F.col("tokens"))).drop("tokens", "query_tokens")
 
 
+def add_overlap_of_index(candidates: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same from the token index, without a text; chunks that it doesn't have drop out."""
+    found = materialize(candidates)
+    asked = query_tokens(queries)
+    wanted = asked.select("query_id", F.explode("query_tokens").alias("token"))
+    rows = index.join(_spread(found.select("query_id", "chunk_id")), "chunk_id").join(_spread(wanted.withColumn("common", F.lit(1))), ["query_id", "token"], "left")
+    common = rows.groupBy("query_id", "chunk_id").agg(F.count("common").alias("n"))
+    joined = found.join(common, ["query_id", "chunk_id"]).join(asked, "query_id")
+    share = F.when(F.size("query_tokens") > 0, F.col("n") / F.size("query_tokens")).otherwise(F.lit(0.0))
+    return joined.withColumn("overlap", share).drop("n", "query_tokens")
+
+
 def retrieve_keyword(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     return top_k(bm25_scores(chunks, queries), "bm25_score", k).withColumn("combined_score", F.col("bm25_score"))
 
@@ -96,16 +206,19 @@ def retrieve_dense(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hybrid_candidates(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 8, pool: int = POOL) -> DataFrame:
+def hybrid_candidates(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 8, pool: int = POOL, index: DataFrame | None = None) -> DataFrame:
+    """Both pools, fused; ``index`` is the chunks' token index, if there is one already."""
+    index = token_index(chunks, queries) if index is None else index
     dense = dense_pool(vectors, queries, max(k, pool))
-    sparse = top_k(bm25_scores(chunks, queries), "bm25_score", pool, "sparse_rank")
+    sparse = top_k(bm25_matches(index, queries).drop("n_common"), "bm25_score", pool, "sparse_rank")
     return rrf(dense, sparse)
 
 
 def retrieve_hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 8, weight: float = OVERLAP_WEIGHT, least: float = 0.0, pool: int = POOL) -> DataFrame:
     """Fused pools ordered by fusion plus weighted overlap, then id, both descending. A
     candidate of the keyword pool alone passes the score floor."""
-    found = add_overlap(hybrid_candidates(chunks, vectors, queries, k, pool), chunks, queries)
+    index = token_index(chunks, queries)
+    found = add_overlap_of_index(hybrid_candidates(chunks, vectors, queries, k, pool, index), index, queries)
     found = found.withColumn("combined_score", F.col("rrf_score") + weight * F.col("overlap"))
     found = found.where(F.col("dense_score").isNull() | (F.col("dense_score") >= least))
     return top_k(found, "combined_score", k, ids_descending=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,16 +60,26 @@ class Tables:
         own = self.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
         return own.join(self.documents.select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
 
+    @cached_property
+    def matches(self) -> DataFrame:
+        """(query_id, chunk_id, bm25_score, n_common), from one pass over the texts."""
+        from lumenfold.operators.retrieval import bm25_matches, token_index
+
+        return bm25_matches(token_index(self.chunks, self.queries), self.queries)
+
+    def run(self, k: int) -> DataFrame:
+        """(query_id, chunk_id, rank) of keyword retrieval."""
+        from lumenfold.operators.retrieval import top_k
+
+        return top_k(self.matches, "bm25_score", k).select("query_id", "chunk_id", "rank")
+
     @property
     def qrels(self) -> DataFrame:
         """Documents that share at least half of an item's tokens are relevant."""
-        from lumenfold.functions.text import lexical_overlap, lexical_tokens
-        from lumenfold.operators.retrieval import bm25_scores
+        from lumenfold.functions.text import lexical_tokens
 
-        own = self.queries.select("query_id", lexical_tokens(F.col("query_text")).alias("q"))
-        met = bm25_scores(self.chunks, self.queries).select("query_id", "chunk_id").join(own, "query_id")
-        texts = self.chunks.select("chunk_id", lexical_tokens(F.col("chunk_text")).alias("t"))
-        return met.join(texts, "chunk_id").where(lexical_overlap(F.col("q"), F.col("t")) >= 0.5).select("query_id", "chunk_id")
+        own = self.queries.select("query_id", F.size(lexical_tokens(F.col("query_text"))).alias("n_query"))
+        return self.matches.join(own, "query_id").where(F.col("n_common") / F.col("n_query") >= 0.5).select("query_id", "chunk_id")
 
     @property
     def messages(self) -> DataFrame:
@@ -77,7 +89,7 @@ class Tables:
     @property
     def results(self) -> DataFrame:
         """Web results: twenty pages to a query."""
-        return self.pages.select((F.floor(F.col("page_id") / 20)).alias("query_pos"), (F.col("page_id") % 20).alias("result_pos"), "page_id", "url", F.substring("html", 1, 200).alias("content"))
+        return self.pages.select((F.floor(F.col("page_id") / 20)).alias("query_pos"), (F.col("page_id") % 20).alias("result_pos"), "page_id", "url", F.col("html").alias("content"))
 
     @property
     def verdicts(self) -> DataFrame:
@@ -101,8 +113,8 @@ class Tables:
 
     @property
     def candidates(self) -> DataFrame:
-        """Proposed memories: every second supplier, equal, changed, new, or secret."""
-        own = self.memories.join(self.supplier.select(F.concat(F.lit("key_"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_suppkey").alias("seq")), "key").where("seq % 2 = 0")
+        """Proposed memories for every supplier: equal, changed, new, or secret."""
+        own = self.memories.join(self.supplier.select(F.concat(F.lit("key_"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_suppkey").alias("seq")), "key")
         value = F.when(F.col("seq") % 8 == 0, F.upper("value")).when(F.col("seq") % 8 == 2, F.concat(F.col("value"), F.lit(" new"))).when(F.col("seq") % 8 == 4, F.lit("my password is x")).otherwise(F.col("value"))
         key = F.when(F.col("seq") % 8 == 6, F.concat(F.lit("New Key-"), F.col("seq").cast("string"))).otherwise(F.col("key"))
         return own.select("user_id", "chat_id", "memory_type", key.alias("key"), value.alias("value"), "seq")

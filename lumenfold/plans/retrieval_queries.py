@@ -75,7 +75,7 @@ def hybrid_min_score(t: Tables) -> DataFrame:
 @query(f"WITH {FUSED} SELECT DISTINCT query_id, chunk_id FROM fused")
 def set_union_candidates(t: Tables) -> DataFrame:
     dense = R.dense_pool(t.vectors, t.queries, R.POOL).select("query_id", "chunk_id")
-    sparse = R.top_k(R.bm25_scores(t.chunks, t.queries), "bm25_score", R.POOL).select("query_id", "chunk_id")
+    sparse = R.top_k(t.matches, "bm25_score", R.POOL).select("query_id", "chunk_id")
     return dense.union(sparse).distinct()
 
 
@@ -91,7 +91,7 @@ def rerank_cross_encoder(t: Tables) -> DataFrame:
 
 
 def _run(t: Tables) -> DataFrame:
-    return R.top_k(R.bm25_scores(t.chunks, t.queries), "bm25_score", 8).select("query_id", "chunk_id", "rank")
+    return t.run(8)
 
 
 JUDGED = f"""{BM25}, {RUN}, {QRELS}, nrel AS (SELECT query_id, count(*) AS n_rel FROM qrels GROUP BY query_id),
@@ -136,12 +136,6 @@ def agg_compare_metrics(t: Tables) -> DataFrame:
     return _rounded(M.compare_modes(keyword.unionByName(hybrid), t.qrels), "precision", "recall", "ndcg")
 
 
-@query("SELECT round(avg(value), 6) AS mean_latency, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failed, count(*) AS n FROM events")
-def agg_eval_means(t: Tables) -> DataFrame:
-    clean = F.nanvl(F.col("value"), F.lit(None).cast("double"))
-    return t.events.agg(F.round(F.avg(clean), 6).alias("mean_latency"), F.count_if(F.col("event_type") == "error").alias("failed"), F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 6 = 1 THEN NULL ELSE (value + value / 2) / 2 END, 6) AS composite FROM events")
 def agg_composite(t: Tables) -> DataFrame:
     a = F.when(F.col("event_id") % 6 != 1, F.col("value"))
@@ -156,21 +150,24 @@ def agg_suggestions(t: Tables) -> DataFrame:
     return M.suggestions(rows, ["a", "b"]).select("event_id", F.array_join("flags", ",").alias("flags"))
 
 
-@query("SELECT user_id, round(sum(value) FILTER (WHERE event_type <> 'purchase'), 4) AS measured, round(greatest(0.0, sum(value) * 0.9 - sum(value) FILTER (WHERE event_type <> 'purchase')), 4) AS unaccounted FROM events GROUP BY user_id")
+@query("SELECT event_id, round(value * 0.75, 6) AS measured_ms, round(CASE WHEN event_id % 2 = 0 THEN value * 0.25 ELSE 0.0 END, 6) AS unaccounted_ms FROM events")
 def agg_latency_report(t: Tables) -> DataFrame:
-    measured = F.sum(F.when(F.col("event_type") != "purchase", F.col("value")))
-    return t.events.groupBy("user_id").agg(F.round(measured, 4).alias("measured"), F.round(F.greatest(F.lit(0.0), F.sum("value") * 0.9 - measured), 4).alias("unaccounted"))
+    """Stages of each request; the total of every second one is below their sum."""
+    stages = F.create_map(F.lit("rag_ms"), F.col("value") * 0.5, F.lit("web_search_wall_ms"), F.lit(None).cast("double"), F.lit("generation_ms"), F.col("value") * 0.25)
+    total = F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(F.col("value") * 0.5)
+    return _rounded(sinks.latency_report(t.events.select("event_id", total.alias("total_ms"), stages.alias("stages"))).select("event_id", "measured_ms", "unaccounted_ms"), "measured_ms", "unaccounted_ms")
 
 
-@query("SELECT event_type <> 'error' AS ok, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT count(*) FILTER (WHERE event_type <> 'error') AS succeeded, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events")
 def agg_summary_counts(t: Tables) -> DataFrame:
-    return t.events.groupBy((F.col("event_type") != "error").alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+    return M.summary_counts(t.events.select(F.when(F.col("event_type") == "error", F.lit("e")).alias("error")))
 
 
-@query("SELECT e.event_id, e.value, o.o_totalprice FROM events e LEFT JOIN orders o ON o.o_orderkey = e.event_id")
+@query("SELECT event_id AS id, value AS faithfulness, CASE WHEN event_id % 2 = 0 THEN value * 2 END AS total_latency_ms FROM events")
 def join_scores_latency(t: Tables) -> DataFrame:
-    other = t.orders.select(F.col("o_orderkey").alias("event_id"), "o_totalprice")
-    return t.events.select("event_id", "value").join(other, "event_id", "left")
+    scores = t.events.select(F.col("event_id").alias("id"), F.col("value").alias("faithfulness"))
+    timed = t.events.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), (F.col("value") * 2).alias("total_latency_ms"))
+    return M.with_latencies(scores, timed)
 
 
 @query("SELECT item_id AS id FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels)")
@@ -178,9 +175,11 @@ def anti_resume(t: Tables) -> DataFrame:
     return sinks.remaining(t.benchmark.select(F.col("item_id").alias("id")), t.labels.select(F.col("doc_id").alias("id")))
 
 
-@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = b.item_id)")
+@query("SELECT d.doc_id AS id, quality FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
 def join_labels(t: Tables) -> DataFrame:
-    return t.benchmark.select("item_id").join(t.labels.select(F.col("doc_id").alias("item_id")), "item_id", "left_anti")
+    """Labels of known documents; one of an unknown would be an error."""
+    truth = t.documents.select(F.col("doc_id").alias("id"))
+    return M.join_labels(t.labels.select(F.col("doc_id").alias("id"), "quality"), truth).select("id", "quality")
 
 
 @query("(SELECT 'head' AS side, event_id, value FROM events ORDER BY value DESC, event_id LIMIT 5) UNION ALL (SELECT 'tail' AS side, event_id, value FROM events ORDER BY value, event_id LIMIT 5)")

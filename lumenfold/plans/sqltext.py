@@ -9,10 +9,10 @@ STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 def tokens(text: str) -> str:
     """Distinct lexical tokens of a text expression."""
-    return f"list_filter(list_distinct(string_split(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9]+', ' ', 'g'), ' ')), lambda x: x <> '' AND NOT list_contains({STOP}, x))"
+    return f"list_filter(list_distinct(string_split(regexp_replace(lower(nfc_normalize(coalesce({text}, ''))), '[^a-z0-9]+', ' ', 'g'), ' ')), lambda x: x <> '' AND NOT list_contains({STOP}, x))"
 
 
-QUERIES = f"queries AS (SELECT b.item_id AS query_id, b.text AS query_text, {tokens('b.text')} AS q, CAST(e.embedding AS DOUBLE[]) AS query_vector FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE b.item_id < 10)"
+QUERIES = f"queries AS (SELECT b.item_id AS query_id, b.text AS query_text, {tokens('b.text')} AS q, CAST(e.embedding AS DOUBLE[]) AS query_vector FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"
 
 BM25 = f"""{QUERIES}, tok AS (SELECT doc_id AS chunk_id, {tokens('text')} AS t FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), wanted AS (SELECT query_id, unnest(q) AS token FROM queries),
