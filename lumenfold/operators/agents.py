@@ -44,6 +44,26 @@ def merge_sources(*sources: DataFrame) -> DataFrame:
     return first_per(merge_evidence(*sources), ["chunk_id"], F.asc("priority"), F.asc("position"))
 
 
+def deck_contexts(messages: DataFrame) -> DataFrame:
+    """(chat_id, title, source_ids, payloads) for a deck: the latest completed briefing of each
+    chat and, after it, the strategies of different content, the first of each, in order.
+    ``messages`` have chat_id, id and payload, a JSON object; chats without a completed
+    briefing have no row."""
+    agent, status = (F.get_json_object("payload", f"$.{k}") for k in ("agent", "status"))
+    own = messages.select("chat_id", "id", "payload", agent.alias("agent"), status.alias("status"))
+    done = own.where("agent = 'meeting_preparation' and status = 'completed'")
+    last = done.groupBy("chat_id").agg(F.max_by(F.struct("id", "payload"), "id").alias("last"))
+    # objects as variants have their keys in order, so equal ones are equal texts
+    canonical = F.to_json(F.parse_json("payload"))
+    later = own.where("agent = 'market_strategy' and status in ('completed', 'partial')").join(last, "chat_id").where(F.col("id") > F.col("last.id"))
+    first = later.groupBy("chat_id", canonical.alias("content")).agg(F.min(F.struct("id", "payload")).alias("item"))
+    items = first.groupBy("chat_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    every = F.concat(F.array("last"), F.coalesce("items", F.array().cast("array<struct<id:bigint,payload:string>>")))
+    title = F.coalesce(F.get_json_object("last.payload", "$.meeting_title"), F.lit("Meeting Preparation"))
+    joined = last.join(items, "chat_id", "left").withColumn("every", every)
+    return joined.select("chat_id", title.alias("title"), F.transform("every", lambda x: x["id"]).alias("source_ids"), F.transform("every", lambda x: x["payload"]).alias("payloads"))
+
+
 def status_of(found: Column, failures: Column) -> Column:
     """completed with findings and no failure, partial with both, failed with neither."""
     return F.when((found > 0) & (failures == 0), "completed").when(found > 0, "partial").otherwise("failed")
@@ -71,6 +91,23 @@ def keep_keys(entries: Column, keys: list[str]) -> Column:
     return F.map_filter(entries, lambda k, _: k.isin(*keys))
 
 
+def chunk_response(metadata: Column, pages: Column, defaults: dict[str, str]) -> Column:
+    """struct(metadata, page): defaults only where a key is absent, the first page or null."""
+    return F.struct(with_defaults(metadata, defaults).alias("metadata"), F.get(pages, 0).alias("page"))
+
+
+# What a briefing passes on.
+BRIEFING_KEYS = (
+    "meeting_title", "meeting_objective", "attendee_context", "product", "industry", "geography", "budget", "key_competitors", "timeline",
+    "executive_brief", "key_facts_to_remember", "strategic_talking_points", "questions_to_ask", "risks_to_watch", "recommended_actions",
+    "relevant_market_trends", "relevant_competitor_intelligence",
+)
+
+
+def briefing(entries: Column) -> Column:
+    return keep_keys(entries, list(BRIEFING_KEYS))
+
+
 def safe_url(url: Column, own_host: str) -> Column:
     """The same host, or https to a name or public address."""
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))

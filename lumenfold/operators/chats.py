@@ -123,6 +123,35 @@ def insert_new(rows: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return rows.unionByName(incoming.dropDuplicates([key]).join(rows.select(key), key, "left_anti"))
 
 
+def upsert_chats(chats: DataFrame, messages: DataFrame, now: Column) -> DataFrame:
+    """(chat_id, user_id, title, updated_at, operation): new chats are inserted with their
+    first message's title, known ones touched; a message of another user than the chat's is
+    refused and changes nothing. ``messages`` have chat_id, user_id, id and title."""
+    first = messages.groupBy("chat_id", "user_id").agg(F.min_by("title", "id").alias("new_title"), F.min("id").alias("id"))
+    # of several users that write to a new chat, the first is its owner
+    owner = first.groupBy("chat_id").agg(F.min_by("user_id", "id").alias("first_user"))
+    old = chats.select("chat_id", F.col("user_id").alias("owner"), "title", "updated_at")
+    both = old.join(first.join(owner, "chat_id"), "chat_id", "full_outer")
+    owned = F.coalesce("owner", "first_user")
+    operation = F.when(F.col("user_id").isNull(), "kept").when(F.col("user_id") != owned, "refused").when(F.col("owner").isNull(), "inserted").otherwise("touched")
+    title = F.substring(F.coalesce("title", F.nullif(strip(F.col("new_title")), F.lit("")), F.lit("New conversation")), 1, 120)
+    return both.select("chat_id", F.coalesce("user_id", "owner").alias("user_id"), title.alias("title"), F.when(operation.isin("inserted", "touched"), now).otherwise(F.col("updated_at")).alias("updated_at"), operation.alias("operation"))
+
+
+def latest_payloads(messages: DataFrame, agent: str, statuses: tuple[str, ...], last: int | None = None) -> DataFrame:
+    """(chat_id, id, payload) of the latest message of an agent with one of some statuses,
+    among the ``last`` of each chat if that is given."""
+    own = history_tail(messages, last) if last else messages
+    return latest(own, ["chat_id"], "id", "payload", (F.col("agent") == agent) & F.col("status").isin(*statuses))
+
+
+def distinct_payloads(messages: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """The first message of each different payload; JSON objects differ by content, not by the
+    order of their keys."""
+    content = F.coalesce(F.to_json(F.try_parse_json(F.col(payload))), F.col(payload))
+    return first_per(messages.withColumn("_content", content), [*keys, "_content"], F.asc("id")).drop("_content")
+
+
 def clarification_slot(item: Column) -> Column:
     low = F.lower(item)
     return F.when(low.rlike("geograph|market|region|countr"), "market").when(low.rlike("audience"), "target_audience").otherwise("company_context")

@@ -14,17 +14,22 @@ def distinct_urls(results: DataFrame) -> DataFrame:
     return first_per(results, ["url"], F.asc("query_pos"), F.asc("result_pos"))
 
 
+def with_url_status(results: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Adds safety_key and url_status, looked up once for each distinct key; a result whose
+    key has no answer, or that has no key, is an error."""
+    keyed = results.withColumn("safety_key", safety_key(F.col("url")))
+    known = verdicts.select("safety_key", url_status(F.col("malicious"), F.col("suspicious"), F.col("http_status")).alias("known"))
+    return keyed.join(known, "safety_key", "left").withColumn("url_status", F.coalesce("known", F.lit("error"))).drop("known")
+
+
 def guard_sources(results: DataFrame, verdicts: DataFrame, enabled: bool = True) -> DataFrame:
     """Results that are safe and not flagged; any other status, or none, is dropped. Each
     distinct key is looked up once: ``verdicts`` has (safety_key, malicious, suspicious,
     http_status)."""
     if not enabled:
         return results
-    keyed = results.withColumn("safety_key", safety_key(F.col("url")))
-    status = verdicts.select("safety_key", url_status(F.col("malicious"), F.col("suspicious"), F.col("http_status")).alias("url_status"))
-    joined = keyed.join(status, "safety_key", "left")
     flagged = F.coalesce(F.col("flagged"), F.lit(True)) if "flagged" in results.columns else F.lit(False)
-    return joined.where((F.coalesce("url_status", F.lit("error")) == "safe") & ~flagged)
+    return with_url_status(results, verdicts).where((F.col("url_status") == "safe") & ~flagged)
 
 
 def rank_approved(approved: DataFrame) -> DataFrame:

@@ -78,3 +78,21 @@ def suggestions(scores: DataFrame, columns: list[str], least: float = 0.7) -> Da
     """Flags: ``low:m`` under the threshold, ``missing:m`` where uncomputed."""
     flags = [F.when(F.col(c).isNull(), F.lit(f"missing:{c}")).when(F.col(c) < least, F.lit(f"low:{c}")) for c in columns]
     return scores.withColumn("flags", F.array_compact(F.array(*flags)))
+
+
+def summary_counts(rows: DataFrame) -> DataFrame:
+    """One row: how many rows have no error, and how many have one."""
+    return rows.agg(F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def with_latencies(scores: DataFrame, timed: DataFrame) -> DataFrame:
+    """Scores with the times of their id; without, null."""
+    return scores.join(timed, "id", "left")
+
+
+def join_labels(labels: DataFrame, truth: DataFrame) -> DataFrame:
+    """Labels with what they label; an id that isn't known is an error."""
+    unknown = labels.join(truth.select("id"), "id", "left_anti").limit(1).count()
+    if unknown:
+        raise ValueError("labels have ids that the labelled set doesn't have")
+    return labels.join(truth, "id")

@@ -29,4 +29,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 # the modules below register their queries as they are imported
-from lumenfold.plans import chat_queries, page_queries, retrieval_queries, service_queries, text_queries  # noqa: E402, F401
+from lumenfold.plans import agent_queries, chat_queries, page_queries, retrieval_queries, service_queries, text_queries  # noqa: E402, F401

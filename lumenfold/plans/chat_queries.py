@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import format_exchange
-from lumenfold.functions.web import safety_key, url_status
+from lumenfold.functions.web import url_status
 from lumenfold.operators import chats as C
 from lumenfold.operators import evidence as E
 from lumenfold.plans.catalog import query
@@ -30,9 +30,7 @@ def source_guard(t: Tables) -> DataFrame:
 
 @query(f"WITH {VERDICTS} SELECT page_id, coalesce(s, 'error') AS status FROM pages LEFT JOIN status ON k = {KEY}")
 def join_guard_back(t: Tables) -> DataFrame:
-    keyed = t.pages.select("page_id", safety_key(F.col("url")).alias("safety_key"))
-    known = t.verdicts.select("safety_key", url_status(F.col("malicious"), F.col("suspicious"), F.col("http_status")).alias("status"))
-    return keyed.join(known, "safety_key", "left").select("page_id", F.coalesce("status", F.lit("error")).alias("status"))
+    return E.with_url_status(t.results, t.verdicts).select("page_id", F.col("url_status").alias("status"))
 
 
 @query("SELECT page_id FROM pages QUALIFY row_number() OVER (PARTITION BY split_part(url, '?', 1) ORDER BY page_id) = 1")
@@ -166,13 +164,13 @@ def create_user(t: Tables) -> DataFrame:
 MEM = """mem AS (SELECT 'u1' AS user_id, 'chat' || CAST(s_nationkey AS VARCHAR) AS chat_id, (['business_goal', 'competitor', 'budget_constraint', 'business_constraint', 'kpi', 'industry'])[s_suppkey % 6 + 1] AS memory_type, 'key_' || CAST(s_suppkey AS VARCHAR) AS key, s_name AS value, s_suppkey FROM supplier)"""
 
 
-@query(f"""WITH {MEM} SELECT user_id, chat_id, memory_type, key, CASE WHEN s_suppkey % 8 = 2 THEN value || ' new' ELSE value END AS value, CASE s_suppkey % 8 WHEN 0 THEN 'ignored' WHEN 2 THEN 'updated' ELSE 'kept' END AS operation FROM mem
+@query(f"""WITH {MEM} SELECT user_id, chat_id, memory_type, key, CASE WHEN s_suppkey % 8 = 2 THEN value || ' new' ELSE value END AS value, CASE WHEN s_suppkey % 8 = 2 THEN 'updated' WHEN s_suppkey % 8 IN (4, 6) THEN 'kept' ELSE 'ignored' END AS operation FROM mem
 UNION ALL SELECT user_id, chat_id, memory_type, 'new_key_' || CAST(s_suppkey AS VARCHAR), value, 'inserted' FROM mem WHERE s_suppkey % 8 = 6""")
 def upsert_memory(t: Tables) -> DataFrame:
     return C.upsert_memory(t.memories, C.storable_candidates(t.candidates))
 
 
-@query(f"""WITH {MEM} SELECT chat_id, memory_type, CASE WHEN s_suppkey % 8 = 6 THEN 'new_key_' ELSE 'key_' END || CAST(s_suppkey AS VARCHAR) AS key FROM mem WHERE s_suppkey % 8 IN (0, 2, 6)""")
+@query(f"""WITH {MEM} SELECT chat_id, memory_type, CASE WHEN s_suppkey % 8 = 6 THEN 'new_key_' ELSE 'key_' END || CAST(s_suppkey AS VARCHAR) AS key FROM mem WHERE s_suppkey % 8 <> 4""")
 def process_message(t: Tables) -> DataFrame:
     return C.storable_candidates(t.candidates.unionByName(t.candidates.withColumn("seq", F.col("seq") + 1000))).select("chat_id", "memory_type", "key")
 
@@ -203,24 +201,6 @@ def clarification_slot(t: Tables) -> DataFrame:
     return t.events.select("event_id", C.clarification_slot(item).alias("slot"))
 
 
-@query("SELECT event_id, event_type IN ('click', 'purchase') AS hit FROM events")
-def market_snapshot_pred(t: Tables) -> DataFrame:
-    terms = F.array(F.lit("cli"), F.lit("purch"))
-    return t.events.select("event_id", F.exists(terms, lambda x: F.contains(F.lower("event_type"), x)).alias("hit"))
-
-
-@query("SELECT event_id, event_type = 'view' AS hit FROM events")
-def followup_intent_fallback(t: Tables) -> DataFrame:
-    words = F.split(F.lower(F.concat(F.lit("please "), F.when(F.col("event_type") == "view", "Revise").otherwise("revised"), F.lit(" it"))), "[^a-z]+")
-    return t.events.select("event_id", F.arrays_overlap(words, F.array(F.lit("revise"), F.lit("change"), F.lit("update"))).alias("hit"))
-
-
-@query("SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'completed' WHEN count(*) FILTER (WHERE event_type <> 'error') = 0 THEN 'failed' ELSE 'partial' END AS status FROM events GROUP BY 1")
-def agent_status_gate(t: Tables) -> DataFrame:
-    bad = F.count_if(F.col("event_type") == "error")
-    return t.events.groupBy("user_id").agg(F.when(bad == 0, "completed").when(bad == F.count(F.lit(1)), "failed").otherwise("partial").alias("status"))
-
-
 @query("SELECT user_id, arg_max(props, event_id) AS state FROM events WHERE event_type <> 'error' GROUP BY 1")
 def strategy_state(t: Tables) -> DataFrame:
     return C.latest(t.events, ["user_id"], "event_id", "props", F.col("event_type") != "error").select("user_id", F.col("props").alias("state"))

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import normalized_hash
 from lumenfold.operators import agents as A
 from lumenfold.operators import chats as C
-from lumenfold.operators import chunking, dedup, pages, providers, retrieval
+from lumenfold.operators import chunking, dedup, pages, providers
 from lumenfold.plans.catalog import query
+from lumenfold.plans.chat_queries import KEY, VERDICTS
 from lumenfold.plans.fixtures import REGIONS, Tables
 from lumenfold.plans.sqltext import BM25, RUN
+from lumenfold.scratch import scratch_dir
 from lumenfold.sources import readers, sinks
-from lumenfold.streaming.state import ingest_stream
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'format' WHEN doc_id % 4 = 1 THEN 'size' WHEN doc_id % 4 = 2 THEN 'magic' END AS rejected FROM documents")
@@ -40,55 +38,35 @@ def src_pptx(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", slide.alias("slide"))
 
 
-@query()
+@query("SELECT doc_id, md5(list_aggregate(list_concat(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), [lang || ' | ' || source, 'a | b']), 'string_agg', chr(10) || chr(10))) AS digest FROM documents")
 def src_docx(t: Tables) -> DataFrame:
-    parts = chunking.pack_blocks(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""))
-    return t.documents.select("doc_id", F.size(parts).alias("n"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'load failed' END AS extraction_error, CASE WHEN doc_id % 6 <> 0 THEN length(text) END AS n_chars FROM documents")
-def src_pdf(t: Tables) -> DataFrame:
-    """With a stand-in extractor: a failing file becomes an error row."""
-
-    def extract(batches):
-        for pdf in batches:
-            bad = pdf["doc_id"] % 6 == 0
-            yield pdf[["doc_id"]].assign(extraction_error=["load failed" if b else None for b in bad], n_chars=[None if b else len(x) for b, x in zip(bad, pdf["text"], strict=True)])
-
-    return readers.extract_with(t.documents.select("doc_id", "text"), extract, "doc_id long, extraction_error string, n_chars long")
+    """Paragraphs, then table rows, in groups; all groups together are all blocks."""
+    table = F.array(F.array(F.concat(F.lit(" "), F.col("lang")), F.col("source")), F.array(F.lit("a"), F.lit("b ")))
+    parts = chunking.pack_blocks(readers.docx_text(F.split("text", "\n", -1), F.array(table)))
+    return t.documents.select("doc_id", F.md5(F.array_join(parts, "\n\n")).alias("digest"))
 
 
 @query(f"WITH {REGIONS} SELECT region_type, validation_status, count(*) AS n FROM regions GROUP BY 1, 2")
 def sink_validation_report(t: Tables) -> DataFrame:
-    return t.regions.groupBy("region_type", "validation_status").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.write_validation_report(t.regions, _scratch(t))
 
 
 @query(f"WITH {REGIONS} SELECT region_id FROM regions WHERE region_type = 'table' AND validation_status = 'ok'")
 def sink_tables(t: Tables) -> DataFrame:
-    return t.regions.where("region_type = 'table' and validation_status = 'ok'").select("region_id")
+    path = _scratch(t)
+    sinks.write_tables(t.regions.withColumn("rows", F.array(F.array("text_content"))), path)
+    return t.spark.read.schema("region_id string").json(path)
 
 
-@query("SELECT event_id AS id, value AS total_latency, CAST(NULL AS VARCHAR) AS faithfulness FROM events")
+@query("SELECT event_id AS id, value AS total_latency_ms, CAST(NULL AS VARCHAR) AS faithfulness FROM events")
 def sink_eval_csv(t: Tables) -> DataFrame:
-    rows = sinks.report_rows(t.events.select(F.col("event_id").alias("id"), F.col("value").alias("total_latency")))
-    return rows.select("id", "total_latency", "faithfulness")
-
+    rows = sinks.report_rows(t.events.select(F.col("event_id").alias("id"), F.col("value").alias("total_latency_ms")))
+    return rows.select("id", "total_latency_ms", "faithfulness")
 
-@query("SELECT event_type AS metric, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
-def sink_eval_report(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
-
-@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'quarantine' WHEN doc_id % 10 = 1 THEN 'retry' ELSE 'accept' END AS route FROM documents")
-def scan_malware(t: Tables) -> DataFrame:
-    """With a stand-in verdict; anything but OK or FOUND fails closed."""
-    verdict = F.when(F.col("doc_id") % 10 == 0, "FOUND").when(F.col("doc_id") % 10 == 1, "ERROR").otherwise("OK")
-    return t.documents.select("doc_id", F.when(verdict == "OK", "accept").when(verdict == "FOUND", "quarantine").otherwise("retry").alias("route"))
-
-
-@query("SELECT l_orderkey AS table_id, 'a|a;b|' AS grid FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1")
+@query("SELECT l_orderkey AS table_id, 'a|a;b|' AS grid FROM lineitem GROUP BY 1")
 def fn_table_grid(t: Tables) -> DataFrame:
-    keys = t.lineitem.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("table_id")).distinct()
+    keys = t.lineitem.select(F.col("l_orderkey").alias("table_id")).distinct()
     cell = lambda r, c, cs, x: F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(1).alias("row_span"), F.lit(cs).alias("col_span"), F.lit(x).alias("text"))
     grid = pages.table_grid(keys.select("table_id", F.inline(F.array(cell(0, 0, 2, "a"), cell(1, 0, 1, "b")))))
     return grid.select("table_id", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("grid"))
@@ -101,9 +79,12 @@ def fn_crop(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", box["y0"].alias("y0"))
 
 
-@query("SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || ':' || source || ':0') AS chunk_id FROM documents")
+@query("SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || ':' || source || ':0') AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN '1' WHEN doc_id % 3 > 1 THEN '1,' || CAST(doc_id % 3 AS VARCHAR) ELSE '1' END AS pages, length(text) AS n_chars FROM documents")
 def fn_build_chunk(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "source", F.lit("0")), 256).alias("chunk_id"))
+    pages = F.array(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3), F.lit(1).cast("long"), F.lit(1).cast("long"))
+    made = chunking.build_chunk(F.col("doc_id"), F.col("source"), F.lit(0), pages, F.col("text"))
+    rows = t.documents.select("doc_id", made.alias("c"))
+    return rows.select("doc_id", F.col("c.chunk_id").alias("chunk_id"), F.array_join(F.transform("c.page_numbers", lambda p: p.cast("string")), ",").alias("pages"), F.col("c.n_chars").cast("long").alias("n_chars"))
 
 
 @query(f"WITH {REGIONS} SELECT region_id, md5(CASE WHEN validation_status = 'failed' THEN '> [missing ' || region_type || ']' WHEN region_type = 'heading' THEN '## ' || text_content ELSE text_content END) AS digest FROM regions")
@@ -120,16 +101,20 @@ def fn_evidence_provenance(t: Tables) -> DataFrame:
     return t.events.select("event_id", found["publication_date"].alias("publication_date"), found["url"].alias("url"))
 
 
-@query("SELECT doc_id, lang, 'unknown' AS author FROM documents")
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'unknown' END AS author, CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 END AS page FROM documents")
 def fn_chunk_response(t: Tables) -> DataFrame:
-    made = t.documents.select("doc_id", A.with_defaults(F.create_map(F.lit("lang"), F.col("lang")), {"lang": "none", "author": "unknown"}).alias("m"))
-    return made.select("doc_id", F.col("m")["lang"].alias("lang"), F.col("m")["author"].alias("author"))
+    n = F.col("doc_id")
+    given = F.when(n % 2 == 0, F.create_map(F.lit("lang"), F.col("lang"), F.lit("author"), F.col("source"))).otherwise(F.create_map(F.lit("lang"), F.col("lang")))
+    pages_of = F.when(n % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(n % 3, n))
+    made = t.documents.select("doc_id", A.chunk_response(given, pages_of, {"lang": "none", "author": "unknown"}).alias("r"))
+    return made.select("doc_id", F.col("r.metadata")["lang"].alias("lang"), F.col("r.metadata")["author"].alias("author"), F.col("r.page").alias("page"))
 
 
-@query("SELECT doc_id, 'lang' AS keys FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'meeting_title,executive_brief' ELSE 'meeting_title' END AS keys FROM documents")
 def fn_briefing_projection(t: Tables) -> DataFrame:
-    entries = F.create_map(F.lit("lang"), F.col("lang"), F.lit("internal"), F.col("source"))
-    return t.documents.select("doc_id", F.array_join(F.map_keys(A.keep_keys(entries, ["lang", "summary"])), ",").alias("keys"))
+    base = [F.lit("meeting_title"), F.col("lang"), F.lit("trace_id"), F.col("source")]
+    entries = F.when(F.col("doc_id") % 2 == 0, F.create_map(*base, F.lit("executive_brief"), F.col("text"))).otherwise(F.create_map(*base))
+    return t.documents.select("doc_id", F.array_join(F.map_keys(A.briefing(entries)), ",").alias("keys"))
 
 
 @query("SELECT page_id, starts_with(url, 'https') AS safe FROM pages")
@@ -198,9 +183,9 @@ def pred_supported_intelligence(t: Tables) -> DataFrame:
 
 @query("SELECT d.doc_id AS chunk_id, md5(p.text) AS parent FROM documents d LEFT JOIN documents p ON p.doc_id = d.doc_id // 10 AND p.lang = d.lang")
 def join_parent_text(t: Tables) -> DataFrame:
-    child = t.documents.select(F.col("doc_id").alias("chunk_id"), "lang", F.floor(F.col("doc_id") / 10).alias("parent_id"))
-    parent = t.documents.select(F.col("doc_id").alias("parent_id"), "lang", F.md5("text").alias("parent"))
-    return child.join(parent, ["parent_id", "lang"], "left").select("chunk_id", "parent")
+    child = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("document_id"), F.floor(F.col("doc_id") / 10).alias("parent_chunk_id"))
+    parent = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("document_id"), F.md5("text").alias("chunk_text"))
+    return chunking.join_parents(child, parent).select("chunk_id", F.col("parent_text").alias("parent"))
 
 
 @query("SELECT doc_id AS region_id, CASE WHEN doc_id % 2 = 0 THEN 'crop' WHEN doc_id % 3 = 0 THEN 'stored' ELSE 'failed' END AS image_status FROM documents")
@@ -211,7 +196,7 @@ def join_figure_images(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, round((value / 100 * 0.7 + 0.5 * 0.3) / 1.0, 6) AS score FROM events")
 def agg_infographic(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.round((F.col("value") / 100 * 0.7 + F.lit(0.5) * 0.3) / (0.7 + 0.3), 6).alias("score"))
+    return t.events.select("event_id", F.round(pages.infographic_score(F.col("value") / 100, F.lit(0.5), 0.7, 0.3), 6).alias("score"))
 
 
 @query(f"WITH {REGIONS} SELECT document_id, CASE max(CASE validation_status WHEN 'failed' THEN 2 WHEN 'low_confidence' THEN 1 ELSE 0 END) WHEN 2 THEN 'failed' WHEN 1 THEN 'low_confidence' ELSE 'ok' END AS status FROM regions GROUP BY 1")
@@ -240,17 +225,25 @@ def distinct_sources(t: Tables) -> DataFrame:
     return A.merge_sources(first, second).select("chunk_id")
 
 
-@query("SELECT user_id, count(DISTINCT props) AS n FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS last FROM events) WHERE event_id > last GROUP BY 1")
+@query("SELECT user_id, count(DISTINCT event_id % 4) AS n FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS last FROM events) WHERE event_id > last GROUP BY 1")
 def distinct_strategy_payloads(t: Tables) -> DataFrame:
+    """Payloads of one content, with their keys in either order."""
+    n = F.col("event_id")
+    payload = F.when(n % 8 < 4, F.format_string('{"a":%d,"b":{"c":1,"d":2}}', n % 4)).otherwise(F.format_string('{"b":{"d":2,"c":1},"a":%d}', n % 4))
     last = t.events.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("last"))
-    after = t.events.join(last, "user_id").where("event_id > last").select("user_id", "props").distinct()
-    return after.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    after = t.events.join(last, "user_id").where("event_id > last").select("user_id", n.alias("id"), payload.alias("payload"))
+    return C.distinct_payloads(after, ["user_id"], "payload").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT user_id, max(event_id) FILTER (WHERE event_type IN ('click', 'view')) AS follow_up, max(event_id) FILTER (WHERE event_type = 'click') AS deck FROM events GROUP BY 1")
+@query("WITH m AS (SELECT user_id, event_id, event_id % 3 AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events WHERE event_type <> 'error') SELECT user_id AS chat_id, max(event_id) FILTER (WHERE back <= 10 AND k > 0) AS follow_up, max(event_id) FILTER (WHERE k = 1) AS deck FROM m GROUP BY 1 HAVING deck IS NOT NULL OR follow_up IS NOT NULL")
 def win_latest_briefing(t: Tables) -> DataFrame:
-    latest = lambda kinds: F.max(F.when(F.col("event_type").isin(*kinds), F.col("event_id")))
-    return t.events.groupBy("user_id").agg(latest(["click", "view"]).alias("follow_up"), latest(["click"]).alias("deck"))
+    """A follow-up takes a completed or partial briefing of the last ten messages, a deck a
+    completed one of the whole chat."""
+    status = F.when(F.col("event_id") % 3 == 1, "completed").when(F.col("event_id") % 3 == 2, "partial").otherwise("failed")
+    rows = t.events.where("event_type <> 'error'").select(F.col("user_id").alias("chat_id"), F.col("event_id").alias("id"), F.lit("m").alias("agent"), status.alias("status"), F.lit("{}").alias("payload"))
+    follow = C.latest_payloads(rows, "m", ("completed", "partial"), 10).select("chat_id", F.col("id").alias("follow_up"))
+    deck = C.latest_payloads(rows, "m", ("completed",)).select("chat_id", F.col("id").alias("deck"))
+    return follow.join(deck, "chat_id", "full_outer").select("chat_id", "follow_up", "deck")
 
 
 @query("SELECT user_id, arg_max(event_id, event_id) AS id, arg_max(props, event_id) AS sources FROM events WHERE event_type = 'click' GROUP BY 1")
@@ -269,12 +262,15 @@ def sort_pending_docs(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", "s_name").orderBy(F.desc(F.col("s_suppkey") == 7), "s_name")
 
 
-@query("SELECT coalesce(a.c_custkey, b.o_custkey) AS chat_id, CASE WHEN a.c_custkey IS NULL THEN 'inserted' WHEN b.o_custkey IS NULL THEN 'kept' ELSE 'touched' END AS operation FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) a FULL OUTER JOIN (SELECT DISTINCT o_custkey FROM orders) b ON a.c_custkey = b.o_custkey")
+@query("""WITH old AS (SELECT c_custkey AS chat_id, c_custkey % 5 AS owner FROM customer WHERE c_mktsegment <> 'BUILDING'), new AS (SELECT DISTINCT o_custkey AS chat_id FROM orders)
+SELECT coalesce(o.chat_id, n.chat_id) AS chat_id, CASE WHEN n.chat_id IS NULL THEN 'kept' WHEN o.chat_id IS NULL THEN 'inserted' WHEN owner = 0 THEN 'refused' ELSE 'touched' END AS operation FROM old o FULL OUTER JOIN new n ON o.chat_id = n.chat_id""")
 def upsert_chat(t: Tables) -> DataFrame:
-    chats = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("chat_id"), F.lit(1).alias("old"))
-    seen = t.orders.select(F.col("o_custkey").alias("chat_id"), F.lit(1).alias("new")).distinct()
-    both = chats.join(seen, "chat_id", "full_outer")
-    return both.select("chat_id", F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "kept").otherwise("touched").alias("operation"))
+    """Orders as messages to customers' chats; some come from a user who isn't the owner."""
+    now = F.lit("2024-01-01").cast("timestamp")
+    chats = t.customer.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("chat_id"), (F.col("c_custkey") % 5).cast("long").alias("user_id"), F.col("c_name").alias("title"), now.alias("updated_at"))
+    writer = F.when(F.col("o_custkey") % 5 == 0, F.lit(9)).otherwise(F.col("o_custkey") % 5).cast("long")
+    messages = t.orders.select(F.col("o_custkey").alias("chat_id"), writer.alias("user_id"), F.col("o_orderkey").alias("id"), F.lit("t").alias("title"))
+    return C.upsert_chats(chats, messages, now).select("chat_id", "operation")
 
 
 @query("SELECT s_name AS value FROM supplier WHERE s_suppkey = 3")
@@ -282,10 +278,10 @@ def memory_point_get(t: Tables) -> DataFrame:
     return t.memories.where("user_id = 'u1' and key = 'key_3'").select("value")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) NOT IN (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM documents WHERE doc_id % 2 = 0)".replace("\\\\", "\\"))
+@query("SELECT doc_id FROM documents WHERE lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) NOT IN (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM documents WHERE doc_id % 2 = 0)".replace("\\\\", "\\"))
 def st_checkpoint(t: Tables) -> DataFrame:
     done = t.documents.where("doc_id % 2 = 0").select(normalized_hash(F.col("text")).alias("chunk_hash"), F.lit("m").alias("model"), F.lit(64).alias("dim"))
-    return providers.pending_embeddings(t.chunks.where("chunk_id % 2 = 1"), done, "m", 64).select(F.col("chunk_id").alias("doc_id"))
+    return providers.pending_embeddings(t.chunks, done, "m", 64).select(F.col("chunk_id").alias("doc_id"))
 
 
 @query("SELECT doc_id AS chunk_id, 64 AS n, true AS is_unit FROM documents WHERE length(trim(text)) > 0")
@@ -297,8 +293,7 @@ def udf_embed(t: Tables) -> DataFrame:
 
 def _found(t: Tables) -> DataFrame:
     texts = t.documents.select(F.col("doc_id").alias("chunk_id"), "source", F.col("text").alias("context_text"))
-    top = retrieval.top_k(retrieval.bm25_scores(t.chunks, t.queries), "bm25_score", 8).select("query_id", "chunk_id", "rank")
-    return top.join(texts, "chunk_id").join(t.queries.select("query_id", "query_text"), "query_id")
+    return t.run(8).join(texts, "chunk_id").join(t.queries.select("query_id", "query_text"), "query_id")
 
 
 @query(f"WITH {BM25}, {RUN} SELECT q.query_id, CAST(r.chunk_id AS VARCHAR) AS cited FROM queries q LEFT JOIN (SELECT * FROM run WHERE rank = 1) r USING (query_id)")
@@ -319,22 +314,9 @@ def agent_reuse(t: Tables) -> DataFrame:
     return t.events.select("event_id", A.reuse_class(label).alias("class"))
 
 
-@query("SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 AND count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'completed' WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'partial' ELSE 'failed' END AS status FROM events GROUP BY 1")
-def agent_strategy(t: Tables) -> DataFrame:
-    found, bad = F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type") == "error")
-    return t.events.groupBy("user_id").agg(A.status_of(found, bad).alias("status"))
-
-
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS n FROM events")
-def udf_memory_extract(t: Tables) -> DataFrame:
-    """Unreadable model output gives no candidate."""
-    raw = F.when(F.col("event_id") % 3 == 0, F.lit("{oops")).otherwise(F.lit('[{"key":"a","value":"b"}]'))
-    found = F.coalesce(F.size(F.from_json(raw, "array<struct<key:string,value:string>>")), F.lit(0))
-    n = F.when(F.col("event_id") % 3 == 0, 0).otherwise(found)
-    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), n.alias("n"))
-
-
-@query()
+@query(f"""WITH {BM25}, {RUN}, {VERDICTS}, web AS (SELECT min(page_id) AS page_id, url FROM pages GROUP BY url),
+ev AS (SELECT 'rag' AS kind, lower(trim(text)) AS k FROM run JOIN documents ON doc_id = chunk_id UNION SELECT 'web', lower(trim(url)) FROM web JOIN status ON k = {KEY} WHERE s = 'safe')
+SELECT kind, 'recent' AS recency, count(*) AS n FROM ev GROUP BY 1""")
 def agent_intelligence(t: Tables) -> DataFrame:
     """Evidence from retrieval and guarded web results, merged, distinct, dated and linked."""
     from lumenfold.operators import evidence as E
@@ -346,18 +328,8 @@ def agent_intelligence(t: Tables) -> DataFrame:
     return E.with_recency(merged, *E.default_window(today)).groupBy("kind", "recency").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(DISTINCT text) AS n FROM documents")
-def st_job_machine(t: Tables) -> DataFrame:
-    """Documents streamed once into a table, one row for each content."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenfold-")
-    path = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
-    ingest_stream(t.spark, f"{t.dir}/documents.parquet*", t.documents.schema, f"{path}/out", f"{path}/state").awaitTermination()
-    return t.spark.read.parquet(f"{path}/out").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _scratch(t: Tables) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenfold-")
-    return f"{base.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    return scratch_dir(t.spark)
 
 
 @query("SELECT lang, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY 1")
@@ -393,33 +365,12 @@ def sink_embeddings(t: Tables) -> DataFrame:
 @query("SELECT item_id AS id, text AS question FROM benchmark")
 def src_ground_truth(t: Tables) -> DataFrame:
     path = _scratch(t)
-    item = F.struct(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("a").alias("ground_truth"), F.lit("f.pdf").alias("expected_source_file"))
+    item = F.struct(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("a").alias("ground_truth"))
     lists = t.benchmark.groupBy(F.pmod(F.col("item_id"), F.lit(8))).agg(F.to_json(F.collect_list(item)).alias("value"))
     lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return readers.read_ground_truth(t.spark, path).select("id", "question")
 
 
-@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'heading' WHEN 'view' THEN 'table' ELSE 'unknown' END AS region_type FROM events")
-def src_layout(t: Tables) -> DataFrame:
-    """Labels of an injected layout model, mapped to region types."""
-    known = F.create_map(F.lit("click"), F.lit("heading"), F.lit("view"), F.lit("table"))
-    return t.events.select("event_id", F.coalesce(F.try_element_at(known, F.col("event_type")), F.lit("unknown")).alias("region_type"))
-
-
-@query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 96 AS batch FROM events")
-def st_batch_window(t: Tables) -> DataFrame:
-    """Batches of at most 96 inputs for each caller, in order."""
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return t.events.select("event_id", F.floor((number - 1) / 96).alias("batch"))
-
-
-@query("SELECT event_id, least(60, 2 * power(2, event_id % 6)) AS delay FROM events")
-def st_backoff(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.least(F.lit(60.0), 2 * F.pow(F.lit(2.0), F.col("event_id") % 6)).alias("delay"))
-
-
 @query(f"WITH {BM25}, {RUN} SELECT query_id, '[S1]' AS marker FROM run GROUP BY 1")
 def udf_generate(t: Tables) -> DataFrame:
     """With a stand-in generator."""
@@ -447,11 +398,3 @@ def agent_meeting(t: Tables) -> DataFrame:
     rows = t.events.where("event_type <> 'error'").select("user_id", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("chunk_id"), F.col("event_id").alias("position"), "event_type")
     merged = A.merge_sources(rows.where("position % 2 = 0"), rows)
     return merged.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("keys"))
-
-
-@query("SELECT s_suppkey, count(*) AS n FROM (SELECT s_suppkey % 40 AS s_suppkey FROM supplier) GROUP BY 1 HAVING count(*) > 1")
-def ddl_tables(t: Tables) -> DataFrame:
-    """Unique keys as an assertion: what breaks them."""
-    from lumenfold.schemas import violations
-
-    return violations(t.supplier.select((F.col("s_suppkey") % 40).alias("s_suppkey")), ("s_suppkey",))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections import OrderedDict, deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,19 +23,35 @@ def _accept(times: Iterator[float], most: int, seconds: float, log: deque) -> li
     return out
 
 
+def _folded(rows: DataFrame, by: str, parts: int | None, order: list[str], fold, added: str) -> DataFrame:
+    """Rows of each value of ``by`` in order through a fold, a batch at a time: no history is
+    held, only the fold's state of the value at hand."""
+    spread = rows.repartition(parts, by) if parts else rows.repartition(by)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return spread.sortWithinPartitions(by, *order).mapInPandas(fold, f"{schema}, {added}")
+
+
+def _seconds(times: pd.Series) -> list[float]:
+    return (times.astype("datetime64[us]").astype("int64") / 1e6).tolist()
+
+
 def limit_calls(calls: DataFrame, most: int, seconds: float, key: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Adds ``accepted``: fewer than ``most`` accepted calls in the last ``seconds`` of the key.
 
-    Only accepted calls count, so this is a fold, one key at a time; a key's state is at most
+    Only accepted calls count, so this is a fold, one key at a time; the state is at most
     ``most`` times."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
-        times = (pdf[ts].astype("datetime64[us]").astype("int64") / 1e6).tolist()
-        return pdf.assign(accepted=_accept(iter(times), most, seconds, deque()))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, log = object(), deque()
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf[key], _seconds(pdf[ts]), strict=True):
+                if k != now:
+                    now, log = k, deque()
+                out += _accept([t], most, seconds, log)
+            yield pdf.assign(accepted=out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema.fields)
-    return calls.groupBy(key).applyInPandas(run, f"{schema}, accepted boolean")
+    return _folded(calls, key, None, [ts, order], run, "accepted boolean")
 
 
 def limit_calls_stream(calls: DataFrame, most: int, seconds: float, key: str = "user_id") -> DataFrame:
@@ -53,24 +69,91 @@ def limit_calls_stream(calls: DataFrame, most: int, seconds: float, key: str = "
     return calls.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, accepted boolean", "log array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def cache_lookups(lookups: DataFrame, positive: float = 86_400.0, negative: float = 60.0, key: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """Adds ``hit``: an unexpired answer is cached for the key. A miss stores the row's own
-    answer, for ``positive`` or, where ``failed``, ``negative`` seconds; an entry has expired
-    when its time is reached."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
-        times = (pdf[ts].astype("datetime64[us]").astype("int64") / 1e6).tolist()
-        expires, hits = float("-inf"), []
-        for t, failed in zip(times, pdf["failed"], strict=True):
-            hit = t < expires
-            if not hit:
-                expires = t + (negative if failed else positive)
-            hits.append(hit)
-        return pdf.assign(hit=hits)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lookups.schema.fields)
-    return lookups.groupBy(key).applyInPandas(run, f"{schema}, hit boolean")
+class TtlCache:
+    """Answers by key, the least recently used dropped beyond ``most``. An entry has expired
+    when its time is reached; failures expire sooner. Times to live of nought store nothing."""
+
+    def __init__(self, positive: float = 86_400.0, negative: float = 60.0, most: int = 4096) -> None:
+        self.positive, self.negative, self.most = positive, negative, most
+        self.entries: OrderedDict = OrderedDict()
+        self.hits = self.misses = 0
+
+    def get(self, key, now: float) -> bool:
+        expires = self.entries.get(key)
+        if expires is None or now >= expires:
+            self.entries.pop(key, None)
+            self.misses += 1
+            return False
+        self.entries.move_to_end(key)
+        self.hits += 1
+        return True
+
+    def put(self, key, now: float, failed: bool) -> None:
+        live = self.negative if failed else self.positive
+        if self.positive <= 0 or live <= 0:
+            return
+        self.entries[key] = now + live
+        self.entries.move_to_end(key)
+        while len(self.entries) > self.most:
+            self.entries.popitem(last=False)
+
+
+def cache_lookups(
+    lookups: DataFrame, positive: float = 86_400.0, negative: float = 60.0, key: str = "user_id", ts: str = "ts", order: str = "event_id", most: int = 4096, caches: int = 8
+) -> DataFrame:
+    """Adds ``cache``, ``hit`` and ``size``: whether the key's answer is in its cache, and how
+    many the cache then holds. A miss stores the row's own answer, a ``failed`` one for
+    ``negative`` seconds. Keys are dealt to ``caches`` of ``most`` entries each."""
+    dealt = lookups.withColumn("cache", F.pmod(F.xxhash64(key), F.lit(caches)).cast("int"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, cache = None, None
+        for pdf in batches:
+            hits, sizes = [], []
+            for c, k, t, failed in zip(pdf["cache"], pdf[key], _seconds(pdf[ts]), pdf["failed"], strict=True):
+                if c != now:
+                    now, cache = c, TtlCache(positive, negative, most)
+                hit = cache.get(k, t)
+                if not hit:
+                    cache.put(k, t, bool(failed))
+                hits.append(hit)
+                sizes.append(len(cache.entries))
+            yield pdf.assign(hit=hits, size=sizes)
+
+    return _folded(dealt, "cache", caches, [ts, order], run, "hit boolean, size int")
+
+
+def cache_stats(looked_up: DataFrame) -> DataFrame:
+    """(cache, hits, misses) of ``cache_lookups``."""
+    return looked_up.groupBy("cache").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+class TableCache:
+    """Loaded tables by name, persisted, the least recently used let go beyond ``most``."""
+
+    def __init__(self, most: int = 256) -> None:
+        self.most, self.loads = most, 0
+        self.tables: OrderedDict[str, DataFrame] = OrderedDict()
+
+    def get(self, name: str, load: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.tables:
+            self.loads += 1
+            self.tables[name] = load().persist()
+        self.tables.move_to_end(name)
+        while len(self.tables) > self.most:
+            self.tables.popitem(last=False)[1].unpersist()
+        return self.tables[name]
+
+    def clear(self) -> None:
+        """After a rebuild nothing that was loaded counts."""
+        for table in self.tables.values():
+            table.unpersist()
+        self.tables.clear()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
 
 
 def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, hash_col: str = "text", batch_files: int = 100):
@@ -80,13 +163,9 @@ def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpo
 
     def store(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates(["content_sha256"])
-        session = batch.sparkSession
-        try:
-            known = session.read.parquet(target).select("content_sha256")
+        if _exists(spark, target):
+            known = batch.sparkSession.read.schema("content_sha256 string").parquet(target)
             fresh = fresh.join(known, "content_sha256", "left_anti")
-        except Exception as missing:  # the first batch has no target yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
         fresh.write.mode("append").parquet(target)
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_files).parquet(source)
@@ -94,6 +173,28 @@ def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpo
     return hashed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# The stages of an ingestion job, in order.
+STAGES = ("security_scan", "extract", "chunk", "embed", "store", "index")
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """(job_id, state, stage) from a job's events (job_id, seq, stage, ok): queued without one,
+    failed at the first stage that isn't ok, completed after the last, else running. What
+    comes after a failure, or out of the stages' order, doesn't count."""
+    place = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
+    own = events.where(F.col("stage").isNotNull()).withColumn("place", place).where("place > 0")
+    first = own.groupBy("job_id", "place").agg(F.min_by("ok", "seq").alias("ok"))
+    flags = first.groupBy("job_id").agg(F.min(F.when(~F.col("ok"), F.col("place"))).alias("bad"), F.collect_set(F.when(F.col("ok"), F.col("place"))).alias("done"))
+    # stages done without a gap from the first
+    reach = F.size(F.filter(F.sequence(F.lit(1), F.lit(len(STAGES))), lambda k: F.forall(F.sequence(F.lit(1), k), lambda j: F.array_contains(F.col("done"), j.cast("long")))))
+    jobs = events.select("job_id").distinct().join(flags.select("job_id", "bad", reach.alias("reach")), "job_id", "left")
+    got = F.coalesce("reach", F.lit(0))
+    failed = F.col("bad") == got + 1
+    state = F.when(failed, "failed").when(got == len(STAGES), "completed").when(got == 0, "queued").otherwise("running")
+    stage = F.get(F.array(*[F.lit(s) for s in STAGES]), F.when(failed, got).otherwise(got - 1).cast("int"))
+    return jobs.select("job_id", state.alias("state"), stage.alias("stage"))
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling event-time counts with a watermark: a Spark extra, for telemetry."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
