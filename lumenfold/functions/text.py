@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lumenfold.scratch import spread
+
 # Words that carry no topic.
 STOPWORDS = (
     "what", "are", "is", "was", "were", "a", "an", "the", "of", "in", "on",
@@ -161,7 +163,7 @@ def clean_text(rows: DataFrame, text: Column, out: str = "cleaned", normalize: b
     ]
     if not normalize:
         return rows.withColumn(out, _cleaned(text, first + last, []))
-    own = rows.withColumn("_before", _cleaned(text, first, []))
+    own = spread(rows).withColumn("_before", _cleaned(text, first, []))
     before = F.col("_before.text")
     # a function of Python's is a column of its own, as it can't stand inside the steps
     own = own.withColumn("_folded", normalized(before))

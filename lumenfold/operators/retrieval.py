@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import lexical_overlap, lexical_tokens
-from lumenfold.scratch import materialize, small_enough
+from lumenfold.scratch import materialize, small_enough, spread
 
 POOL, RRF_K, OVERLAP_WEIGHT = 40, 60, 0.15
 #: Rows that are broadcast at most: tokens of queries, candidates. More are shuffled.
@@ -49,7 +49,7 @@ def token_index(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     and one without a token for each chunk; length is the chunk's number of tokens."""
     wanted = query_tokens(queries).select(F.explode("query_tokens").alias("token")).distinct().withColumn("wanted", F.lit(True))
     none = F.array(F.lit(None).cast("string"))
-    rows = with_tokens(chunks).select("chunk_id", F.size("tokens").alias("length"), F.explode(F.concat(none, "tokens")).alias("token"))
+    rows = with_tokens(spread(chunks.select("chunk_id", "chunk_text"))).select("chunk_id", F.size("tokens").alias("length"), F.explode(F.concat(none, "tokens")).alias("token"))
     return materialize(rows.join(_spread(wanted), "token", "left").where("token is null or wanted").select("chunk_id", "length", "token"))
 
 

@@ -10,6 +10,7 @@ from lumenfold.operators import dedup as D
 from lumenfold.operators import pages as P
 from lumenfold.plans.catalog import query
 from lumenfold.plans.fixtures import LINES, REGIONS, Tables
+from lumenfold.plans.sqltext import CHILDREN
 from lumenfold.sources import sinks
 
 HEADED = """rows_ AS (SELECT doc_id AS document_id, i - 1 AS line_no, ls[i] AS line, CAST((i - 1) // 3 + 1 AS INTEGER) AS page_number FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
@@ -89,18 +90,25 @@ def page_outcome(t: Tables) -> DataFrame:
     return P.page_outcome(t.regions)
 
 
-@query()
+@query(f"""WITH {REGIONS}, o AS (SELECT document_id, page_number, left_edge, row_number() OVER w AS i, left_edge - lag(left_edge) OVER w AS gap FROM regions WINDOW w AS (PARTITION BY document_id, page_number ORDER BY left_edge)),
+g AS (SELECT document_id, page_number, count(*) AS n, max(gap) AS widest, arg_max(i - 1, gap * 1000000 - i) AS l FROM o GROUP BY 1, 2)
+SELECT document_id, page_number, CASE WHEN n >= 8 AND widest >= 48 AND l >= 0.25 * n AND n - l >= 0.25 * n THEN 2 ELSE 1 END AS n_columns FROM g""")
 def page_columns(t: Tables) -> DataFrame:
     xs = t.regions.groupBy("document_id", "page_number").agg(F.collect_list("left_edge").alias("xs"))
     return xs.select("document_id", "page_number", P.column_count(F.col("xs"), F.lit(600.0)).alias("n_columns"))
 
 
-@query()
+@query(f"""WITH {REGIONS}, p AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'ab' WHEN 1 THEN 'some short text' ELSE text END AS r FROM documents), own AS (SELECT * FROM regions WHERE document_id % 2 = 0),
+g AS (SELECT document_id, count(*) AS n, sum(CASE WHEN page_number = 1 AND region_type <> 'table' THEN length(text_content) END) AS got, count(*) FILTER (WHERE page_number = 1 AND region_type <> 'table') AS body FROM own GROUP BY 1),
+a AS (SELECT doc_id, n, body, CASE WHEN length(trim(r)) > 0 THEN CASE WHEN coalesce(got, 0) / length(r) < 0.05 THEN 'replace' WHEN coalesce(got, 0) / length(r) < 0.3 THEN 'append' END END AS action FROM p LEFT JOIN g ON document_id = doc_id)
+SELECT doc_id AS document_id, n FROM (SELECT doc_id, coalesce(n, 0) - CASE WHEN action = 'replace' THEN coalesce(body, 0) ELSE 0 END + CASE WHEN action IS NOT NULL THEN 1 ELSE 0 END AS n FROM a) WHERE n > 0""")
 def native_text_fallback(t: Tables) -> DataFrame:
     return P.native_text_fallback(_pages(t), t.regions.where("document_id % 2 = 0")).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {REGIONS}, x AS (SELECT length(text_content) AS n, trim(text_content) <> '' AND NOT regexp_matches(text_content, '(?i)\\(cid:\\d+\\)|/(?:gid|glyph|g)\\d{{2,}}') AND length(regexp_replace(text_content, '[^A-Za-z0-9\\s.,;:!?''\"()\\-]', '', 'g')) / greatest(length(text_content), 1) >= 0.4 AS good FROM regions),
+s AS (SELECT n % 3 <> 0 AND good AS native, good AND (n % 10) / 10 >= 0.6 AS ocr_ok, good AND (n % 10) / 10 >= 0.3 AS ocr_low, n % 4 = 0 AS vision FROM x)
+SELECT CASE WHEN native OR ocr_ok THEN 'ok' WHEN ocr_low OR vision THEN 'low_confidence' ELSE 'failed' END AS validation_status, CASE WHEN native THEN 'native' WHEN ocr_ok OR ocr_low THEN 'ocr' WHEN vision THEN 'vision' ELSE 'none' END AS method, count(*) AS n FROM s GROUP BY 1, 2""")
 def region_validate(t: Tables) -> DataFrame:
     n = F.length("text_content")
     extra = t.regions.drop("method", "validation_status").withColumn("ocr_text", F.col("text_content")).withColumn("ocr_confidence", (n % 10) / 10).withColumn("vision_text", F.when(n % 4 == 0, F.lit("seen")))
@@ -132,29 +140,38 @@ def agg_decorative(t: Tables) -> DataFrame:
     return P.decorative_images(_images(t))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHILDREN}, c AS (SELECT doc_id, count(*) AS n, md5(string_agg(part, chr(1) ORDER BY child_index)) AS digest FROM children GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n, coalesce(digest, md5('')) AS digest FROM documents LEFT JOIN c USING (doc_id)""")
 def fold_pack_sentences(t: Tables) -> DataFrame:
     parts = C.pack_children(F.col("text"))
     return t.documents.select("doc_id", F.size(parts).alias("n"), F.md5(F.array_join(parts, "\u0001")).alias("digest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINES}, f AS (SELECT document_id, line_no, line, length(line) + 2 AS used, 1 AS part FROM lines WHERE line_no = 0
+UNION ALL SELECT l.document_id, l.line_no, l.line, CASE WHEN f.used + length(l.line) + 2 <= 1000 THEN f.used + length(l.line) + 2 ELSE length(l.line) + 2 END, CASE WHEN f.used + length(l.line) + 2 <= 1000 THEN f.part ELSE f.part + 1 END FROM f JOIN lines l ON l.document_id = f.document_id AND l.line_no = f.line_no + 1),
+p AS (SELECT document_id, part, string_agg(line, chr(10) || chr(10) ORDER BY line_no) AS x FROM f GROUP BY 1, 2)
+SELECT document_id AS doc_id, count(*) AS n, md5(string_agg(x, chr(1) ORDER BY part)) AS digest FROM p GROUP BY 1""")
 def fold_pack_blocks(t: Tables) -> DataFrame:
     parts = C.pack_blocks(F.split("text", "\n", -1))
     return t.documents.select("doc_id", F.size(parts).alias("n"), F.md5(F.array_join(parts, "\u0001")).alias("digest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHILDREN} SELECT doc_id AS document_id, child_index, child_count, sha256(CAST(doc_id AS VARCHAR) || ':' || CAST(child_index AS VARCHAR) || ':' || part) AS chunk_id FROM children""")
 def win_child_index(t: Tables) -> DataFrame:
     return C.child_chunks(t.documents.select(F.col("doc_id").alias("document_id"), "text")).select("document_id", "child_index", "child_count", "chunk_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {REGIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number, reading_order, region_id) AS rn FROM regions),
+f AS (SELECT document_id, region_id, rn, page_number, region_type, CAST([] AS VARCHAR[]) AS stack, CASE WHEN region_type = 'heading' THEN [text_content] ELSE [] END AS heads FROM o WHERE rn = 1
+UNION ALL SELECT o.document_id, o.region_id, o.rn, o.page_number, o.region_type, CASE WHEN o.region_type = 'heading' THEN CASE WHEN o.page_number <> f.page_number THEN [] ELSE f.stack END WHEN len(f.heads) > 0 THEN list_concat(f.stack[1:greatest(0, len(f.stack) - len(f.heads))], f.heads) ELSE f.stack END,
+CASE WHEN o.region_type = 'heading' THEN list_append(CASE WHEN o.page_number <> f.page_number THEN [] ELSE f.heads END, o.text_content) ELSE [] END FROM f JOIN o ON o.document_id = f.document_id AND o.rn = f.rn + 1)
+SELECT region_id, nullif(array_to_string(stack, ' > '), '') AS section_title FROM f WHERE region_type <> 'heading'""")
 def win_chunk_sections(t: Tables) -> DataFrame:
     return C.section_paths(t.regions.select("document_id", "page_number", "region_id", "region_type", "reading_order", "text_content")).select("region_id", "section_title")
 
 
-@query()
+@query(f"""WITH {REGIONS}, b AS (SELECT *, coalesce(CAST(region_type IN ('table', 'figure', 'heading') OR lag(page_number) OVER w <> page_number AS INTEGER), 0) AS br FROM regions WINDOW w AS (PARTITION BY document_id ORDER BY page_number, reading_order, region_id)),
+i AS (SELECT *, sum(br) OVER (PARTITION BY document_id ORDER BY page_number, reading_order, region_id) AS island FROM b)
+SELECT document_id, CAST(island AS BIGINT) AS island, count(*) AS n_regions, md5(string_agg(text_content, chr(10) || chr(10) ORDER BY page_number, reading_order, region_id)) AS digest FROM i WHERE region_type NOT IN ('table', 'figure', 'heading') GROUP BY 1, 2""")
 def win_flush_buffer(t: Tables) -> DataFrame:
     return C.flush_buffers(t.regions).select("document_id", "island", "n_regions", F.md5("parent_text").alias("digest"))
 

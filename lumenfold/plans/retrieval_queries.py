@@ -24,7 +24,7 @@ def agg_df_avgdl(t: Tables) -> DataFrame:
     return _rounded(R.bm25_stats(t.chunks), "avg_length")
 
 
-@query(f"WITH {BM25} SELECT query_id, chunk_id, round(bm25_score, 6) AS bm25_score FROM bm25")
+@query(f"WITH {BM25} SELECT query_id, chunk_id, round(round(bm25_score, 9), 6) AS bm25_score FROM bm25")
 def agg_bm25(t: Tables) -> DataFrame:
     return _rounded(R.bm25_scores(t.chunks, t.queries), "bm25_score")
 
@@ -34,7 +34,7 @@ def topk_bm25(t: Tables) -> DataFrame:
     return R.top_k(R.bm25_scores(t.chunks, t.queries), "bm25_score", 8).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {BM25}, {RUN} SELECT query_id, chunk_id, round(bm25_score, 6) AS combined_score FROM run JOIN bm25 USING (query_id, chunk_id)")
+@query(f"WITH {BM25}, {RUN} SELECT query_id, chunk_id, round(round(bm25_score, 9), 6) AS combined_score FROM run JOIN bm25 USING (query_id, chunk_id)")
 def retrieve_keyword(t: Tables) -> DataFrame:
     return _rounded(R.retrieve_keyword(t.chunks, t.queries).select("query_id", "chunk_id", "combined_score"), "combined_score")
 
@@ -79,7 +79,8 @@ def set_union_candidates(t: Tables) -> DataFrame:
     return dense.union(sparse).distinct()
 
 
-@query()
+@query(f"""WITH {FUSED}, x AS (SELECT fused.query_id, chunk_id, list_distinct(string_split(query_text, '')) AS a, list_distinct(string_split(text, '')) AS b FROM fused JOIN queries USING (query_id) JOIN documents ON doc_id = chunk_id), y AS (SELECT query_id, chunk_id, len(list_intersect(a, b)) / greatest(1, len(a)) AS s FROM x)
+SELECT query_id, chunk_id, round(s, 6) AS pair_score FROM y QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id DESC) <= 8""")
 def rerank_cross_encoder(t: Tables) -> DataFrame:
     """With a stand-in for the injected scorer: the share of equal characters."""
     @F.pandas_udf("double")
@@ -129,7 +130,9 @@ def set_intersect_hits(t: Tables) -> DataFrame:
     return _run(t).select("query_id", "chunk_id").intersect(t.qrels)
 
 
-@query()
+@query(f"""WITH {HYBRID}, {RUN}, {QRELS}, runs AS (SELECT 'keyword' AS mode, query_id, chunk_id, rank FROM run WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id DESC) AS r FROM c WHERE dense_score IS NULL OR dense_score >= 0 QUALIFY r <= 5),
+nrel AS (SELECT query_id, count(*) AS n_rel FROM qrels GROUP BY 1), j AS (SELECT mode, runs.query_id, count(*) AS got, count(q.chunk_id) AS hits, sum(CASE WHEN q.chunk_id IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM runs LEFT JOIN qrels q ON q.query_id = runs.query_id AND q.chunk_id = runs.chunk_id GROUP BY 1, 2)
+SELECT mode, round(avg(hits / got), 6) AS precision, round(avg(hits / n_rel), 6) AS recall, round(avg(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n_rel, got) + 1) r(i))), 6) AS ndcg, count(*) AS n_queries FROM j JOIN nrel USING (query_id) GROUP BY 1""")
 def agg_compare_metrics(t: Tables) -> DataFrame:
     keyword = _run(t).withColumn("mode", F.lit("keyword"))
     hybrid = R.retrieve_hybrid(t.chunks, t.vectors, t.queries).select("query_id", "chunk_id", "rank").withColumn("mode", F.lit("hybrid"))

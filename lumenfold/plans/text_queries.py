@@ -9,7 +9,7 @@ from lumenfold.functions import text as T
 from lumenfold.functions import web as W
 from lumenfold.plans.catalog import query
 from lumenfold.plans.fixtures import ODD, Tables
-from lumenfold.plans.sqltext import tokens
+from lumenfold.plans.sqltext import UNITS, tokens
 from lumenfold.sources import readers
 
 GLYPH_SQL = r"(?i)\(cid:\d+\)|/(?:gid|glyph|g)\d{2,}"
@@ -126,7 +126,7 @@ def fn_rows_to_markdown(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.rows_to_markdown(rows).alias("md"))
 
 
-@query()
+@query(f"""WITH {UNITS} SELECT doc_id, len(u) AS n, md5(coalesce(array_to_string(u, chr(10) || chr(10)), '')) AS digest FROM units""")
 def fn_semantic_units(t: Tables) -> DataFrame:
     units = T.semantic_units(F.col("text"))
     return t.documents.select("doc_id", F.size(units).alias("n"), F.md5(F.array_join(units, "\n\n")).alias("digest"))

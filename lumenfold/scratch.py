@@ -66,3 +66,16 @@ def discard(*tables: DataFrame) -> None:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if df has at most ``rows`` rows; reads no more than that many plus one."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame, bytes_each: int = 1 << 20, split: int = 128 << 20) -> DataFrame:
+    """A plain scan of fewer files than there are cores, each of a single split, dealt out for
+    costly work on its texts into parts of ``bytes_each`` at least; anything else as it is."""
+    execution = df._jdf.queryExecution()
+    plan = execution.executedPlan().toString()
+    if "Exchange" in plan or "Scan parquet" not in plan:
+        return df
+    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(execution.optimizedPlan().stats().sizeInBytes()))
+    parts = min(cores, size // bytes_each)
+    return df.repartition(parts) if files < parts and size < files * split else df
