@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import textvec as tv
 from lumenfold.llm.components import connected_components
-from lumenfold.llm.shared import bucket_count, discard, materialize
+from lumenfold.llm.shared import bucket_count, discard, materialize, spread
 
 U64 = np.uint64
 #: Cells of the frequency sketch: its size, and so the broadcast, never grows with the data.
@@ -457,11 +457,11 @@ def jaccard_components(
     rule = Rule(percent)
     buckets = bucket_count(docs, bucket_bytes, text_col)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = materialize(own.mapInArrow(_first_pass(ngram), "id long, n long, s1 long, s2 long, part int, salt int, counts binary"))
+    first = materialize(spread(own).mapInArrow(_first_pass(ngram), "id long, n long, s1 long, s2 long, part int, salt int, counts binary"))
     shared = spark.sparkContext.broadcast(_ranks(first).tobytes())
     sets = first.where("part is null").select("id", "n", "s1", "s2")
     ends = materialize(sets.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")))
-    records = own.where("id is not null").mapInArrow(_prefix_pass(ngram, rule, buckets, shared), "bucket int, records binary, members binary")
+    records = spread(own.where("id is not null")).mapInArrow(_prefix_pass(ngram, rule, buckets, shared), "bucket int, records binary, members binary")
     shown = materialize(records.groupBy("bucket").applyInArrow(_members, "token long, s1 long, s2 long, n long").join(ends, ["s1", "s2"]).select("token", "rep", "n"))
     classes = _candidate_classes(shown, rule)
     members = materialize(shown.groupBy("rep").agg(F.max("n").alias("n")).join(classes, F.col("rep") == F.col("id")).select("id", "n", "component"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import textvec as tv
-from lumenfold.llm.shared import discard, materialize
+from lumenfold.llm.shared import discard, materialize, spread
 
 VOCABULARY = "word_bpe_49k.json"
 U64 = np.uint64
@@ -175,7 +175,7 @@ def _piece_pass(path: str | None, capacity: int, end_id: int):
 def tokenized_pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str, path: str | None, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_piece_pass(path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return spread(own).mapInArrow(_piece_pass(path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

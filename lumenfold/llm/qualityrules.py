@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import discard, materialize, small_enough
+from lumenfold.llm.shared import discard, materialize, small_enough, spread
 
 FEATURES = ("word_size", "symbols", "dup_lines", "repeats")
 #: Least spread of a feature, in its transformed units; its square is added to the variance.
@@ -301,7 +301,7 @@ def quality_rules(
     kept = [f"k{j}" for j in range(len(keep))]
     # null stands apart from any name: names get a mark
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    own = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], name(lang_col).alias("lang"), name(source_col).alias("source"), F.col(text_col).cast("string").alias("text"))
+    own = spread(docs).select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], name(lang_col).alias("lang"), name(source_col).alias("source"), F.col(text_col).cast("string").alias("text"))
     stats = text_statistics(F.col("text"))
     counted = own.select(*kept, "lang", "source", *[v.alias(k) for k, v in stats.items()])
     counted = counted.select(*kept, "lang", "source", "words.*", "n_symbols", "n_dup_lines", "n_lines")

@@ -1,67 +1,13 @@
-"""Scratch tables in the cluster's shared folder, and checked broadcasts."""
+"""What the operators share: scratch tables, sizes of inputs, checked broadcasts."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a local session (as in
-    tests) gets a temporary one that goes with the process; a cluster must set it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="lumenfold-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lumenfold-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def _shuffles_released(spark: SparkSession):
-    """Shuffle files of what runs inside go as soon as it has run: its table replaces them."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+from lumenfold.scratch import discard, materialize, scratch_dir, small_enough, spread
 
-
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write once and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    with _shuffles_released(spark):
-        writer.option("compression", "zstd").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.scratch_path = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more."""
-    for table in tables:
-        jvm = table.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["bucket_count", "discard", "input_bytes", "materialize", "scratch_dir", "small_enough", "spread"]
 
 
 def input_bytes(df: DataFrame, text_col: str | None = None) -> int:
@@ -77,8 +23,3 @@ def input_bytes(df: DataFrame, text_col: str | None = None) -> int:
 def bucket_count(df: DataFrame, bytes_each: int, text_col: str | None = None, least: int = 8) -> int:
     """How many hash buckets keep each at about ``bytes_each`` of the input."""
     return int(max(least, -(-input_bytes(df, text_col) // bytes_each)))
-
-
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """True if df has at most ``rows`` rows; reads no more than that many plus one."""
-    return df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= rows
