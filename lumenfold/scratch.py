@@ -10,7 +10,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its query's shuffle files go as soon as it has run, as the table
+#: replaces them, and Python gets batches of few bytes, which bounds both sides' buffers.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,17 +33,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_released(spark: SparkSession):
-    """Shuffle files of what runs inside go as soon as it has run: its table replaces them."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _settings(spark: SparkSession, settings: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -48,7 +51,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with _shuffles_released(spark):
+    with _settings(spark, _WRITING):
         writer.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
