@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.shared import discard, materialize
 
 #: Edges that a task contracts at once: bounds its memory, and never the result.
-HELD = 1 << 20
+HELD = 1 << 19
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -335,7 +335,8 @@ PIVOTS = 8
 
 def _verified(own: DataFrame, units: DataFrame, ngram: int, shared, rule: Rule) -> DataFrame:
     """(id, component, known, side, unit) -> the links (u, v) that units find."""
-    full = own.join(units, "id").select("id", "text", "component", "known", "side", "unit")
+    # texts move at every size, so that none is a matter of what is small enough to broadcast
+    full = own.join(units.hint("merge"), "id").select("id", "text", "component", "known", "side", "unit")
     tokens = full.mapInArrow(_unit_tokens(ngram, shared), "id long, component long, known long, side int, unit string, tokens binary")
     return tokens.groupBy("unit").applyInArrow(_verify(rule), "u long, v long")
 
@@ -439,7 +440,7 @@ def jaccard_components(
     ngram: int = 3,
     percent: int = 90,
     bucket_bytes: int = 8 << 20,
-    unit_tokens: int = 2 << 20,
+    unit_tokens: int = 1 << 20,
 ) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row of ``docs``.
 
