@@ -415,17 +415,18 @@ def _candidate_classes(shown: DataFrame, rule: Rule) -> DataFrame:
     common = F.greatest(F.lit(1), F.floor((least - F.ceil(least * rule.percent / 100) + 1) / 3))
     shown = shown.select("token", "rep", "n", F.ceil(common / 2).alias("half")).distinct()
     size = shown.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    sized = materialize(shown.join(size, "token"))
+    # what grows with the corpus moves the same way at every size: no side is small for long
+    sized = materialize(shown.join(size.hint("merge"), "token"))
     few, many = sized.where(F.col("size") <= FEW), sized.where(F.col("size") > FEW)
     a = few.select("token", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("half").alias("hu"))
     b = few.select("token", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("half").alias("hv"))
     fits = (F.col("u") < F.col("v")) & (100 * F.least("nu", "nv") >= rule.percent * F.greatest("nu", "nv"))
-    pairs = a.join(b, (a["token"] == b["token"]) & fits).groupBy("u", "v").agg(F.count(F.lit(1)).alias("seen"), F.min(F.least("hu", "hv")).alias("half"))
+    pairs = a.join(b.hint("merge"), (a["token"] == b["token"]) & fits).groupBy("u", "v").agg(F.count(F.lit(1)).alias("seen"), F.min(F.least("hu", "hv")).alias("half"))
     able = many.groupBy("rep").agg(F.count(F.lit(1)).alias("seen"), F.max("half").alias("half")).where("seen >= half").select("rep")
     band = F.floor(F.log(F.col("n")) / math.log(100 / rule.percent))
-    left = many.join(able, "rep").select("token", "rep", band.alias("band"))
+    left = many.join(able.hint("merge"), "rep").select("token", "rep", band.alias("band"))
     lead = left.groupBy("token", "band").agg(F.min("rep").alias("lead"))
-    hung = left.join(lead, ["token", "band"]).select(F.col("rep").alias("u"), F.col("lead").alias("v"))
+    hung = left.join(lead.hint("merge"), ["token", "band"]).select(F.col("rep").alias("u"), F.col("lead").alias("v"))
     upper = lead.select("token", (F.col("band") - 1).alias("band"), F.col("lead").alias("v"))
     stairs = lead.select("token", "band", F.col("lead").alias("u")).join(upper, ["token", "band"]).select("u", "v")
     classes = connected_components(pairs.where("seen >= half").select("u", "v").union(hung).union(stairs))
@@ -463,7 +464,7 @@ def jaccard_components(
     sets = first.where("part is null").select("id", "n", "s1", "s2")
     ends = materialize(sets.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")))
     records = spread(own.where("id is not null")).mapInArrow(_prefix_pass(ngram, rule, buckets, shared), "bucket int, records binary, members binary")
-    shown = materialize(records.groupBy("bucket").applyInArrow(_members, "token long, s1 long, s2 long, n long").join(ends, ["s1", "s2"]).select("token", "rep", "n"))
+    shown = materialize(records.groupBy("bucket").applyInArrow(_members, "token long, s1 long, s2 long, n long").join(ends.hint("merge"), ["s1", "s2"]).select("token", "rep", "n"))
     classes = _candidate_classes(shown, rule)
     members = materialize(shown.groupBy("rep").agg(F.max("n").alias("n")).join(classes, F.col("rep") == F.col("id")).select("id", "n", "component"))
     discard(shown, classes)
