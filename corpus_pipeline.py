@@ -91,8 +91,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _only(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key is wanted."""
-    wanted = wanted.select(F.col(key).alias("wanted_key"))
+    """The rows whose key is wanted; both sides grow with the corpus, so none is broadcast."""
+    wanted = wanted.select(F.col(key).alias("wanted_key")).hint("merge")
     return docs.join(wanted, docs[key] == wanted["wanted_key"], "left_semi")
 
 
