@@ -52,3 +52,19 @@ o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)
 """
+
+#: crc32 of an ASCII text: a table of 256 entries by its rule, then byte by byte.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+BAND_JOIN = f"""
+WITH {_CRC_TABLE}, i AS (SELECT item_id, CAST(floor(100 * price + 0.5) AS BIGINT) AS p FROM items),
+l AS (SELECT sale_id, CAST(line_no AS BIGINT) AS line_no, item_id AS line_item_id, CAST(floor(100 * amount + 0.5) AS BIGINT) AS a, CAST(quantity AS BIGINT) AS q, {_CRC.format("CAST(sale_id AS VARCHAR) || ',' || CAST(line_no AS VARCHAR) || ',' || CAST(item_id AS VARCHAR)")} AS w
+  FROM sale_lines, crc WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity IS NOT NULL AND amount IS NOT NULL),
+u AS (SELECT *, (2 * a + q - (((2 * a + q) % (2 * q)) + 2 * q) % (2 * q)) // (2 * q) AS u FROM l WHERE q > 0),
+m AS (SELECT i.item_id, abs(u - p) AS gap, u, sale_id, line_no, line_item_id, w FROM i JOIN u ON line_item_id <> item_id AND u BETWEEN p - greatest(100, p // 999 + 1) AND p + greatest(100, p // 999 + 1) WHERE abs(u - p) <= 100 OR 1000 * abs(u - p) <= greatest(u, p)),
+s AS (SELECT item_id, count(*) AS n_pairs, CAST(sum(gap) AS BIGINT) AS gap_sum, CAST(sum(w) AS BIGINT) AS lines_crc FROM m GROUP BY item_id),
+r AS (SELECT item_id, gap, u, sale_id, line_no, line_item_id, row_number() OVER (PARTITION BY item_id ORDER BY gap, u, sale_id, line_no, line_item_id) AS rank FROM m QUALIFY rank <= 2)
+SELECT i.item_id, CAST(coalesce(rank, 0) AS INTEGER) AS rank, gap, u, sale_id, line_no, line_item_id, coalesce(n_pairs, 0) AS n_pairs, coalesce(gap_sum, 0) AS gap_sum, coalesce(lines_crc, 0) AS lines_crc
+FROM i LEFT JOIN s ON s.item_id = i.item_id LEFT JOIN r ON r.item_id = i.item_id
+"""

@@ -92,6 +92,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"))
 
 
+def op12_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.llm.bandjoin import near_price_lines
+
+    return near_price_lines(_table(spark, sf_dir, "sale_lines"), _table(spark, sf_dir, "items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_band_join": op12_band_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,4 +117,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op8_jaccard_join": oracles.JACCARD_JOIN,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op12_band_join": oracles.BAND_JOIN,
 }
