@@ -68,3 +68,23 @@ r AS (SELECT item_id, gap, u, sale_id, line_no, line_item_id, row_number() OVER
 SELECT i.item_id, CAST(coalesce(rank, 0) AS INTEGER) AS rank, gap, u, sale_id, line_no, line_item_id, coalesce(n_pairs, 0) AS n_pairs, coalesce(gap_sum, 0) AS gap_sum, coalesce(lines_crc, 0) AS lines_crc
 FROM i LEFT JOIN s ON s.item_id = i.item_id LEFT JOIN r ON r.item_id = i.item_id
 """
+
+
+def _clustering(k: int = 40, rounds: int = 5) -> str:
+    """Rounds written out: nearest centroid of each vector, then floors of means."""
+    fine = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64"
+    steps = [
+        f"v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {fine})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, x FROM v QUALIFY c < {k})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v.x) AS x, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(v.x, c{n}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), c := c)) AS b FROM v, c{n} GROUP BY r)")
+        if n < rounds:
+            steps.append(f"m{n} AS (SELECT c, list(m ORDER BY i) AS x FROM (SELECT b.c AS c, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM a{n}, range(1, 65) t(i) GROUP BY b.c, i) GROUP BY c)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m{n}.x, c{n}.x) AS x FROM c{n} LEFT JOIN m{n} USING (c))")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = b.c"""
+
+
+CENTROID_CLUSTERING = _clustering()

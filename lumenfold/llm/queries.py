@@ -92,12 +92,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.llm.centroids import elkan_clusters
+
+    return elkan_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenfold.llm.bandjoin import near_price_lines
 
     return near_price_lines(_table(spark, sf_dir, "sale_lines"), _table(spark, sf_dir, "items"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.llm.hnsw import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
@@ -109,7 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "op12_band_join": op12_band_join,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -117,5 +131,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op8_jaccard_join": oracles.JACCARD_JOIN,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op11_centroid_clustering": oracles.CENTROID_CLUSTERING,
     "op12_band_join": oracles.BAND_JOIN,
 }
