@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import lexical_overlap, lexical_tokens
-from lumenfold.scratch import materialize, small_enough, spread
+from lumenfold.operators.keyword import KeywordIndex, build_index, searched
+from lumenfold.scratch import discard, materialize, small_enough, spread
 
 POOL, RRF_K, OVERLAP_WEIGHT = 40, 60, 0.15
 #: Rows that are broadcast at most: tokens of queries, candidates. More are shuffled.
@@ -44,13 +45,18 @@ def _spread(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small_enough(small, BROADCAST_ROWS) else small
 
 
-def token_index(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(chunk_id, length, token), written: a row for each token of a chunk that some query has,
-    and one without a token for each chunk; length is the chunk's number of tokens."""
-    wanted = query_tokens(queries).select(F.explode("query_tokens").alias("token")).distinct().withColumn("wanted", F.lit(True))
+def token_index(chunks: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, length, token), written: a row for each token of a chunk, of those alone that
+    some query has if queries are given, and one without a token for each chunk; length is the
+    chunk's number of tokens."""
     none = F.array(F.lit(None).cast("string"))
     rows = with_tokens(spread(chunks.select("chunk_id", "chunk_text"))).select("chunk_id", F.size("tokens").alias("length"), F.explode(F.concat(none, "tokens")).alias("token"))
-    return materialize(rows.join(_spread(wanted), "token", "left").where("token is null or wanted").select("chunk_id", "length", "token"))
+    if queries is None:
+        return materialize(rows)
+    wanted = query_tokens(queries).select(F.explode("query_tokens").alias("key")).distinct().withColumn("wanted", F.lit(True))
+    # a chunk's own row gets a key that no token is, so these rows don't meet in one task
+    keyed = rows.withColumn("key", F.coalesce("token", F.concat(F.lit("-"), F.col("chunk_id").cast("string"))))
+    return materialize(keyed.join(_spread(wanted), "key", "left").where("token is null or wanted").select("chunk_id", "length", "token"))
 
 
 def bm25_matches(index: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -168,7 +174,12 @@ def dense_pool(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def rrf(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two pools by a full outer join."""
     one = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
-    return dense.join(sparse, ["query_id", "chunk_id"], "full_outer").withColumn("rrf_score", one("dense_rank") + one("sparse_rank"))
+    return dense.join(sparse, ["query_id", "chunk_id"], "full_outer").withColumn("rrf_score", canonical(one("dense_rank") + one("sparse_rank")))
+
+
+def canonical(score: Column) -> Column:
+    """Twelve decimals: sums that differ in the last bit alone are equal, and rank as equals."""
+    return F.round(score, 12)
 
 
 def add_overlap(candidates: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -193,15 +204,33 @@ def add_overlap_of_index(candidates: DataFrame, index: DataFrame, queries: DataF
     return joined.withColumn("overlap", share).drop("n", "query_tokens")
 
 
+def keyword_pool(index: KeywordIndex, queries: DataFrame, k: int, rank: str = "rank") -> DataFrame:
+    """(query_id, chunk_id, bm25_score) and rank of each query's k best chunks, exactly, by
+    postings that can matter alone; ties by id."""
+    found = searched(index, query_tokens(queries), k).where("chunk_id is not null")
+    return top_k(found.select("query_id", "chunk_id", F.round(F.col("sum") / 1e12, 9).alias("bm25_score")), "bm25_score", k, rank)
+
+
+def keyword_search(chunks: DataFrame, queries: DataFrame, k: int, rank: str = "rank", tokens: DataFrame | None = None) -> DataFrame:
+    """The same from texts, or from their token rows; the index goes once it has answered."""
+    rows = token_index(chunks, queries) if tokens is None else tokens
+    index = build_index(rows)
+    found = keyword_pool(index, queries, k, rank)
+    index.discard()
+    if tokens is None:
+        discard(rows)
+    return found
+
+
 def retrieve_keyword(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
-    return top_k(bm25_scores(chunks, queries), "bm25_score", k).withColumn("combined_score", F.col("bm25_score"))
+    return keyword_search(chunks, queries, k).withColumn("combined_score", F.col("bm25_score"))
 
 
 def retrieve_dense(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 8, weight: float = OVERLAP_WEIGHT, least: float = 0.0, pool: int = POOL) -> DataFrame:
     """Dense pool re-ranked by lexical overlap, then the score floor, then the cut; ties keep
     the dense order."""
     found = add_overlap(dense_pool(vectors, queries, max(k, pool)), chunks, queries)
-    found = found.withColumn("combined_score", F.col("dense_score") + weight * F.col("overlap")).where(F.col("dense_score") >= least)
+    found = found.withColumn("combined_score", canonical(F.col("dense_score") + weight * F.col("overlap"))).where(F.col("dense_score") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc("combined_score"), F.asc("dense_rank"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -210,8 +239,7 @@ def hybrid_candidates(chunks: DataFrame, vectors: DataFrame, queries: DataFrame,
     """Both pools, fused; ``index`` is the chunks' token index, if there is one already."""
     index = token_index(chunks, queries) if index is None else index
     dense = dense_pool(vectors, queries, max(k, pool))
-    sparse = top_k(bm25_matches(index, queries).drop("n_common"), "bm25_score", pool, "sparse_rank")
-    return rrf(dense, sparse)
+    return rrf(dense, keyword_search(chunks, queries, pool, "sparse_rank", index))
 
 
 def retrieve_hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 8, weight: float = OVERLAP_WEIGHT, least: float = 0.0, pool: int = POOL) -> DataFrame:
@@ -219,7 +247,7 @@ def retrieve_hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k
     candidate of the keyword pool alone passes the score floor."""
     index = token_index(chunks, queries)
     found = add_overlap_of_index(hybrid_candidates(chunks, vectors, queries, k, pool, index), index, queries)
-    found = found.withColumn("combined_score", F.col("rrf_score") + weight * F.col("overlap"))
+    found = found.withColumn("combined_score", canonical(F.col("rrf_score") + weight * F.col("overlap")))
     found = found.where(F.col("dense_score").isNull() | (F.col("dense_score") >= least))
     return top_k(found, "combined_score", k, ids_descending=True)
 

@@ -60,18 +60,25 @@ class Tables:
         own = self.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
         return own.join(self.documents.select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
 
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """The chunks' tokens that queries have, from one pass over the texts."""
+        from lumenfold.operators.retrieval import token_index
+
+        return token_index(self.chunks, self.queries)
+
     @cached_property
     def matches(self) -> DataFrame:
-        """(query_id, chunk_id, bm25_score, n_common), from one pass over the texts."""
-        from lumenfold.operators.retrieval import bm25_matches, token_index
+        """(query_id, chunk_id, bm25_score, n_common) of every matching pair."""
+        from lumenfold.operators.retrieval import bm25_matches
 
-        return bm25_matches(token_index(self.chunks, self.queries), self.queries)
+        return bm25_matches(self.tokens, self.queries)
 
     def run(self, k: int) -> DataFrame:
         """(query_id, chunk_id, rank) of keyword retrieval."""
-        from lumenfold.operators.retrieval import top_k
+        from lumenfold.operators.retrieval import keyword_search
 
-        return top_k(self.matches, "bm25_score", k).select("query_id", "chunk_id", "rank")
+        return keyword_search(self.chunks, self.queries, k, tokens=self.tokens).select("query_id", "chunk_id", "rank")
 
     @property
     def qrels(self) -> DataFrame:

@@ -31,7 +31,7 @@ def agg_bm25(t: Tables) -> DataFrame:
 
 @query(f"WITH {BM25}, {RUN} SELECT query_id, chunk_id, rank FROM run")
 def topk_bm25(t: Tables) -> DataFrame:
-    return R.top_k(R.bm25_scores(t.chunks, t.queries), "bm25_score", 8).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    return t.run(8).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {BM25}, {RUN} SELECT query_id, chunk_id, round(round(bm25_score, 9), 6) AS combined_score FROM run JOIN bm25 USING (query_id, chunk_id)")
@@ -44,13 +44,13 @@ def topk_dense(t: Tables) -> DataFrame:
     return _rounded(R.dense_pool(t.vectors, t.queries, 8).select("query_id", "chunk_id", "dense_score"), "dense_score")
 
 
-@query(f"""WITH {POOLS}, c AS (SELECT query_id, chunk_id, dense_rank, dense_score, dense_score + 0.15 * {OVERLAP} AS s FROM dpool JOIN tok USING (chunk_id) JOIN queries USING (query_id) WHERE dense_score >= 0)
+@query(f"""WITH {POOLS}, c AS (SELECT query_id, chunk_id, dense_rank, dense_score, round(dense_score + 0.15 * {OVERLAP}, 12) AS s FROM dpool JOIN tok USING (chunk_id) JOIN queries USING (query_id) WHERE dense_score >= 0)
 SELECT query_id, chunk_id, round(s, 6) AS combined_score FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, dense_rank) <= 8""")
 def retrieve_dense(t: Tables) -> DataFrame:
     return _rounded(R.retrieve_dense(t.chunks, t.vectors, t.queries).select("query_id", "chunk_id", "combined_score"), "combined_score")
 
 
-FUSED = f"""{POOLS}, fused AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, dense_score, bm25_score, coalesce(1.0 / (60 + dense_rank), 0.0) + coalesce(1.0 / (60 + sparse_rank), 0.0) AS rrf FROM dpool d FULL OUTER JOIN spool s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id)"""
+FUSED = f"""{POOLS}, fused AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, dense_score, bm25_score, round(coalesce(1.0 / (60 + dense_rank), 0.0) + coalesce(1.0 / (60 + sparse_rank), 0.0), 12) AS rrf FROM dpool d FULL OUTER JOIN spool s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id)"""
 
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_id, round(rrf, 6) AS rrf_score FROM fused")
@@ -58,7 +58,7 @@ def join_rrf_full_outer(t: Tables) -> DataFrame:
     return _rounded(R.hybrid_candidates(t.chunks, t.vectors, t.queries).select("query_id", "chunk_id", "rrf_score"), "rrf_score")
 
 
-HYBRID = f"""{FUSED}, c AS (SELECT query_id, chunk_id, dense_score, rrf + 0.15 * {OVERLAP} AS s FROM fused JOIN tok USING (chunk_id) JOIN queries USING (query_id))"""
+HYBRID = f"""{FUSED}, c AS (SELECT query_id, chunk_id, dense_score, round(rrf + 0.15 * {OVERLAP}, 12) AS s FROM fused JOIN tok USING (chunk_id) JOIN queries USING (query_id))"""
 TOP = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id DESC) <= 8"
 
 
@@ -75,7 +75,7 @@ def hybrid_min_score(t: Tables) -> DataFrame:
 @query(f"WITH {FUSED} SELECT DISTINCT query_id, chunk_id FROM fused")
 def set_union_candidates(t: Tables) -> DataFrame:
     dense = R.dense_pool(t.vectors, t.queries, R.POOL).select("query_id", "chunk_id")
-    sparse = R.top_k(t.matches, "bm25_score", R.POOL).select("query_id", "chunk_id")
+    sparse = t.run(R.POOL).select("query_id", "chunk_id")
     return dense.union(sparse).distinct()
 
 
