@@ -35,62 +35,91 @@ SLACK = 1_000
 @dataclass
 class KeywordIndex:
     """``postings``: for each shard a row without a token (its chunk ids by rising length, and
-    the lengths) and a row for each token (chunk numbers; the least length of each block).
-    ``frequencies``: token, df. ``shards`` are numbered from 0; some may be empty. ``n_chunks`` and ``avg_length`` are of all chunks."""
+    the lengths) and a row for each token (how many chunks, their numbers, and the least length
+    of each block). ``shards`` are numbered from 0; some may be empty. ``n_chunks`` and
+    ``avg_length`` are of all chunks."""
 
     postings: DataFrame
-    frequencies: DataFrame
     shards: int
     n_chunks: int
     avg_length: float
 
+    @property
+    def frequencies(self) -> DataFrame:
+        """(token, df), without reading a list."""
+        return self.postings.where("token is not null").groupBy("token").agg(F.sum("n").alias("df"))
+
     def discard(self) -> None:
-        discard(self.postings, self.frequencies)
+        discard(self.postings)
 
 
 def _schema(id_type: str) -> str:
-    return f"shard long, token string, chunk_ids array<{id_type}>, lengths array<int>, docs array<int>, heads array<int>"
+    return f"shard long, token string, n int, chunk_ids array<{id_type}>, lengths array<int>, docs array<int>, heads array<int>"
 
 
-def _numbered(id_type: pa.DataType):
-    """Rows of shards, each shard's chunks first, then its tokens in order, to index rows."""
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
 
-    def row(shard: int, token: str | None, chunk_ids, lengths, docs, heads) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, token, chunk_ids, lengths, docs, heads), kinds, strict=True)], names=["shard", "token", "chunk_ids", "lengths", "docs", "heads"])
+def _numbered(id_type: pa.DataType):
+    """Rows of shards, each shard's chunks first, then its tokens in order, to index rows. Of a
+    batch all groups are done but the last, which may go on in the next."""
+    names = ["shard", "token", "n", "chunk_ids", "lengths", "docs", "heads"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: tuple | None = None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         known, lengths = pd.Index([]), np.zeros(0, dtype=np.int32)
+        held: pa.Table | None = None
 
-        def close() -> pa.RecordBatch:
+        def chunk_row(shard: int, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
             nonlocal known, lengths
-            shard, token = at
-            ids, sizes = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-            held.clear()
-            if token is None:
-                order = np.argsort(sizes, kind="stable")  # ids come sorted
-                known, lengths = pd.Index(ids[order]), sizes[order].astype(np.int32)
-                return row(shard, None, known.tolist(), lengths, None, None)
-            docs = np.sort(known.get_indexer(ids)).astype(np.int32)
-            return row(shard, token, None, None, docs, lengths[docs[::BLOCK]])
+            order = np.argsort(sizes, kind="stable")  # ids come sorted
+            known, lengths = pd.Index(ids[order]), sizes[order].astype(np.int32)
+            one = [[shard], [None], [len(ids)], [known.tolist()], [lengths], [None], [None]]
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, kinds, strict=True)], names=names)
+
+        def token_rows(shard: int, tokens: pa.Array, starts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            sizes = np.diff(np.append(starts, len(ids)))
+            group = np.repeat(np.arange(len(starts)), sizes)
+            docs = known.get_indexer(ids).astype(np.int32)
+            docs = docs[np.lexsort((docs, group))]
+            head = (np.arange(len(docs)) - np.repeat(starts, sizes)) % BLOCK == 0
+            n = len(starts)
+            columns = [pa.array(np.full(n, shard)), tokens.take(pa.array(starts)), pa.array(sizes.astype(np.int32)), pa.nulls(n, pa.list_(id_type)), pa.nulls(n, pa.list_(pa.int32()))]
+            columns += [_lists(sizes, pa.array(docs)), _lists(-(-sizes // BLOCK), pa.array(lengths[docs[head]]))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        def done(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            rows = rows.combine_chunks()
+            shards, tokens = rows.column(0).to_numpy(), rows.column(1).combine_chunks()
+            tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
+            codes = pd.factorize(tokens.to_numpy(zero_copy_only=False))[0]
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(shards) != 0) | (np.diff(codes) != 0)]))
+            n = len(shards)
+            if not last:
+                n, starts = int(starts[-1]), starts[:-1]
+            held = None if last else rows.slice(n)
+            ids, sizes = rows.column(2).to_numpy()[:n], rows.column(3).to_numpy()[:n]
+            at = 0
+            while at < len(starts):
+                shard = int(shards[starts[at]])
+                if codes[starts[at]] < 0:
+                    z = starts[at + 1] if at + 1 < len(starts) else n
+                    yield chunk_row(shard, ids[starts[at] : z], sizes[starts[at] : z])
+                    at += 1
+                    continue
+                upto = at + int(np.searchsorted(shards[starts[at:]], shard, "right"))
+                a, z = int(starts[at]), int(starts[upto]) if upto < len(starts) else n
+                yield token_rows(shard, tokens.slice(a), starts[at:upto] - a, ids[a:z])
+                at = upto
 
         for batch in batches:
-            shards, tokens = batch.column(0).to_numpy(), batch.column(1)
-            ids, sizes = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
-            codes = pd.factorize(tokens.to_numpy(zero_copy_only=False), use_na_sentinel=True)[0]
-            cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(codes) != 0)) + 1
-            for a, z in zip(np.append(0, cuts), np.append(cuts, batch.num_rows), strict=True):
-                if a == z:
-                    continue
-                key = int(shards[a]), tokens[int(a)].as_py()
-                if at is not None and key != at:
-                    yield close()
-                at = key
-                held.append((ids[a:z], sizes[a:z]))
-        if held:
-            yield close()
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                yield from done(rows if held is None else pa.concat_tables([held, rows]), False)
+        if held is not None:
+            yield from done(held, True)
 
     return run
 
@@ -103,10 +132,9 @@ def build_index(token_rows: DataFrame, shard_chunks: int = SHARD_CHUNKS) -> Keyw
     stats = token_rows.where("token is null").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
     shards = max(LEAST_SHARDS, -(-stats["n"] // shard_chunks))
     dealt = token_rows.select(F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).alias("shard"), "token", "chunk_id", "length")
-    ordered = dealt.repartition("shard").sortWithinPartitions("shard", F.col("token").asc_nulls_first(), "chunk_id")
+    ordered = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("token").asc_nulls_first(), "chunk_id")
     postings = materialize(ordered.mapInArrow(_numbered(to_arrow_type(id_type)), _schema(id_type.simpleString())))
-    frequencies = materialize(postings.where("token is not null").groupBy("token").agg(F.sum(F.size("docs")).alias("df")))
-    return KeywordIndex(postings, frequencies, shards, stats["n"], stats["avg"] or 0.0)
+    return KeywordIndex(postings, shards, stats["n"], stats["avg"] or 0.0)
 
 
 class Shard:
@@ -173,18 +201,20 @@ def _searched(k: int, k1: float, b: float, usual: float, id_type: pa.DataType, q
 
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for r in range(batch.num_rows):
-                kind = cols["kind"][r].as_py()
+            kinds, shards = cols["kind"].to_numpy(), cols["shard"].to_numpy()
+            tokens = cols["token"].to_pylist()
+            (docs, at), (heads, head_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (cols["docs"], cols["heads"]))
+            for r, kind in enumerate(kinds):
                 if kind == 0:
-                    ids, number = cols["chunk_ids"][r].values, cols["shard"][r].as_py()
+                    ids, number = cols["chunk_ids"][r].values, shards[r]
                     shard = Shard(ids.to_numpy(zero_copy_only=False), cols["lengths"][r].values.to_numpy(), k1, b, usual)
                 elif kind == 1:
-                    shard.lists[cols["token"][r].as_py()] = cols["docs"][r].values.to_numpy(), cols["heads"][r].values.to_numpy()
-                elif number == cols["shard"][r].as_py():  # else the shard is empty
+                    shard.lists[tokens[r]] = docs[at[r] : at[r + 1]], heads[head_at[r] : head_at[r + 1]]
+                elif number == shards[r]:  # else the shard is empty
                     terms = list(zip(cols["terms"][r].as_py(), cols["idfs"][r].as_py(), strict=True))
-                    docs, sums, scored = shard.search(terms, k)
+                    best, sums, scored = shard.search(terms, k)
                     who = cols["query_id"][r].as_py()
-                    out += [(who, x, int(y), 0) for x, y in zip(shard.ids[docs].tolist(), sums, strict=True)]
+                    out += [(who, x, int(y), 0) for x, y in zip(shard.ids[best].tolist(), sums, strict=True)]
                     out.append((who, None, None, scored))  # how much work it was
             if len(out) > 8192:
                 yield found()
@@ -200,10 +230,9 @@ def searched(index: KeywordIndex, queries: DataFrame, k: int, k1: float = 1.5, b
     ``queries`` has query_id and query_tokens."""
     wanted = queries.select("query_id", F.explode("query_tokens").alias("token"))
     idf = F.log(1.0 + (F.lit(index.n_chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = wanted.join(index.frequencies, "token").select("query_id", "token", idf.alias("idf"))
+    terms = materialize(wanted.join(index.frequencies, "token").select("query_id", "token", idf.alias("idf")))
     asked = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("token", "idf"))).alias("t")).select("query_id", F.col("t.token").alias("terms"), F.col("t.idf").alias("idfs"))
-    asked = materialize(asked)
-    parts = max(1, -(-asked.count() // TASK_QUERIES))
+    parts = max(1, -(-terms.select("query_id").distinct().count() // TASK_QUERIES))
     heads = index.postings.where("token is null")
     lists = index.postings.where("token is not null").join(terms.select("token").distinct(), "token", "left_semi")
     # every query is asked of every shard: both are rows, dealt by shard and part of the queries
@@ -211,9 +240,10 @@ def searched(index: KeywordIndex, queries: DataFrame, k: int, k1: float = 1.5, b
     copies = asked.select(F.explode(numbers).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.lit(2).alias("kind"), "query_id", "terms", "idfs")
     stored = heads.withColumn("kind", F.lit(0)).unionByName(lists.withColumn("kind", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     rows = stored.unionByName(copies, allowMissingColumns=True)
-    ordered = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+    slot = (F.col("shard") * parts + F.col("part")).cast("int")
+    ordered = rows.repartitionById(index.shards * parts, slot).sortWithinPartitions("shard", "part", "kind")
     id_type, query_type = index.postings.schema["chunk_ids"].dataType.elementType, queries.schema["query_id"].dataType
     run = _searched(k, k1, b, max(index.avg_length, 1.0), to_arrow_type(id_type), to_arrow_type(query_type))
     out = materialize(ordered.mapInArrow(run, f"query_id {query_type.simpleString()}, chunk_id {id_type.simpleString()}, sum long, scored long"))
-    discard(asked)
+    discard(terms)
     return out

@@ -52,11 +52,11 @@ def test_fewer_postings_than_pairs(spark, monkeypatch):
 
 
 def test_queries_split_over_tasks(spark, monkeypatch):
-    chunks, queries = frames(spark, 300, 3)
+    chunks, queries = frames(spark, 15, 3)
     rows = lambda: sorted(tuple(r) for r in retrieval.retrieve_keyword(chunks, queries, 8).collect())
     before = rows()
     monkeypatch.setattr(keyword, "TASK_QUERIES", 7)
-    monkeypatch.setattr(keyword, "LEAST_SHARDS", 1000)  # most are empty
+    monkeypatch.setattr(keyword, "LEAST_SHARDS", 25)
     assert rows() == before
 
 
