@@ -3,28 +3,22 @@
 A text is tokenised once: of its tokens only those that some query has are written, with one
 row for the chunk itself. Statistics, scores and overlaps all come from that table, whose rows
 are dealt by chunk, so a query's score of a chunk is summed where its rows are and only the
-best of each part move. Vectors meet queries as blocks of a matrix product. Candidate pools
-are per query; ties are broken by id.
+best of each part move. Candidate pools are per query; ties are broken by id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import lexical_overlap, lexical_tokens
+from lumenfold.operators.dense import ball_index, search_balls
 from lumenfold.operators.keyword import KeywordIndex, build_index, searched
 from lumenfold.scratch import discard, materialize, small_enough, spread
 
 POOL, RRF_K, OVERLAP_WEIGHT = 40, 60, 0.15
 #: Rows that are broadcast at most: tokens of queries, candidates. More are shuffled.
 BROADCAST_ROWS = 200_000
-#: Query vectors that a pass over the vectors holds at most; more take more passes.
-QUERY_BATCH = 4_096
 
 
 def with_tokens(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
@@ -88,87 +82,13 @@ def top_k(scored: DataFrame, score: str, k: int, rank: str = "rank", ids_descend
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k greatest scores, ties by the smaller id."""
-    if len(scores) > k:
-        last = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= last)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))][:k]
-
-
-def _product_pass(shared, k: int | None, names: tuple[str, str, str]):
-    """Scores of all vectors of a partition, or of each query's k best in it."""
-
-    def rows(query_ids: list, found: list[tuple[np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
-        ids = np.concatenate([x for x, _ in found])
-        scores = np.concatenate([y for _, y in found])
-        who = pa.array([q for q, (x, _) in zip(query_ids, found, strict=True) for _ in range(len(x))])
-        return pa.RecordBatch.from_arrays([who, pa.array(ids, kind), pa.array(scores, pa.float64())], names=list(names))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
-        best = None
-        kind = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind = batch.schema.field(0).type
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-            # equal vectors have equal scores wherever they stand in a block
-            scores = np.round(matrix @ vectors.T, 12)
-            if k is None:
-                yield rows(query_ids, [(ids, own) for own in scores], kind)
-                continue
-            held = best or [(ids[:0], scores[0, :0])] * len(query_ids)
-            best = []
-            for (old_ids, old), own in zip(held, scores, strict=True):
-                every, values = np.concatenate([old_ids, ids]), np.concatenate([old, own])
-                some = _best(values, every, k)
-                best.append((every[some], values[some]))
-        if best:
-            yield rows(query_ids, best, kind)
-
-    return run
-
-
-def _products(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
-    """Exact cosines of unit vectors. Queries are broadcast in batches of QUERY_BATCH, each of
-    which is one pass over the vectors."""
-    spark = vectors.sparkSession
-    names = ("query_id", "chunk_id", "dense_score")
-    kinds = [queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString(), "double"]
-    schema = ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True))
-    own = vectors.where("vector is not null").select("chunk_id", "vector")
-    parts, held = [], []
-
-    def add() -> None:
-        ids, matrix = [r[0] for r in held], np.array([r[1] for r in held], dtype=np.float64)
-        parts.append(own.mapInArrow(_product_pass(spark.sparkContext.broadcast((ids, matrix)), k, names), schema))
-        held.clear()
-
-    for r in queries.where("query_vector is not null").select("query_id", "query_vector").toLocalIterator():
-        held.append(r)
-        if len(held) == QUERY_BATCH:
-            add()
-    if held:
-        add()
-    out = parts[0] if parts else spark.createDataFrame([], schema)
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
-
-
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, dense_score) of every vector for a stated set of queries."""
-    return _products(vectors, queries, None)
-
-
 def dense_pool(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query with dense_rank; only k of each partition and query move."""
-    return top_k(_products(vectors, queries, k), "dense_score", k, "dense_rank")
+    """The k vectors with the largest products with each query, with dense_rank, exactly; balls
+    of vectors that can't hold one aren't opened."""
+    index = ball_index(vectors)
+    found = search_balls(index, queries, k)
+    index.discard()
+    return top_k(found.where("chunk_id is not null").drop("products"), "dense_score", k, "dense_rank")
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:

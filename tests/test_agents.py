@@ -152,7 +152,7 @@ def test_unknown_labels_are_an_error(spark):
 
 def test_dense_ties_and_partitions(spark):
     """Equal scores rank by id, in any partition; nulls and no queries give nothing."""
-    from lumenfold.operators.retrieval import dense_pool, dense_scores
+    from lumenfold.operators.retrieval import dense_pool
 
     vectors = spark.createDataFrame([(k, [1.0, 0.0] if k % 2 else [0.6, 0.8]) for k in range(50)] + [(99, None)], "chunk_id long, vector array<float>").repartition(7)
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, None)], "query_id long, query_vector array<float>")
@@ -160,4 +160,4 @@ def test_dense_ties_and_partitions(spark):
     ranked = {q: [r["chunk_id"] for r in sorted(found, key=lambda r: r["dense_rank"]) if r["query_id"] == q] for q in (1, 2)}
     odd, even = list(range(1, 50, 2)), list(range(0, 50, 2))
     assert ranked == {1: [*odd, *even[:5]], 2: [*even, *odd[:5]]}
-    assert dense_scores(vectors, queries).count() == 100 and dense_scores(vectors, queries.limit(0)).count() == 0
+    assert dense_pool(vectors, queries.limit(0), 3).count() == 0

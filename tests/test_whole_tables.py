@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from lumenfold.operators import retrieval
+from lumenfold.operators import dense
 from lumenfold.plans import catalog
 
 RARE = {3: "alpha river", 17: "granite moss", 240: "copper lantern"}
@@ -42,9 +42,10 @@ def test_all_items_have_closest_questions(spark, searched):
     assert {r["item_id"]: r["n"] for r in catalog.QUERIES["closest_questions"](spark, searched).collect()}.keys() == RARE.keys()
 
 
-def test_more_queries_than_are_broadcast(spark, searched, monkeypatch):
+def test_small_blocks_and_parts_of_balls(spark, searched, monkeypatch):
     before = sorted(map(tuple, catalog.QUERIES["topk_dense"](spark, searched).collect()))
-    monkeypatch.setattr(retrieval, "QUERY_BATCH", 1)
+    monkeypatch.setattr(dense, "PART_ROWS", 5)
+    monkeypatch.setattr(dense, "BLOCK", 2)
     assert sorted(map(tuple, catalog.QUERIES["topk_dense"](spark, searched).collect())) == before
 
 
