@@ -19,6 +19,8 @@ from lumenfold.plans.sqltext import BM25, RUN
 from lumenfold.schemas import EngineConfig, broken_checks
 from lumenfold.scratch import scratch_dir
 from lumenfold.sources import readers, sinks
+from lumenfold.sources.versioned import VersionedTable
+from lumenfold.streaming import jobs
 from lumenfold.streaming import state as S
 
 
@@ -363,7 +365,7 @@ def st_index_cache(t: Tables) -> DataFrame:
 
 
 @query("""WITH j AS (SELECT o_orderkey AS job_id, o_orderkey % 8 AS k FROM orders) SELECT job_id, CASE WHEN k = 0 THEN 'queued' WHEN k = 7 THEN 'failed' WHEN k = 6 THEN 'completed' ELSE 'running' END AS state, (['security_scan', 'extract', 'chunk', 'embed', 'store', 'index'])[CASE WHEN k = 7 THEN 4 WHEN k = 0 THEN NULL ELSE k END] AS stage FROM j""")
-def st_job_machine(t: Tables) -> DataFrame:
+def job_stages(t: Tables) -> DataFrame:
     """Jobs that have come so far; one kind fails at its fourth stage, after which nothing counts."""
     k = F.col("o_orderkey") % 8
     steps = F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int"))
@@ -374,12 +376,53 @@ def st_job_machine(t: Tables) -> DataFrame:
     return S.job_states(events)
 
 
+def _uploads(t: Tables) -> DataFrame:
+    """Each order of a customer is an upload whose file is the order's priority: submitted, and
+    at once taken through all stages if it is urgent; others fail at extraction, but those of
+    low priority hear nothing more."""
+    own = t.orders.select(F.col("o_custkey").cast("string").alias("scope"), F.col("o_orderkey").alias("n"), F.col("o_orderpriority").alias("p"))
+    stages = F.array(F.struct(F.lit(0).alias("nth"), F.lit(None).cast("string").alias("stage"), F.lit(True).alias("ok")), *[F.struct(F.lit(k + 1).alias("nth"), F.lit(s).alias("stage"), F.lit(True).alias("ok")) for k, s in enumerate(S.STAGES)])
+    some = F.when(F.col("p") == "1-URGENT", stages).when(F.col("p") == "5-LOW", F.slice(stages, 1, 1)).otherwise(F.concat(F.slice(stages, 1, 2), F.array(F.struct(F.lit(2).alias("nth"), F.lit("extract").alias("stage"), F.lit(False).alias("ok")))))
+    rows = own.select("scope", "n", "p", F.inline(some))
+    job = F.col("n").cast("string")
+    sent = F.col("nth") == 0
+    return rows.select(
+        "scope", (F.col("n") * 10 + F.col("nth")).alias("seq"), F.timestamp_seconds(F.col("n") * 10 + F.col("nth")).alias("at"), job.alias("job_id"), F.when(sent, F.col("p")).alias("file_sha256"),
+        F.when(sent, F.concat(F.lit("text "), "p")).alias("content_sha256"), "stage", "ok",
+    )
+
+
+#: Of a customer's uploads of one file the first urgent one completes, and those after it are
+#: refused; the first low one stays under way; all others fail in their second stage.
+JOBS = """SELECT CAST(o_custkey AS VARCHAR) AS scope, CAST(o_orderkey AS VARCHAR) AS job_id,
+CASE WHEN nth > 1 AND o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'refused' WHEN o_orderpriority = '1-URGENT' THEN 'completed' WHEN o_orderpriority = '5-LOW' THEN 'queued' ELSE 'failed' END AS status,
+CASE WHEN nth > 1 AND o_orderpriority = '1-URGENT' THEN 'file is known' WHEN nth > 1 AND o_orderpriority = '5-LOW' THEN 'file is under way' WHEN o_orderpriority = '1-URGENT' THEN 'index' WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'extract' END AS reason
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS nth FROM orders)"""
+
+
+@query(JOBS)
+def st_job_machine(t: Tables) -> DataFrame:
+    """Uploads by scope in order: duplicates of what is under way or known are refused."""
+    return jobs.job_table(jobs.job_outcomes(_uploads(t), 1e12))
+
+
+@query(JOBS)
+def st_job_stream(t: Tables) -> DataFrame:
+    """The same from a stream of the events in files, with the state kept by scope."""
+    path = scratch_dir(t.spark)
+    _uploads(t).repartitionByRange(4, "seq").write.parquet(f"{path}/events")
+    events = t.spark.readStream.schema(jobs.EVENT).parquet(f"{path}/events")
+    with jobs.keyed_store(t.spark):
+        jobs.job_outcomes_stream(events, 1e12, timers=False).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return jobs.job_table(t.spark.read.parquet(f"{path}/out"))
+
+
 @query("SELECT count(DISTINCT text) AS n FROM documents")
 def ingest_once(t: Tables) -> DataFrame:
     """Documents streamed once into a table, one row for each content."""
     path = scratch_dir(t.spark)
     S.ingest_stream(t.spark, f"{t.dir}/documents.parquet*", t.documents.schema, f"{path}/out", f"{path}/state").awaitTermination()
-    return t.spark.read.parquet(f"{path}/out").agg(F.count(F.lit(1)).alias("n"))
+    return VersionedTable(t.spark, f"{path}/out").read().agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'quarantine' WHEN 1 THEN 'retry' WHEN 2 THEN 'retry' ELSE 'accept' END AS route FROM documents")

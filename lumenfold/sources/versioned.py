@@ -21,6 +21,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from lumenfold.scratch import small_enough
 
@@ -159,16 +160,15 @@ class VersionedTable:
 
     # ---- reading
 
-    def schema(self, manifest: dict | None = None):
-        from pyspark.sql.types import StructType
-
+    def schema(self, manifest: dict | None = None) -> StructType:
         return StructType.fromJson(json.loads((manifest or self.manifest())["schema"]))
 
     def _part(self, manifest: dict, commit: dict, buckets: list[int], columns: list[str]) -> DataFrame:
         schema = self.schema(manifest)
-        own = type(schema)([f for f in schema.fields if f.name in (manifest["keys"] if commit["kind"] == DELETE else schema.names)])
-        rows = self.spark.read.schema(own.add("bucket", "int")).parquet(f"{self.path}/data/{commit['name']}")
-        return rows.where(F.col("bucket").isin(buckets)).select(*[c for c in columns if c in own.names])
+        own = StructType([f for f in schema.fields if f.name in (manifest["keys"] if commit["kind"] == DELETE else schema.names)])
+        names = [c for c in columns if c in own.names]
+        rows = self.spark.read.schema(own.add("bucket", IntegerType())).parquet(f"{self.path}/data/{commit['name']}")
+        return rows.where(F.col("bucket").isin(buckets)).select(*names)
 
     def _rows(self, manifest: dict, buckets: list[int] | None = None) -> DataFrame:
         """The version's rows of some buckets. Base rows without a newer commit in their bucket

@@ -151,25 +151,22 @@ class TableCache:
         self.tables.clear()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
-
-
-def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, hash_col: str = "text", batch_files: int = 100):
-    """Append files' rows once by content hash: each micro-batch is cut to its first row of a
-    hash and anti-joined with the target. Returns the started query, which stops when the
-    source is drained; running it again takes only what is new."""
-
-    def store(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["content_sha256"])
-        if _exists(spark, target):
-            known = batch.sparkSession.read.schema("content_sha256 string").parquet(target)
-            fresh = fresh.join(known, "content_sha256", "left_anti")
-        fresh.write.mode("append").parquet(target)
+def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, hash_col: str = "text", batch_files: int = 100, buckets: int = 64):
+    """Store files' rows once by content hash in a versioned table: of each micro-batch the rows
+    whose hashes the table doesn't have, for which it reads the buckets of those hashes alone. A
+    batch that runs again after a failure changes nothing. Returns the started query, which
+    stops when the source is drained; running it again takes only what is new."""
+    from lumenfold.sources.versioned import VersionedTable
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_files).parquet(source)
     hashed = rows.withColumn("content_sha256", F.sha2(F.coalesce(F.col(hash_col), F.lit("")), 256))
+    empty = spark.createDataFrame([], hashed.schema)
+    if not VersionedTable(spark, target).versions():
+        VersionedTable(spark, target).create(empty, ["content_sha256"], buckets)
+
+    def store(batch: DataFrame, number: int) -> None:
+        VersionedTable(batch.sparkSession, target).merge_new(batch, (checkpoint, number))
+
     return hashed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 
 from lumenfold.sources import readers, sinks
+from lumenfold.sources.versioned import VersionedTable
 from lumenfold.streaming import state
 
 
@@ -41,7 +42,7 @@ def test_ingest(spark, tmp_path):
     state.ingest_stream(*args).awaitTermination(120)
     spark.createDataFrame([(4, "b"), (5, "c")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/2")
     state.ingest_stream(*args).awaitTermination(120)
-    assert sorted(r["text"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c"]
+    assert sorted(r["text"] for r in VersionedTable(spark, f"{tmp_path}/out").read().collect()) == ["a", "b", "c"]
 
 
 def test_files(spark, tmp_path):
