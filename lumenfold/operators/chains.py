@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import strip, value_norm
+from lumenfold.functions.text import casefold, strip, value_norm
 from lumenfold.operators.chats import exact_repeats
 from lumenfold.scratch import materialize
 
@@ -75,8 +76,8 @@ def follow_up_intent(message: Column, intent: Column | None = None) -> Column:
 
 def asks_for_snapshot(question: Column) -> Column:
     """True if a phrase stands anywhere in the question, whatever its case and white space."""
-    low = F.regexp_replace(casefold(question), UNICODE_SPACE + "+", " ")
-    return F.exists(F.array(*[F.lit(x) for x in SNAPSHOT_PHRASES]), lambda x: F.contains(low, x))
+    low = F.regexp_replace(casefold(question), r"(?U)\s+", " ")
+    return reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in SNAPSHOT_PHRASES])
 
 
 def with_clarification(objective: Column, answer: Column) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import let, rows_to_markdown, section_title, semantic_units
+from lumenfold.scratch import discard, materialize
 
 _STRINGS = "array<string>"
 
@@ -112,36 +114,134 @@ def split_tables(tables: DataFrame, most_chars: int = 2000, group: int = 15) ->
     return tables.select("table_id", n.alias("of_total_rows"), F.inline(F.when(F.length(whole) <= most_chars, one).otherwise(parts)))
 
 
-def section_paths(regions: DataFrame) -> DataFrame:
+#: Regions of a run: what one task holds of a document, however long that is.
+RUN = 4_096
+_ALL = 1 << 30
+
+
+class SectionState:
+    """Where a document has come: the stack of titles, the headings since the last region, and
+    the page. A run of r headings replaces the last r of the stack."""
+
+    def __init__(self, stack=(), heads=(), page=None) -> None:
+        self.stack, self.heads, self.page = list(stack), list(heads), page
+
+    def step(self, kind: str, page: int, text: str) -> list[str] | None:
+        """The path of a region; None for a heading."""
+        if kind == "heading":
+            if self.page is not None and page != self.page:
+                self.heads, self.stack = [], []
+            self.heads.append(text)
+            self.page = page
+            return None
+        if self.heads:
+            self.stack = self.stack[: max(0, len(self.stack) - len(self.heads))] + self.heads
+            self.heads = []
+        self.page = page
+        return list(self.stack)
+
+    def apply(self, s: dict) -> None:
+        """The same as stepping through the regions of a summary."""
+        if s["starts"] and self.page is not None and s["first_page"] != self.page:
+            self.heads, self.stack = [], []
+        self.heads = self.heads + list(s["lead"])
+        if s["closed"]:
+            if s["closed"] == "region" and self.heads:
+                self.stack = self.stack[: max(0, len(self.stack) - len(self.heads))] + self.heads
+            self.stack = self.stack[: max(0, len(self.stack) - int(s["pops"]))] + list(s["pushes"])
+            self.heads = list(s["tail"])
+        self.page = s["last_page"]
+
+
+def summarize(kinds, pages, texts) -> dict:
+    """What consecutive regions do to any state: the headings they begin with, what ends those
+    (a region, or a new page with a heading), and then how many titles go and which come."""
+    lead, closed, pops, pushes, heads, page = [], "", 0, [], [], None
+    for kind, number, text in zip(kinds, pages, texts, strict=True):
+        fresh = page is not None and number != page
+        page = number
+        if kind == "heading":
+            if fresh:
+                closed, pops, pushes, heads = closed or "page", _ALL, [], []
+            (heads if closed else lead).append(text)
+        elif not closed:
+            closed = "region"
+        elif heads:
+            if len(heads) <= len(pushes):
+                pushes = pushes[: len(pushes) - len(heads)] + heads
+            else:
+                pops, pushes = min(_ALL, pops + len(heads) - len(pushes)), heads
+            heads = []
+    return {"starts": kinds[0] == "heading", "first_page": pages[0], "last_page": page, "lead": lead, "closed": closed, "pops": pops, "pushes": pushes, "tail": heads}
+
+
+def section_paths(regions: DataFrame, run_rows: int = RUN) -> DataFrame:
     """Adds section_title to each region that isn't a heading.
 
     Consecutive headings are a run; a run of r headings replaces the last r of the stack. A
     new page that starts with a heading empties the stack first, other pages inherit it.
-    Documents are folded one by one in reading order; each must fit a task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_number", "reading_order", "region_id"])
-        stack: list[str] = []
-        heads: list[str] = []
-        paths, page = [], None
-        for kind, number, text in zip(pdf["region_type"], pdf["page_number"], pdf["text_content"], strict=True):
-            fresh = page is not None and number != page
-            if kind == "heading":
-                if fresh:
-                    heads, stack = [], []
-                heads.append(text)
-                paths.append(None)
-            else:
-                if heads:
-                    stack = stack[: max(0, len(stack) - len(heads))] + heads
-                    heads = []
-                paths.append(list(stack))
-            page = number
-        return pdf.assign(path=paths)
-
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in regions.schema.fields)}, path array<string>"
-    folded = regions.groupBy("document_id").applyInPandas(run, schema)
-    return folded.where("region_type <> 'heading'").withColumn("section_title", section_title(F.col("path"))).drop("path")
+
+    All regions are sorted by document and place and cut into runs of ``run_rows``. A run knows
+    of its first document only what the runs before it have come to: so each run is summarized
+    for its last document, the summaries of a document are folded in order, and each run starts
+    from the state it is given. No task holds a whole document. Page numbers aren't null."""
+    keys = ["document_id", "page_number", "reading_order", "region_id"]
+    kinds = {f.name: f.dataType.simpleString() for f in regions.schema.fields}
+    own = ", ".join(f"`{n}` {t}" for n, t in kinds.items())
+    doc, page = kinds["document_id"], kinds["page_number"]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for pdf in batches:
+            yield pdf.assign(run=(n + np.arange(len(pdf))) // run_rows)
+            n += len(pdf)
+
+    spread = regions.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+    rows = materialize(spread.mapInPandas(cut, f"{own}, part int, run long"))
+    summary = f"starts boolean, first_page {page}, last_page {page}, lead array<string>, closed string, pops int, pushes array<string>, tail array<string>"
+
+    def ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(keys)
+        first, last = pdf["document_id"].iloc[0], pdf["document_id"].iloc[-1]
+        some = pdf[pdf["document_id"] == last]
+        made = summarize(some["region_type"].tolist(), some["page_number"].tolist(), some["text_content"].tolist())
+        none = dict.fromkeys(made)
+        # the run asks for its first document's state before it adds to its last one's
+        return pd.DataFrame([{"document_id": first, "part": key[0], "run": key[1], "adds": False, **none}, {"document_id": last, "part": key[0], "run": key[1], "adds": True, **made}])
+
+    narrow = rows.select(*keys, "region_type", F.when(F.col("region_type") == "heading", F.col("text_content")).alias("text_content"), "part", "run")
+    found = narrow.groupBy("part", "run").applyInPandas(ends, f"document_id {doc}, part int, run long, adds boolean, {summary}")
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = object(), SectionState()
+        for pdf in batches:
+            out = []
+            for s in pdf.to_dict("records"):
+                if s["document_id"] != now:
+                    now, state = s["document_id"], SectionState()
+                if s["adds"]:
+                    state.apply(s)
+                elif state.page is not None:
+                    out.append((s["part"], s["run"], list(state.stack), list(state.heads), state.page))
+            yield pd.DataFrame(out, columns=["part", "run", "stack", "heads", "page"])
+
+    dealt = found.repartition("document_id").sortWithinPartitions("document_id", "part", "run", "adds")
+    begun = materialize(dealt.mapInPandas(states, f"part int, run long, stack array<string>, heads array<string>, page {page}"))
+
+    def paths(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(keys)
+        state = SectionState(*start[["stack", "heads", "page"]].iloc[0]) if len(start) else SectionState()
+        now, out = pdf["document_id"].iloc[0], []
+        for d, kind, number, text in zip(pdf["document_id"], pdf["region_type"], pdf["page_number"], pdf["text_content"], strict=True):
+            if d != now:
+                now, state = d, SectionState()
+            out.append(state.step(kind, number, text))
+        return pdf.assign(path=out).drop(columns=["part", "run"])
+
+    folded = rows.groupBy("part", "run").cogroup(begun.groupBy("part", "run")).applyInPandas(paths, f"{own}, path array<string>")
+    out = materialize(folded.where("region_type <> 'heading'").withColumn("section_title", section_title(F.col("path"))).drop("path"))
+    discard(rows, begun)
+    return out
 
 
 def flush_buffers(regions: DataFrame) -> DataFrame:

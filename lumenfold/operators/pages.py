@@ -180,46 +180,51 @@ def layout_scores(regions: DataFrame, tolerance: float = 3.0, fragment_weight: f
     return joined.withColumn("infographic_score", infographic_score(F.col("fragmentation"), F.col("alignment"), fragment_weight, align_weight))
 
 
-def _near_hashes(images: DataFrame, distance: int) -> DataFrame:
-    """(hash_a, hash_b): ordered pairs of different hashes within a Hamming distance. Two 64-bit
-    hashes that differ in at most d bits agree in one of d + 1 bands, so the distinct hashes are
-    equi-joined by bands and pairs then checked."""
+def near_hashes(images: DataFrame, distance: int) -> DataFrame:
+    """(document_id, hash_a, hash_b): ordered pairs of different hashes of one document within a
+    Hamming distance. Two 64-bit hashes that differ in at most d bits agree in one of d + 1
+    bands, so distinct hashes are equi-joined by document and band, and pairs then checked."""
     bands = distance + 1
     width = 64 // bands
     parts = [F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("phash", b * width).bitwiseAND((1 << (width if b < bands - 1 else 64 - b * width)) - 1).alias("bits")) for b in range(bands)]
-    cut = images.select("phash").distinct().select("phash", F.inline(F.array(*parts)))
-    a = cut.select("band", "bits", F.col("phash").alias("hash_a"))
-    b = cut.select("band", "bits", F.col("phash").alias("hash_b"))
-    near = a.join(b, ["band", "bits"]).where((F.col("hash_a") != F.col("hash_b")) & (F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b"))) <= distance))
-    return near.select("hash_a", "hash_b").distinct()
+    cut = images.where("phash is not null").select("document_id", "phash").distinct().select("document_id", "phash", F.inline(F.array(*parts)))
+    keys = ["document_id", "band", "bits"]
+    a, b = (cut.select(*keys, F.col("phash").alias(name)) for name in ("hash_a", "hash_b"))
+    near = a.join(b, keys).where((F.col("hash_a") != F.col("hash_b")) & (F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b"))) <= distance))
+    return near.select("document_id", "hash_a", "hash_b").distinct()
+
+
+def _around(per_hash: DataFrame, images: DataFrame, distance: int) -> DataFrame:
+    """Rows of (document_id, phash, ...) for each hash: its own, and those of hashes near to it."""
+    near = near_hashes(images, distance)
+    found = near.join(per_hash.withColumnRenamed("phash", "hash_b"), ["document_id", "hash_b"]).drop("hash_b").withColumnRenamed("hash_a", "phash")
+    return per_hash.where("phash is not null").unionByName(found)
 
 
 def similar_images(images: DataFrame, distance: int = 4) -> DataFrame:
-    """Pairs of images within a Hamming distance: distinct hashes are compared, and the images
-    of each, of one hash or of two near ones, are attached as its members."""
-    same = images.select(F.col("phash").alias("hash_a"), F.col("phash").alias("hash_b")).where("hash_a is not null").distinct()
-    near = _near_hashes(images, distance).union(same)
-    # a pair can come twice only if an image has several hashes on a page: others aren't shuffled
-    each = images.groupBy("image_id", "page_number").agg(F.collect_set("phash").alias("hashes"))
-    each = each.select("image_id", "page_number", (F.size("hashes") > 1).alias("several"), F.explode("hashes").alias("phash"))
-    a = each.select(F.col("image_id").alias("a"), F.col("page_number").alias("page_a"), F.col("several").alias("several_a"), F.col("phash").alias("hash_a"))
-    b = each.select(F.col("image_id").alias("b"), F.col("page_number").alias("page_b"), F.col("several").alias("several_b"), F.col("phash").alias("hash_b"))
-    pairs = near.join(a, "hash_a").join(b, "hash_b").where(F.col("a") < F.col("b"))
-    twice = F.col("several_a") | F.col("several_b")
-    columns = ["a", "b", "page_a", "page_b"]
-    return pairs.where(~twice).select(*columns).union(pairs.where(twice).select(*columns).distinct())
+    """(document_id, image_id, phash, n_similar, first_similar) of each image: how many others of
+    its document are within a Hamming distance, and the least id of those and itself.
+
+    Images of one hash are a class; classes are compared, and images are its members, so there
+    is a row for each image and none for a pair. An image has one hash; without one it is like
+    no other."""
+    classes = images.groupBy("document_id", "phash").agg(F.count(F.lit(1)).alias("n"), F.min("image_id").alias("first"))
+    reach = _around(classes, images, distance).groupBy("document_id", "phash").agg((F.sum("n") - 1).alias("n_similar"), F.min("first").alias("first_similar"))
+    own = images.select("document_id", "image_id", "phash").join(reach, ["document_id", "phash"], "left")
+    return own.select("document_id", "image_id", "phash", F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), F.coalesce("first_similar", "image_id").alias("first_similar"))
 
 
 def decorative_images(images: DataFrame, distance: int = 4, pages: int = 3) -> DataFrame:
-    """Images that recur, within a distance, on at least ``pages`` pages, their own included.
-    Distinct pages are counted by hash, so no pair of images is made."""
-    on = images.select("phash", F.col("page_number").alias("page")).distinct()
-    near = _near_hashes(images, distance).join(on.withColumnRenamed("phash", "hash_b"), "hash_b").select(F.col("hash_a").alias("phash"), "page")
-    counts = on.union(near).groupBy("phash").agg(F.countDistinct("page").alias("n_pages"))
+    """(document_id, image_id, n_pages, is_decorative): images that recur, within a distance, on
+    at least ``pages`` pages of their document, their own included. Distinct pages are counted
+    by hash, so no pair of images is made; other documents' images count for nothing."""
+    keys = ["document_id", "phash"]
+    on = images.select(*keys, F.col("page_number").alias("page")).distinct()
+    counts = _around(on, images, distance).groupBy(*keys).agg(F.countDistinct("page").alias("n_pages"))
     # an image without a hash is near to none: it has its own page alone
-    own = images.select("image_id", "phash", "page_number").join(counts.where("phash is not null"), "phash", "left")
+    own = images.select("image_id", *keys, "page_number").join(counts, keys, "left")
     n = F.coalesce("n_pages", F.when(F.col("page_number").isNotNull(), 1).otherwise(0).cast("long"))
-    seen = own.groupBy("image_id").agg(F.max(n).alias("n_pages"))
+    seen = own.groupBy("document_id", "image_id").agg(F.max(n).alias("n_pages"))
     return seen.withColumn("is_decorative", F.col("n_pages") >= pages)
 
 

@@ -154,7 +154,8 @@ def chain_follow_up(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, event_type = 'click' OR event_id % 4 = 0 AS hit FROM events")
 def market_snapshot_pred(t: Tables) -> DataFrame:
-    asked = F.concat(F.when(F.col("event_type") == "click", F.lit("the COMPETITIVE landscape ")).otherwise(F.lit("compete ")), F.when(F.col("event_id") % 4 == 0, F.lit("or Market Trends")).otherwise(F.lit("or trends of the market")))
+    """A bare trend counts, wherever it stands, and white space of any kind; market conditions don't."""
+    asked = F.concat(F.when(F.col("event_type") == "click", F.lit("the COMPETITIVE \n landscape ")).otherwise(F.lit("compete ")), F.when(F.col("event_id") % 4 == 0, F.lit("or what is UpTRENDing")).otherwise(F.lit("or market conditions")))
     return t.events.select("event_id", X.asks_for_snapshot(asked).alias("hit"))
 
 

@@ -123,20 +123,23 @@ def figure_validate(t: Tables) -> DataFrame:
     return P.validate_figures(rows).select("doc_id", "validation_status")
 
 
-IMAGES = "images AS (SELECT doc_id AS image_id, doc_id % 20 AS page_number, (doc_id % 37) * 1152921504606846 AS phash FROM documents)"
+#: Twenty documents with images; hashes of one number are a logo that several of them have.
+IMAGES = "images AS (SELECT doc_id % 20 AS document_id, doc_id AS image_id, doc_id // 20 % 20 AS page_number, (doc_id % 37) * 1152921504606846 AS phash FROM documents)"
 
 
 def _images(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("image_id"), (F.col("doc_id") % 20).alias("page_number"), ((F.col("doc_id") % 37) * 1152921504606846).alias("phash"))
+    n = F.col("doc_id")
+    return t.documents.select((n % 20).alias("document_id"), n.alias("image_id"), (F.floor(n / 20) % 20).alias("page_number"), ((n % 37) * 1152921504606846).alias("phash"))
 
 
-@query(f"WITH {IMAGES} SELECT x.image_id AS a, y.image_id AS b FROM images x JOIN images y ON x.image_id < y.image_id AND bit_count(xor(x.phash, y.phash)) <= 4")
+@query(f"WITH {IMAGES} SELECT x.document_id, x.image_id, count(*) - 1 AS n_similar, min(y.image_id) AS first_similar FROM images x JOIN images y ON x.document_id = y.document_id AND bit_count(xor(x.phash, y.phash)) <= 4 GROUP BY 1, 2")
 def theta_hamming(t: Tables) -> DataFrame:
-    return P.similar_images(_images(t)).select("a", "b")
+    return P.similar_images(_images(t)).drop("phash")
 
 
-@query(f"WITH {IMAGES} SELECT x.image_id, count(DISTINCT y.page_number) AS n_pages, count(DISTINCT y.page_number) >= 3 AS is_decorative FROM images x JOIN images y ON bit_count(xor(x.phash, y.phash)) <= 4 GROUP BY 1")
+@query(f"WITH {IMAGES} SELECT x.document_id, x.image_id, count(DISTINCT y.page_number) AS n_pages, count(DISTINCT y.page_number) >= 3 AS is_decorative FROM images x JOIN images y ON x.document_id = y.document_id AND bit_count(xor(x.phash, y.phash)) <= 4 GROUP BY 1, 2")
 def agg_decorative(t: Tables) -> DataFrame:
+    """Judged within a document: one logo in two documents makes neither image decorative."""
     return P.decorative_images(_images(t))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import normalized_hash
@@ -12,9 +12,11 @@ from lumenfold.operators import chunking, dedup, pages, providers
 from lumenfold.plans.catalog import query
 from lumenfold.plans.chat_queries import KEY, VERDICTS
 from lumenfold.plans.fixtures import REGIONS, Tables
+from lumenfold.plans.officefiles import slide_files, word_files
 from lumenfold.plans.sqltext import BM25, RUN
 from lumenfold.scratch import scratch_dir
-from lumenfold.sources import readers, sinks
+from lumenfold.sources import office, readers, sinks
+from lumenfold.sources.versioned import VersionedTable
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'format' WHEN doc_id % 4 = 1 THEN 'size' WHEN doc_id % 4 = 2 THEN 'magic' END AS rejected FROM documents")
@@ -31,19 +33,43 @@ def src_embeddings(t: Tables) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chunk_id").alias("n_ids"))
 
 
-@query("SELECT doc_id, lang || chr(10) || source AS slide FROM documents")
+_LEGAL = "regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')"
+#: The lines of a text that aren't blank, trimmed.
+OFFICE_LINES = f"""x AS (SELECT doc_id, lang, source, list_filter(list_transform(string_split({_LEGAL}, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS ls FROM documents)"""
+
+
+def _office(t: Tables) -> DataFrame:
+    """Documents as what an Office file is made of."""
+    lang, source = (F.coalesce(c, F.lit("")) for c in ("lang", "source"))
+    table = F.array(F.array(F.concat(F.lit(" "), lang), source), F.array(F.lit("a"), F.lit("b ")), F.array(F.lit(" ")))
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""), "\n", -1)
+    return t.documents.select(F.col("doc_id").cast("string").alias("n"), lang.alias("title"), lines.alias("lines"), table.alias("table"), source.alias("note"))
+
+
+def _doc_id(path: str) -> Column:
+    return F.regexp_extract(path, r"(\d+)\.", 1).cast("long").alias("doc_id")
+
+
+_ONCE = "array_to_string(list_filter(b, lambda v, i: list_position(b, v) = i), chr(10))"
+
+
+@query(f"WITH {OFFICE_LINES}, s AS (SELECT doc_id, 1 AS part, list_concat([lang], ls, [lang || ' | ' || source, 'a | b'], ['Speaker notes: ' || source]) AS b FROM x UNION ALL SELECT doc_id, 2, ls FROM x WHERE len(ls) > 0) SELECT doc_id, part, md5({_ONCE}) AS digest FROM s")
 def src_pptx(t: Tables) -> DataFrame:
-    none = F.array().cast("array<string>")
-    slide = readers.slide_text(F.col("lang"), F.array("source", "lang", F.lit(" ")), none, F.col("source"))
-    return t.documents.select("doc_id", slide.alias("slide"))
+    """Each document as a file of two slides, read back: title, shapes, tables and notes, each
+    block once in order."""
+    files = slide_files(_office(t).select(F.concat("n", F.lit(".pptx")).alias("path"), "title", F.col("lines").alias("shapes"), "table", "note"))
+    found = office.slide_chunks(office.office_rows(files))
+    return found.select(_doc_id("path"), "part", F.md5("text").alias("digest"))
 
 
-@query("SELECT doc_id, md5(list_aggregate(list_concat(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), [lang || ' | ' || source, 'a | b']), 'string_agg', chr(10) || chr(10))) AS digest FROM documents")
+@query(f"WITH {OFFICE_LINES} SELECT doc_id, len(ls) + 2 AS n_blocks, md5(array_to_string(list_concat(ls, [lang || ' | ' || source, 'a | b']), chr(10) || chr(10))) AS digest FROM x")
 def src_docx(t: Tables) -> DataFrame:
-    """Paragraphs, then table rows, in groups; all groups together are all blocks."""
-    table = F.array(F.array(F.concat(F.lit(" "), F.col("lang")), F.col("source")), F.array(F.lit("a"), F.lit("b ")))
-    parts = chunking.pack_blocks(readers.docx_text(F.split("text", "\n", -1), F.array(table)))
-    return t.documents.select("doc_id", F.md5(F.array_join(parts, "\n\n")).alias("digest"))
+    """Each document as a file, read back: paragraphs, then table rows, in groups; all groups
+    together are all blocks."""
+    files = word_files(_office(t).select(F.concat("n", F.lit(".docx")).alias("path"), F.col("lines").alias("paragraphs"), "table"))
+    found = office.document_text(office.office_rows(files))
+    groups = chunking.pack_blocks(F.col("blocks"))
+    return found.select(_doc_id("path"), F.size("blocks").cast("long").alias("n_blocks"), F.md5(F.array_join(groups, "\n\n")).alias("digest"))
 
 
 @query(f"WITH {REGIONS} SELECT region_type, validation_status, count(*) AS n FROM regions GROUP BY 1, 2")
@@ -350,9 +376,19 @@ def sink_chunks(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS n_chunks FROM documents")
+@query("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 10 = 3 THEN 'changed' ELSE md5(text) END AS digest FROM documents WHERE doc_id % 10 <> 7 UNION ALL SELECT -1 - doc_id, 'new' FROM documents WHERE doc_id % 10 = 5")
 def sink_index(t: Tables) -> DataFrame:
-    return sinks.write_index(t.chunks, _scratch(t))
+    """An index that is made once, then updated: a tenth of its chunks changes, a tenth goes, a
+    tenth is new; half of its buckets are compacted, older versions deleted."""
+    table = VersionedTable(t.spark, _scratch(t))
+    own = t.chunks.select("chunk_id", F.md5("chunk_text").alias("digest"))
+    table.create(own, ["chunk_id"], buckets=16)
+    changed = own.where("chunk_id % 10 = 3").select("chunk_id", F.lit("changed").alias("digest"))
+    added = own.where("chunk_id % 10 = 5").select((-1 - F.col("chunk_id")).alias("chunk_id"), F.lit("new").alias("digest"))
+    table.commit(changed.union(added), own.where("chunk_id % 10 = 7"))
+    table.compact(range(8))
+    table.vacuum()
+    return table.read()
 
 
 @query("SELECT count(*) AS n, sum(len(embedding)) AS floats FROM embeddings")

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from xml.etree.ElementTree import ParseError, iterparse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
@@ -61,7 +61,7 @@ def _part(archive: zipfile.ZipFile, name: str):
 def _related(archive: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
     """Of a part: relation ids to (last word of the type, part)."""
     folder, name = posixpath.split(part)
-    rels = f"{folder}/_rels/{name}.rels"
+    rels = posixpath.join(folder, "_rels", f"{name}.rels")
     out = {}
     if rels in archive.namelist():
         for _, e in iterparse(_part(archive, rels)):
@@ -268,7 +268,7 @@ def _open(path: str):
 
 class OfficeReader(DataSourceReader):
     def __init__(self, paths: list[str], slides: int) -> None:
-        self.paths, self.slides, self.kinds = paths, slides, frozenset(KINDS)
+        self.paths, self.slides, self.kinds, self.errors = paths, slides, frozenset(KINDS), True
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """kind = ... and kind in (...) say which parts of a file aren't read at all, path = ...
@@ -277,7 +277,7 @@ class OfficeReader(DataSourceReader):
             if isinstance(f, (EqualTo, In)) and f.attribute in (("kind",), ("path",)):
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 if f.attribute == ("kind",):
-                    self.kinds &= values
+                    self.kinds, self.errors = self.kinds & values, False
                 else:
                     self.paths = [p for p in self.paths if p in values]
             else:
@@ -299,17 +299,18 @@ class OfficeReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         try:
-            file = _open(partition.path)
-        except Exception as e:
-            yield partition.path, partition.first or 0, -1, None, None, f"{type(e).__name__}: {e}"[:500]
-            return
-        with file:
-            yield from _rows(partition.path, file, partition.first, partition.last, self.kinds)
+            with _open(partition.path) as file:
+                for row in _rows(partition.path, file, partition.first, partition.last, self.kinds):
+                    if self.errors or row[-1] is None:
+                        yield row
+        except OSError as e:  # it is gone, or can't be opened
+            if self.errors:
+                yield partition.path, partition.first or 0, -1, None, None, f"{type(e).__name__}: {e}"[:500]
 
 
 class OfficeSource(DataSource):
-    """``spark.read.format("lumenfold_office").load(folder)``; ``slides`` is the number of
-    slides of a partition (20). Register it once a session. A filter on kind drops error rows."""
+    """``spark.read.format("lumenfold_office").load(folder)`` once ``register`` has been called;
+    ``slides`` is the number of slides of a partition (20). A filter on kind drops error rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -331,6 +332,12 @@ class OfficeSource(DataSource):
         return OfficeReader(paths, max(1, int(self.options.get("slides", 20))))
 
 
+def register(spark: SparkSession) -> None:
+    """Make the source known to a session, and let Spark hand filters to Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(OfficeSource)
+
+
 def document_text(blocks: DataFrame) -> DataFrame:
     """(path, blocks): the texts of a Word file's blocks in order."""
     own = blocks.where("kind in ('paragraph', 'row')")

@@ -98,14 +98,6 @@ def labelled_regions(regions: DataFrame) -> DataFrame:
     return own.withColumn("region_type", kind).withColumn("is_handwritten", F.coalesce(F.col("raw_label") == "handwritten_text", F.lit(False)))
 
 
-def docx_text(paragraphs: Column, tables: Column) -> Column:
-    """A document's blocks: paragraphs that aren't blank, then each row of its tables with the
-    cells joined."""
-    rows = F.transform(F.flatten(F.coalesce(tables, F.array().cast("array<array<array<string>>>"))), lambda r: F.array_join(F.transform(r, lambda c: F.trim(c)), " | "))
-    full = F.coalesce(paragraphs, F.array().cast("array<string>"))
-    return F.filter(F.concat(full, rows), lambda x: F.trim(x) != "")
-
-
 def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(CHUNK_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
     return rows.withColumn("source_path", F.input_file_name())
@@ -145,9 +137,3 @@ def utterance_chunks(transcripts: DataFrame) -> DataFrame:
     rows = parsed.select("document_id", F.posexplode(F.when(F.size(F.coalesce(F.col("p.utterances"), F.array().cast(said))) > 0, F.col("p.utterances")).otherwise(whole)).alias("chunk_index", "u"))
     head = F.format_string("Speaker %d (%.2f-%.2f): ", "u.speaker", "u.start", "u.end")
     return rows.select("document_id", "chunk_index", "u.speaker", "u.start", "u.end", F.concat(F.when(F.col("u.speaker").isNull(), F.lit("")).otherwise(head), "u.transcript").alias("chunk_text"))
-
-
-def slide_text(title: Column, shapes: Column, tables: Column, notes: Column) -> Column:
-    """A slide's blocks, each once in order."""
-    blocks = F.array_compact(F.concat(F.array(title), F.coalesce(shapes, F.array().cast("array<string>")), F.coalesce(tables, F.array().cast("array<string>")), F.array(notes)))
-    return F.array_join(F.array_distinct(F.filter(blocks, lambda x: F.trim(x) != "")), "\n")

@@ -139,9 +139,9 @@ def test_similar_images(spark):
     rng = random.Random(2)
     hashes = [rng.getrandbits(63) for _ in range(30)]
     hashes += [h ^ (1 << rng.randint(0, 62)) ^ (1 << rng.randint(0, 62)) for h in hashes[:10]]
-    frame = spark.createDataFrame([(k, k % 5, h) for k, h in enumerate(hashes)], "image_id long, page_number int, phash long")
-    expected = {(a, b) for a in range(40) for b in range(a + 1, 40) if bin(hashes[a] ^ hashes[b]).count("1") <= 4}
-    assert {(r["a"], r["b"]) for r in pages.similar_images(frame).collect()} == expected
+    frame = spark.createDataFrame([(k % 2, k, k % 5, h) for k, h in enumerate(hashes)], "document_id int, image_id long, page_number int, phash long")
+    near = lambda k: [j for j in range(40) if j % 2 == k % 2 and bin(hashes[k] ^ hashes[j]).count("1") <= 4]
+    assert {r["image_id"]: (r["n_similar"], r["first_similar"]) for r in pages.similar_images(frame).collect()} == {k: (len(near(k)) - 1, min(near(k))) for k in range(40)}
 
 
 def test_evidence(spark):
