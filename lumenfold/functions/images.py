@@ -10,27 +10,11 @@ from pyspark.sql import functions as F
 from lumenfold.functions.text import strip
 
 
-def average_hash(pixels: Column) -> Column:
-    """64 bits of an 8 by 8 grey image, row by row: brighter than the mean; null for any other
-    number of pixels."""
-    mean = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x.cast("double")) / 64
-    bits = F.transform(pixels, lambda x: F.when(x.cast("double") > mean, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    value = F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x))
-    return F.when(F.size(pixels) == 64, value)
-
-
 def edge_density(edges: Column) -> Column:
     """Share of an edge detector's pixels that aren't nought; null without pixels."""
     return F.when(F.size(edges) > 0, F.size(F.filter(edges, lambda x: x != 0)) / F.size(edges))
 
 
-def ocr_result(lines: Column) -> Column:
-    """struct(text, mean_confidence) of lines with text and confidence; empty and 0 without."""
-    n = F.size(F.coalesce(lines, F.array().cast("array<struct<text:string,confidence:double>>")))
-    mean = F.when(n > 0, F.aggregate(lines, F.lit(0.0), lambda a, x: a + x["confidence"]) / n).otherwise(F.lit(0.0))
-    return F.struct(F.when(n > 0, F.array_join(F.transform(lines, lambda x: x["text"]), "\n")).otherwise("").alias("text"), mean.alias("mean_confidence"))
-
-
 def deskew_angle(angle: Column, least: float = 0.5, most: float = 45.0) -> Column:
     """The angle to turn by, of a rectangle's in -90..0: small ones aren't worth it, large
     ones aren't to be trusted."""

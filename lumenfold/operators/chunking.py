@@ -271,15 +271,3 @@ def attach_windows(text: Column, size: int = 120, step: int = 90, most_chars: in
     """Overlapping word windows over the first ``most_chars`` characters of an attachment."""
     words = F.filter(F.split(F.substring(text, 1, most_chars), r"\s+"), lambda x: x != "")
     return let(words, lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))).otherwise(F.array().cast(_STRINGS)))
-
-
-def difflib_closest(queries: DataFrame, text: str, known: list[str], n: int = 5, cutoff: float = 0.35) -> DataFrame:
-    """The closest of a bounded list of known questions, by sequence ratio."""
-    import difflib
-
-    @F.pandas_udf("array<string>")
-    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda q: difflib.get_close_matches(q or "", known, n=n, cutoff=cutoff))
-
-    return queries.withColumn("closest", closest(F.col(text)))

@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import content_hash, normalized_hash
+from lumenfold.scratch import materialize, small_enough
+
+#: Owners that are broadcast at most; more are shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def first_per(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in a total order."""
+    """The first row of each key in a total order. Each task keeps its first of a key before
+    anything moves, so a hot key's rows meet nowhere."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+    # the limit on the rank is what lets Spark cut each task's groups before the shuffle
+    return rows.withColumn("_n", F.row_number().over(window)).where("_n <= 1").drop("_n")
 
 
 def with_owner(chunks: DataFrame, registry: DataFrame | None = None) -> DataFrame:
@@ -29,8 +35,16 @@ def with_owner(chunks: DataFrame, registry: DataFrame | None = None) -> DataFram
 
 
 def distinct_chunks(children: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    """Children to store: those that own their hash."""
-    return with_owner(children, registry).where("owner_id = chunk_id and not known").drop("known")
+    """Children to store, with chunk_hash and owner_id: those that own their hash, unless a
+    registry knows it. A text is read and hashed once, for an aggregate of ids; texts move only
+    if those ids are too many to be broadcast. A chunk id is a chunk's own."""
+    hashed = children.select(normalized_hash(F.col("chunk_text")).alias("chunk_hash"), "chunk_id", "doc_seq", "child_seq").where("chunk_hash is not null")
+    first = hashed.groupBy("chunk_hash").agg(F.min_by("chunk_id", F.struct("doc_seq", "child_seq", "chunk_id")).alias("chunk_id"))
+    if registry is not None:
+        first = first.join(registry.select(F.col("hash").alias("chunk_hash")), "chunk_hash", "left_anti")
+    owners = materialize(first)
+    few = F.broadcast(owners) if small_enough(owners, BROADCAST_ROWS) else owners
+    return children.join(few, "chunk_id").withColumn("owner_id", F.col("chunk_id"))
 
 
 def kept_parents(parents: DataFrame, stored: DataFrame) -> DataFrame:

@@ -213,14 +213,6 @@ def st_sliding_limiter(t: Tables) -> DataFrame:
     return S.limit_calls(t.events.select("user_id", "event_id", "ts"), 4, 86_400.0).select("event_id", "accepted")
 
 
-@query("""WITH RECURSIVE ev AS (SELECT user_id, event_id, event_type, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-f AS (SELECT user_id, event_id, rn, t + CASE WHEN event_type = 'error' THEN 60 ELSE 86400 END AS expires, false AS hit FROM ev WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN e.t < f.expires THEN f.expires ELSE e.t + CASE WHEN e.event_type = 'error' THEN 60 ELSE 86400 END END, e.t < f.expires FROM f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
-SELECT event_id, hit FROM f""")
-def st_ttl_cache(t: Tables) -> DataFrame:
-    rows = t.events.select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
-    return S.cache_lookups(rows).select("event_id", "hit")
-
-
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def events_windowed(t: Tables) -> DataFrame:
     """A Spark extra over telemetry, not an operator of the survey."""

@@ -235,12 +235,3 @@ def join_parent_expand(t: Tables) -> DataFrame:
 def join_index_refs(t: Tables) -> DataFrame:
     hits = R.dense_pool(t.vectors, t.queries, 8).select("query_id", "chunk_id")
     return hits.join(t.documents.select(F.col("doc_id").alias("chunk_id"), "lang"), "chunk_id").select("query_id", "chunk_id", "lang")
-
-
-@query()
-def closest_questions(t: Tables) -> DataFrame:
-    """Each item against all items; the known questions are held as one list."""
-    from lumenfold.operators.chunking import difflib_closest
-
-    known = [r["text"] for r in t.benchmark.orderBy("item_id").collect()]
-    return difflib_closest(t.benchmark, "text", [k for k in known if k is not None]).select("item_id", F.size("closest").alias("n"))

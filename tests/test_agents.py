@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections import OrderedDict
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,55 +32,6 @@ def test_retries():
     assert run(1, "no such model") == (None, "no such model", 1, 0.0)
 
 
-def test_windows():
-    now, waits = [0.0], []
-
-    def sleep(s):
-        waits.append(s)
-        now[0] += s
-
-    throttle = providers.WindowThrottle(96, 60.0, lambda: now[0], sleep)
-    asked = []
-
-    def embed(texts):
-        asked.append(len(texts))
-        now[0] += 1.0
-        if len(asked) == 2:
-            raise RuntimeError("429")
-        return [[1.0]] * len(texts)
-
-    assert len(providers.embed_in_windows(["x"] * 200, embed, throttle, batch=40)) == 200
-    assert asked == [40, 40, 40, 40, 40, 40] and waits[0] == 2.0 and all(0 < w < 60 for w in waits[1:]) and len(waits) == 3
-    with pytest.raises(ValueError):
-        providers.embed_in_windows(["x"], lambda _: [], throttle)
-
-
-def test_ttl_cache(spark):
-    """Evictions of the least recently used, expiry at its time, failures for a shorter one."""
-    rng = random.Random(5)
-    rows, t = [], 0.0
-    for k in range(400):
-        t += rng.choice([0.0, 1.0, 7.0])
-        rows.append((k, rng.randrange(9), t, rng.random() < 0.3))
-    held, expected = OrderedDict(), {}
-    for k, key, now, failed in rows:
-        hit = key in held and now < held[key]
-        if not hit:
-            held.pop(key, None)
-            held[key] = now + (5.0 if failed else 40.0)
-        held.move_to_end(key)
-        while len(held) > 4:
-            held.popitem(last=False)
-        expected[k] = hit
-    frame = spark.createDataFrame(rows, "event_id long, user_id long, t double, failed boolean").withColumn("ts", F.timestamp_seconds("t")).repartition(3)
-    found = S.cache_lookups(frame, 40.0, 5.0, most=4, caches=1)
-    assert {r["event_id"]: r["hit"] for r in found.collect()} == expected
-    assert max(r["size"] for r in found.collect()) == 4
-    stats = S.cache_stats(S.cache_lookups(frame, 40.0, 5.0)).agg(F.sum("hits"), F.sum("misses")).first()
-    assert stats[0] + stats[1] == 400
-    assert not any(r["hit"] for r in S.cache_lookups(frame, positive=0.0).collect())
-
-
 def test_job_states(spark):
     rows = [("a", None, None, True), ("b", 1, "security_scan", True), ("b", 2, "extract", False), ("b", 3, "chunk", True), ("c", 1, "extract", True), ("c", 2, "other", False)]
     rows += [("d", k, s, True) for k, s in enumerate(S.STAGES)] + [("e", 1, "security_scan", False)]
@@ -133,14 +83,6 @@ def test_configuration(spark, tmp_path):
     assert EngineConfig.load(spark, f"{tmp_path}/good.json") == EngineConfig(chunk_size=7)
 
 
-def test_passwords():
-    from lumenfold.functions.auth import hash_password, verify_password
-
-    one, two = hash_password("p"), hash_password("p")
-    assert one != two and verify_password("p", one) and verify_password("p", two) and not verify_password("q", one)
-    assert not any(verify_password("p", x) for x in (None, "", "scrypt$a$b", "other$" + one.split("$", 1)[1]))
-
-
 def test_unknown_labels_are_an_error(spark):
     from lumenfold.operators.metrics import join_labels
 

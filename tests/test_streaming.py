@@ -30,11 +30,6 @@ def test_limiter_stream(spark, tmp_path):
     assert [r["accepted"] for r in spark.table("limited").orderBy("event_id").collect()] == [True, True, False, False, True, True, False, True]
 
 
-def test_cache(spark):
-    got = [r["hit"] for r in state.cache_lookups(calls(spark), positive=5.0, negative=1.0).orderBy("event_id").collect()]
-    assert got == [False, False, True, False, True, True, True, False]
-
-
 def test_ingest(spark, tmp_path):
     schema = "doc_id long, text string"
     spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")

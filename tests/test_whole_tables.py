@@ -38,10 +38,6 @@ def test_all_benchmark_items_are_searched(spark, searched, name):
     assert {r["query_id"] for r in frame.collect()} == set(RARE)
 
 
-def test_all_items_have_closest_questions(spark, searched):
-    assert {r["item_id"]: r["n"] for r in catalog.QUERIES["closest_questions"](spark, searched).collect()}.keys() == RARE.keys()
-
-
 def test_small_blocks_and_parts_of_balls(spark, searched, monkeypatch):
     before = sorted(map(tuple, catalog.QUERIES["topk_dense"](spark, searched).collect()))
     monkeypatch.setattr(dense, "PART_ROWS", 5)
