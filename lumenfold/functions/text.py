@@ -75,17 +75,46 @@ WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œž
 CONTROLS = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
 
 
-def fix_mojibake(text: Column) -> Column:
-    """UTF-8 once misread as Latin-1 or Windows-1252 is read anew, where that gives valid text."""
+#: A lead byte's character and that of a byte that goes on, as Latin-1 shows them.
+_MISREAD = "[Â-ô][\u0080-¿]"
+#: How often a text may have been misread on top of itself.
+MISREADINGS = 3
+
+
+def _badness(text: Column) -> Column:
+    """How many pairs look like bytes of UTF-8, and how many characters no text has."""
+    return F.regexp_count(text, F.lit(_MISREAD)) * 2 + F.regexp_count(text, F.lit("[\u0080-\u009f\ufffd]"))
+
+
+def _read_again(piece: Column) -> Column:
+    """A piece's bytes, by Latin-1 or Windows-1252 or both, read as UTF-8; as it is, if they
+    aren't that, or what comes out is no better."""
 
-    def read_again(wide: Column, where: Column) -> Column:
-        suspect = where & wide.rlike("[Â-ô][\u0080-¿]") & ~wide.rlike("[^\u0000-ÿ]")
-        again = F.try_validate_utf8(F.decode(F.encode(F.when(suspect, wide), "ISO-8859-1"), "UTF-8"))
+    def of(wide: Column) -> Column:
+        suspect = wide.rlike(_MISREAD) & ~wide.rlike("[^\u0000-ÿ]")
+        again = F.try_validate_utf8(F.encode(F.when(suspect, wide), "ISO-8859-1").cast("string"))
         return F.when(suspect & ~F.contains(again, F.lit("\ufffd")), again)
 
-    # a text with both kinds of signs is neither
-    windows = text.rlike(f"[{WINDOWS}]") & ~text.rlike("[\u0080-\u009f]")
-    return F.coalesce(read_again(text, F.lit(True)), read_again(F.translate(text, WINDOWS, CONTROLS), windows), text)
+    found = let(F.struct(piece.alias("old"), of(F.translate(piece, WINDOWS, CONTROLS)).alias("new")), lambda x: F.when(_badness(x["new"]) < _badness(F.translate(x["old"], WINDOWS, CONTROLS)), x["new"]))
+    return F.coalesce(found, piece)
+
+
+def _line_again(line: Column) -> Column:
+    """A line as a whole, or else, if only some of it was misread, word by word."""
+    whole = lambda old, new: F.when(new != old, new).otherwise(F.array_join(F.transform(F.split(old, " ", -1), _read_again), " "))
+    return let(F.struct(line.alias("old"), _read_again(line).alias("new")), lambda x: whole(x["old"], x["new"]))
+
+
+def fix_mojibake(text: Column) -> Column:
+    """Text whose UTF-8 was misread as Latin-1 or Windows-1252, up to ``MISREADINGS`` times on
+    top of itself. Each line is judged alone, then each word of a line that isn't misread as a
+    whole; a piece changes only if its bytes are UTF-8 and it then looks less misread. Texts
+    without a sign of it are passed by."""
+    signs = F.translate(text, WINDOWS, CONTROLS).rlike(_MISREAD)
+    lines = F.split(text, "\n", -1)
+    for _ in range(MISREADINGS):
+        lines = F.transform(lines, _line_again)
+    return F.when(signs, F.array_join(lines, "\n")).otherwise(text)
 
 
 def strip_glyph_tokens(text: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import memory_key_norm, storable, strip, value_norm
 from lumenfold.operators.dedup import first_per
+from lumenfold.scratch import discard, materialize
+from lumenfold.sources.versioned import VersionedTable
 
 # Memory types and the labels of those that aren't part of the profile.
 PROFILE_TYPES = ("company_context", "industry", "user_role", "target_audience", "market", "brand_positioning", "user_preference")
@@ -100,6 +102,62 @@ def merge_profile(profiles: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select("user_id", "chat_id", F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new).alias("profile"))
 
 
+#: Keys of the memory table: a record is a memory, named by type and key, or an entry of the
+#: chat's profile, named by key.
+STORE_KEYS = ["user_id", "chat_id", "record", "name"]
+STORE = "user_id string, chat_id string, record string, name string, memory_type string, key string, value string"
+
+
+def create_store(spark: SparkSession, path: str, buckets: int = 64) -> VersionedTable:
+    """An empty memory table."""
+    table = VersionedTable(spark, path)
+    table.create(spark.createDataFrame([], STORE), STORE_KEYS, buckets)
+    return table
+
+
+def store_memories(table: VersionedTable, candidates: DataFrame, tag: tuple[str, int] | None = None) -> DataFrame:
+    """Upsert storable candidates (user_id, chat_id, memory_type, key, value, seq) and return
+    their keys with the operation: inserted, updated or ignored.
+
+    Memories and the profile change in one commit, or not at all, and the buckets of the
+    candidates' keys alone are read. A candidate of a profile type that isn't ignored sets its
+    key in the chat's profile; of several types with one key the later candidate wins."""
+    own = materialize(storable_candidates(candidates))
+    named = own.select("user_id", "chat_id", F.lit("memory").alias("record"), F.concat_ws("/", "memory_type", "key").alias("name"), "memory_type", "key", "value", "seq")
+    known = table.read_keys(named).select(*STORE_KEYS, F.col("value").alias("old"))
+    both = named.join(known, STORE_KEYS, "left")
+    same = value_norm(F.col("old")) == value_norm(F.col("value"))
+    operation = F.when(F.col("old").isNull(), "inserted").when(same, "ignored").otherwise("updated")
+    done = materialize(both.withColumn("operation", operation))
+    changed = done.where("operation <> 'ignored'")
+    entries = changed.where(F.col("memory_type").isin(*PROFILE_TYPES)).withColumn("record", F.lit("profile")).withColumn("name", F.col("key"))
+    last = entries.groupBy(*STORE_KEYS).agg(F.max_by(F.struct("memory_type", "key", "value"), "seq").alias("last")).select(*STORE_KEYS, "last.*")
+    columns = [*STORE_KEYS, "memory_type", "key", "value"]
+    table.commit(changed.select(*columns).unionByName(last.select(*columns)), tag=tag)
+    discard(own)
+    return done.select(*_KEYS, "value", "operation")
+
+
+def stored_memories(table: VersionedTable) -> DataFrame:
+    return table.read().where("record = 'memory'").select(*_KEYS, "value")
+
+
+def stored_profiles(table: VersionedTable) -> DataFrame:
+    """(user_id, chat_id, profile): a map for each chat that has an entry."""
+    own = table.read().where("record = 'profile'")
+    return own.groupBy("user_id", "chat_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("profile"))
+
+
+def fork_chats(chats: DataFrame, memories: DataFrame, forks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New chats of ``forks`` (chat_id, new_chat_id), titled as branches of their sources and
+    empty of messages, and copies of the sources' memories for them; what a new chat has
+    already stays. Forks of unknown chats make nothing."""
+    own = chats.select("chat_id", "user_id", "title").join(forks.select("chat_id", "new_chat_id"), "chat_id")
+    made = own.select(F.col("new_chat_id").alias("chat_id"), "user_id", fork_title(F.col("title")).alias("title"))
+    copies = memories.join(own.select("chat_id", "user_id", "new_chat_id"), ["chat_id", "user_id"]).withColumn("chat_id", F.col("new_chat_id")).drop("new_chat_id").select(*memories.columns)
+    return made, copies.join(memories.select(*_KEYS), _KEYS, "left_anti").select(*memories.columns)
+
+
 def clone_memory(memories: DataFrame, source: Column | str, target: str) -> DataFrame:
     """The snapshot and a copy of one chat's memories; what the target has stays."""
     copy = memories.where(F.col("chat_id") == source).withColumn("chat_id", F.lit(target))

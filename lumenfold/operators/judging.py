@@ -74,21 +74,28 @@ def report_lines(rows: DataFrame) -> DataFrame:
 
 
 def report_markdown(rows: DataFrame) -> DataFrame:
-    """(text): the whole report, its means first, then questions by id. A report is read by a
-    person, and its questions are a stated set, so it is one text."""
+    """(section, place, id, line): the lines of the report, its means first, then a row for each
+    question. In the order of section, place and id they are the Markdown text; sorted, they are
+    written as parts that a reader joins, so no task holds the report."""
     mean = lambda c: F.concat(F.lit(f"| {c} | "), F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("N/A")), F.lit(" |"))
-    head = F.concat_ws(
-        "\n", F.lit("# Evaluation"), F.lit(""), F.concat(F.lit("Questions: "), F.col("questions").cast("string"), F.lit(", judged: "), F.col("judged").cast("string")),
+    head = F.array(
+        F.lit("# Evaluation"), F.lit(""), F.concat(F.lit("Questions: "), F.col("questions").cast("string"), F.lit(", judged: "), F.col("judged").cast("string")),
         F.lit(""), F.lit("| Metric | Mean |"), F.lit("| --- | --- |"), *[mean(c) for c in REPORT_CELLS], F.lit(""),
         F.lit("| ID | Question | " + " | ".join(REPORT_CELLS) + " | Status |"), F.lit("|" + " --- |" * (len(REPORT_CELLS) + 3)),
     )
-    lines = report_lines(rows).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    return eval_summary(rows).crossJoin(F.broadcast(lines)).select(F.concat_ws("\n", head, "body").alias("text"))
+    lines = report_lines(rows)
+    none = F.lit(None).cast(lines.schema["id"].dataType)
+    return eval_summary(rows).select(F.posexplode(head).alias("place", "line")).select(F.lit(0).alias("section"), "place", none.alias("id"), "line").unionByName(lines.select(F.lit(1).alias("section"), F.lit(0).alias("place"), "id", "line"))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """The report as sorted parts of lines."""
+    report_markdown(rows).orderBy("section", "place", "id").select("line").write.mode("overwrite").text(path)
 
 
 def read_report(report: DataFrame) -> DataFrame:
-    """(id, question, metrics) of the completed questions of reports with a ``text``: what a
-    resumed run needn't ask again. Other lines are passed over."""
+    """(id, question, metrics) of the completed questions of reports with a ``text``, whole or
+    line by line: what a resumed run needn't ask again. Other lines are passed over."""
     width = len(REPORT_CELLS) + 3
     lines = report.select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.startswith("line", F.lit("| ")) & F.endswith("line", F.lit(" |")))
     # escaped signs step aside while the line is cut

@@ -75,9 +75,8 @@ _CELLS = ", ".join(f"CASE WHEN item_id % 3 <> {k % 3} THEN ((item_id * {k + 1})
 def sink_eval_report(t: Tables) -> DataFrame:
     """The Markdown report, written, and read again as a resumed run does."""
     path = scratch_dir(t.spark)
-    J.report_markdown(_judged(t)).write.text(path)
-    report = t.spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
-    return J.read_report(report).withColumn("question", F.md5("question"))
+    J.write_report(_judged(t), path)
+    return J.read_report(t.spark.read.text(path).withColumnRenamed("value", "text")).withColumn("question", F.md5("question"))
 
 
 @query(f"WITH x AS (SELECT CASE WHEN item_id % 11 = 0 THEN 1 ELSE 0 END AS bad, {_CELLS} FROM benchmark) SELECT count(*) AS questions, count(faithfulness) AS judged, sum(bad) AS failed, round(avg(faithfulness), 6) AS faithfulness, round(avg(chunk_f1), 6) AS chunk_f1, round(avg(total_latency_ms), 6) AS total_latency_ms FROM x")

@@ -11,6 +11,7 @@ from lumenfold.operators import chats as C
 from lumenfold.operators import evidence as E
 from lumenfold.plans.catalog import query
 from lumenfold.plans.fixtures import Tables
+from lumenfold.scratch import scratch_dir
 from lumenfold.streaming import state as S
 
 KEY = r"'domain:' || regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '')"
@@ -190,9 +191,28 @@ def sort_memories(t: Tables) -> DataFrame:
     return t.memories.select("memory_type", "key", "value").orderBy("memory_type", "key")
 
 
-@query("SELECT conv_id, turn, substr(text || ' (Branch)', 1, 120) AS title FROM conversations")
+@query(f"""WITH {MEM}, op AS (SELECT *, s_suppkey % 8 AS k FROM mem)
+SELECT 'memory' AS record, chat_id, memory_type || '/' || key AS name, CASE WHEN k = 2 THEN value || ' new' ELSE value END AS value FROM op UNION ALL SELECT 'memory', chat_id, memory_type || '/new_key_' || CAST(s_suppkey AS VARCHAR), value FROM op WHERE k = 6
+UNION ALL SELECT 'profile', chat_id, key, CASE WHEN k = 2 THEN value || ' new' ELSE value END FROM op WHERE memory_type = 'industry' UNION ALL SELECT 'profile', chat_id, 'new_key_' || CAST(s_suppkey AS VARCHAR), value FROM op WHERE k = 6 AND memory_type = 'industry'""")
+def upsert_memory_profile(t: Tables) -> DataFrame:
+    """Memories stored, then upserted, in a table whose commits hold rows and profile entries."""
+    table = C.create_store(t.spark, scratch_dir(t.spark), 8)
+    C.store_memories(table, t.memories.withColumn("seq", F.lit(0)))
+    C.store_memories(table, t.candidates)
+    profiles = C.stored_profiles(table).select(F.lit("profile").alias("record"), "chat_id", F.explode("profile").alias("name", "value"))
+    return C.stored_memories(table).select(F.lit("memory").alias("record"), "chat_id", F.concat_ws("/", "memory_type", "key").alias("name"), "value").unionByName(profiles)
+
+
+@query(f"""WITH {MEM}, c AS (SELECT chat_id, string_agg(value, ' ' ORDER BY s_suppkey) AS title FROM mem GROUP BY 1) SELECT 'chat' AS what, chat_id || '-b' AS chat_id, substr(title || ' (Branch)', 1, 120) AS value FROM c WHERE right(chat_id, 1) <> '4'
+UNION ALL SELECT 'memory', chat_id || '-b', key FROM mem WHERE right(chat_id, 1) <> '4'""")
 def fork_chat(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", C.fork_title(F.col("text")).alias("title"))
+    """Branches of all chats but some, with their memories; a fork of an unknown chat is none."""
+    rows = t.memories.join(t.supplier.select(F.concat(F.lit("key_"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_suppkey").alias("n")), "key")
+    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), " ")
+    chats = rows.groupBy("chat_id", "user_id").agg(titles.alias("title"))
+    forks = chats.where(~F.col("chat_id").endswith("4")).select("chat_id", F.concat("chat_id", F.lit("-b")).alias("new_chat_id")).union(t.spark.createDataFrame([("none", "lost")], "chat_id string, new_chat_id string"))
+    made, copies = C.fork_chats(chats, t.memories, forks)
+    return made.select(F.lit("chat").alias("what"), "chat_id", F.col("title").alias("value")).union(copies.select(F.lit("memory"), "chat_id", "key"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'market' WHEN 'view' THEN 'target_audience' ELSE 'company_context' END AS slot FROM events")

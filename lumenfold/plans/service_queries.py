@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.text import normalized_hash
 from lumenfold.operators import agents as A
 from lumenfold.operators import chats as C
-from lumenfold.operators import chunking, dedup, pages, providers
+from lumenfold.operators import chunking, dedup, pages, providers, trace
 from lumenfold.plans.catalog import query
 from lumenfold.plans.chat_queries import KEY, VERDICTS
 from lumenfold.plans.fixtures import REGIONS, Tables
@@ -363,8 +363,7 @@ def src_chunks_json(t: Tables) -> DataFrame:
     """Files that each hold one JSON list of chunks, written and read back."""
     path = _scratch(t)
     item = F.struct(F.col("text").alias("chunk_text"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
-    lists = t.documents.groupBy(F.pmod(F.col("doc_id"), F.lit(64))).agg(F.to_json(F.collect_list(item)).alias("value"))
-    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    sinks.write_json_lists(t.documents.repartition(64).select(F.to_json(item).alias("value")), path)
     rows = readers.read_chunks_json(t.spark, path)
     return rows.groupBy(F.col("metadata")["lang"].alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("chunk_text")).alias("chars"))
 
@@ -402,8 +401,7 @@ def sink_embeddings(t: Tables) -> DataFrame:
 def src_ground_truth(t: Tables) -> DataFrame:
     path = _scratch(t)
     item = F.struct(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("a").alias("ground_truth"))
-    lists = t.benchmark.groupBy(F.pmod(F.col("item_id"), F.lit(8))).agg(F.to_json(F.collect_list(item)).alias("value"))
-    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    sinks.write_json_lists(t.benchmark.repartition(8).select(F.to_json(item).alias("value")), path)
     return readers.read_ground_truth(t.spark, path).select("id", "question")
 
 
@@ -423,9 +421,25 @@ def trace_one_question(t: Tables) -> DataFrame:
     return answered.select(F.col("query_id").cast("int").alias("query_id"), F.array_join(F.col("citations").cast("array<string>"), ",").alias("cited"))
 
 
-@query(f"WITH {REGIONS} SELECT region_id, contains(text_content, 'the') AS hit FROM regions WHERE document_id = 1 AND page_number = 1")
+@query(f"""WITH {REGIONS}, r AS (SELECT * FROM regions WHERE document_id = 1 AND page_number = 1),
+p AS (SELECT string_agg(text_content, chr(10) ORDER BY reading_order) AS raw FROM r HAVING count(*) > 0),
+x AS (SELECT *, length(text_content) AS n, trim(text_content) <> '' AND NOT regexp_matches(text_content, '(?i)\\(cid:\\d+\\)|/(?:gid|glyph|g)\\d{{2,}}') AND length(regexp_replace(text_content, '[^A-Za-z0-9\\s.,;:!?''\"()\\-]', '', 'g')) / greatest(length(text_content), 1) >= 0.4 AS good FROM r),
+s AS (SELECT *, good AND (n % 10) / 10 >= 0.6 AS ocr_ok, good AND (n % 10) / 10 >= 0.3 AS ocr_low, n % 4 = 0 AS vision FROM x),
+v AS (SELECT *, CASE WHEN good OR ocr_ok THEN 'ok' WHEN ocr_low OR vision THEN 'low_confidence' ELSE 'failed' END AS status, CASE WHEN good THEN 'native' WHEN ocr_ok OR ocr_low THEN 'ocr' WHEN vision THEN 'vision' ELSE 'none' END AS how FROM s)
+SELECT 1 AS stage, 'page' AS item, 'raw_text' AS field, raw AS value, contains(raw, 'the') AS found FROM p
+UNION ALL SELECT 2, 'page', f[1], f[2], NULL FROM (SELECT unnest([['is_blank', CAST(length(trim(raw)) <= 3 AS VARCHAR)], ['is_scanned', 'false'], ['is_broken_font', 'false'], ['has_table_hint', 'false'], ['native_trusted', 'true']]) AS f FROM p)
+UNION ALL SELECT 3, region_id, 'region_type', region_type, NULL FROM v UNION ALL SELECT 3, region_id, 'text_content', text_content, contains(text_content, 'the') FROM v
+UNION ALL SELECT 4, region_id, 'validation_status', status, NULL FROM v UNION ALL SELECT 4, region_id, 'method', how, NULL FROM v""")
 def trace_one_page(t: Tables) -> DataFrame:
-    return t.regions.where("document_id = 1 and page_number = 1").select("region_id", F.contains("text_content", F.lit("the")).alias("hit"))
+    """All stages of one page; the cleaned texts, which SQL can't make, are left out here."""
+    n = F.length("text_content")
+    given = t.regions.drop("method", "validation_status").withColumn("ocr_text", F.col("text_content")).withColumn("ocr_confidence", (n % 10) / 10).withColumn("vision_text", F.when(n % 4 == 0, F.lit("seen")))
+    lines = F.array_sort(F.collect_list(F.struct("reading_order", "text_content")))
+    zero = {c: F.lit(0) for c in ("n_images", "n_spans", "n_suspect_spans", "line_rect_count")}
+    raw = t.regions.groupBy("document_id", "page_number").agg(F.array_join(F.transform(lines, lambda x: x["text_content"]), "\n").alias("raw_text")).withColumns({**zero, "image_area_ratio": F.lit(0.0)})
+    wanted = t.spark.createDataFrame([(1, 1)], "document_id long, page_number int")
+    found = trace.trace_pages(raw, given, wanted, "the")
+    return found.where("field not in ('final_text', 'preview')").select("stage", "item", "field", "value", "found")
 
 
 @query("SELECT user_id, string_agg(k, ',' ORDER BY k) AS keys FROM (SELECT DISTINCT user_id, event_type AS k FROM events WHERE event_type <> 'error') GROUP BY 1")

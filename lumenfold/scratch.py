@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +18,10 @@ _WRITING = {
 }
 
 
+#: Folders of tables that haven't been discarded.
+_written: set[str] = set()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``. Where that is unset, a local session (as in
     tests) gets a temporary one that goes with the process; a cluster must set it."""
@@ -55,15 +59,37 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
         writer.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
+    _written.add(path)
     return table
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+    _written.discard(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, table.scratch_path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables of ``materialize`` that this process still has, once no result that
+    reads one is needed. Returns how many there were."""
+    left = list(_written)
+    for path in left:
+        _delete(spark, path)
+    return len(left)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _written else None
+    if spark is not None:
+        with suppress(Exception):  # the session may have ended already
+            release(spark)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +99,21 @@ def write_index(index: DataFrame, path: str) -> DataFrame:
     return index.sparkSession.read.parquet(path).agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
+def write_json_lists(items: DataFrame, path: str) -> None:
+    """Files of one JSON list each, from rows with a JSON ``value``: a file for each partition,
+    written line by line as rows come, so no list is ever held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = "["
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"value": [f"{before if k == 0 else ','}{v}" for k, v in enumerate(pdf["value"])]})
+                before = ","
+        yield pd.DataFrame({"value": ["[]" if before == "[" else "]"]})
+
+    items.select("value").mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
 def remaining(questions: DataFrame, done: DataFrame) -> DataFrame:
     """What a resumed run still has to do."""
     return questions.join(done.select("id").distinct(), "id", "left_anti")

@@ -47,7 +47,7 @@ def test_report_is_read_as_written(spark):
     for c in judging.REPORT_CELLS:
         if c not in frame.columns:
             frame = frame.withColumn(c, F.lit(None).cast("double"))
-    back = {int(r["id"]): r for r in judging.read_report(judging.report_markdown(frame)).collect()}
+    back = {int(r["id"]): r for r in judging.read_report(judging.report_markdown(frame).withColumnRenamed("line", "text")).collect()}
     assert {k: r["question"] for k, r in back.items()} == {k: q for k, q in enumerate(odd) if k % 3}
     assert all(r["retriever_hit_at_k"] == round(k / 7, 4) and r["faithfulness"] is None for k, r in back.items())
 

@@ -81,7 +81,11 @@ def test_compatibility_forms(spark):
     assert T.clean_text(frame.where("k = 1"), F.col("x"), normalize=False).first()["cleaned"]["text"] == "ﬁne ＡＢＣ\ninformation"
 
 
-@pytest.mark.parametrize(("broken", "fixed"), [("grÃ¶Ã\x9fe", "größe"), ("grÃ¶ÃŸe", "größe"), ("itâ€™s", "it’s"), ("größe – it’s", "größe – it’s"), ("Ã", "Ã"), ("plain", "plain")])
+MISREAD_TWICE = "größe – “so”".encode().decode("latin-1").encode().decode("latin-1")
+MISREAD_THRICE = "naïve".encode().decode("cp1252").encode().decode("cp1252").encode().decode("cp1252")
+
+
+@pytest.mark.parametrize(("broken", "fixed"), [("grÃ¶Ã\x9fe", "größe"), ("grÃ¶ÃŸe", "größe"), ("itâ€™s", "it’s"), ("größe – it’s", "größe – it’s"), ("Ã", "Ã"), ("plain", "plain"), (MISREAD_TWICE, "größe – “so”"), (MISREAD_THRICE, "naïve"), ("größe\ngrÃ¶ÃŸe Ã\nitâ€™s “it”", "größe\ngröße Ã\nit’s “it”"), ("größe grÃ¶ÃŸe", "größe größe"), ("ÂÃ TÃO ÇÃO", "ÂÃ TÃO ÇÃO"), (None, None)])
 def test_mojibake(spark, broken, fixed):
     assert value(spark, T.fix_mojibake(F.col("x")), x=broken) == fixed
 
