@@ -89,6 +89,43 @@ REGION_TYPES = {
 NOISE = ("marker", "document_index")
 
 
+Layout = Callable[[list[tuple[int, str | bytes]]], list[dict]]
+
+
+def segment_pages(pages: DataFrame, layout: Layout, content: str = "content", batch: int = PAGE_BATCH) -> DataFrame:
+    """(document_id, page_number, region_id, reading_order, raw_label, text_content, left_edge,
+    top_edge, layout_error): pages of a document dealt to an injected layout model in batches of
+    consecutive ones, by number.
+
+    The model gets (page_number, content) of a batch in order and answers with its items, each
+    with page_number, raw_label and, if it has them, text, left and top; they are numbered by
+    page in its order. Items of other pages, or without a page, are dropped. A batch that
+    fails is given page by page, and a page that fails is a row with the error alone. A page
+    that comes twice is given once; the tasks hold a batch each, never a document."""
+    kind = pages.schema["document_id"].dataType.simpleString()
+    out = f"document_id {kind}, page_number int, region_id string, reading_order int, raw_label string, text_content string, left_edge double, top_edge double, layout_error string"
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def items(document, given: list[tuple[int, str | bytes]]) -> list[tuple]:
+        try:
+            found, rows = layout(given), []
+            for number, _ in given:
+                own = [x for x in found if x.get("page_number") == number]
+                rows += [(document, number, f"{document}-{number}-{k}", k, x.get("raw_label"), x.get("text"), x.get("left"), x.get("top"), None) for k, x in enumerate(own)]
+            return rows
+        except Exception as e:  # a page that can't be read is a row
+            if len(given) > 1:
+                return [row for one in given for row in items(document, [one])]
+            return [(document, given[0][0], None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.dropna(subset=["page_number"]).drop_duplicates("page_number").sort_values("page_number")
+        return pd.DataFrame(items(key[0], [(int(n), c) for n, c in zip(own["page_number"], own[content], strict=True)]), columns=names)
+
+    numbered = pages.where("page_number is not null").select("document_id", "page_number", content)
+    return numbered.groupBy("document_id", F.floor((F.col("page_number") - 1) / batch).alias("batch")).applyInPandas(run, out)
+
+
 def labelled_regions(regions: DataFrame) -> DataFrame:
     """Adds region_type and is_handwritten from raw_label; noise drops out, what is unknown is
     called so."""
