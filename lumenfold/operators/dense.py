@@ -197,7 +197,7 @@ def search_balls(index: BallIndex, queries: DataFrame, k: int) -> DataFrame:
         discard(asked)
         return spark.createDataFrame([], schema)
     # a task takes a few parts, one after the other
-    tasks = min(parts, max(4 * spark.sparkContext.defaultParallelism, parts // 16))
+    tasks = min(parts, max(spark.sparkContext.defaultParallelism, parts // 16))
 
     def opened(rows: DataFrame, again: bool) -> DataFrame:
         meets = rows.mapInArrow(_choose(index.balls, k, again), f"part int, query_id {query_type.simpleString()}, vector array<double>")
