@@ -180,27 +180,41 @@ def layout_scores(regions: DataFrame, tolerance: float = 3.0, fragment_weight: f
     return joined.withColumn("infographic_score", infographic_score(F.col("fragmentation"), F.col("alignment"), fragment_weight, align_weight))
 
 
-def near_hashes(images: DataFrame, distance: int) -> DataFrame:
+def near_hashes(images: DataFrame, distance: int, by: tuple[str, ...] = ("document_id",)) -> DataFrame:
     """(document_id, hash_a, hash_b): ordered pairs of different hashes of one document within a
-    Hamming distance. Two 64-bit hashes that differ in at most d bits agree in one of d + 1
-    bands, so distinct hashes are equi-joined by document and band, and pairs then checked."""
+    Hamming distance; with ``by`` empty, (hash_a, hash_b) of any documents. Two 64-bit hashes
+    that differ in at most d bits agree in one of d + 1 bands, so distinct hashes are
+    equi-joined by document and band, and pairs then checked."""
     bands = distance + 1
     width = 64 // bands
     parts = [F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("phash", b * width).bitwiseAND((1 << (width if b < bands - 1 else 64 - b * width)) - 1).alias("bits")) for b in range(bands)]
-    cut = images.where("phash is not null").select("document_id", "phash").distinct().select("document_id", "phash", F.inline(F.array(*parts)))
-    keys = ["document_id", "band", "bits"]
+    cut = images.where("phash is not null").select(*by, "phash").distinct().select(*by, "phash", F.inline(F.array(*parts)))
+    keys = [*by, "band", "bits"]
     a, b = (cut.select(*keys, F.col("phash").alias(name)) for name in ("hash_a", "hash_b"))
     near = a.join(b, keys).where((F.col("hash_a") != F.col("hash_b")) & (F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b"))) <= distance))
-    return near.select("document_id", "hash_a", "hash_b").distinct()
+    return near.select(*by, "hash_a", "hash_b").distinct()
 
 
-def _around(per_hash: DataFrame, images: DataFrame, distance: int) -> DataFrame:
+def _around(per_hash: DataFrame, images: DataFrame, distance: int, by: tuple[str, ...] = ("document_id",)) -> DataFrame:
     """Rows of (document_id, phash, ...) for each hash: its own, and those of hashes near to it."""
-    near = near_hashes(images, distance)
-    found = near.join(per_hash.withColumnRenamed("phash", "hash_b"), ["document_id", "hash_b"]).drop("hash_b").withColumnRenamed("hash_a", "phash")
+    near = near_hashes(images, distance, by)
+    found = near.join(per_hash.withColumnRenamed("phash", "hash_b"), [*by, "hash_b"]).drop("hash_b").withColumnRenamed("hash_a", "phash")
     return per_hash.where("phash is not null").unionByName(found)
 
 
+def linked_images(images: DataFrame, distance: int = 4) -> DataFrame:
+    """(document_id, image_id, phash, class_id, n_links, first_linked) of each image over all
+    documents: the least image of its hash, which names its class, how many others are within a
+    Hamming distance in any document, and the least id of those and itself. Classes are
+    compared, as in ``similar_images``; without a hash an image is a class of its own."""
+    classes = images.where("phash is not null").groupBy("phash").agg(F.count(F.lit(1)).alias("n"), F.min("image_id").alias("first"))
+    reach = _around(classes, images, distance, ()).groupBy("phash").agg((F.sum("n") - 1).alias("n_links"), F.min("first").alias("first_linked"))
+    named = reach.join(classes.select("phash", F.col("first").alias("class_id")), "phash")
+    own = images.select("document_id", "image_id", "phash").join(named, "phash", "left")
+    alone = [F.coalesce(c, "image_id").alias(c) for c in ("class_id", "first_linked")]
+    return own.select("document_id", "image_id", "phash", alone[0], F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), alone[1])
+
+
 def similar_images(images: DataFrame, distance: int = 4) -> DataFrame:
     """(document_id, image_id, phash, n_similar, first_similar) of each image: how many others of
     its document are within a Hamming distance, and the least id of those and itself.
