@@ -87,13 +87,19 @@ def with_clarification(objective: Column, answer: Column) -> Column:
     return F.when(known, objective).otherwise(F.concat(objective, F.lit(" (Target/Clarification: "), own, F.lit(")")))
 
 
+def _joined(rows: DataFrame, more: DataFrame, how: str = "inner") -> DataFrame:
+    """Joined by request, both sides dealt out: requests that are written compress to files so
+    small that millions of them would be taken for few, and broadcast through the driver."""
+    return rows.join(more.hint("merge"), "request_id", how)
+
+
 def _developed(rows: DataFrame, agents: Agents, always_ready: bool = False) -> DataFrame:
     """Adds the strategy's status and error_code to rows with research results."""
     passed = rows.where("intel_status not in ('failed', 'declined') and n_sources > 0").select("request_id", "objective")
     ready = passed.select("request_id", F.lit(True).alias("ready")) if always_ready else agents.assess(passed).select("request_id", "ready")
     ready = materialize(ready)
-    made = agents.develop(passed.join(ready.where("ready"), "request_id", "left_semi")).select("request_id", "n_priorities", "n_questions", "develop_error")
-    joined = rows.join(ready, "request_id", "left").join(made, "request_id", "left")
+    made = agents.develop(_joined(passed, ready.where("ready"), "left_semi")).select("request_id", "n_priorities", "n_questions", "develop_error")
+    joined = _joined(_joined(rows, ready, "left"), made, "left")
     outcome = strategy_status(*[F.col(c) for c in ("intel_status", "intel_error", "n_sources", "ready", "develop_error", "n_priorities", "n_questions")])
     return joined.withColumn("outcome", outcome).select(*rows.columns, "outcome.status", "outcome.error_code")
 
@@ -112,15 +118,15 @@ def strategy_chain(requests: DataFrame, pending: DataFrame, exchanges: DataFrame
     asked = own.where("not resumed").select(F.col("request_id").alias("query_id"), F.concat_ws("\u0001", F.col("chat_id").cast("string"), value_norm(F.col("objective"))).alias("query_text"))
     known = exchanges.select(F.concat_ws("\u0001", F.col("chat_id").cast("string"), value_norm(F.col("question"))).alias("question"), "id", "answer")
     repeats = exact_repeats(known, asked).select(F.col("query_id").alias("request_id"), F.col("id").alias("replayed_id"))
-    own = materialize(own.join(repeats, "request_id", "left"))
+    own = materialize(_joined(own, repeats, "left"))
     fresh = own.where("replayed_id is null")
     topic = materialize(agents.classify(fresh.select("request_id", "objective")).select("request_id", "on_topic", "is_greeting"))
     off = topic.where("not on_topic")
-    going = fresh.join(off, "request_id", "left_anti")
+    going = _joined(fresh, off, "left_anti")
     going = going.withColumn("objective", F.when(F.col("resumed"), with_clarification(F.col("pending_objective"), F.col("objective"))).otherwise(F.col("objective")))
     found = agents.research(going.where("not resumed").select("request_id", "objective")).select("request_id", "intel_status", "n_sources", "intel_error")
     stored = going.where("resumed").select("request_id", F.lit("completed").alias("intel_status"), F.col("pending_sources").alias("n_sources"), F.lit(None).cast("string").alias("intel_error"))
-    researched = materialize(going.select("request_id", "chat_id", "objective").join(found.unionByName(stored), "request_id"))
+    researched = materialize(_joined(going.select("request_id", "chat_id", "objective"), found.unionByName(stored)))
     done = _developed(researched, agents)
     lost = (F.col("status") == "needs_input") & F.lit(not has_store)
     state = F.when((F.col("status") == "needs_input") & F.lit(has_store), "save").otherwise("clear")
@@ -129,7 +135,7 @@ def strategy_chain(requests: DataFrame, pending: DataFrame, exchanges: DataFrame
         state.alias("state"), F.lit(None).cast("long").alias("replayed_id"), "objective",
     )
     none = F.lit(None).cast("string")
-    declined = fresh.join(off, "request_id").select(
+    declined = _joined(fresh, off).select(
         "request_id", "chat_id", F.lit("declined").alias("status"), F.when(F.coalesce("is_greeting", F.lit(False)), none).otherwise("out_of_scope").alias("error_code"),
         F.lit("keep").alias("state"), F.lit(None).cast("long").alias("replayed_id"), "objective",
     )
@@ -143,12 +149,12 @@ def meeting_chain(requests: DataFrame, agents: Agents) -> DataFrame:
     then the briefing, which fails or is declined with the research."""
     rows = requests.select("request_id", "objective")
     found = agents.research(rows).select("request_id", "intel_status", "n_sources", "intel_error")
-    researched = materialize(rows.join(found, "request_id"))
+    researched = materialize(_joined(rows, found))
     # the strategy's sources go into the briefing; its own status doesn't stop it
     strategy = _developed(researched, agents).select("request_id", F.col("status").alias("strategy_status"))
     going = researched.where("intel_status not in ('failed', 'declined')").select("request_id", "objective")
     made = agents.prepare(going).select("request_id", "prepare_error")
-    joined = researched.join(strategy, "request_id", "left").join(made, "request_id", "left")
+    joined = _joined(_joined(researched, strategy, "left"), made, "left")
     status = F.when(F.col("intel_status").isin("failed", "declined"), F.col("intel_status")).when(F.col("prepare_error").isNotNull(), "failed").otherwise("completed")
     code = F.when(F.col("intel_status") == "failed", F.col("intel_error")).when(F.col("intel_status") == "declined", "out_of_scope").otherwise(F.col("prepare_error"))
     return joined.select("request_id", status.alias("status"), code.alias("error_code"), http_status(code).alias("http_status"), "strategy_status")
@@ -162,14 +168,14 @@ def follow_up_chain(requests: DataFrame, briefings: DataFrame, agents: Agents) -
     own = requests.select("request_id", "chat_id", "objective").join(briefings.select("chat_id", F.col("objective").alias("meeting_objective")), "chat_id", "left")
     having = own.where("meeting_objective is not null")
     told = agents.intend(having.select("request_id", "objective")).select("request_id", F.col("intent").alias("told"))
-    having = materialize(having.join(told, "request_id", "left").withColumn("intent", follow_up_intent(F.col("objective"), F.col("told"))))
+    having = materialize(_joined(having, told, "left").withColumn("intent", follow_up_intent(F.col("objective"), F.col("told"))))
     change = having.where("intent = 'modify_meeting'").select("request_id", F.col("meeting_objective").alias("objective"))
     expand = having.where("intent = 'expand_strategy'").select("request_id", "objective")
     revised = meeting_chain(change, agents).select("request_id", F.lit("meeting_preparation").alias("agent"), "status", "error_code", "http_status")
     found = agents.research(expand).select("request_id", "intel_status", "n_sources", "intel_error")
-    expanded = _developed(materialize(expand.join(found, "request_id")), agents, always_ready=True)
+    expanded = _developed(materialize(_joined(expand, found)), agents, always_ready=True)
     expanded = expanded.select("request_id", F.lit("market_strategy").alias("agent"), "status", "error_code", http_status(F.col("error_code")).alias("http_status"))
-    done = having.select("request_id", "intent").join(revised.unionByName(expanded), "request_id")
+    done = _joined(having.select("request_id", "intent"), revised.unionByName(expanded))
     none = F.lit(None).cast("string")
     refused = own.where("meeting_objective is null").select("request_id", none.alias("intent"), none.alias("agent"), F.lit("refused").alias("status"), none.alias("error_code"), F.lit(409).alias("http_status"))
     return done.unionByName(refused)

@@ -177,7 +177,7 @@ def agent_strategy(t: Tables) -> DataFrame:
     """Gates, readiness and the caps of the sections of each strategy."""
     rows = t.events.select(_event("request_id"), _objective().alias("objective"))
     agents = _agents()
-    gated = X._developed(rows.join(agents.research(rows), "request_id"), agents)
+    gated = X._developed(X._joined(rows, agents.research(rows)), agents)
     items = F.array(*[F.lit(x) for x in (" a", "", "b", "c ", "d", "e", "f")])
     return gated.select(
         F.col("request_id").alias("event_id"), "status", "error_code", F.size(A.valid_items(items, A.CAPS[0])).alias("n_opportunities"), F.size(A.valid_items(items, A.CAPS[5])).alias("n_actions")
