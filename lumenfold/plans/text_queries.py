@@ -10,6 +10,7 @@ from lumenfold.functions import web as W
 from lumenfold.plans.catalog import query
 from lumenfold.plans.fixtures import ODD, Tables
 from lumenfold.plans.sqltext import UNITS, tokens
+from lumenfold.scratch import materialize
 from lumenfold.sources import readers
 
 GLYPH_SQL = r"(?i)\(cid:\d+\)|/(?:gid|glyph|g)\d{2,}"
@@ -67,7 +68,7 @@ def fn_nfkc(t: Tables) -> DataFrame:
     """Each text between a ligature, a fraction, full-width letters, circled and raised digits;
     the tables themselves have no compatibility forms, which NFC would keep."""
     odd = F.concat(F.lit("ﬁ ½ ＡＢＣ ①② "), F.col("text"), F.lit(" ㎞ x²"))
-    return t.documents.select("doc_id", F.md5(T.normalized(odd)).alias("digest"))
+    return materialize(t.documents.select("doc_id", F.md5(T.normalized(odd)).alias("digest")))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
