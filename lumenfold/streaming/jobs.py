@@ -100,9 +100,11 @@ def _text(x) -> str | None:
     return None if x is None or x != x else str(x)
 
 
-def _applied(book: JobBook, pdf: pd.DataFrame) -> list[tuple[str, str | None]]:
-    columns = [pdf[c] for c in ("job_id", "file_sha256", "content_sha256", "stage", "ok")]
-    return [book.apply(t, str(j), _text(f), _text(c), _text(s), bool(ok) if ok is not None and ok == ok else None) for t, j, f, c, s, ok in zip(_seconds(pdf["at"]), *columns, strict=True)]
+def _events(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """What ``JobBook.apply`` takes, row by row; columns are converted once a frame."""
+    texts = ([_text(x) for x in pdf[c].tolist()] for c in ("file_sha256", "content_sha256", "stage"))
+    ok = [None if x is None or x != x else bool(x) for x in pdf["ok"].tolist()]
+    return zip(_seconds(pdf["at"]), map(str, pdf["job_id"].tolist()), *texts, ok, strict=True)
 
 
 def job_outcomes(events: DataFrame, stale: float = 3600.0) -> DataFrame:
@@ -114,35 +116,60 @@ def job_outcomes(events: DataFrame, stale: float = 3600.0) -> DataFrame:
         now, book = object(), None
         for pdf in batches:
             out = []
-            starts = (pdf["scope"] != pdf["scope"].shift()).cumsum()
-            for _, part in pdf.groupby(starts, sort=False):
-                if part["scope"].iloc[0] != now:
-                    now, book = part["scope"].iloc[0], JobBook(_Held(), _Held(), stale)
-                out += _applied(book, part)
+            for scope, event in zip(pdf["scope"].tolist(), _events(pdf), strict=True):
+                if scope != now:
+                    now, book = scope, JobBook(_Held(), _Held(), stale)
+                out.append(book.apply(*event))
             yield pdf.assign(status=[x for x, _ in out], reason=[y for _, y in out])
 
     return _folded(events, "scope", None, ["seq", "job_id", "stage"], run, ADDED)
 
 
 class _Stored:
-    """A state store's map as the fold wants it: rows to tuples and back."""
+    """A state store's map as the fold wants it: rows to tuples and back, by scope. Between
+    ``begin`` and ``flush`` an entry is read once at most, none if the bucket at hand has no
+    entries, and only what has changed by the end is written: each is a message to the store."""
 
     def __init__(self, state, read, write) -> None:
         self.state, self.read, self.write = state, read, write
+        self.begin()
 
-    def get(self, key: str):
-        return self.read(self.state.getValue((key,))) if self.state.containsKey((key,)) else None
+    def begin(self) -> None:
+        self.some, self.scope, self.stored, self.now = None, None, {}, {}
 
-    def put(self, key: str, value) -> None:
-        self.state.updateValue((key,), self.write(value))
+    def get(self, name: str):
+        key = (self.scope, name)
+        if key not in self.now:
+            if self.some is None:
+                self.some = self.state.exists()
+            row = self.state.getValue(key) if self.some else None
+            self.stored[key] = self.now[key] = None if row is None else self.read(row)
+        return self.now[key]
 
-    def drop(self, key: str) -> None:
-        if self.state.containsKey((key,)):
-            self.state.removeKey((key,))
+    def put(self, name: str, value) -> None:
+        self.now[self.scope, name] = value
+
+    def drop(self, name: str) -> None:
+        self.get(name)
+        self.now[self.scope, name] = None
+
+    def flush(self) -> None:
+        for key, value in self.now.items():
+            if value is not None and value != self.stored.get(key):
+                self.state.updateValue(key, self.write(value))
+            elif value is None and self.stored.get(key) is not None:
+                self.state.removeKey(key)
+
+
+#: Scopes are dealt to this many keys of the state: a key costs a micro-batch more than its rows
+#: do. A checkpoint can't be read with another number.
+STATE_BUCKETS = 4_096
+#: The store has no nulls inside its keys and values.
+_NOTHING = "\x00"
 
 
 class JobProcessor(StatefulProcessor):
-    """The fold over a stream's events. Hashes that are known are kept for ``keep`` seconds (0:
+    """The fold over a stream's events, a bucket of scopes at a time. Hashes that are known are kept for ``keep`` seconds (0:
     for good) by the store itself; a timer fails jobs that hear nothing for ``stale`` seconds,
     as soon as the store's clock says so, and answers with a row of their own."""
 
@@ -151,28 +178,52 @@ class JobProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        jobs = handle.getMapState("jobs", "job_id string", "done int, file string, content string, at double")
-        held = handle.getMapState("held", "hash string", "job_id string, known boolean", int(self.keep * 1000) if self.keep else None)
-        nothing = "\x00"  # the store has no nulls here
-        blank = lambda x: None if x == nothing else x
-        self.jobs = _Stored(jobs, lambda r: (int(r[0]), blank(r[1]), blank(r[2]), float(r[3])), lambda v: (v[0], nothing if v[1] is None else v[1], nothing if v[2] is None else v[2], v[3]))
+        jobs = handle.getMapState("jobs", "scope string, job_id string", "done int, file string, content string, at double")
+        held = handle.getMapState("held", "scope string, hash string", "job_id string, known boolean", int(self.keep * 1000) if self.keep else None)
+        blank = lambda x: None if x == _NOTHING else x
+        self.jobs = _Stored(jobs, lambda r: (int(r[0]), blank(r[1]), blank(r[2]), float(r[3])), lambda v: (v[0], _NOTHING if v[1] is None else v[1], _NOTHING if v[2] is None else v[2], v[3]))
         self.held = _Stored(held, lambda r: (r[0], bool(r[1])), tuple)
         self.book = JobBook(self.jobs, self.held, self.stale)
 
+    def _begin(self) -> None:
+        self.jobs.begin()
+        self.held.begin()
+
+    def _turn(self, scope: str) -> None:
+        self.jobs.scope = self.held.scope = scope
+
+    def _flush(self) -> None:
+        self.jobs.flush()
+        self.held.flush()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # a micro-batch's rows of a key come in no order
-        pdf = pd.concat(list(rows)).sort_values(["seq", "job_id", "stage"], na_position="first", kind="stable")
-        out = _applied(self.book, pdf)
+        # a micro-batch's rows of a bucket come in no order
+        frames = list(rows)
+        pdf = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+        scopes = [_NOTHING if x is None else x for x in map(_text, pdf["scope"].tolist())]
+        seqs, names, stages = pdf["seq"].tolist(), pdf["job_id"].tolist(), [_text(x) or "" for x in pdf["stage"].tolist()]
+        order = sorted(range(len(pdf)), key=lambda n: (scopes[n], seqs[n], names[n], stages[n]))
+        events, out = list(_events(pdf)), []
+        self._begin()
+        for n in order:
+            self._turn(scopes[n])
+            out.append(self.book.apply(*events[n]))
+        self._flush()
         if self.use_timers and any(s in ("queued", "running") for s, _ in out):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.stale * 1000))
-        yield pd.DataFrame({"scope": key[0], "seq": pdf["seq"].to_numpy(), "job_id": pdf["job_id"].to_numpy(), "status": [x for x, _ in out], "reason": [y for _, y in out]})
+        given = pdf["scope"].tolist()
+        yield pd.DataFrame({"scope": [given[n] for n in order], "seq": [seqs[n] for n in order], "job_id": [names[n] for n in order], "status": [x for x, _ in out], "reason": [y for _, y in out]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() / 1000
-        late = [k[0] for k in self.jobs.state.keys() if self.jobs.get(k[0])[3] + self.stale <= now]
-        for job_id in late:
-            self.book.expired(job_id, now)
-        yield pd.DataFrame({"scope": [key[0]] * len(late), "seq": [-1] * len(late), "job_id": late, "status": ["failed"] * len(late), "reason": ["stale"] * len(late)})
+        late = []
+        self._begin()
+        for scope, job_id in [tuple(k) for k in self.jobs.state.keys()]:
+            self._turn(scope)
+            if self.book.expired(job_id, now):
+                late.append((None if scope == _NOTHING else scope, job_id))
+        self._flush()
+        yield pd.DataFrame({"scope": [x for x, _ in late], "seq": [-1] * len(late), "job_id": [x for _, x in late], "status": ["failed"] * len(late), "reason": ["stale"] * len(late)})
 
     def close(self) -> None:
         pass
@@ -198,7 +249,8 @@ def job_outcomes_stream(events: DataFrame, stale: float = 3600.0, keep: float =
     them, and a row with seq -1 of each job that a timer ends. Start its query within
     ``keyed_store``."""
     mode = "processingTime" if timers else "none"
-    return events.groupBy("scope").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("scope"), F.lit(STATE_BUCKETS)).cast("int")
+    return events.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=JobProcessor(stale, keep, timers), outputStructType="scope string, seq long, job_id string, status string, reason string", outputMode="append", timeMode="processingTime" if keep else mode
     )
 
