@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import GLYPH, clean_text, collapse_whitespace, meaningful_ratio, strip, text_acceptable
+from lumenfold.functions.text import GLYPH, clean_text, collapse_whitespace, let, meaningful_ratio, strip, text_acceptable
+from lumenfold.scratch import materialize
 
 
 def header_footer_lines(lines: DataFrame, share: float = 0.6, zone: int = 3) -> DataFrame:
@@ -15,7 +16,12 @@ def header_footer_lines(lines: DataFrame, share: float = 0.6, zone: int = 3) ->
     page = Window.partitionBy("document_id", "page_number")
     placed = own.withColumn("up", F.row_number().over(page.orderBy("line_no"))).withColumn("down", F.row_number().over(page.orderBy(F.desc("line_no"))))
     seen = placed.where((F.col("up") <= zone) | (F.col("down") <= zone)).select("document_id", "page_number", "line_text").distinct()
-    pages = lines.groupBy("document_id").agg(F.countDistinct("page_number").alias("n_pages"))
+    return _recurring(seen, lines, share)
+
+
+def _recurring(seen: DataFrame, pages: DataFrame, share: float) -> DataFrame:
+    """Lines on enough pages, from one row for each line of a page's edges."""
+    pages = pages.groupBy("document_id").agg(F.countDistinct("page_number").alias("n_pages"))
     counted = seen.groupBy("document_id", "line_text").agg(F.count(F.lit(1)).alias("n_seen")).join(pages, "document_id")
     return counted.where(F.col("n_seen") >= F.greatest(F.lit(2), F.floor(F.col("n_pages") * share))).select("document_id", "line_text", "n_seen")
 
@@ -26,15 +32,22 @@ def strip_known_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
     return own.join(known.select("document_id", "line_text"), ["document_id", "line_text"], "left_anti").drop("line_text")
 
 
-def clean_document(lines: DataFrame) -> DataFrame:
-    """(document_id, page_number, text): cleaned pages without running headers and footers."""
-    page = lines.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"))
+def clean_document(lines: DataFrame, share: float = 0.6, zone: int = 3) -> DataFrame:
+    """(document_id, page_number, text): cleaned pages without running headers and footers, as
+    ``header_footer_lines`` and ``strip_known_lines`` find them. Pages are cleaned once and
+    written; a page stays one row, as its edges and its document's few known lines are arrays."""
+    keys = ["document_id", "page_number"]
+    page = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"))
     text = F.array_join(F.transform("all", lambda x: x["line"]), "\n")
-    cleaned = clean_text(page.select("document_id", "page_number", text.alias("joined")), F.col("joined")).select("document_id", "page_number", F.col("cleaned.text").alias("text"))
-    again = cleaned.select("document_id", "page_number", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    left = strip_known_lines(again, header_footer_lines(again))
-    joined = left.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"))
-    return joined.select("document_id", "page_number", collapse_whitespace(F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("text"))
+    split = F.split("text", "\n", -1)
+    edges = lambda x: F.array_distinct(F.concat(F.slice(x, 1, zone), F.slice(x, F.greatest(F.size(x) - zone, F.lit(0)) + 1, F.lit(zone))))
+    cleaned = clean_text(page.select(*keys, text.alias("joined")), F.col("joined")).select(*keys, F.col("cleaned.text").alias("text"))
+    cleaned = materialize(cleaned.withColumn("edges", let(F.filter(F.transform(split, strip), lambda x: x != ""), edges)))
+    # a page has two zones of lines at most and a known line many pages, so a document's are few
+    known = _recurring(cleaned.select(*keys, F.explode("edges").alias("line_text")), cleaned, share).groupBy("document_id").agg(F.collect_set("line_text").alias("known"))
+    left = F.when(F.col("known").isNull(), split).otherwise(F.filter(split, lambda x: ~F.array_contains("known", strip(x))))
+    joined = cleaned.join(known, "document_id", "left").select(*keys, left.alias("left")).where(F.size("left") > 0)
+    return joined.select(*keys, collapse_whitespace(F.array_join("left", "\n")).alias("text"))
 
 
 def analyze_pages(pages: DataFrame) -> DataFrame:
