@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # File formats that are taken in.
 FORMATS = (".pdf", ".docx", ".doc", ".pptx", ".ppt", ".mp3", ".mp4")
@@ -118,12 +120,30 @@ def segment_pages(pages: DataFrame, layout: Layout, content: str = "content", ba
                 return [row for one in given for row in items(document, [one])]
             return [(document, given[0][0], None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.dropna(subset=["page_number"]).drop_duplicates("page_number").sort_values("page_number")
-        return pd.DataFrame(items(key[0], [(int(n), c) for n, c in zip(own["page_number"], own[content], strict=True)]), columns=names)
-
-    numbered = pages.where("page_number is not null").select("document_id", "page_number", content)
-    return numbered.groupBy("document_id", F.floor((F.col("page_number") - 1) / batch).alias("batch")).applyInPandas(run, out)
+    schema = to_arrow_schema(T.StructType.fromDDL(out))
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type, from_pandas=True) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, given = None, []
+        for rows in batches:
+            out = []
+            for document, part, number, page in zip(*[c.to_pylist() for c in rows.columns], strict=True):
+                if now != (document, part):
+                    out += items(now[0], given) if given else []
+                    now, given = (document, part), []
+                if not given or given[-1][0] != int(number):
+                    given.append((int(number), page))
+            yield table(out)
+        if given:
+            yield table(items(now[0], given))
+
+    part = F.floor((F.col("page_number") - 1) / batch).alias("batch")
+    numbered = pages.where("page_number is not null").select("document_id", part, "page_number", content)
+    # sorted, so that a task takes batch after batch and not a frame for each
+    return numbered.repartition("document_id", "batch").sortWithinPartitions("document_id", "batch", "page_number").mapInArrow(run, out)
 
 
 def labelled_regions(regions: DataFrame) -> DataFrame:

@@ -22,3 +22,22 @@ def test_pages_are_cleaned_once(spark):
     want = left.select("document_id", "page_number", collapse_whitespace(F.array_join("all.line", "\n")).alias("text"))
     assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
     assert not found.where("document_id = 3").count()
+
+
+def test_pages_of_a_batch_may_come_in_parts(spark):
+    from lumenfold.sources import readers
+
+    asked = spark.createDataFrame([(d, p, f"{d} {p}") for d in (None, 7, 8) for p in (1, 2, 3, 9) for _ in range(2)], "document_id long, page_number int, content string")
+
+    def layout(given):
+        return [{"page_number": n, "raw_label": "text", "text": f"{len(given)}:{x}", "left": float("nan")} for n, x in given]
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        found = readers.segment_pages(asked, layout, batch=4)
+        assert "FlatMapGroups" not in _plan(found)
+        rows = sorted((str(r["document_id"]), r["page_number"], r["text_content"], r["left_edge"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert rows == [(str(d), p, f"{1 if p == 9 else 3}:{d} {p}", None) for d in (7, 8) for p in (1, 2, 3, 9)] + [("None", p, f"{1 if p == 9 else 3}:None {p}", None) for p in (1, 2, 3, 9)]
