@@ -41,3 +41,20 @@ def test_pages_of_a_batch_may_come_in_parts(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert rows == [(str(d), p, f"{1 if p == 9 else 3}:{d} {p}", None) for d in (7, 8) for p in (1, 2, 3, 9)] + [("None", p, f"{1 if p == 9 else 3}:None {p}", None) for p in (1, 2, 3, 9)]
+
+
+def test_office_blocks_come_in_batches(spark):
+    from lumenfold.plans.officefiles import _zip, docx, pptx
+    from lumenfold.sources import office
+
+    whole = docx(["one\ttwo", " ", "three &<>"], [[["a", ""], ["b", "c"]]])
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    rels = '<Relationships><Relationship xmlns="http://schemas.openxmlformats.org/package/2006/relationships" Id="a" Type="x/officeDocument" Target="d.xml"/></Relationships>'
+    odd = lambda body, head="": _zip({"_rels/.rels": rels, "d.xml": f'{head}<w:document xmlns:w="{word}"><w:body><w:p><w:t>first</w:t></w:p>{body}'})
+    files = [("1.docx", whole), ("2.pptx", pptx([{"title": "T", "shapes": ["x\x0by"], "note": "n"}])), ("3.docx", odd("<w:p><w:t>cut")), ("4.docx", odd("<w:p><w:t>&none;</w:t></w:p></w:body></w:document>", '<!DOCTYPE w SYSTEM "w.dtd">')), ("5.docx", None)]
+    found = office.office_rows(spark.createDataFrame(files, "path string, content binary"))
+    assert "MapInArrow" in _plan(found) and "MapInPandas" not in _plan(found)
+    rows = {}
+    for r in sorted(found.collect(), key=lambda r: (r["path"], r["block"] if r["block"] >= 0 else 99)):
+        rows.setdefault(r["path"], []).append(r["text"] or r["error"].split(":")[0])
+    assert rows == {"1.docx": ["one\ttwo", "three &<>", "a", "b | c"], "2.pptx": ["T", "xy", "n"], "3.docx": ["first", "ParseError"], "4.docx": ["first", "ParseError"], "5.docx": ["BadZipFile"]}
