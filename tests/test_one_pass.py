@@ -58,3 +58,21 @@ def test_office_blocks_come_in_batches(spark):
     for r in sorted(found.collect(), key=lambda r: (r["path"], r["block"] if r["block"] >= 0 else 99)):
         rows.setdefault(r["path"], []).append(r["text"] or r["error"].split(":")[0])
     assert rows == {"1.docx": ["one\ttwo", "three &<>", "a", "b | c"], "2.pptx": ["T", "xy", "n"], "3.docx": ["first", "ParseError"], "4.docx": ["first", "ParseError"], "5.docx": ["BadZipFile"]}
+
+
+def test_edges_are_stepped_from_once():
+    """A weak edge that winds over many rows: a pass over all pixels for each step is quadratic."""
+    import time
+
+    import numpy as np
+
+    from lumenfold.operators.imaging import edge_map
+
+    n = 60_000
+    ramp = np.zeros((n, 32), np.uint8)
+    ramp[:, 16:] = 30  # a gradient of 120, weak but for the first rows
+    ramp[:2, 16:] = 255
+    began = time.process_time()
+    found = edge_map(ramp)
+    assert time.process_time() - began < 30
+    assert found.any(axis=1).all()
