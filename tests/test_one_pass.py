@@ -76,3 +76,19 @@ def test_edges_are_stepped_from_once():
     found = edge_map(ramp)
     assert time.process_time() - began < 30
     assert found.any(axis=1).all()
+
+
+def test_lines_of_a_table_are_made_once(spark):
+    from lumenfold.operators.chunking import split_tables
+
+    wide = [["h", "k"]] + [[str(i), "x" * 60] for i in range(31)]
+    tables = spark.createDataFrame([(1, wide), (2, wide[:3]), (3, []), (4, None), (5, [["y" * 2100]]), (6, [["a"], None, ["b"]])], "table_id int, rows array<array<string>>")
+    found = split_tables(tables)
+    assert _plan(found).count("---") == 1
+    rows = {(r["table_id"], r["row_group_start"]): r["chunk_text"] for r in found.collect()}
+    line = lambda r: f"| {' | '.join(r)} |"
+    head = [line(wide[0]), "| --- | --- |"]
+    assert rows == {
+        **{(1, s): "\n".join(head + [line(r) for r in wide[s : s + 15]]) for s in (1, 16, 31)},
+        (2, 0): "\n".join(head + [line(r) for r in wide[1:3]]), (3, 0): "", (4, 0): "", (6, 0): "| a |\n| --- |\n| b |",
+    }
