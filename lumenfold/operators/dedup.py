@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import content_hash, normalized_hash
-from lumenfold.scratch import materialize, small_enough
+from lumenfold.scratch import materialize, small_enough, spread
 
 #: Owners that are broadcast at most; more are shuffled.
 BROADCAST_ROWS = 200_000
@@ -68,8 +68,10 @@ def registry_of(chunks: DataFrame) -> DataFrame:
 
 
 def duplicate_documents(docs: DataFrame) -> DataFrame:
-    """Documents whose content hash an earlier one has; short texts have none."""
-    hashed = docs.select("document_id", "doc_seq", content_hash(F.col("text")).alias("content_hash")).where("content_hash is not null")
+    """Documents whose content hash an earlier one has; short texts have none. Texts are hashed
+    once, and written as hashes alone."""
+    rows = spread(docs.select("document_id", "doc_seq", "text"))
+    hashed = materialize(rows.select("document_id", "doc_seq", content_hash(F.col("text")).alias("content_hash"))).where("content_hash is not null")
     first = hashed.groupBy("content_hash").agg(F.min_by("document_id", F.struct("doc_seq", "document_id")).alias("original_id"))
     return hashed.join(first, "content_hash").where("original_id <> document_id").select("document_id", "original_id")
 

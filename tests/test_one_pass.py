@@ -92,3 +92,14 @@ def test_lines_of_a_table_are_made_once(spark):
         **{(1, s): "\n".join(head + [line(r) for r in wide[s : s + 15]]) for s in (1, 16, 31)},
         (2, 0): "\n".join(head + [line(r) for r in wide[1:3]]), (3, 0): "", (4, 0): "", (6, 0): "| a |\n| --- |\n| b |",
     }
+
+
+def test_documents_are_hashed_once(spark):
+    from lumenfold.operators.dedup import duplicate_documents
+
+    words = "one two three four five six seven eight"
+    texts = [words, f" {words.replace(' ', chr(0xA0), 3)}\n", words.replace(" ", "\t  ", 2), words.replace(" ", "\v"), words.replace("one", "One"), "short", None, words + "x"]
+    docs = spark.createDataFrame([(k, k, x) for k, x in enumerate(texts)], "document_id long, doc_seq long, text string")
+    found = duplicate_documents(docs)
+    assert "sha2" not in _plan(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 0), (2, 0), (3, 0)]
