@@ -103,3 +103,23 @@ def test_documents_are_hashed_once(spark):
     found = duplicate_documents(docs)
     assert "sha2" not in _plan(found)
     assert sorted(map(tuple, found.collect())) == [(1, 0), (2, 0), (3, 0)]
+
+
+def test_modes_are_compared_over_one_token_index(spark, monkeypatch):
+    from lumenfold.operators import retrieval
+    from lumenfold.plans import catalog
+
+    made, index = [], retrieval.token_index
+    monkeypatch.setattr(retrieval, "token_index", lambda *a: made.append(1) or index(*a))
+    assert catalog.QUERIES["agg_compare_metrics"](spark, "/root/testdata/sf0.001").columns == ["mode", "precision", "recall", "ndcg", "n_queries"]
+    assert len(made) == 1
+
+
+def test_one_question_is_searched_alone(spark, monkeypatch):
+    from lumenfold.operators import retrieval
+    from lumenfold.plans import catalog
+
+    asked, search = [], retrieval.keyword_search
+    monkeypatch.setattr(retrieval, "keyword_search", lambda chunks, queries, *a, **b: asked.append(queries.count()) or search(chunks, queries, *a, **b))
+    catalog.QUERIES["trace_one_question"](spark, "/root/testdata/sf0.001")
+    assert asked == [1]
