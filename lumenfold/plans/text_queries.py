@@ -287,10 +287,9 @@ def src_format_gate(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, greatest(0, (len(w) - 1) // 90 + 1) AS n, coalesce(len(w), 0) AS n_words FROM (SELECT doc_id, list_filter(string_split_regex(substr(text, 1, 4000), '\\s+'), lambda x: x <> '') AS w FROM documents)".replace("\\\\", "\\"))
 def src_attach_extract(t: Tables) -> DataFrame:
-    from lumenfold.operators.chunking import attach_windows
+    from lumenfold.operators.chunking import attach_windows, attached_words
 
-    words = F.size(F.filter(F.split(F.substring("text", 1, 4000), r"\s+"), lambda x: x != ""))
-    return t.documents.select("doc_id", F.size(attach_windows(F.col("text"))).cast("long").alias("n"), words.cast("long").alias("n_words"))
+    return t.documents.select("doc_id", F.size(attach_windows(F.col("text"))).cast("long").alias("n"), F.size(attached_words(F.col("text"))).cast("long").alias("n_words"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS score, CAST(date_trunc('second', ts) AS TIMESTAMP) AS published_at FROM events")
