@@ -14,8 +14,8 @@ C. groups apply the answers to their documents.
 Runs around a very frequent anchor are cut in two where the anchor leaves the middle of the
 window, and go by the bytes beside it, which all windows of a half have: equal windows still
 meet, and no bucket gets all contexts of one anchor. Messages travel in bundles over a net of
-``fan`` ways a hop, so rows grow with groups times hops, not with groups times buckets; on the
-way, bytes of equal runs are carried once.
+at most ``fan`` ways a hop, so rows grow with groups times hops, not with groups times buckets;
+on the way, bytes of equal runs are carried once.
 """
 
 from __future__ import annotations
@@ -77,11 +77,10 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np
         nothing = np.zeros(0, np.int64)
         return nothing, nothing, nothing, np.zeros(0, U64)
     # windows that reach into the next row: the last w - 1 starts of each row
-    late = np.zeros(total + 1, dtype=np.int32)
-    ends = offsets[1:]
-    np.add.at(late, np.maximum(offsets[:-1], ends - w + 1), 1)
-    np.add.at(late, ends, -1)
-    valid = np.cumsum(late[:-1])[: total - w + 1] == 0
+    late = np.maximum(offsets[:-1], offsets[1:] - w + 1)
+    valid = np.ones(total, dtype=bool)
+    valid[tv.ragged(late, offsets[1:] - late)] = False
+    valid = valid[: total - w + 1]
     first, last, place, anchor = [], [], [], []
     step = (1 << _POSITION_BITS) - w
     for begin in range(0, total - w + 1, step):
@@ -188,18 +187,22 @@ class _Group:
 
 
 class Net:
-    """Addresses 0 .. size - 1 that messages reach in hops of ``fan`` ways each.
+    """Addresses 0 .. size - 1 that messages reach in hops of at most ``fan`` ways each.
 
     A row is a bundle of messages from senders that share src to a range of addresses, dest;
     hop by hop ranges get narrower and senders more, so that a row never is a lone message
-    for want of others on its way."""
+    for want of others on its way. All hops have the same ways, and no more than they need:
+    then there are about as many relays at each hop as addresses, and none gets more messages
+    than an address does."""
 
     SCHEMA = "dest long, src long, body binary"
 
     def __init__(self, size: int, fan: int) -> None:
-        self.fan, self.hops = fan, 1
+        self.fan, self.hops = 2, 1
         while fan**self.hops < size:
             self.hops += 1
+        while self.fan**self.hops < size:
+            self.fan += 1
 
     def post(self, hop: int, src: int, to: np.ndarray, sender: np.ndarray, parts: list[tuple[bytes, ...]]) -> pa.Table:
         """Rows of messages, in order of ``to``, that have ``hop`` hops behind them after this."""
@@ -342,6 +345,23 @@ def _bytes_of(runs: np.ndarray, blob) -> np.ndarray:
     return np.frombuffer(pa.decompress(pa.py_buffer(blob), decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
 
 
+def _bytes_of_some(some: np.ndarray, runs: np.ndarray, held: np.ndarray, of: np.ndarray, messages: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some runs alone, and where each begins; no more than one message is unpacked at a time."""
+    picked = np.zeros(len(runs), dtype=bool)
+    picked[some] = True
+    kept = np.where(picked, held, 0)
+    data = np.empty(int(kept.sum()), dtype=np.uint8)
+    at = np.cumsum(kept) - kept
+    bounds = np.searchsorted(of, np.arange(len(messages) + 1))
+    for a, b, message in zip(bounds, bounds[1:], messages, strict=False):
+        mine = picked[a:b]
+        if mine.any():
+            whole, size = _bytes_of(runs[a:b], message[1]), held[a:b]
+            part = whole[tv.ragged((np.cumsum(size) - size)[mine], size[mine])]
+            data[at[a] : at[a] + len(part)] = part
+    return data, at[some]
+
+
 def _send_runs(shape: Shape, net: Net, buckets: int):
     """Messages (runs, their bytes, hot anchors among them) to buckets."""
 
@@ -406,11 +426,9 @@ def _answer_runs(window: int, net: Net):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, groups, messages = read_bundles(table)
         runs = [np.frombuffer(x[0], dtype=_RUN) for x in messages]
-        data = np.concatenate([_bytes_of(r, x[1]) for r, x in zip(runs, messages, strict=True)])
         of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
         runs = np.concatenate(runs)
         held = np.maximum(runs["size"], 0).astype(np.int64)
-        begin = np.cumsum(held) - held
         # equal runs are sorted once, for their least document, by the bytes of any of them
         order = np.lexsort((runs["id"], runs["content"]))
         lead = tv.firsts(runs["content"][order])
@@ -418,8 +436,9 @@ def _answer_runs(window: int, net: Net):
         least = runs["id"][order[lead]]
         full = np.lexsort((held == 0, runs["content"]))
         full = full[tv.firsts(runs["content"][full])]
+        data, begin = _bytes_of_some(full, runs, held, of, messages)
         windows = held[full] - window + 1
-        starts = tv.ragged(begin[full], windows)
+        starts = tv.ragged(begin, windows)
         owner = np.repeat(np.arange(len(full)), windows)
         alive, group = repeated_windows(data, starts, window)
         removed = np.zeros(len(starts), dtype=bool)
@@ -479,7 +498,14 @@ def removed_bytes(own: _Group, replies: np.ndarray, hot: np.ndarray) -> np.ndarr
     base = np.repeat(first[stay], count)
     np.add.at(change, base + replies["first"][spot], 1)
     np.add.at(change, base + replies["last"][spot] + w, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32, out=change[:-1]) > 0
+
+
+def _counts(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags are set in each row; an Arrow column of strings has under 2^31 bytes."""
+    before = np.zeros(len(flags) + 1, dtype=np.int32)
+    np.cumsum(flags, dtype=np.int32, out=before[1:])
+    return np.diff(before[offsets]).astype(np.int64)
 
 
 _OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -492,22 +518,21 @@ def _apply(shape: Shape, with_text: bool):
         replies = np.concatenate([*(np.frombuffer(x, dtype=_REPLY) for x, _ in messages), np.zeros(0, _REPLY)])
         hot = np.unique(np.concatenate([*(_from_bytes(x) for _, x in messages), np.zeros(0, U64)]))
         gone = removed_bytes(own, replies, hot)
-        total = np.concatenate([[0], np.cumsum(gone)])
+        n_bytes, n_removed = np.diff(own.offsets), _counts(gone, own.offsets)
         begin = gone & ~np.append(False, gone[:-1]) if len(gone) else gone
         at = own.offsets[:-1]
         first = at[at < len(gone)]
         begin[first] = gone[first]
-        spans = np.concatenate([[0], np.cumsum(begin)])
-        kept = own.data[~gone].tobytes() if len(gone) else b""
-        stay = np.concatenate([[0], np.cumsum(~gone)])[own.offsets].tolist() if len(gone) else [0] * len(own.offsets)
-        pieces = [kept[a:b] for a, b in zip(stay, stay[1:], strict=False)]
+        kept = memoryview(own.data[~gone])
+        stay = np.cumsum(n_bytes - n_removed).tolist()
+        pieces = [kept[a:b] for a, b in zip([0, *stay], stay, strict=False)]
         return pa.table({
             "id": pa.array(own.ids, pa.int64()),
-            "n_bytes": pa.array(np.diff(own.offsets)),
-            "n_removed": pa.array(np.diff(total[own.offsets])),
-            "n_spans": pa.array(np.diff(spans[own.offsets])),
+            "n_bytes": pa.array(n_bytes),
+            "n_removed": pa.array(n_removed),
+            "n_spans": pa.array(_counts(begin, own.offsets)),
             "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in pieces]),
-            "kept": pa.array([x.decode(errors="ignore") if with_text else None for x in pieces], pa.string()),
+            "kept": pa.array([str(x, "utf-8", "ignore") if with_text else None for x in pieces], pa.string()),
         })
 
     return run
@@ -520,7 +545,7 @@ def remove_repeats(
     window: int = 50,
     group_bytes: int = 4 << 20,
     with_text: bool = False,
-    fan: int = 1024,
+    fan: int = 2048,
     hot_groups: int = 256,
 ) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each row.
@@ -531,9 +556,9 @@ def remove_repeats(
     Null and empty texts have no bytes; very long ones are one document, whole, in a group.
     Rows with one id are one document in this: they don't remove each other's bytes. Rows
     with a null id remove nothing and lose nothing. Ids are integers. An empty table gives no
-    rows; other columns are ignored. ``window`` is 2 to 60,000 bytes. Messages go ``fan``
-    ways a hop; anchors in more than ``hot_groups`` groups are split. Neither changes the
-    result.
+    rows; other columns are ignored. ``window`` is 2 to 60,000 bytes. Messages go at most ``fan``
+    ways a hop, and each further hop shuffles them once more; anchors in more than ``hot_groups``
+    groups are split. Neither changes the result.
     """
     shape = Shape(window)
     groups = bucket_count(docs, group_bytes, text_col)
